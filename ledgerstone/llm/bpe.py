@@ -50,6 +50,8 @@ class PairTable:
             slot = np.where(self.keys[slot] >= 0, (slot + 1) & self.mask, slot)
         self.byte_ids = np.asarray(byte_ids, np.int64)
         self.token_bytes = token_bytes
+        #: whether later merges always make larger ids
+        self.by_id = bool((np.diff(merged[np.argsort(rank, kind="stable")]) >= 0).all())
 
     def _hash(self, key: np.ndarray) -> np.ndarray:
         k = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)

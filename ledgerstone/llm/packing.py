@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import PreTokenizer
+from .bpe import table_from_json
 from .common import in_chunks, table
 
 SEQUENCE_TOKENS, SEQUENCE_SEGMENTS = 2048, 512
@@ -136,29 +136,22 @@ class DotProductPacker:
 
 
 def _encoder(path: str, pattern: str):
-    """Ids of texts by the tokenizer library, which is asked once for each word that a task keeps."""
-    import json
+    """Ids of texts as the tokenizer file gives them. Where ids follow the order of the merges, as they do in byte-level files
+    trained in one go, ranks are ids and the faster engine gives the same; any other file is read by its own library."""
     import os
 
-    os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "false", "1"
+    pairs, specials = table_from_json(path)
+    if pairs.by_id:
+        import tiktoken
+
+        ranks = {t: i for i, t in enumerate(pairs.token_bytes) if t and i not in specials.values()}
+        engine = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
+        return lambda texts: [engine.encode_to_numpy(t, allowed_special="all") for t in texts]
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    with open(path, encoding="utf-8") as f:
-        specials = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
-    library, pre, known = Tokenizer.from_file(path), PreTokenizer(pattern, specials), {}
-
-    def encode(texts: list[str]) -> list[np.ndarray]:
-        split = [pre(t) for t in texts]
-        new = [w for w in {w for s in split for w in s} if w not in known]
-        if len(known) + len(new) > 300_000:
-            known.clear()
-            new = list({w for s in split for w in s})
-        got = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast(new, add_special_tokens=False)))) if new else {}
-        known.update((w, b) for w, b in got.items() if len(w) <= 64)
-        mine = known if all(len(w) <= 64 for w in new) else known | got
-        return [np.frombuffer(b"".join(map(mine.__getitem__, s)), "<u4") for s in split]
-
-    return encode
+    library = Tokenizer.from_file(path)
+    return lambda texts: [np.array(e.ids, "<u4") for e in library.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

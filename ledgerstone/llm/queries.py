@@ -7,6 +7,8 @@ import importlib
 #: name -> module that defines a function of that name
 _WHERE = {
     "op1_vector_packing": "packing",
+    "op2_pii": "pii",
+    "op4_simhash_bktree": "simhash",
     "op6_bpe_codec": "bpe_codec",
     "op9_token_counts": "token_counts",
 }
