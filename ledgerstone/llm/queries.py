@@ -8,6 +8,7 @@ import importlib
 _WHERE = {
     "op1_vector_packing": "packing",
     "op2_pii": "pii",
+    "op3_webp_columns": "media",
     "op4_simhash_bktree": "simhash",
     "op6_bpe_codec": "bpe_codec",
     "op9_token_counts": "token_counts",

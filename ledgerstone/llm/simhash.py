@@ -219,7 +219,7 @@ def near_duplicate_components(keyed: DataFrame, radius: int = RADIUS) -> DataFra
     of = stage.write(linked.select("fp", "root").join(low, "root").select("fp", "component_id").union(alone))
     spread = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
-    return salted.join(spread, ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return salted.join(spread.hint("merge"), ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
