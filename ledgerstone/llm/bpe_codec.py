@@ -4,8 +4,9 @@
    distinct words and, for each document, the word numbers by position (that is the exploded form of
    (document, position, word), kept as arrays).
 2. The (block, number, word) rows are shuffled by word. A task meets equal words one after the other and
-   encodes each distinct word once; the ids go back with every (block, number).
-3. Blocks and ids meet by block; documents are reassembled by position.
+   encodes each distinct word once; the ids go back to every (block, number), combined by block before they are sent.
+3. Blocks are stored once, bucketed by their number, so that only the ids move when the two meet by block;
+   documents are then reassembled by position.
 
 A word has one row in a block, however frequent it is, so no key gets more rows than there are blocks.
 Decoding joins ids with the token-byte table, whose size the vocabulary fixes.
@@ -17,6 +18,7 @@ are, one result row for each input row.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +28,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PreTokenizer, merge_words, ragged_take, table_from_ranks
-from .common import Stage, in_chunks, table
+from .common import in_chunks, ragged_index, shared_dir, table
 
 #: Characters of text in a block.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 32_000_000
+#: Ids of this many words are combined by block before they leave a task.
+COMBINED_WORDS = 500_000
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """Numbers below 2**24 as three byte planes, which compress better than whole numbers."""
-    return np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
+    """Numbers below 2**24 as three byte planes, compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=4).compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
 
 
 def _unplaned(b: bytes) -> np.ndarray:
-    p = np.frombuffer(b, np.uint8).reshape(3, -1).astype(np.int64)
+    import zstandard
+
+    p = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(3, -1).astype(np.int64)
     return p[0] | p[1] << 8 | p[2] << 16
 
 
@@ -49,7 +57,7 @@ def word_blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -
         from pyspark import TaskContext
 
         pre = PreTokenizer(pattern)
-        base, n = TaskContext.get().partitionId() << 32, 0
+        base, n = TaskContext.get().partitionId() << 12, 0
         ids, sizes, numbers, seen, chars = [], [], [], {}, 0
 
         def block():
@@ -89,27 +97,50 @@ def word_blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -
 
 
 def encode_distinct(rows: DataFrame, ranks_path: str) -> DataFrame:
-    """Rows (block_id, number, word) shuffled by word; each task encodes each of its distinct words once."""
+    """Rows (place, word) shuffled by word, place being block_id << 24 | number; each task encodes each of its distinct words once.
+
+    The result is (block_id, numbers, sizes, ids): the ids of some of a block's words."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = table_from_ranks(ranks_path)
-        last, last_ids = None, b""
+        wide = "<u2" if len(pairs.token_bytes) <= 1 << 16 else "<u4"
+        last, last_ids, held, n_held = None, np.zeros(0, np.int64), [], 0
+
+        def combined():
+            place, n, flat = (np.concatenate([h[k] for h in held]) for k in range(3))
+            order = np.argsort(place, kind="stable")
+            at = np.cumsum(n) - n
+            place, n, flat = place[order], n[order], flat[ragged_index(at[order], n[order])]
+            block, ends = place >> 24, np.cumsum(n)
+            first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(block)]):
+                yield int(block[a]), _planes(place[a:b] & 0xFFFFFF), _planes(n[a:b]), flat[ends[a] - n[a] : ends[b - 1]].astype(wide).tobytes()
+
+        def out(rows):
+            rows = list(rows)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], ["block_id", "numbers", "sizes", "ids"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = batch.column(2).dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            flat, n = merge_words([w.encode() for w in words if w != last], pairs)
-            flat = flat.astype("<u4")
-            ends = np.cumsum(n)
-            got = iter([flat[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist())])
-            ids = [last_ids if w == last else next(got) for w in words]
-            out = pa.DictionaryArray.from_arrays(coded.indices, pa.array(ids, pa.binary())).cast(pa.binary())
-            last, last_ids = words[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], ["block_id", "number", "ids"])
+            coded = batch.column(1).dictionary_encode()
+            words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            new = [w for w in words if w != last]
+            flat, n = merge_words([w.encode() for w in new], pairs)
+            if len(new) < len(words):  # sorted: the word that goes on from the last batch comes first
+                flat, n = np.r_[last_ids, flat], np.r_[len(last_ids), n]
+            at = np.cumsum(n) - n
+            last, last_ids = words[-1], flat[at[-1] : at[-1] + n[-1]]
+            held.append((batch.column(0).to_numpy(), n[index], ragged_take(flat, at, n, index)))
+            n_held += len(index)
+            if n_held >= COMBINED_WORDS:
+                yield out(combined())
+                held, n_held = [], 0
+        if held:
+            yield out(combined())
 
     by_word = rows.repartition("word").sortWithinPartitions("word")
-    return by_word.mapInArrow(encode, "block_id long, number int, ids binary")
+    return by_word.mapInArrow(encode, "block_id long, numbers binary, sizes binary, ids binary")
 
 
 def decode_ids(ids: np.ndarray, table_bytes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -124,18 +155,19 @@ def reassemble(blocks: DataFrame, coded: DataFrame, ranks_path: str, digest: boo
         pairs = table_from_ranks(ranks_path)
         of_token = np.fromiter(map(len, pairs.token_bytes), np.int64, len(pairs.token_bytes))
         token_at, token_flat = np.cumsum(of_token) - of_token, np.frombuffer(b"".join(pairs.token_bytes), np.uint8)
-        by_number = [b""] * len(right)
-        for k, v in zip(right["number"].tolist(), right["ids"]):
-            by_number[k] = v
-        size = np.fromiter(map(len, by_number), np.int64, len(by_number)) // 4
-        flat = np.frombuffer(b"".join(by_number), "<u4").astype(np.int64)
-        at = np.cumsum(size) - size
-        decimal = [b"".join(b"%d " % i for i in np.frombuffer(v, "<u4").tolist()) for v in by_number] if digest else []
+        wide = "<u2" if len(pairs.token_bytes) <= 1 << 16 else "<u4"
+        number = np.concatenate([_unplaned(x) for x in right["numbers"]]) if len(right) else np.zeros(0, np.int64)
+        size = np.concatenate([_unplaned(x) for x in right["sizes"]]) if len(right) else number
+        flat = np.frombuffer(b"".join(right["ids"]), wide).astype(np.int64)
+        order = np.argsort(number)
+        if (number[order] != np.arange(len(number))).any():
+            raise ValueError("a block lost some of its words")
+        at = (np.cumsum(size) - size)[order]
+        size = size[order]
+        decimal = [b"".join(b"%d " % i for i in flat[a : a + k].tolist()) for a, k in zip(at.tolist(), size.tolist())] if digest else []
         out = []
         for _, row in left.iterrows():
             number, stop = _unplaned(row["numbers"]), 0
-            if not len(by_number) and len(number):
-                raise ValueError("a block lost its words")
             for doc, n in zip([None if d != d else d for d in row["doc_ids"]], row["sizes"]):
                 mine = number[stop : stop + n]
                 stop += n
@@ -155,9 +187,13 @@ def reassemble(blocks: DataFrame, coded: DataFrame, ranks_path: str, digest: boo
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, ids) of a table (doc_id, text), or with digest the counts and hashes of ids and of decoded bytes."""
-    stage = Stage(docs.sparkSession, "bpe")
-    blocks = stage.write(word_blocks(docs, pattern, block_chars))
+    spark = docs.sparkSession
+    name = f"word_blocks_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 10_000)
+    word_blocks(docs, pattern, block_chars).write.bucketBy(buckets, "block_id").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+    blocks = spark.table(name)
     rows = blocks.select("block_id", F.posexplode("words").alias("number", "word"))
+    rows = rows.select(F.shiftleft("block_id", 24).bitwiseOR(F.col("number").cast("long")).alias("place"), "word")
     return reassemble(blocks.select("block_id", "doc_ids", "sizes", "numbers"), encode_distinct(rows, ranks_path), ranks_path, digest)
 
 

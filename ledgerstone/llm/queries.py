@@ -10,8 +10,10 @@ _WHERE = {
     "op2_pii": "pii",
     "op3_webp_columns": "media",
     "op4_simhash_bktree": "simhash",
+    "op5_language_fusion": "language",
     "op6_bpe_codec": "bpe_codec",
     "op9_token_counts": "token_counts",
+    "op10_ordinal_toxicity": "toxicity",
 }
 
 
