@@ -31,7 +31,7 @@ from .bpe import PreTokenizer, merge_words, ragged_take, table_from_ranks
 from .common import in_chunks, ragged_index, shared_dir, table
 
 #: Characters of text in a block.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 20_000_000
 #: Ids of this many words are combined by block before they leave a task.
 COMBINED_WORDS = 500_000
 

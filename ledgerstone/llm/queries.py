@@ -12,6 +12,8 @@ _WHERE = {
     "op4_simhash_bktree": "simhash",
     "op5_language_fusion": "language",
     "op6_bpe_codec": "bpe_codec",
+    "op7_html_lstm": "html_text",
+    "op8_nn_descent": "ann",
     "op9_token_counts": "token_counts",
     "op10_ordinal_toxicity": "toxicity",
 }

@@ -204,7 +204,7 @@ def components(links: DataFrame, stage: Stage) -> DataFrame:
 
 
 def near_duplicate_components(keyed: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (doc_id, fp) with component_id, the smallest doc_id reachable over links of fingerprints."""
+    """Rows (doc_id, fp) with component_id, the smallest doc_id reachable over links of fingerprints, and the component's root fingerprint."""
     spark = keyed.sparkSession
     stage = Stage(spark, "simhash")
     rows = stage.write(keyed.select("doc_id", "fp"))
@@ -215,11 +215,19 @@ def near_duplicate_components(keyed: DataFrame, radius: int = RADIUS) -> DataFra
     low = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     salts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // 4)
     # only fingerprints of several rows need a lookup; salting deals out the rows of a frequent one
-    alone = nodes.filter("n > 1").join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("low").alias("component_id"))
-    of = stage.write(linked.select("fp", "root").join(low, "root").select("fp", "component_id").union(alone))
+    alone = nodes.filter("n > 1").join(roots.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("low").alias("component_id"))
+    of = stage.write(linked.select("fp", "root").join(low, "root").select("fp", "root", "component_id").union(alone))
     spread = of.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.col("doc_id"), F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
-    return salted.join(spread.hint("merge"), ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return salted.join(spread.hint("merge"), ["fp", "salt"], "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """The rows of docs, one of each component: that with the smallest key. A null key counts as a large number made from its text."""
+    mine = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(text), F.lit(1 << 40)))).withColumn("__fp", fingerprint_column(F.col(text)))
+    found = near_duplicate_components(mine.select(F.col("__key").alias("doc_id"), F.col("__fp").alias("fp")), radius)
+    first = found.filter("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("fp").alias("__fp")).select(F.col("doc_id").alias("__key"), "__fp")
+    return mine.join(first.hint("merge"), ["__key", "__fp"], "left_semi").dropDuplicates(["__key", "__fp"]).select(*docs.columns)
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
