@@ -93,12 +93,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if m[1]:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if tag not in _INLINE:
+            if tag not in _INLINE and tag not in _SILENT:
                 flush()
             if k is not None:
                 leave(k)
             continue
-        if tag not in _INLINE and not silent:
+        if tag not in _INLINE and tag not in _SILENT and not silent:
             flush()
         if tag == "br" and not silent:
             parts.append(" ")
