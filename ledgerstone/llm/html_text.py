@@ -134,6 +134,7 @@ def _bucket(name: str, size: int) -> int:
 
 #: Words that mark what surrounds an article; each has a place of its own before the hashed ones.
 _CUES = ("cookie", "cookies", "advert", "advertisement", "sponsored", "subscribe", "newsletter", "comment", "comments", "reply", "share", "related", "login", "privacy", "copyright", "menu")
+_CUE_PLACES = {w: i for i, w in enumerate(_CUES)}
 SIZE = PATH_FEATURES + WORD_FEATURES + len(_CUES) + 8
 
 
@@ -144,11 +145,10 @@ def vectors(page: list[Block]) -> np.ndarray:
         row = out[i]
         for name in b.path:
             row[_bucket(name, PATH_FEATURES)] = 1
-        words = b.text[:400].lower().split()[:24]  # the vector looks at a block's beginning; the block itself is kept whole
-        for w in words:
-            row[PATH_FEATURES + _bucket(w, WORD_FEATURES)] += 0.1
-            if w in _CUES:
-                row[base + _CUES.index(w)] = 1
+        words = b.text.lower().split()
+        np.add.at(row, [PATH_FEATURES + _bucket(w, WORD_FEATURES) for w in words], 2 / len(words))
+        for w in _CUE_PLACES.keys() & set(words):
+            row[base + _CUE_PLACES[w]] = 1
         n = len(b.text)
         row[base + len(_CUES) :] = (np.log1p(n) / 6, b.links / n, i / len(page), (len(page) - i) / len(page), b.tag == "p", b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag == "li", b.text[-1] in ".!?")
     return out
