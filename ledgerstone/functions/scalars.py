@@ -121,7 +121,7 @@ def csv_escape(text: Column) -> Column:
 
 def split_clean(text: Column) -> Column:
     """Items between commas or semicolons, trimmed, without blanks."""
-    return F.filter(F.transform(F.split(text, r"[,;]\s*"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"[,;]\s*"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def search_text(*parts: Column) -> Column:
