@@ -16,7 +16,7 @@ def matched(text: Column, pattern: str, group: int = 1) -> Column:
 def parse_numeric(text: Column, default: float | None = 0.0) -> Column:
     """The number a text begins with, after currency signs and thousands commas are taken off; blank and N/A give the default."""
     bare = F.trim(F.regexp_replace(text, "[$£€¥,]", ""))
-    number = F.try_cast(matched(bare, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"), "double") if hasattr(F, "try_cast") else matched(bare, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)").try_cast("double")
+    number = matched(bare, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)").try_cast("double")
     return F.when(F.upper(bare).isin("", "N/A"), F.lit(default)).otherwise(F.coalesce(number, F.lit(default)))
 
 
@@ -52,7 +52,7 @@ def agreement(a: Column, b: Column) -> Column:
 
 def percent_share(x: Column) -> Column:
     """A percentage kept within 0 and 100, as a share; no number means all of it."""
-    return F.coalesce(F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0)) / 100, F.lit(1.0))
+    return F.when(x.isNull() | F.isnan(x), 1.0).otherwise(F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0)) / 100)
 
 
 # -- units ---------------------------------------------------------------------------------------------------

@@ -17,6 +17,17 @@ def _per_page(df: DataFrame, by: str, fold, schema: str) -> DataFrame:
     return df.groupBy(by).applyInPandas(fold, schema)
 
 
+def _rows(page: pd.DataFrame, within) -> list[list]:
+    """Items by rows anchored at their first item, each row from left to right."""
+    rows: list[list] = []
+    for g in page.sort_values(["y", "x"], kind="stable").itertuples(index=False):
+        if rows and g.y - rows[-1][0].y <= within(g):
+            rows[-1].append(g)
+        else:
+            rows.append([g])
+    return [sorted(r, key=lambda g: g.x) for r in rows]
+
+
 def row_clusters(items: DataFrame, by: str, tolerance: float = 3.0, anchored: bool = True, item: str = "item_id", font: str | None = None) -> DataFrame:
     """Row numbers of text items (y, x): an item joins the row if it lies within the tolerance of the row's first item (anchored) or its last (chained)."""
     kinds = {f.name: f.dataType.simpleString() for f in items.schema}
@@ -41,15 +52,16 @@ def glyph_runs(items: DataFrame, by: str = "page") -> DataFrame:
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
         out, cur = [], None
-        for g in page.sort_values(["y", "x"], kind="stable").itertuples(index=False):
-            char = g.width / max(len(g.str), 1)
-            if cur and abs(g.y - cur["y"]) <= max(1.0, 0.15 * g.height) and g.x - cur["right"] <= 0.5 * char and g.x >= cur["x"]:
-                cur["text"] += g.str
-                cur["right"] = max(cur["right"], g.x + g.width)
-            else:
-                if cur:
-                    out.append(cur)
-                cur = {"text": g.str, "x": g.x, "y": g.y, "right": g.x + g.width}
+        for row in _rows(page, lambda g: max(1.0, 0.15 * g.height)):
+            for g in row:
+                char = g.width / max(len(g.str), 1)
+                if cur and cur["row"] is row and g.x - cur["right"] <= 0.5 * char:
+                    cur["text"] += g.str
+                    cur["right"] = max(cur["right"], g.x + g.width)
+                else:
+                    if cur:
+                        out.append(cur)
+                    cur = {"text": g.str, "x": g.x, "y": g.y, "right": g.x + g.width, "row": row}
         if cur:
             out.append(cur)
         return pd.DataFrame([(page[by].iloc[0], c["text"], c["x"], c["y"], c["right"] - c["x"]) for c in out], columns=[by, "text", "x", "y", "width"])
@@ -62,18 +74,16 @@ def table_cells(items: DataFrame, by: str = "page", tolerance: float = 3.0, gap:
     """Cells of anchored rows; a new cell begins after a gap."""
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
-        out, anchor, row, cell, right = [], None, 0, 0, None
-        for g in page.sort_values(["y", "x"], kind="stable").itertuples(index=False):
-            if anchor is None or g.y - anchor > tolerance:
-                row, anchor, cell, right = row + 1, g.y, 0, None
-            if right is not None and g.x - right > gap:
-                cell += 1
-            joined = right is not None and g.x - right <= gap
-            if joined:
-                out[-1][3] += (" " if g.x - right > 1.5 else "") + g.str
-            else:
-                out.append([page[by].iloc[0], row, cell, g.str])
-            right = g.x + g.width
+        out = []
+        for n, row in enumerate(_rows(page, lambda g: tolerance), 1):
+            cell, right = 0, None
+            for g in row:
+                if right is not None and g.x - right <= gap:
+                    out[-1][3] += (" " if g.x - right > 1.5 else "") + g.str
+                else:
+                    cell += right is not None
+                    out.append([page[by].iloc[0], n, cell, g.str])
+                right = g.x + g.width
         return pd.DataFrame(out, columns=[by, "row_no", "cell_no", "text"])
 
     kind = items.schema[by].dataType.simpleString()
