@@ -40,7 +40,7 @@ def _planes(a: np.ndarray) -> bytes:
     """Numbers below 2**24 as three byte planes, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=4).compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
+    return zstandard.ZstdCompressor(level=9).compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
 
 
 def _unplaned(b: bytes) -> np.ndarray:
