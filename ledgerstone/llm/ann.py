@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stage, ragged_index, shared_dir, table
+from .common import Stage, shared_dir, table
 
 RANKS, DEGREE, TREES, LEAF, ROUNDS = 20, 48, 10, 1000, 2
 #: Neighbours of a node that meet in a round, in each direction.
@@ -77,8 +77,8 @@ class _Lists:
     @staticmethod
     def batch(ids, sizes, nbrs, scores, fresh) -> pa.RecordBatch:
         ends = np.cumsum(sizes).tolist()
-        cut = lambda a, dt: pa.array([a[e - n : e].tobytes() for e, n in zip(ends, sizes.tolist())], pa.binary()) if len(a) or len(ids) else pa.array([], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), cut(nbrs.astype("<i8"), 8), cut(scores.astype("<f4"), 4), cut(fresh.astype(np.uint8), 1)], ["id", "nbrs", "scores", "fresh"])
+        cut = lambda a: pa.array([a[e - n : e].tobytes() for e, n in zip(ends, sizes.tolist())], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), cut(nbrs.astype("<i8")), cut(scores.astype("<f4")), cut(fresh.astype(np.uint8))], ["id", "nbrs", "scores", "fresh"])
 
     @staticmethod
     def flat(batch):
@@ -300,6 +300,8 @@ class Index:
         def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_numpy()
+                if not len(ids):
+                    continue
                 v = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1)
                 empty = pa.array([b""] * len(ids), pa.binary())
                 own = pa.array([np.int64(i).tobytes() for i in ids], pa.binary())
@@ -330,8 +332,9 @@ class Index:
             def score(key, left, right):
                 import pandas as pd
 
+                none = pd.DataFrame({"query": pd.Series(dtype="int64"), **{c: pd.Series(dtype=object) for c in ("nodes", "scores", "lists")}})
                 if not len(left) or not len(right):
-                    return pd.DataFrame({"query": pd.Series(dtype="int64"), "nodes": [], "scores": [], "lists": []})
+                    return none
                 ids = left["id"].to_numpy()
                 order = np.argsort(ids)
                 ids, lists = ids[order], left["nbrs"].to_numpy()[order]
@@ -345,7 +348,7 @@ class Index:
                         good = good[np.argpartition(-s[good], beam - 1)[:beam]]
                     if len(good):
                         out.append((q, ids[at[good]].astype("<i8").tobytes(), s[good].astype("<f8").tobytes(), [lists[i] for i in at[good]]))
-                return pd.DataFrame(out, columns=["query", "nodes", "scores", "lists"])
+                return pd.DataFrame(out, columns=["query", "nodes", "scores", "lists"]) if out else none
 
             scored = stored.groupBy("shard").cogroup(sent.groupBy("shard")).applyInPandas(score, "query long, nodes binary, scores binary, lists array<binary>")
             wide = F.lit(None).cast("binary")

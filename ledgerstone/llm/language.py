@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Stage, table
 
 SAMPLE, BUCKETS = 4000, 1 << 16
-TRUST, SUFFIX_TRUST, STRENGTH, LEAST = 0.97, 0.8, 20.0, 0.6
+TRUST, SUFFIX_TRUST, STRENGTH, LEAST = 0.97, 0.8, 20.0, 0.5
 #: A text counts as this many independent trigrams at most.
 EVIDENCE = 60.0
 BROADCAST_HOSTS, SALTS = 50_000, 64
