@@ -11,16 +11,16 @@ from .storage import kept
 def reached(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes reachable from the seeds (node) over edges (src, dst), with the depth at which they are first met; cycles end by themselves.
 
-    Each step joins only the newest nodes; what is known is kept as a table."""
-    known = kept(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    front, depth = known, 0
+    Each step joins only the newest nodes; each step's nodes are kept as a table of their own."""
+    front, depth = kept(seeds.select("node").distinct().withColumn("depth", F.lit(0))), 0
+    known = front
     while max_depth is None or depth < max_depth:
         depth += 1
         step = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        front = kept(step.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        front = kept(step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        known = kept(known.unionByName(front))
+        known = known.unionByName(front)
     return known
 
 
