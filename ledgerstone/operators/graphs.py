@@ -12,6 +12,7 @@ def reached(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     """Nodes reachable from the seeds (node) over edges (src, dst), with the depth at which they are first met; cycles end by themselves.
 
     Each step joins only the newest nodes; each step's nodes are kept as a table of their own."""
+    edges = kept(edges.select("src", "dst").distinct())
     front, depth = kept(seeds.select("node").distinct().withColumn("depth", F.lit(0))), 0
     known = front
     while max_depth is None or depth < max_depth:

@@ -37,7 +37,7 @@ def fallback_of(formula: Column) -> Column:
     return S.matched(formula, r'"([^"]*)"[^"]*$')
 
 
-def material_record(rows: DataFrame, at: dict[str, str], groups: list[tuple[str, str]], countries: DataFrame) -> DataFrame:
+def material_record(rows: DataFrame, at: dict[str, str], groups: list[tuple[str, str]], countries: DataFrame, source: str = "calculated") -> DataFrame:
     """Records from sheet cells c0, c1, ...; `at` names the column letters of what a record is made of.
 
     Names: id, name, category, manufacturer, country, stated, divisor, unit, density, thickness, bio, carbon, retention, expiry, standards, hidden.
@@ -49,7 +49,7 @@ def material_record(rows: DataFrame, at: dict[str, str], groups: list[tuple[str,
     kg_c = density * thickness * bio * share
     full = kg_c * 3.67
     stated, divisor = number(c("stated")), number(c("divisor"))
-    block = lambda name, value: F.struct(F.struct(value.alias("value"), F.when(value.isNotNull(), "beam_derived").alias("source")).alias("total"), F.create_map().cast("map<string,struct<value:double,source:string>>").alias("by_stage")).alias(name)
+    block = lambda name, value: F.struct(F.struct(value.alias("value"), F.when(value.isNotNull(), source).alias("source")).alias("total"), F.create_map().cast("map<string,struct<value:double,source:string>>").alias("by_stage")).alias(name)
     common = S.js_round(F.try_divide(stated, divisor), 2)
     impacts = F.struct(*(block(k, common if k == CATEGORIES[0] else F.lit(None).cast("double")) for k in CATEGORIES))
     return joined.filter(text(c("id")).isNotNull()).select(
