@@ -159,24 +159,56 @@ def expiry_to_iso(value: Column) -> Column:
     return F.when(value < 3000, F.concat(F.lpad(value.cast("int").cast("string"), 4, "0"), F.lit("-12-31"))).otherwise(excel_serial_to_iso(value))
 
 
-MONTHS = "January February March April May June July August September October November December".split()
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
 def parse_date(text: Column) -> Column:
-    """ISO, day/month/year, '5 May 2020', 'May 5, 2020' or 'May 2020', in this order, as an ISO string; the calendar isn't checked."""
-    names = "|".join(MONTHS)
-    month = lambda m: F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), F.initcap(m)).cast("string"), 2, "0")
+    """ISO, day/month/year, '5 May 2020', 'Feb 5 , 2020' or a leading 'May 2020', in this order, as an ISO string; the calendar isn't checked.
+
+    A month is known by its first three letters."""
     two = lambda d: F.lpad(d, 2, "0")
-    iso = matched(text, r"(\d{4}-\d{2}-\d{2})")
-    dmy, a = r"(\d{1,2})/(\d{1,2})/(\d{4})", rf"(?i)(\d{{1,2}})\s+({names})\s+(\d{{4}})"
-    b, c = rf"(?i)({names})\s+(\d{{1,2}}),\s*(\d{{4}})", rf"(?i)({names})\s+(\d{{4}})"
-    g = lambda p, k: F.regexp_extract(text, p, k)
+
+    def month(name: Column) -> Column:
+        place = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(name, 1, 3)))
+        return F.when(place > 0, two(place.cast("string")))
+
+    def ymd(pattern: str, year: int, month_at: int, day: int | None, named: bool = True) -> Column:
+        g = lambda k: F.regexp_extract(text, pattern, k)
+        m = month(g(month_at)) if named else two(g(month_at))
+        whole = F.concat(g(year), F.lit("-"), m, F.lit("-"), F.lit("01") if day is None else two(g(day)))
+        return F.when(text.rlike(pattern), whole)
+
     return F.coalesce(
-        iso,
-        F.when(text.rlike(dmy), F.concat_ws("-", g(dmy, 3), two(g(dmy, 2)), two(g(dmy, 1)))),
-        F.when(text.rlike(a), F.concat_ws("-", g(a, 3), month(g(a, 2)), two(g(a, 1)))),
-        F.when(text.rlike(b), F.concat_ws("-", g(b, 3), month(g(b, 1)), two(g(b, 2)))),
-        F.when(text.rlike(c), F.concat_ws("-", g(c, 2), month(g(c, 1)), F.lit("01"))),
+        matched(text, r"(\d{4}-\d{2}-\d{2})"),
+        ymd(r"(\d{1,2})/(\d{1,2})/(\d{4})", 3, 2, 1, named=False),
+        ymd(r"(\d{1,2})\s+([A-Za-z]+)\s*,?\s*(\d{4})", 3, 2, 1),
+        ymd(r"([A-Za-z]+)\s+(\d{1,2})\s*,?\s*(\d{4})", 3, 1, 2),
+        ymd(r"^\s*([A-Za-z]+)\s+(\d{4})", 2, 1, None),
+    )
+
+
+def date_after(text: Column, label: str, within: int = 200) -> Column:
+    """The date in the characters behind a label (a pattern without groups)."""
+    return parse_date(matched(text, rf"{label}([\s\S]{{1,{within}}})"))
+
+
+def loose_date_after(text: Column, label: str, within: int = 60) -> Column:
+    """An ISO date behind a label whose digits and dashes may stand apart, as in '202 5 - 10 - 2 0'."""
+    window = matched(text, rf"{label}([\s\S]{{1,{within}}})")
+    joined = F.regexp_replace(F.regexp_replace(window, r"(?<=\d)\s+(?=\d)", ""), r"(?<=\d)\s*-\s*(?=\d)", "-")
+    p = r"(\d{4})-(\d{1,2})-(\d{1,2})"
+    two = lambda k: F.lpad(F.regexp_extract(joined, p, k), 2, "0")
+    return F.when(joined.rlike(p), F.concat_ws("-", F.regexp_extract(joined, p, 1), two(2), two(3)))
+
+
+def relative_time(at: Column, now: Column) -> Column:
+    """How long ago: minutes, hours within a day, then the date and time; none means now."""
+    minutes = js_round((now.cast("timestamp").cast("double") - at.cast("timestamp").cast("double")) / 60).cast("long")
+    return (
+        F.when(at.isNull() | (minutes < 1), "just now")
+        .when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago")))
+        .when(minutes < 1440, F.concat(F.floor(minutes / 60 + 0.5).cast("string"), F.lit("h ago")))
+        .otherwise(F.date_format(at, "yyyy-MM-dd HH:mm"))
     )
 
 

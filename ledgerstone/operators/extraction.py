@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_line, matched
 
-STAGE = r"(?<![A-Za-z0-9])(A[1-5]|B[1-7]|C[1-4]|D)(?![A-Za-z0-9])"
+STAGE = r"(?<![A-Za-z0-9])(A1\s*[–—-]?\s*A3|A[1-5]|B[1-7]|C[1-4]|D)(?![A-Za-z0-9])"
 
 
 def label_value(text: Column, label: str) -> Column:
@@ -32,6 +32,23 @@ def declared_unit(text: Column) -> Column:
     return F.struct(F.coalesce(matched(text, p).try_cast("double"), F.lit(1.0)).alias("amount"), folded.alias("unit"))
 
 
+def declared_quantity(line: Column, text: Column) -> Column:
+    """'number unit' that a unit line begins with; a bare m is taken for m³ or m² where the text names one. Null where the line names no known unit."""
+    p = r"(?i)^(\d+(?:[.,]\d+)?)\s*(m³|m²|m\^?3|m\^?2|m|metric\s+tons?|tonnes?|kgs?|kilograms?|liters?|litres?)(?![A-Za-z0-9_])"
+    unit = F.regexp_replace(F.lower(F.regexp_extract(line, p, 2)), r"\^", "")
+    cubic = text.rlike(r"(?i)\bm³|\bm\s*\^?\s*3\b|cubic\s+m(?:eter|etre)")
+    square = text.rlike(r"(?i)\bm²|\bm\s*\^?\s*2\b|square\s+m(?:eter|etre)")
+    folded = (
+        F.when(unit == "m", F.when(cubic, "m³").when(square, "m²").otherwise("m"))
+        .when(unit.isin("m3", "m³"), "m³")
+        .when(unit.isin("m2", "m²"), "m²")
+        .when(unit.rlike(r"^metric\s+tons?$|^tonnes?$"), "metric ton")
+        .when(unit.rlike("^kgs?$|^kilograms?$"), "kg")
+        .otherwise("L")
+    )
+    return F.when(line.rlike(p), F.concat(F.regexp_replace(F.regexp_extract(line, p, 1), ",", "."), F.lit(" "), folded))
+
+
 def indicator_totals(text: Column, slots: dict[str, Sequence[str]]) -> list[Column]:
     """One number for each slot, from the first of its patterns that matches."""
     number = r"[^\n0-9-]*(-?\d[\d,]*(?:\.\d+)?(?:[eE][+-]?\d+)?)"
@@ -44,7 +61,9 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def stage_codes(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(STAGE), F.lit(1))
+    """The life-cycle stages of a line; the sum of the first three is A1-A3 however it is written."""
+    codes = F.regexp_extract_all(line, F.lit(STAGE), F.lit(1))
+    return F.transform(codes, lambda x: F.when(F.char_length(x) > 2, "A1-A3").otherwise(x))
 
 
 def stage_headers(lines: DataFrame, least: int = 3) -> DataFrame:
@@ -53,14 +72,14 @@ def stage_headers(lines: DataFrame, least: int = 3) -> DataFrame:
 
 
 def zip_stages(lines: DataFrame, key: str, values: Column) -> DataFrame:
-    """Values by stage: each line of values takes the nearest header above it in its document; the first value of a stage stays.
+    """Values by stage: each line of values takes the nearest header above it in its document; the first value of a stage stays, and sums over A1-A3 only take their place.
 
     lines have (key, line, stages) where headers have stages; values is an array of numbers, null on headers."""
     w = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, -1)
     header = F.last(F.when(F.size("stages") >= 3, F.col("stages")), True).over(w)
     rows = lines.withColumn("header", header).withColumn("numbers", values).filter(F.col("numbers").isNotNull() & F.col("header").isNotNull())
     pairs = rows.select(key, "line", F.posexplode(F.arrays_zip("header", "numbers")).alias("place", "z")).select(key, "line", "place", F.col("z.header").alias("stage"), F.col("z.numbers").alias("value"))
-    return pairs.filter("stage IS NOT NULL AND value IS NOT NULL").groupBy(key, "stage").agg(F.min_by("value", F.struct("line", "place")).alias("value"))
+    return pairs.filter("stage IS NOT NULL AND value IS NOT NULL AND stage <> 'A1-A3'").groupBy(key, "stage").agg(F.min_by("value", F.struct("line", "place")).alias("value"))
 
 
 def default_fill(df: DataFrame, key: Column, value: str, defaults: DataFrame, alias: DataFrame) -> DataFrame:

@@ -101,14 +101,14 @@ def asof_header(rows: DataFrame, headers: DataFrame, scope: str, at: str = "line
     """For each row the nearest header at or before it with as many columns as the row has values, else the nearest at all.
 
     One pass over the order in each scope carries, for each number of columns, the last header; no row meets a header by a join.
-    headers have (scope, at, h_id, n_cols)."""
+    headers have (scope, at, h_id, n_cols); the rows' numbers (row_id) are unique in their scope."""
     both = rows.select(scope, at, n, F.col("row_id"), F.lit(None).cast("long").alias("h_id"), F.lit(1).alias("kind")).unionByName(
         headers.select(scope, at, F.col("n_cols").cast(rows.schema[n].dataType).alias(n), F.lit(None).cast("long").alias("row_id"), F.col("h_id").cast("long"), F.lit(0).alias("kind"))
     )
     order = [F.col(at), F.col("kind"), F.coalesce("h_id", "row_id")]
     same = F.last("h_id", True).over(W.partitionBy(scope, n).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     any_ = F.last("h_id", True).over(W.partitionBy(scope).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return both.withColumn("same", same).withColumn("near", any_).filter("kind = 1").select("row_id", F.coalesce("same", "near").alias("h_id"))
+    return both.withColumn("same", same).withColumn("near", any_).filter("kind = 1").select(scope, "row_id", F.coalesce("same", "near").alias("h_id"))
 
 
 def two_tier_match(rows: DataFrame, known: DataFrame, key: str = "r_id") -> DataFrame:

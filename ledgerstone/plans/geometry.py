@@ -139,7 +139,7 @@ def _(spark, d):
     e = read(spark, d, "events").withColumn("line", F.struct("ts", "event_id")).withColumn("n_values", F.col("event_id") % 3)
     rows = e.filter("event_type = 'purchase'").withColumn("row_id", F.col("event_id"))
     headers = e.filter("event_type = 'login'").select("user_id", "line", F.col("event_id").alias("h_id"), F.col("n_values").alias("n_cols"))
-    return J.asof_header(rows, headers, "user_id")
+    return J.asof_header(rows, headers, "user_id").select("row_id", "h_id")
 
 
 _SPECS = [("s1", "LARGE", "SMALL", "sum_area", None, None), ("s2", "NOTHING", "SMALL", "sum_perimeter", None, 30.0), ("s3", "ECONOMY", None, "sum_volume", "height", None), ("s4", "ECONOMY", None, "sum_area", "unset", None), ("s5", "LARGE", None, "no_such", None, None), ("s6", "SMALL", None, "sum_net_area", "height", 45.0)]
