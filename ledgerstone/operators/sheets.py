@@ -69,7 +69,8 @@ def detected_scale(text: Column) -> Column:
     parts = F.arrays_zip(F.regexp_extract_all(text, F.lit(inches), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(inches), F.lit(2)).alias("b"))
     to_foot = F.transform(parts, lambda z: F.try_divide(12 * z["b"].try_cast("double"), z["a"].try_cast("double")))
     kinds = [("metric", found(r"[Ss]cale[\s:]*1\s*:\s*(\d+)")), ("metric", found(r"\b1\s*:\s*(\d+)\b")), ("imperial", to_foot)]
-    all_ = F.concat(*(F.transform(values, lambda x, k=k: F.struct(x.alias("ratio"), F.lit(k).alias("kind"))) for k, values in kinds))
+    of_kind = lambda kind: lambda x: F.struct(x.alias("ratio"), F.lit(kind).alias("kind"))
+    all_ = F.concat(*(F.transform(values, of_kind(k)) for k, values in kinds))
     usual = F.get(F.filter(all_, lambda z: F.array_contains(ratios, z["ratio"].cast("int")) & (z["ratio"] == z["ratio"].cast("int"))), F.lit(0))
     first = F.get(all_, F.lit(0))
     longer = F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (first["ratio"] * 10 + i).cast("int")), lambda x: F.array_contains(ratios, x)), F.lit(0))
@@ -144,7 +145,7 @@ def dimensions(found: DataFrame, segments: DataFrame, scales: DataFrame, page: s
     joined = wanted.withColumn("__key", key).join(pairs, "__key", "left").join(segments.select(page, "s_id", "length"), [page, "s_id"], "left")
     rows = joined.withColumn("implied", F.col("length") / F.col("metres"))
     sure = rows.filter("score > 0.5 AND implied IS NOT NULL")
-    middle = upper_median(sure, [page], "implied").select(page, F.col("implied").alias("implied_median"))
+    middle = upper_median(sure, [page], "implied").select(page, F.col("median").alias("implied_median"))
     return rows.join(middle, page, "left").select(page, "c_id", "text", "metres", "s_id", "score", "implied", "declared", "implied_median", agreement(F.col("implied_median"), F.col("declared")).alias("agreement"))
 
 

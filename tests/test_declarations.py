@@ -11,7 +11,7 @@ as per ISO 14025 and EN 15804+A1
 Glulam beams from the west coast
 Program operator UL Environment
 Declaration Holder: Acme Timber Co.
-Declaration Number: AB-1234.101.1 Period of validity
+Declaration Number: AB-1234.101.1 Scope of it
 Declared unit: 1 m of glulam, density of 520 kg/m3
 Product made of CLT and glulam, volumes in m³
 Date of Issue: 20 Feb 2023
