@@ -9,7 +9,19 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch, where the session sets none: batches of whole texts are held on both sides of the pipe.
+BATCH_ROWS = 2500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the session's rows of an Arrow batch to BATCH_ROWS, unless the user has set them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +40,7 @@ class Stage:
     """Tables written in the shared folder to cut lineage: a lost executor costs a reread, not a recomputation."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
