@@ -129,3 +129,8 @@ def dimension_rollup(contributions: DataFrame, targets: DataFrame, dims: DataFra
 def crossfeed(feeds: DataFrame, present: DataFrame) -> DataFrame:
     """Feeds (component, dim, superseded_by) whose superseding component is nowhere present."""
     return feeds.join(present.select(F.col("component").alias("superseded_by")).distinct(), "superseded_by", "left_anti")
+
+
+def insert_vertex(points: Column, edge: int, point: Column) -> Column:
+    """The vertices with one more on the edge that begins at the vertex of that number (from 0)."""
+    return F.concat(F.slice(points, 1, edge + 1), F.array(point), F.filter(points, lambda p, i: i > edge))

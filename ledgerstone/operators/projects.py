@@ -120,3 +120,28 @@ def strongest(states: Column) -> Column:
     order = F.array(*map(F.lit, STATES))
     best = F.array_max(F.transform(states, lambda s: F.array_position(order, s)))
     return F.when(best > 0, F.get(order, (best - 1).cast("int")))
+
+
+def sources_left(sources: DataFrame, edits: DataFrame, parents: DataFrame) -> DataFrame:
+    """Recorded sources (field, ...) that user edits (field) leave standing: an edit ends the field's own, and that of the volume it is part of.
+
+    parents (field, parent) names the volumes."""
+    edited = edits.select("field")
+    ended = edited.unionByName(parents.join(edited, "field", "left_semi").select(F.col("parent").alias("field")))
+    return sources.join(ended, "field", "left_anti")
+
+
+def calibrated(pages: DataFrame, readings: DataFrame) -> DataFrame:
+    """Page calibrations (page, units_per_metre, ratio, label, state) after dimensions were read from pages; the reading with the largest seq counts.
+
+    A reading (page, units_per_metre, ratio, label, seq) that isn't a positive finite number says nothing. Where one has no ratio or label,
+    that of the reading before it holds, else the page's."""
+    unit = F.col("units_per_metre")
+    ratio, label = F.nullif("ratio", F.lit(0.0)), F.nullif("label", F.lit(""))
+    usable = readings.filter((unit > 0) & ~F.isnan(unit) & (unit != float("inf")))
+    last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("seq")))
+    new = usable.groupBy("page").agg(last(unit).alias("__unit"), last(ratio).alias("__ratio"), last(label).alias("__label"))
+    read = F.col("__unit").isNotNull()
+    named = F.when(read, F.coalesce("__label", label, F.lit("auto-calibrated"))).otherwise(F.col("label"))
+    joined = pages.join(new, "page", "full")
+    return joined.select("page", F.coalesce("__unit", "units_per_metre").alias("units_per_metre"), F.coalesce("__ratio", "ratio").alias("ratio"), named.alias("label"), F.when(read, "verified").otherwise(F.col("state")).alias("state"))

@@ -163,3 +163,10 @@ def room_schedule(items: DataFrame, page: str = "page") -> DataFrame:
     rows = named.select(page, "row_no", matched(F.col("num"), r"^\s*(\d+)").try_cast("int").alias("num"), F.trim("name").alias("name"), matched(F.col("area"), r"^\s*(\d+(?:\.\d+)?)").try_cast("double").alias("area"))
     first = rows.agg(F.min(page).alias(page))
     return rows.join(F.broadcast(first), page).select(page, "row_no", "num", "name", "area")
+
+
+def scale_system(ratio: Column, label: Column) -> Column:
+    """imperial where the label has foot or inch marks, or the ratio is of imperial scales alone; else metric."""
+    marked = F.coalesce(label, F.lit("")).rlike("[\"']")
+    alone = ratio.isin(sorted({*IMPERIAL_RATIOS} - {*METRIC_RATIOS, 24}))
+    return F.when(marked | F.coalesce(alone, F.lit(False)), "imperial").otherwise("metric")

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.joins import first_of
+
 POINT = "struct<x:double,y:double>"
 IMPACT = "struct<total:struct<value:double,source:string>,by_stage:map<string,struct<value:double,source:string>>>"
 #: Impact categories and life-cycle stages of a material record.
@@ -107,3 +109,14 @@ def schema_paths(df: DataFrame) -> DataFrame:
                 yield from walk(f"{prefix}{f.name}.", f.dataType)
 
     return df.sparkSession.createDataFrame(list(walk("", df.schema)), "path string, type string")
+
+
+def workbook_fields(cells: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Fields (field, number, text) of workbook cells (tab, cell, number, text, format), by a mapping (tab, cell, field, seq).
+
+    Percentages count in hundredths there and in percent here. Blank cells and the #NAME? of broken references give no field; of several
+    cells for one field the last in the mapping counts."""
+    number = F.when(F.coalesce("format", F.lit("")).contains("%"), F.col("number") * 100).otherwise(F.col("number"))
+    text = F.when(F.col("number").isNull(), F.nullif("text", F.lit("#NAME?")))
+    found = cells.join(mapping, ["tab", "cell"]).select("field", "seq", number.alias("number"), text.alias("text"))
+    return first_of(found.filter("number IS NOT NULL OR text IS NOT NULL"), ["field"], F.desc("seq")).select("field", "number", "text")
