@@ -17,13 +17,13 @@ from .tables import read
   CASE WHEN p_size % 5 = 0 THEN '' ELSE printf('%.2f', p_retailprice) END AS qty,
   CASE p_size % 7 WHEN 0 THEN 'N/A' WHEN 1 THEN 'none' WHEN 2 THEN '0.00' ELSE format('{:,.2f}', p_retailprice) END AS cell,
   p_size || '%' AS share,
-  CASE WHEN p_size % 5 = 0 THEN '0' ELSE regexp_replace(printf('%.2e', p_size / 1000000.0), 'e([+-])0+', 'e\1') END AS factor FROM part WHERE p_size < 100""")
+  CASE WHEN p_size % 5 = 0 THEN '0' ELSE regexp_replace(printf('%.2e', p_size / 1000000.0), 'e([+-])0+', 'e\1') END AS factor FROM part""")
 def _(spark, d):
     price, size = F.col("p_retailprice"), F.col("p_size")
     text = F.when(size % 7 == 0, "n/a").when(size % 7 == 1, "none").when(size % 7 == 2, " ").otherwise(F.concat(F.lit("$"), F.format_string("%.2f", price)))
     small = F.when(size % 5 == 0, 0.0).otherwise(size / 1000000.0)
     share = D.shown((size / 100).cast("string"), "percent")
-    return read(spark, d, "part").filter(size < 100).select("p_partkey", D.whole_kg(price * 10).alias("kg"), D.quantity(F.when(size % 5 != 0, price)).alias("qty"), D.shown(text, "number-2dp-comma").alias("cell"), share.alias("share"), D.factor(small).alias("factor"))
+    return read(spark, d, "part").select("p_partkey", D.whole_kg(price * 10).alias("kg"), D.quantity(F.when(size % 5 != 0, price)).alias("qty"), D.shown(text, "number-2dp-comma").alias("cell"), share.alias("share"), D.factor(small).alias("factor"))
 
 
 @query("scale_system", """SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 OR p_size IN (12, 16, 32, 64, 96, 128, 192) THEN 'imperial' ELSE 'metric' END AS system FROM part""")
