@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerstone.llm import language, packing, pii, simhash, toxicity
+from ledgerstone.llm import language, near_copies, packing, pii, toxicity
 from ledgerstone.llm.common import Stage, table
 
 
@@ -24,8 +24,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return simhash.keep_one_of_each(docs)
+    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    return near_copies.keep_one_of_each(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
