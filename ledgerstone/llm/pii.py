@@ -4,7 +4,7 @@ Base detectors read the source text. Then transducers rewrite the text piece by
 full-width forms become ASCII, runs of spelled digits become digits, "[at]" and "dot" become signs. Each rewritten
 piece remembers the source range it came from; the detectors read the normalised text, and a span there maps
 back to the source range of its pieces. A span that only the normalised text shows is added if it covers a
-rewritten piece and meets no base span of its kind.
+rewritten piece and doesn't lie inside a base span of its kind; a base span that it covers stays in the list too.
 
 A null text counts as empty and has no spans. Rows are handled one by one: repeated rows give repeated rows, and
 other columns pass through. All scans are linear in the text, however long.
@@ -199,8 +199,8 @@ def find_spans(text: str) -> tuple[dict, dict]:
         for s, e in _FIND[kind](plain.text):
             a, b, changed = plain.span(s, e)
             k = bisect_right(starts, a)
-            clear = (k == 0 or base[kind][k - 1][1] <= a) and (k == len(starts) or b <= starts[k])
-            if clear and (changed or len(plain.text) != len(text)) and text[a:b] != plain.text[s:e]:
+            inside = k > 0 and b <= base[kind][k - 1][1]
+            if not inside and (changed or len(plain.text) != len(text)) and text[a:b] != plain.text[s:e]:
                 mine.append((a, b))
         every[kind] = sorted(mine)
     return base, every

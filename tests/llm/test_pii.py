@@ -74,3 +74,17 @@ def test_column(spark):
     assert rows[2].p.spans == "email:0:6,phone:7:24" and tuple(rows[2].p)[:4] == (1, 0, 0, 1)
     assert set(KINDS) == {"email", "ip", "card", "phone"}
     assert df.limit(0).select(detect(df.text)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "text, kind, base_found, whole",
+    [
+        ("write аlice@example.com now", "email", "lice@example.com", "аlice@example.com"),
+        ("call +49 30 1234567 ８９ now", "phone", "+49 30 1234567", "+49 30 1234567 ８９"),
+    ],
+)
+def test_a_disguise_around_a_base_span_is_found_whole(text, kind, base_found, whole):
+    base, every = find_spans(text)
+    assert [text[a:b] for a, b in base[kind]] == [base_found]
+    assert {text[a:b] for a, b in every[kind]} == {base_found, whole}
+    assert redact(text) == text.replace(whole, f"[{kind.upper()}]")
