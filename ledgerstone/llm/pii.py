@@ -54,7 +54,7 @@ def _luhn(digits: str) -> bool:
 
 def _ips(text: str):
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".") if len(p) < 4000) and all(len(p) < 4000 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             yield m.span()
 
 
@@ -98,9 +98,21 @@ _WORD = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?i)(?<!\w){_WORD}(?:[\s,-]+(?:{_WORD}|[0-9]+|dot|point|punkt))*[\s,-]+{_WORD}(?!\w)")
 _PIECE = re.compile(rf"(?i)({_WORD})(?!\w)|(dot|point|punkt)(?!\w)|([0-9]+)|([\s,-]+)")
 _BRACKETS = re.compile(r"(?i)\s*[\[({<]\s*(?:(at|@|arroba)|(dot|\.|punkt|punto))\s*[\])}>]\s*")
-#: Bare words count only as a chain: name at host dot domain, with a common domain at its end.
-_BARE = re.compile(r"(?i)(?<=[A-Za-z0-9_%+-])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+)|(?<=[A-Za-z0-9-])\s+dot\s+(?=[A-Za-z0-9-])")
-_BARE_CHAIN = re.compile(r"(?i)[A-Za-z0-9._%+-]{1,64}\s+at\s+(?:[A-Za-z0-9-]{1,63}(?:\s+dot\s+|\.)){1,8}(?:com|org|net|edu|gov|info|io|co|uk|eu|de|fr|es)(?![A-Za-z0-9-])")
+_DOT = re.compile(r"(?i)\s+dot\s+")
+#: After an at sign, also one from brackets, any suffix of two or more letters ends the chain.
+_AT_CHAIN = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])@(?P<host>(?:[A-Za-z0-9-]++(?:\s+dot\s+|\.))+[A-Za-z]{2,}+(?![A-Za-z0-9-]))")
+#: Suffixes that end a chain of bare words.
+_SUFFIXES = frozenset(
+    """com org net edu gov mil int info biz name pro app dev xyz online site shop store tech cloud blog email club live news page world agency
+    digital group life media network solutions space studio systems today team top work zone mobi jobs museum travel coop aero asia cat tel post arpa
+    ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu
+    cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id
+    ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms
+    mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk
+    sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw""".split()
+)
+#: Bare words count only as a chain: name at host dot domain, with a known suffix at its end.
+_BARE_CHAIN = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at>\s+at\s+)(?P<host>(?:[A-Za-z0-9-]++(?:\s+dot\s+|\.))+(?:{'|'.join(sorted(_SUFFIXES))})(?![A-Za-z0-9-]))")
 
 
 class _Mapped:
@@ -169,6 +181,24 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _chain_edits(m: _Mapped, pattern: re.Pattern) -> list[tuple[int, int, str]]:
+    """Signs for the words of chains that have a spoken or bracketed dot."""
+    bracketed = any(c and b - a > 1 for c, (a, b) in zip(m.changed, m.source))
+    out = []
+    if not re.search(r"(?i)\sdot\s", m.text) and not bracketed:
+        return out
+    for chain in pattern.finditer(m.text):
+        dots = [(*x.span(), ".") for x in _DOT.finditer(m.text, *chain.span("host"))]
+        if "at" in pattern.groupindex:
+            a, b = chain.span("host")
+            if dots or any(m.text[i] == "." and m.back(i)[1] - m.back(i)[0] > 1 for i in range(a, b)):
+                out.append((*chain.span("at"), "@"))
+                out += dots
+        else:
+            out += dots
+    return out
+
+
 def normalise(text: str) -> _Mapped | None:
     """The text with its disguises undone, or None where it has none."""
     m = _Mapped(text)
@@ -178,11 +208,8 @@ def normalise(text: str) -> _Mapped | None:
         m = m.rewrite(_spelled_edits(m.text))
     if re.search(r"(?i)[\[({<]\s*(?:at|@|arroba|dot|\.|punkt|punto)\s*[\])}>]", m.text):
         m = m.rewrite([(*x.span(), "@" if x[1] else ".") for x in _BRACKETS.finditer(m.text)])
-    if re.search(r"(?i)\sdot\s", m.text):
-        edits = []
-        for chain in _BARE_CHAIN.finditer(m.text):
-            edits += [(*x.span(), "@" if x[0].strip().lower() == "at" else ".") for x in _BARE.finditer(m.text, chain.start(), chain.end())]
-        m = m.rewrite(edits)
+    m = m.rewrite(_chain_edits(m, _AT_CHAIN))
+    m = m.rewrite(_chain_edits(m, _BARE_CHAIN))
     return m if any(m.changed) or m.text != text else None
 
 

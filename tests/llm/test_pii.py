@@ -88,3 +88,25 @@ def test_a_disguise_around_a_base_span_is_found_whole(text, kind, base_found, wh
     assert [text[a:b] for a, b in base[kind]] == [base_found]
     assert {text[a:b] for a, b in every[kind]} == {base_found, whole}
     assert redact(text) == text.replace(whole, f"[{kind.upper()}]")
+
+
+@pytest.mark.parametrize(
+    "found",
+    ["jane@mail dot com", "jane [at] mail dot com", "jane at mail dot nl", "jane at mail dot example dot it", "jane [at] mail dot museum", "jane at mail [dot] ch", "j" * 80 + " at mail dot com", "jane at " + "a dot " * 12 + "com", "jane at " + "m" * 90 + " dot ca"],
+)
+def test_spoken_dots(found):
+    text = f"write {found}, please"
+    base, every = find_spans(text)
+    assert base["email"] == [] and [text[a:b] for a, b in every["email"]] == [found]
+
+
+def test_spoken_dots_leave_other_text_alone():
+    for clean in ("meet me at amazon.com", "look at the dot there", "the dot at noon", "me at amazon.com and one dot here"):
+        assert not find_spans(clean)[1]["email"]
+    long = "a at " * 50_000 + "a dot " * 50_000 + "@" + "a dot " * 50_000 + "b" * 200_000 + " at" + " " * 100_000
+    assert isinstance(find_spans(long)[1]["email"], list)
+
+
+def test_leading_zeros_of_any_length():
+    text = "at " + "0" * 5000 + "10.0.0.1 here"
+    assert base_spans(text)["ip"] == [(3, len(text) - 5)] and base_spans("0" * 5000 + "256.0.0.1")["ip"] == []
