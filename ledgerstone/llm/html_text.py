@@ -7,7 +7,7 @@ process, on pages that a seeded generator writes with known labels (layouts with
 comments and footers); no row of the input is used.
 
 Text of script, style, template, form controls, comments and head elements is never a block. White space inside a block becomes one space,
-references are decoded, blocks are joined by two line feeds. A null or empty page gives an empty text. Repeated rows give
+references are decoded; head, option, button, select, svg and math end where the standard implies it. Blocks are joined by two line feeds. A null or empty page gives an empty text. Repeated rows give
 repeated rows; a page of any length is one sequence.
 """
 
@@ -37,6 +37,11 @@ _RAW = frozenset("script style textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input ins del".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: What may stand in a head; anything else ends a head that is left open. Likewise what ends an open svg or math,
+#: and the elements of these in which HTML goes on.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+_BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_GOES_ON = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -76,10 +81,35 @@ def blocks(page: str) -> list[Block]:
         del stack[k:]
         path = stack[-1][1] if stack else ()
 
+    def imply(tag: str) -> None:
+        """Closes what a start tag ends in the standard where the end tag was left out."""
+        if stack[-1][0] == "head" and tag not in _IN_HEAD:
+            leave(len(stack) - 1)
+        elif tag == "body":
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("head", "template")), None)
+            if k is not None and stack[k][0] == "head":
+                leave(k)
+        elif tag in ("option", "optgroup") and stack[-1][0] == "option":
+            leave(len(stack) - 1)
+        elif tag in ("button", "select"):
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in (tag, "template", "table", "td", "th", "caption", "object")), None)
+            if k is not None and stack[k][0] == tag:
+                leave(k)
+        elif tag in ("input", "textarea"):
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("select", "template")), None)
+            if k is not None and stack[k][0] == "select":
+                leave(k)
+        if tag in _BREAKS_OUT and silent:
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("svg", "math", "template") or stack[i][0] in _GOES_ON), None)
+            if k is not None and stack[k][0] in ("svg", "math"):
+                leave(k)
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else n
+        if silent and stop > at and stack[-1][0] == "head" and not page[at:stop].isspace():
+            leave(len(stack) - 1)  # text ends a head, too
         if stop > at and not silent:
             piece = page[at:stop]
             parts.append(piece)
@@ -98,6 +128,8 @@ def blocks(page: str) -> list[Block]:
             if k is not None:
                 leave(k)
             continue
+        if silent:
+            imply(tag)
         if tag not in _INLINE and tag not in _SILENT and not silent:
             flush()
         if tag == "br" and not silent:

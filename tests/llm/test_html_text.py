@@ -50,3 +50,22 @@ def test_query(spark):
     assert len(got) == 5 and [r.n_chars for r in got if r.page_id in (2, 3)] == [0, 0]
     assert len({r.text for r in got if r.text}) == 1 and all(r.n_chars == len(r.text) for r in got)
     assert H.extract_main_text(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<html><head><title>x</title><body><p>a<p>b", ["a", "b"]),
+        ("<head><meta charset=x><title>x</title>\n<p>a</p>", ["a"]),
+        ("<head><title>x</title>\n a", ["a"]),
+        ("<head><style>s</style><script>t</script><noscript><img src=u><link></noscript><div>a</div>", ["a"]),
+        ("<head><noscript><link><body><p>a", ["a"]),
+        ("<head><template><p>t</p></template><title>x</title></head><p>a", ["a"]),
+        ("<div><svg><path d=z><p>a</p></div>b", ["a", "b"]),
+        ("<svg><foreignObject><p>in</p></foreignObject></svg><p>a", ["a"]),
+        ("<form><button>go<button>on</button><p>a</p></form>", ["a"]),
+        ("<select><option>x<option>y<input><p>a", ["a"]),
+    ],
+)
+def test_end_tags_left_out(page, texts):
+    assert [b.text for b in H.blocks(page)] == texts
