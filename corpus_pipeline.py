@@ -15,7 +15,8 @@ from ledgerstone.llm.common import Stage, table
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language."""
-    return language.identify(docs, declared="lang", host="source").filter(~F.col("rejected")).select(*docs.columns)
+    known = docs.withColumn("__suffix", language.host_suffix(F.col("source")))
+    return language.identify(known, declared="lang", host="source", suffix="__suffix").filter(~F.col("rejected")).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

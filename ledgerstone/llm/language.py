@@ -3,7 +3,8 @@
 posterior(l) ~ p(text | l) * p(declared | l) * p(suffix | l) * p(l | host)
 
 * text: letter trigrams, with counts per language from a bounded sample of rows (SAMPLE rows with a declared language, taken in
-  the order of a hash of their id; documented parameter). The likelihood is tempered, since neighbouring trigrams depend on
+  the order of a hash of their id; documented parameter), and of the first RARE rows of each declared language in that order, so
+  that every declared language with sampled text is in the model, however rare. The likelihood is tempered, since neighbouring trigrams depend on
   each other, and one more class, "und", stands for text of no known language.
 * declared: the language that markup or metadata states. It is right with the probability TRUST.
 * suffix: the address suffix (top-level domain); where it names a known language, it is right with the probability SUFFIX_TRUST.
@@ -26,11 +27,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Stage, table
 
-SAMPLE, BUCKETS = 4000, 1 << 16
+SAMPLE, RARE, BUCKETS = 4000, 200, 1 << 16
 TRUST, SUFFIX_TRUST, STRENGTH, LEAST = 0.97, 0.8, 20.0, 0.5
 #: A text counts as this many independent trigrams at most.
 EVIDENCE = 60.0
@@ -70,9 +72,12 @@ class TextModel:
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
-    """A model from at most `sample` rows (id, text, declared); trigrams are counted by Spark's tasks and added up by language."""
+    """A model from at most `sample` rows (id, text, declared) and RARE more of each language; trigrams are counted by Spark's tasks and added up by language."""
     known = rows.filter(F.col("declared").isNotNull() & F.col("text").isNotNull())
-    chosen = known.select("id").orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
+    chosen = known.select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
+    nth = F.row_number().over(W.partitionBy("declared").orderBy(F.xxhash64("id"), "id"))
+    rare = known.select("id", "declared").withColumn("nth", nth).filter(F.col("nth") <= RARE).select("id")
+    chosen = chosen.union(rare).distinct()
     few = known.join(F.broadcast(chosen), "id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +93,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
     counts = few.select("text", "declared").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = counts.toPandas()  # at most BUCKETS numbers for each language of the sample
     weight = got.groupby("lang")["n"].sum()
-    languages = sorted(x for x in weight.index if weight[x] >= 0.002 * weight.sum())
+    languages = sorted(weight.index)
     table_ = np.zeros((len(languages), BUCKETS))
     for k, lang in enumerate(languages):
         mine = got[got["lang"] == lang]
@@ -175,6 +180,11 @@ def identify(df: DataFrame, text: str = "text", declared: str | None = None, hos
     return out.withColumn("language", F.col("__language")).withColumn("confidence", F.col("__confidence")).withColumn("rejected", (F.col("__language") == UNKNOWN) | (F.col("__confidence") < LEAST)).drop("__language", "__confidence")
 
 
+def host_suffix(host: Column) -> Column:
+    """The address suffix of a host or address, or null where it has none."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(host.cast("string"))), r"^(?:[a-z]+://)?[^/:?#]*\.([a-z]{2,})(?:[/:?#].*)?$", 1), F.lit(""))
+
+
 def page_evidence(pages: DataFrame) -> DataFrame:
     """Pages with declared (the html element's lang), host and suffix (of the address)."""
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-z]+://([^/:?#]+)", 1)
@@ -183,5 +193,5 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = identify(docs, declared="lang", host="source")
+    found = identify(docs.withColumn("suffix", host_suffix(F.col("source"))), declared="lang", host="source", suffix="suffix")
     return found.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "rejected")
