@@ -1,15 +1,17 @@
 """Operator 8: approximate nearest neighbours by NN-descent and greedy graph search.
 
-Index. Equal vectors form one node, numbered by its smallest vec_id. A first graph comes from TREES random partitions: sign bits of
-random projections deal the nodes into leaves, a leaf above LEAF nodes is divided at random, and each leaf is compared in
-itself. Then ROUNDS of NN-descent: edges in both directions are joined with the nodes' vectors, so that all neighbours of a
-node meet, and pairs with a new edge that improve a list are sent to it. Vectors travel as 8-bit numbers there; this only
-chooses candidates.
+Index. Equal vectors form one node, numbered by its smallest vec_id. Nearness between nodes is the inner product itself. First
+lists come from TREES partitions by projections, compared within leaves of LEAF nodes; they are poor on purpose. NN-descent then
+carries the graph: in each round every node gathers its list and the best BACK of the nodes that list it, all of these meet, and
+pairs with a new edge that improve a list are sent to it. Rounds go on until less than SETTLED of all list entries change, at
+every size of table. Vectors travel as 8-bit numbers of their own scale there, however large other vectors are.
 
-Search. Nodes with their original vectors and lists are dealt over shards of bounded size and stored once, bucketed. Each hop
-sends a query's candidates to their shards, where they are scored in double precision on the original vectors; a candidate
-that is good enough comes back with its own list, and the best unexpanded ones give the next hop's candidates. A query
-starts at its own node. Rows that were not scored never enter a result, so every score is exact.
+Search. A query starts at its own node's list. Each hop opens its best OPENED unopened nodes, fetches their lists, scores what
+it hasn't seen, and keeps the best BEAM; it ends when all nodes in the beam are open. The best of the beam are scored in double
+precision on the original vectors; rows that were not scored so never enter a result.
+
+All joins are by node with small rows, so a task holds a batch or one node's meeting of at most DEGREE + BACK + 1 vectors. A
+node that very many lists or queries name is dealt over several tasks (`_join`).
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part. Ties go to the
 smaller vec_id. Null ids take no part either. Copies of one vector are ranked by their ids; a result needs no more than the
@@ -18,7 +20,6 @@ first RANKS + 1 of them, so only those are kept. Repeated rows (same id and vect
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stage, shared_dir, table
-
-RANKS, DEGREE, TREES, LEAF, ROUNDS = 20, 48, 10, 1000, 2
-#: Neighbours of a node that meet in a round, in each direction.
-JOINED, BACK = 48, 24
-#: Nodes of a shard; beam of a query; nodes expanded in each hop.
-SHARD, BEAM, HOPS = 16_384, 160, (1, 40, 40, 40)
+from .common import Stage, table, trim
+
+RANKS, DEGREE, BACK = 20, 48, 24
+#: First lists: partitions, nodes that are dealt out together, nodes compared with each other.
+TREES, DEALT, LEAF = 2, 1024, 256
+#: Rounds end when fewer of the list entries change.
+SETTLED = 0.005
+#: Nodes that a query keeps, and those it opens in a hop.
+BEAM, OPENED = 64, 16
+#: A key with more rows is dealt over several tasks.
+HOT = 10_000
 SEED = 20
 
 
@@ -46,39 +51,39 @@ def usable(df: DataFrame, vector: str) -> DataFrame:
     return rows.filter(F.size("v") == F.lit(size["n"] if size else 0))
 
 
-def _matrix(column, dtype="<f8") -> np.ndarray:
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1)
+# -- arrays in record batches --------------------------------------------------------------------------------
 
 
-def _binary(a: np.ndarray) -> pa.Array:
-    """Rows of a matrix as bytes."""
-    a = np.ascontiguousarray(a)
-    return pa.array([r.tobytes() for r in a], pa.binary())
+def _matrix(column, dtype=np.uint8) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1)
 
 
-def _pack(v: np.ndarray) -> np.ndarray:
-    """8-bit numbers with a scale in front, as rows of bytes."""
-    scale = np.maximum(np.abs(v).max(1), 1e-30) / 127
-    q = np.rint(v / scale[:, None]).astype(np.int8)
-    return np.hstack([scale.astype("<f4")[:, None].view(np.uint8), q.view(np.uint8)])
+def _pack(v: np.ndarray, top: float) -> pa.Array:
+    """8-bit numbers with their scale, relative to the largest component of all, in front."""
+    most = np.abs(v).max(1)
+    q = np.rint(v / most[:, None] * 127).astype(np.int8)
+    scale = np.maximum(most / top / 127, 1e-30).astype("<f4")
+    return pa.array([r.tobytes() for r in np.hstack([scale[:, None].view(np.uint8), q.view(np.uint8)])], pa.binary())
 
 
 def _unpack(rows: np.ndarray) -> np.ndarray:
-    scale = np.ascontiguousarray(rows[:, :4]).view("<f4")
-    return rows[:, 4:].view(np.int8).astype(np.float32) * scale
+    return rows[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(rows[:, :4]).view("<f4")
 
 
 class _Lists:
-    """Neighbour lists as rows (id, nbrs, scores, fresh) in a record batch."""
+    """Neighbour lists as rows (id, nbrs, scores, fresh, n_fresh) in a record batch."""
 
-    SCHEMA = "id long, nbrs binary, scores binary, fresh binary"
+    SCHEMA = "id long, nbrs binary, scores binary, fresh binary, n_fresh int"
+    NAMES = ("id", "nbrs", "scores", "fresh", "n_fresh")
 
-    @staticmethod
-    def batch(ids, sizes, nbrs, scores, fresh) -> pa.RecordBatch:
-        ends = np.cumsum(sizes).tolist()
-        cut = lambda a: pa.array([a[e - n : e].tobytes() for e, n in zip(ends, sizes.tolist())], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), cut(nbrs.astype("<i8")), cut(scores.astype("<f4")), cut(fresh.astype(np.uint8))], ["id", "nbrs", "scores", "fresh"])
+    @classmethod
+    def batch(cls, ids, sizes, nbrs, scores, fresh) -> pa.RecordBatch:
+        ends = np.cumsum(sizes)
+        spans = list(zip((ends - sizes).tolist(), ends.tolist()))
+        cut = lambda a: pa.array([a[s:e].tobytes() for s, e in spans], pa.binary())
+        new = np.r_[0, np.cumsum(fresh)]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), cut(nbrs.astype("<i8")), cut(scores.astype("<f4")), cut(fresh.astype(np.uint8)), pa.array(new[ends] - new[ends - sizes], pa.int32())], cls.NAMES)
 
     @staticmethod
     def flat(batch):
@@ -88,6 +93,15 @@ class _Lists:
         return np.repeat(batch.column(0).to_numpy(), n), np.frombuffer(b"".join(nb), "<i8"), np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f4"), np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8)
 
 
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+
+
+def _runs(key: np.ndarray) -> list[tuple[int, int]]:
+    start = _starts(key).tolist()
+    return list(zip(start, [*start[1:], len(key)]))
+
+
 def _best(src, nbr, score, fresh, k: int):
     """The k best edges of each source; of equal edges the older one stays. Sorted by source, then best first."""
     order = np.lexsort((fresh, nbr, src))
@@ -96,37 +110,16 @@ def _best(src, nbr, score, fresh, k: int):
     src, nbr, score, fresh = src[keep], nbr[keep], score[keep], fresh[keep]
     order = np.lexsort((nbr, -score, src))
     src, nbr, score, fresh = src[order], nbr[order], score[order], fresh[order]
-    start = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if len(src) else np.zeros(0, np.int64)
+    start = _starts(src)
     size = np.diff(np.r_[start, len(src)])
-    nth = np.arange(len(src)) - np.repeat(start, size)
-    top = nth < k
-    return src[start] if len(src) else src, np.minimum(size, k), nbr[top], score[top], fresh[top]
-
-
-def _merge_lists(rows: DataFrame, k: int) -> DataFrame:
-    """Rows of lists merged into one list of the k best for each id."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = _Lists.flat(batch)
-            held = new if held is None else tuple(np.concatenate(x) for x in zip(held, new))
-            last = batch.column(0)[-1].as_py()
-            done = int(np.searchsorted(held[0], last))
-            if done > 200_000:
-                yield _Lists.batch(*_best(*(x[:done] for x in held), k))
-                held = tuple(x[done:] for x in held)
-        if held is not None and len(held[0]):
-            yield _Lists.batch(*_best(*held, k))
-
-    return rows.repartition("id").sortWithinPartitions("id").mapInArrow(merge, _Lists.SCHEMA)
+    top = np.arange(len(src)) - np.repeat(start, size) < k
+    return src[start], np.minimum(size, k), nbr[top], score[top], fresh[top]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: int = 0):
     """Record batches cut so that equal values of a sorted column stay together."""
     held: list[pa.RecordBatch] = []
+    joined = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -136,24 +129,45 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int = 0):
             held.append(batch)
             continue
         if first:
-            yield pa.Table.from_batches([*held, batch.slice(0, first)]).combine_chunks().to_batches()[0]
+            yield joined([*held, batch.slice(0, first)])
             held = []
         elif held:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield joined(held)
             held = []
         held.append(batch.slice(first))
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield joined(held)
 
 
-def _runs(key: np.ndarray) -> list[tuple[int, int]]:
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    return list(zip(start.tolist(), [*start[1:].tolist(), len(key)]))
+def _merge_lists(rows: DataFrame, k: int) -> DataFrame:
+    """Rows of lists merged into one list of the k best for each id."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _groups(batches):
+            yield _Lists.batch(*_best(*_Lists.flat(part), k))
+
+    return rows.repartition("id").sortWithinPartitions("id").mapInArrow(merge, _Lists.SCHEMA)
+
+
+def _join(rows: DataFrame, other: DataFrame, key: str, stage: Stage, counts: DataFrame, total: int) -> DataFrame:
+    """rows joined with other, which has few rows for a key. counts (key, n) says how often rows name a key; a key with more than
+    HOT, and more than one in 50,000 of total, is dealt over parts, so that at most 50,000 keys are broadcast."""
+    hot = max(HOT, total // 50_000)
+    hubs = stage.write(counts.filter(F.col("n") > hot).select(key, F.ceil(F.col("n") / hot).cast("int").alias("parts")))
+    if hubs.isEmpty():
+        return rows.join(other, key)
+    dealt = rows.join(F.broadcast(hubs), key, "left").withColumn("part", F.coalesce(F.floor(F.rand(SEED) * F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    copies = other.join(F.broadcast(hubs), key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [key, "part"]).drop("part")
 
 
-def first_graph(nodes: DataFrame, n: int, degree: int, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """Lists from leaves of random partitions of nodes (id, code); code is the 8-bit vector."""
-    levels = max(int(np.ceil(np.log2(max(n, 1) / leaf))), 0)
+# -- the graph -----------------------------------------------------------------------------------------------
+
+
+def first_graph(nodes: DataFrame, n: int, stage: Stage, degree: int = DEGREE, trees: int = TREES) -> DataFrame:
+    """Lists from partitions of nodes (id, code) by projections. Signs of projections deal the nodes out; what was dealt to one place
+    is halved at medians of further projections until it has LEAF nodes. A crowded place is divided at random before that."""
+    levels = max(int(np.ceil(np.log2(max(n, 1) / DEALT))), 0)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(SEED)
@@ -161,250 +175,279 @@ def first_graph(nodes: DataFrame, n: int, degree: int, trees: int = TREES, leaf:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            v = _unpack(_matrix(batch.column(1), np.uint8))
+            v = _unpack(_matrix(batch.column(1)))
+            v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-30
             if planes is None:
                 planes = rng.standard_normal((trees, v.shape[1], max(levels, 1))).astype(np.float32)
             for t in range(trees):
                 bits = (v @ planes[t] > 0)[:, :levels].astype(np.int64)
-                code = t << 40 | (bits << np.arange(levels)).sum(1) if levels else np.full(len(v), t << 40)
-                yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), batch.column(0), batch.column(1)], ["leaf", "id", "code"])
-
-    dealt = nodes.mapInArrow(deal, "leaf long, id long, code binary")
-    # leaves that came out too large are divided at random; their number of rows is known from a count
-    sizes = nodes.mapInArrow(lambda it: (b.select(["leaf"]) for b in deal(it)), "leaf long").groupBy("leaf").count().filter(F.col("count") > 2 * leaf)
-    parts = sizes.select("leaf", F.ceil(F.col("count") / leaf).cast("int").alias("parts"))
-    cut = dealt.join(parts, "leaf", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id", "leaf"), F.col("parts")), F.lit(0)).cast("long")).drop("parts")
+                place = t << 40 | (bits << np.arange(levels)).sum(1) if levels else np.full(len(v), t << 40)
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), batch.column(0), batch.column(1)], ["place", "id", "code"])
+
+    def halved(at: np.ndarray, v: np.ndarray, rng) -> Iterator[np.ndarray]:
+        todo = [at]
+        while todo:
+            at = todo.pop()
+            if len(at) <= LEAF:
+                yield at
+                continue
+            side = np.argsort(v[at] @ rng.standard_normal(v.shape[1]).astype(np.float32), kind="stable")
+            todo += [at[side[: len(at) // 2]], at[side[len(at) // 2 :]]]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches, 3):
-            ids, v = part.column(1).to_numpy(), _unpack(_matrix(part.column(2), np.uint8))
-            for a, b in _runs(part.column(3).to_numpy()):
-                for c in range(a, b, 1024):
-                    d = min(c + 1024, b)
-                    s = v[c:d] @ v[a:b].T
-                    s[np.arange(d - c), np.arange(c - a, d - a)] = -np.inf
-                    k = min(degree, b - a - 1)
+        rng = np.random.default_rng(SEED)
+        for part in _groups(batches):
+            ids, v = part.column(1).to_numpy(), _unpack(_matrix(part.column(2)))
+            for a, b in _runs(part.column(0).to_numpy()):
+                for leaf in halved(np.arange(a, b), v, rng):
+                    k = min(degree, len(leaf) - 1)
                     if k < 1:
                         continue
+                    s = v[leaf] @ v[leaf].T
+                    np.fill_diagonal(s, -np.inf)
                     top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                    score = np.take_along_axis(s, top, 1)
-                    yield _Lists.batch(ids[c:d], np.full(d - c, k), ids[a:b][top].ravel(), score.ravel(), np.ones(top.size, np.uint8))
+                    yield _Lists.batch(ids[leaf], np.full(len(leaf), k), ids[leaf][top].ravel(), np.take_along_axis(s, top, 1).ravel(), np.ones(top.size, np.uint8))
+
+    placed = nodes.mapInArrow(deal, "place long, id long, code binary")
+    hot = max(HOT, n * trees // 50_000)
+    crowded = placed.groupBy("place").count().filter(F.col("count") > hot).select("place", F.ceil(F.col("count") / hot).cast("int").alias("parts"))
+    dealt = placed.join(F.broadcast(stage.write(crowded)), "place", "left")
+    part = F.coalesce(F.pmod(F.xxhash64("id", "place"), F.col("parts")), F.lit(0))
+    key = dealt.select(F.xxhash64("place", part).alias("key"), "id", "code")
+    return _merge_lists(key.repartition("key").sortWithinPartitions("key").mapInArrow(compare, _Lists.SCHEMA), degree)
+
+
+def _named(lists: DataFrame) -> DataFrame:
+    """How often lists name each node: (id, n)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8"), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["id", "n"])
 
-    grouped = cut.withColumn("key", F.xxhash64("leaf", "part")).repartition("key").sortWithinPartitions("key").select("leaf", "id", "code", "key")
-    return _merge_lists(grouped.mapInArrow(compare, _Lists.SCHEMA), degree)
+    return lists.select("nbrs").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def descend(graph: DataFrame, nodes: DataFrame, stage: Stage, degree: int) -> DataFrame:
-    """One round of NN-descent: neighbours of a node meet, and better edges go to their lists."""
+def descend(graph: DataFrame, nodes: DataFrame, n: int, stage: Stage, degree: int = DEGREE) -> DataFrame:
+    """One round of NN-descent: the neighbours of a node meet, in both directions, and better edges go to their lists."""
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lists of those that list a node, the best BACK of each batch."""
         for batch in batches:
             src, nbr, score, fresh = _Lists.flat(batch)
-            start = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if len(src) else np.zeros(0, np.int64)
-            size = np.diff(np.r_[start, len(src)])
-            nth = np.arange(len(src)) - np.repeat(start, size)
-            fwd, back = nth < JOINED, nth < BACK
-            at, member = np.r_[src[fwd], nbr[back]], np.r_[nbr[fwd], src[back]]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(member, pa.int64()), pa.array(np.r_[score[fwd], score[back]], pa.float32()), pa.array(np.r_[fresh[fwd], fresh[back]].astype(np.int8), pa.int8())], ["at", "member", "score", "fresh"])
+            yield _Lists.batch(*_best(nbr, src, score, fresh, BACK))
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Who meets at a node: itself, its list and the best of those that list it, if any edge among these is new."""
+        for part in _groups(batches):
+            back = np.repeat(part.column(5).to_numpy(zero_copy_only=False), np.fromiter(map(len, part.column(1).to_pylist()), np.int64, part.num_rows) // 8)
+            at, member, score, fresh = _Lists.flat(part)
+            lead, size, rev, _, new = _best(at[back], member[back], score[back], fresh[back], BACK)
+            own = np.unique(at)
+            a = np.r_[at[~back], np.repeat(lead, size), own]
+            m = np.r_[member[~back], rev, own]
+            f = np.r_[fresh[~back], new, np.zeros(len(own), np.uint8)]
+            order = np.lexsort((1 - f.astype(np.int8), m, a))
+            a, m, f = a[order], m[order], f[order]
+            once = np.r_[True, (a[1:] != a[:-1]) | (m[1:] != m[:-1])] if len(a) else np.zeros(0, bool)
+            a, m, f = a[once], m[once], f[once]
+            start = _starts(a)
+            live = np.repeat(np.maximum.reduceat(f, start) > 0, np.diff(np.r_[start, len(a)])) if len(a) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(m[live], pa.int64()), pa.array(a[live], pa.int64()), pa.array(f[live].astype(np.int8), pa.int8())], ["id", "at", "fresh"])
 
     def limits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             low = [np.frombuffer(x, "<f4")[-1] if len(x) // 4 >= degree else -np.inf for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.float32())], ["id", "low"])
 
-    edge = graph.mapInArrow(edges, "at long, member long, score float, fresh byte").groupBy("at", "member").agg(F.max("score").alias("score"), F.max("fresh").alias("fresh"))
-    ready = nodes.join(graph.select("id", "scores").mapInArrow(limits, "id long, low float"), "id").select(F.col("id").alias("member"), "code", "low")
-    met = edge.join(ready, "member").select("at", "member", "score", "fresh", "code", "low")
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches):
-            at, member, fresh, low = (part.column(i).to_numpy() for i in (0, 1, 3, 5))
-            v = _unpack(_matrix(part.column(4), np.uint8))
+            at, member, fresh, low = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
+            trim()
+            fresh, v = fresh.astype(bool), _unpack(_matrix(part.column(3)))
             found = []
             for a, b in _runs(at):
-                if b - a > 2 * JOINED:  # a hub: its best edges meet
-                    k = np.sort(a + np.argsort(-part.column(2).to_numpy()[a:b], kind="stable")[: 2 * JOINED])
-                else:
-                    k = np.arange(a, b)
-                if not fresh[k].any():
-                    continue
-                s = v[k] @ v[k].T
-                good = (s > low[k][:, None]) & (fresh[k][:, None] | fresh[k][None, :]).astype(bool)
+                s, f = v[a:b] @ v[a:b].T, fresh[a:b]
+                good = (s > low[a:b, None]) & (f[:, None] | f)
                 np.fill_diagonal(good, False)
                 i, j = np.nonzero(good)
-                found.append((member[k[i]], member[k[j]], s[i, j]))
+                found.append((member[a + i], member[a + j], s[i, j]))
             if found:
                 src, nbr, score = (np.concatenate(x) for x in zip(*found))
                 yield _Lists.batch(*_best(src, nbr, score, np.ones(len(src), np.uint8), degree))
 
-    better = met.repartition("at").sortWithinPartitions("at").mapInArrow(meet, _Lists.SCHEMA)
-
     def aged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             old = pa.array([bytes(len(x)) for x in batch.column(3).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), old], ["id", "nbrs", "scores", "fresh"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), old, pa.array(np.zeros(batch.num_rows), pa.int32())], _Lists.NAMES)
 
+    both = graph.withColumn("back", F.lit(False)).union(graph.mapInArrow(turned, _Lists.SCHEMA).withColumn("back", F.lit(True)))
+    meetings = both.repartition("id").sortWithinPartitions("id").mapInArrow(members, "id long, at long, fresh byte")
+    ready = nodes.join(graph.select("id", "scores").mapInArrow(limits, "id long, low float"), "id", "left").select("id", "code", F.coalesce("low", F.lit(float("-inf")).cast("float")).alias("low"))
+    met = _join(meetings, ready, "id", stage, _named(graph), n * (degree + BACK)).select("at", "id", "fresh", "code", "low")
+    better = met.repartition("at").sortWithinPartitions("at").mapInArrow(meet, _Lists.SCHEMA)
     return stage.write(_merge_lists(graph.mapInArrow(aged, _Lists.SCHEMA).union(better), degree))
 
 
 class Index:
-    """A neighbour graph over all usable vectors, ready to be searched."""
+    """A neighbour graph over all usable vectors, ready to be searched. rounds bounds the descent (None: until it settles)."""
 
-    def __init__(self, df: DataFrame, vector: str = "embedding", degree: int = DEGREE, rounds: int = ROUNDS):
-        self.spark = spark = df.sparkSession
-        self.stage = stage = Stage(spark, "ann")
+    def __init__(self, df: DataFrame, vector: str = "embedding", degree: int = DEGREE, rounds: int | None = None):
+        self.stage = stage = Stage(df.sparkSession, "ann")
+        self.degree = degree
         self.rows = stage.write(usable(df, vector).distinct())
-        self.nodes = stage.write(self.rows.groupBy("v").agg(F.min("vec_id").alias("id")))
-        stats = self.nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("top")).first()
+        # the first copies of each vector: tasks drop the rest before the shuffle, so a frequent vector isn't one task's work
+        nth = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
+        first = stage.write(self.rows.withColumn("nth", nth).filter(F.col("nth") <= RANKS + 1).withColumn("id", F.min("vec_id").over(W.partitionBy("v"))))
+        self.nodes, self.copies = first.filter("nth = 1").select("id", "v"), first.select("id", "vec_id")
+        stats = self.nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
         self.n, top = stats["n"], stats["top"] or 1.0
 
         def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                v = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1) / np.sqrt(top) if batch.num_rows else np.zeros((0, 1))
-                rest = np.sqrt(np.maximum(1 - (v * v).sum(1), 0))  # one more component makes all vectors equally long
-                yield pa.RecordBatch.from_arrays([batch.column(0), _binary(_pack(np.c_[v, rest]))], ["id", "code"])
-
-        codes = stage.write(self.nodes.select("id", "v").mapInArrow(coded, "id long, code binary"))
-        graph = stage.write(first_graph(codes, self.n, degree))
-        for _ in range(rounds if self.n > LEAF else 0):
-            graph = descend(graph, codes, stage, degree)
-        self.graph, self.degree = graph, degree
-        self.shards = max(-(-self.n // SHARD), 1)
-        self.name = f"ann_{uuid.uuid4().hex}"
-        self._store()
-
-    def _store(self) -> None:
-        """Nodes with vectors and lists (and the nodes that list them first), bucketed by shard."""
-
-        def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                src, nbr, score, _ = _Lists.flat(batch)
-                keep = np.arange(len(src)) - np.searchsorted(src, src) < BACK if (np.diff(src) >= 0).all() else np.ones(len(src), bool)
-                both = (np.r_[src, nbr[keep]], np.r_[nbr, src[keep]], np.r_[score, score[keep]])
-                yield _Lists.batch(*_best(*both, np.zeros(len(both[0]), np.uint8), 2 * self_degree))
-
-        self_degree = self.degree
-        lists = _merge_lists(self.graph.mapInArrow(turned, _Lists.SCHEMA), 2 * self.degree)
-        whole = self.nodes.join(lists.select("id", "nbrs"), "id", "left").withColumn("shard", self._shard("id"))
-        (whole.select("shard", "id", "v", F.coalesce("nbrs", F.lit(b"")).alias("nbrs")).repartition(min(self.shards, 10_000), "shard").write.bucketBy(min(self.shards, 10_000), "shard").option("path", f"{shared_dir(self.spark)}/{self.name}").format("parquet").saveAsTable(self.name))
-        self.stored = self.spark.table(self.name)
-
-    def _shard(self, column: str):
-        return F.pmod(F.xxhash64(column), F.lit(self.shards)).cast("int")
-
-    def search(self, queries: DataFrame, ranks: int = RANKS, beam: int = BEAM, hops: tuple = HOPS) -> DataFrame:
-        """For nodes (id) as queries, the best other nodes found: (query, node, score)."""
-        n_shards, stored = self.shards, self.stored
-        state_schema = "query long, v binary, seen binary, ids binary, scores binary, lists array<binary>, opened binary"
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0), _pack(np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1), top)], ["id", "code"])
+
+        self.codes = stage.write(self.nodes.mapInArrow(coded, "id long, code binary"))
+        graph, self.rounds = stage.write(first_graph(self.codes, self.n, stage, degree)), 0
+        while rounds is None or self.rounds < rounds:
+            old, graph = graph, descend(graph, self.codes, self.n, stage, degree)
+            stage.drop(old)
+            self.rounds += 1
+            if (graph.agg(F.sum("n_fresh")).first()[0] or 0) <= SETTLED * self.n * degree:
+                break
+        self.graph = graph
+
+    def _by_node(self, asked: DataFrame, other: DataFrame, n_queries: int, each: int) -> DataFrame:
+        """(query, id) with the columns of other by node; asked is stored."""
+        return _join(asked, other, "id", self.stage, asked.groupBy("id").agg(F.count(F.lit(1)).alias("n")), n_queries * each)
+
+    def search(self, queries: DataFrame, ranks: int = RANKS, beam: int = BEAM) -> DataFrame:
+        """For nodes (id) as queries, the best other nodes found: (query, id, score)."""
+        stage = self.stage
+        schema = "query long, code binary, seen binary, ids binary, scores binary, opened binary, todo int"
+        names = [x.split()[0] for x in schema.split(", ")]
+
+        def state_batch(rows: list[tuple]) -> pa.RecordBatch:
+            """Rows (query, code, seen, ids, scores, opened) of arrays, best first; todo counts the nodes that wait to be opened."""
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            todo = [int((~o).sum()) for o in cols[5]]
+            as_bytes = lambda c, t: pa.array([x.astype(t).tobytes() for x in c], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), as_bytes(cols[2], "<i8"), as_bytes(cols[3], "<i8"), as_bytes(cols[4], "<f4"), as_bytes(cols[5], np.uint8), pa.array(todo, pa.int32())], names)
+
+        def state_rows(batch):
+            for q, code, seen, ids, scores, opened in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                yield q, code, np.frombuffer(seen, "<i8"), np.frombuffer(ids, "<i8"), np.frombuffer(scores, "<f4"), np.frombuffer(opened, np.uint8).astype(bool)
 
         def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column(0).to_numpy()
-                if not len(ids):
-                    continue
-                v = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(ids), -1)
-                empty = pa.array([b""] * len(ids), pa.binary())
-                own = pa.array([np.int64(i).tobytes() for i in ids], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), _binary(v), own, own, pa.array([np.float64(np.inf).tobytes()] * len(ids), pa.binary()), batch.column(2).cast(pa.list_(pa.binary())), pa.array([b"\0"] * len(ids), pa.binary())], state_schema_names)
-
-        state_schema_names = [x.split()[0] for x in state_schema.split(", ")]
-        own = stored.join(queries.select("id"), "id").select("id", "v", F.array("nbrs").alias("lists"))
-        state = self.stage.write(own.mapInArrow(start, state_schema))
-
-        for width in hops:
-
-            def ask(batches: Iterator[pa.RecordBatch], width=width) -> Iterator[pa.RecordBatch]:
-                """Unseen neighbours of the best unopened nodes, by node."""
-                for batch in batches:
-                    for q, v, seen, ids, scores, lists, opened in zip(*(c.to_pylist() for c in batch.columns)):
-                        score = np.frombuffer(scores, "<f8")
-                        closed = np.flatnonzero(np.frombuffer(opened, np.uint8) == 0)[:width]
-                        want = np.setdiff1d(np.frombuffer(b"".join(lists[i] for i in closed), "<i8"), np.frombuffer(seen, "<i8"))
-                        if not len(want):
-                            continue
-                        low = score[-1] if len(score) >= beam else -np.inf
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(want), q)), pa.array(want), pa.array(np.full(len(want), low))], ["query", "node", "low"])
-
-            asked = state.mapInArrow(ask, "query long, node long, low double").withColumn("shard", self._shard("node"))
-            packed = asked.groupBy("shard", "query").agg(F.collect_list("node").alias("nodes"), F.max("low").alias("low"))
-            sent = packed.join(state.select("query", "v"), "query").select("shard", "query", "v", "nodes", "low")
-
-            def score(key, left, right):
-                import pandas as pd
-
-                none = pd.DataFrame({"query": pd.Series(dtype="int64"), **{c: pd.Series(dtype=object) for c in ("nodes", "scores", "lists")}})
-                if not len(left) or not len(right):
-                    return none
-                ids = left["id"].to_numpy()
-                order = np.argsort(ids)
-                ids, lists = ids[order], left["nbrs"].to_numpy()[order]
-                v = np.stack(left["v"].to_numpy())[order].astype(np.float64)
                 out = []
-                for q, qv, nodes, low in zip(right["query"], right["v"], right["nodes"], right["low"]):
-                    at = np.searchsorted(ids, np.sort(np.asarray(nodes)))
-                    s = v[at] @ np.frombuffer(qv, "<f8")
-                    good = np.flatnonzero(s >= low)
-                    if len(good) > beam:
-                        good = good[np.argpartition(-s[good], beam - 1)[:beam]]
-                    if len(good):
-                        out.append((q, ids[at[good]].astype("<i8").tobytes(), s[good].astype("<f8").tobytes(), [lists[i] for i in at[good]]))
-                return pd.DataFrame(out, columns=["query", "nodes", "scores", "lists"]) if out else none
-
-            scored = stored.groupBy("shard").cogroup(sent.groupBy("shard")).applyInPandas(score, "query long, nodes binary, scores binary, lists array<binary>")
-            wide = F.lit(None).cast("binary")
-            both = state.select("query", "v", "seen", "ids", "scores", "lists", "opened").unionByName(scored.select("query", wide.alias("v"), wide.alias("seen"), F.col("nodes").alias("ids"), "scores", "lists", wide.alias("opened")))
-
-            def merge(batches: Iterator[pa.RecordBatch], width=width) -> Iterator[pa.RecordBatch]:
-                for part in _groups(batches):
-                    cols = [c.to_pylist() for c in part.columns]
-                    out = [[] for _ in cols]
-                    for a, b in _runs(part.column(0).to_numpy()):
-                        base = next(i for i in range(a, b) if cols[1][i] is not None)
-                        ids, sc, lists = np.frombuffer(cols[3][base], "<i8"), np.frombuffer(cols[4][base], "<f8"), list(cols[5][base])
-                        opened = np.frombuffer(cols[6][base], np.uint8).copy()
-                        closed = np.flatnonzero(opened == 0)[:width]
-                        asked_for = np.frombuffer(b"".join(lists[i] for i in closed), "<i8")
-                        opened[closed] = 1
-                        rest = [i for i in range(a, b) if i != base]
-                        ids = np.concatenate([ids, *(np.frombuffer(cols[3][i], "<i8") for i in rest)])
-                        sc = np.concatenate([sc, *(np.frombuffer(cols[4][i], "<f8") for i in rest)])
-                        for i in rest:
-                            lists += cols[5][i]
-                        opened = np.r_[opened, np.zeros(len(ids) - len(opened), np.uint8)]
-                        order = np.lexsort((ids, -sc))[: beam + 1]
-                        row = (cols[0][base], cols[1][base], np.union1d(np.frombuffer(cols[2][base], "<i8"), asked_for).astype("<i8").tobytes(), ids[order].tobytes(), sc[order].tobytes(), [b"" if opened[i] else lists[i] for i in order], opened[order].tobytes())
-                        for c, x in zip(out, row):
-                            c.append(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(out[i], pa.binary()) for i in (1, 2, 3, 4)), pa.array(out[5], pa.list_(pa.binary())), pa.array(out[6], pa.binary())], state_schema_names)
-
-            state = self.stage.write(both.repartition("query").sortWithinPartitions("query").mapInArrow(merge, state_schema))
-
-        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for q, code, nbrs, scores in zip(*(c.to_pylist() for c in batch.columns)):
+                    ids, s = np.frombuffer(nbrs or b"", "<i8"), np.frombuffer(scores or b"", "<f4")
+                    out.append((q, code, np.sort(np.r_[ids, q]), ids, s, np.zeros(len(ids), bool)))
+                yield state_batch(out)
+
+        def to_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                q, ids, scores = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                for a, b, c in zip(q, ids, scores):
-                    node, s = np.frombuffer(b, "<i8"), np.frombuffer(c, "<f8")
-                    other = np.flatnonzero(node != a)[:ranks]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(other), a), pa.int64()), pa.array(node[other], pa.int64()), pa.array(s[other], pa.float64())], ["query", "node", "score"])
+                got = [(q, ids[~opened][:OPENED]) for q, _, _, ids, _, opened in state_rows(batch)]
+                sizes = [len(x) for _, x in got]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _ in got], sizes).astype(np.int64), pa.int64()), pa.array(np.concatenate([x for _, x in got]) if got else [], pa.int64())], ["query", "id"])
+
+        def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Members of opened lists that a query hasn't seen. Rows: the query's seen nodes, then lists."""
+            for part in _groups(batches):
+                key, seen, nbrs = part.column(0).to_numpy(), part.column(1).to_pylist(), part.column(2).to_pylist()
+                queries, want = [], []
+                for a, b in _runs(key):
+                    known = next(x for x in seen[a:b] if x is not None)
+                    new = np.setdiff1d(np.frombuffer(b"".join(x for x in nbrs[a:b] if x is not None), "<i8"), np.frombuffer(known, "<i8"))
+                    queries.append(np.full(len(new), key[a])), want.append(new)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(queries)), pa.array(np.concatenate(want).astype(np.int64))], ["query", "id"])
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows of a query: its state (its id in `id` is null), and candidates with their codes."""
+            for part in _groups(batches):
+                found, code = part.column(7).to_pylist(), part.column(1).to_pylist()
+                out = []
+                for a, b in _runs(part.column(0).to_numpy()):
+                    base = next(i for i in range(a, b) if found[i] is None)
+                    q, own, seen, ids, scores, opened = next(state_rows(part.slice(base, 1)))
+                    opened = opened.copy()
+                    opened[np.flatnonzero(~opened)[:OPENED]] = True
+                    rest = [i for i in range(a, b) if i != base]
+                    if rest:
+                        new = np.array([found[i] for i in rest], np.int64)
+                        v = _unpack(np.frombuffer(b"".join([own, *(code[i] for i in rest)]), np.uint8).reshape(len(rest) + 1, -1))
+                        ids, scores, opened, seen = np.r_[ids, new], np.r_[scores, v[1:] @ v[0]], np.r_[opened, np.zeros(len(new), bool)], np.union1d(seen, new)
+                    order = np.lexsort((ids, -scores))[:beam]
+                    out.append((q, own, seen, ids[order], scores[order], opened[order]))
+                yield state_batch(out)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                q, ids = batch.column(0).to_numpy(), [np.frombuffer(x, "<i8") for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, [len(x) for x in ids]), pa.int64()), pa.array(np.concatenate(ids) if ids else [], pa.int64())], ["query", "id"])
+
+        own = self.codes.join(queries.select("id"), "id").join(self.graph.select("id", "nbrs", "scores"), "id", "left")
+        state = stage.write(own.select("id", "code", "nbrs", "scores").mapInArrow(start, schema))
+        n_queries, finished = state.count(), []
+        none = lambda t: F.lit(None).cast(t)
+        while True:
+            finished.append(state.filter("todo = 0"))
+            active = state.filter("todo > 0")
+            if active.isEmpty():
+                break
+            opening = stage.write(active.mapInArrow(to_open, "query long, id long"))
+            lists = self._by_node(opening, self.graph.select("id", "nbrs"), n_queries, OPENED)
+            asked = active.select("query", "seen", none("binary").alias("nbrs")).union(lists.select("query", none("binary"), "nbrs"))
+            wanted = stage.write(asked.repartition("query").sortWithinPartitions("query").mapInArrow(unseen, "query long, id long"))
+            coded = self._by_node(wanted, self.codes, n_queries, OPENED * self.degree)
+            rows = active.withColumn("id", none("long")).unionByName(coded.select("query", "code", "id"), allowMissingColumns=True)
+            state = stage.write(rows.repartition("query").sortWithinPartitions("query").mapInArrow(merge, schema))
+            stage.drop(opening), stage.drop(wanted)
+        whole = finished[0]
+        for part in finished[1:]:
+            whole = whole.union(part)
+        near = stage.write(whole.select("query", "ids").mapInArrow(best, "query long, id long"))
+
+        def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _groups(batches):
+                query, ids = part.column(0).to_numpy(), part.column(1).to_numpy()
+                v = np.asarray(part.column(2).flatten()).reshape(part.num_rows, -1)
+                out = []
+                for a, b in _runs(query):
+                    mine = a + int(np.flatnonzero(ids[a:b] == query[a])[0])
+                    s = v[a:b] @ v[mine] + 0.0
+                    order = np.lexsort((ids[a:b], -s))
+                    order = order[a + order != mine][:ranks]
+                    out.append((np.full(len(order), query[a]), ids[a:b][order], s[order]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query", "id", "score"])
 
-        return state.select("query", "ids", "scores").mapInArrow(found, "query long, node long, score double")
+        with_own = near.union(queries.select(F.col("id").alias("query"), "id"))
+        vectors = self._by_node(stage.write(with_own), self.nodes, n_queries, beam + 1)
+        return vectors.select("query", "id", "v").repartition("query").sortWithinPartitions("query").mapInArrow(exact, "query long, id long, score double")
 
 
-def nearest(df: DataFrame, every: int = 20, ranks: int = RANKS, vector: str = "embedding") -> DataFrame:
+def nearest(df: DataFrame, every: int = 20, ranks: int = RANKS, vector: str = "embedding", rounds: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for rows whose vec_id is divisible by `every`, the nearest other rows found."""
-    index = Index(df, vector)
-    keyed = index.rows.join(index.nodes, "v").select("vec_id", "id", F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x).alias("own"))
-    keyed = index.stage.write(keyed)
-    # the first copies of each vector; a limit on ranks lets tasks drop the rest before they are shuffled
-    first = keyed.withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("vec_id"))).filter(F.col("nth") <= ranks + 1).select(F.col("id").alias("node"), "vec_id")
-    queries = keyed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("id").alias("query"), "own")
-    found = index.search(queries.select(F.col("query").alias("id")).distinct(), ranks)
-    near = found.join(first, "node").select("query", "vec_id", "score")
-    own = queries.join(first.withColumnRenamed("node", "query"), "query").filter("vec_id <> query_id").select("query_id", "vec_id", F.col("own").alias("score"))
-    best = near.withColumn("nth", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).filter(F.col("nth") <= ranks).drop("nth")
-    every_one = queries.select("query_id", "query").join(best, "query").select("query_id", "vec_id", "score").union(own)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return every_one.withColumn("rank", rank).filter(F.col("rank") <= ranks).select("query_id", "rank", "vec_id", "score")
+    index = Index(df, vector, rounds=rounds)
+    stage = index.stage
+    squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    key = F.xxhash64("v").alias("key")
+    wanted = stage.write(index.rows.filter(F.col("vec_id") % every == 0).select(key, "v", F.col("vec_id").alias("query_id")))
+    nodes = index.nodes.select(key, F.col("v").alias("own"), "id", squared.alias("self"))
+    n = wanted.count()
+    counts = lambda rows, k: rows.groupBy(k).agg(F.count(F.lit(1)).alias("n"))
+    queries = stage.write(_join(wanted, nodes, "key", stage, counts(wanted, "key"), n).filter(F.col("v") == F.col("own")).select("query_id", F.col("id").alias("query"), "self"))
+    points = stage.write(queries.groupBy("query").agg(F.first("self").alias("self")))
+    found = stage.write(index.search(points.select(F.col("query").alias("id")), ranks).union(points.select("query", F.col("query").alias("id"), F.col("self").alias("score"))))
+    copies = _join(found, index.copies, "id", stage, counts(found, "id"), n * ranks).select("query", "vec_id", "score")
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("below"), "vec_id"))), 1, ranks + 1)
+    lists = stage.write(copies.groupBy("query").agg(top.alias("near")))
+    rows = _join(queries.select("query", "query_id"), lists, "query", stage, counts(queries, "query"), n)
+    mine = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, ranks)
+    every_one = rows.select("query_id", F.posexplode(mine).alias("at", "x"))
+    return every_one.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (F.lit(0.0) - F.col("x.below")).alias("score"))
 
 
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
