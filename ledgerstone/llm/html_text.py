@@ -6,8 +6,9 @@ and says for each block whether it belongs to the article; many pages are read i
 process, on pages that a seeded generator writes with known labels (layouts with menus, headers, sidebars, notices, adverts, forms,
 comments and footers); no row of the input is used.
 
-Text of script, style, template, form controls, comments and head elements is never a block. White space inside a block becomes one space,
-references are decoded; head, option, button, select, svg and math end where the standard implies it. Blocks are joined by two line feeds. A null or empty page gives an empty text. Repeated rows give
+Text of script, style, noscript, template, iframe, svg, form controls, comments and head elements is never a block. White space inside a block becomes one space,
+references are decoded; head, option, button, select and svg end where the standard implies it. Cutting is linear in the page, however deep its elements are and
+wherever quotes or tags stay open. Blocks are joined by two line feeds. A null or empty page gives an empty text. Repeated rows give
 repeated rows; a page of any length is one sequence.
 """
 
@@ -25,107 +26,165 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, trim
 
 PATH_FEATURES, WORD_FEATURES, HIDDEN = 192, 64, 24
 #: Pages of the generator, passes over them, and pages that are read in step.
 TRAINING_PAGES, EPOCHS, TOGETHER = 700, 5, 256
 
 #: Elements by what they do to text.
-_SILENT = frozenset("script style noscript template head title textarea select option button svg math iframe object canvas audio video".split())
+_SILENT = frozenset("script style noscript template head title textarea select option button svg iframe".split())
 _RAW = frozenset("script style textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input ins del".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input ins del object canvas audio video math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle semantics annotation".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: What may stand in a head; anything else ends a head that is left open. Likewise what ends an open svg or math,
-#: and the elements of these in which HTML goes on.
+#: What may stand in a head; anything else ends a head that is left open. Likewise what ends an open svg,
+#: and the elements of svg and math in which HTML goes on.
 _IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 _BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 _GOES_ON = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: What ends a start tag, or begins a quoted value in it.
+_IN_TAG = re.compile(r">|=\s*+[\"']")
+_TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*+")
+_ATTRIBUTE = re.compile(r"(class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
 
 
 class Block:
     __slots__ = ("path", "text", "links", "tag")
 
-    def __init__(self, path: tuple, text: str, links: int, tag: str):
+    def __init__(self, path: np.ndarray, text: str, links: int, tag: str):
         self.path, self.text, self.links, self.tag = path, text, links, tag
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Markup of a page as (start, end, name, closes, attributes); name is empty for comments and the like. Linear: nothing is searched for
+    again once it is known to be missing. A tag that never ends goes to the end of the page, a quote that never ends is ordinary."""
+    n, at, missing = len(page), 0, set()
+
+    def find(what: str, start: int) -> int:
+        k = -1 if what in missing else page.find(what, start)
+        if k < 0:
+            missing.add(what)
+        return k
+
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("!", at) or page.startswith("?", at):
+            close = "-->" if page.startswith("!--", at) else "]]>" if page.startswith("![CDATA[", at) else ">"
+            k = find(close, at)
+            at = n if k < 0 else k + len(close)
+            yield start, at, "", False, ""
+            continue
+        m = _TAG_NAME.match(page, at)
+        if m is None:
+            continue
+        name, stop = m[0].lower(), m.end()
+        while True:
+            e = _IN_TAG.search(page, stop)
+            if e is None:
+                end = at = n
+                break
+            if e[0] == ">":
+                end, at = e.start(), e.end()
+                break
+            k = find(e[0][-1], e.end())
+            stop = e.end() if k < 0 else k + 1
+        raw = yield start, at, name.lstrip("/"), name[0] == "/", page[m.end() : end]
+        if raw:  # the reader has gone on by itself
+            at = raw
+            yield at, at, "", False, ""
+
+
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks of a page in order, with the names on their path."""
+    """Leaf blocks of a page in order, with the hashed names on their path."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple]] = []
+    stack: list[tuple[str, list[int]]] = []
+    places: dict[str, list[int]] = {}  # where in the stack each name is open
+    outer: list[str] = [""]  # open elements that aren't inline
+    on_path = np.zeros(PATH_FEATURES, np.int64)
     parts: list[str] = []
-    links = silent = in_link = 0
-    path: tuple = ()
+    links = silent = 0
+    path = np.zeros(0, np.int64)
 
     def flush() -> None:
         nonlocal parts, links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                block_tag = next((t for t, _ in reversed(stack) if t not in _INLINE), "")
-                out.append(Block(path, text, min(links, len(text)), block_tag))
+                out.append(Block(path, text, min(links, len(text)), outer[-1]))
             parts, links = [], 0
 
+    def last(*names: str) -> int:
+        """Where the innermost open element of these names is, or -1."""
+        return max((places[x][-1] for x in names if places.get(x)), default=-1)
+
+    def enter(tag: str, buckets: list[int]) -> None:
+        nonlocal silent
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, buckets))
+        for x in buckets:
+            on_path[x] += 1
+        silent += tag in _SILENT
+        if tag not in _INLINE:
+            outer.append(tag)
+
     def leave(k: int) -> None:
         """Closes all elements from the k-th on."""
-        nonlocal silent, in_link, path
-        for t, _ in stack[k:]:
-            silent -= t in _SILENT
-            in_link -= t == "a"
-        del stack[k:]
-        path = stack[-1][1] if stack else ()
+        nonlocal silent
+        while len(stack) > k:
+            tag, buckets = stack.pop()
+            places[tag].pop()
+            for x in buckets:
+                on_path[x] -= 1
+            silent -= tag in _SILENT
+            if tag not in _INLINE:
+                outer.pop()
 
     def imply(tag: str) -> None:
         """Closes what a start tag ends in the standard where the end tag was left out."""
         if stack[-1][0] == "head" and tag not in _IN_HEAD:
             leave(len(stack) - 1)
         elif tag == "body":
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("head", "template")), None)
-            if k is not None and stack[k][0] == "head":
+            if (k := last("head")) > last("template"):
                 leave(k)
         elif tag in ("option", "optgroup") and stack[-1][0] == "option":
             leave(len(stack) - 1)
         elif tag in ("button", "select"):
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in (tag, "template", "table", "td", "th", "caption", "object")), None)
-            if k is not None and stack[k][0] == tag:
+            if (k := last(tag)) > last("template", "table", "td", "th", "caption", "object"):
                 leave(k)
         elif tag in ("input", "textarea"):
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("select", "template")), None)
-            if k is not None and stack[k][0] == "select":
-                leave(k)
-        if tag in _BREAKS_OUT and silent:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("svg", "math", "template") or stack[i][0] in _GOES_ON), None)
-            if k is not None and stack[k][0] in ("svg", "math"):
+            if (k := last("select")) > last("template"):
                 leave(k)
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else n
-        if silent and stop > at and stack[-1][0] == "head" and not page[at:stop].isspace():
+        if tag in _BREAKS_OUT and silent and (k := last("svg")) > last("template", *_GOES_ON):
+            leave(k)
+
+    def say(piece: str) -> None:
+        nonlocal path, links
+        if not parts:
+            path = np.flatnonzero(on_path)
+        parts.append(piece)
+        if places.get("a"):
+            links += len(piece)
+
+    def text_between(a: int, b: int) -> None:
+        if silent and b > a and stack[-1][0] == "head" and not page[a:b].isspace():
             leave(len(stack) - 1)  # text ends a head, too
-        if stop > at and not silent:
-            piece = page[at:stop]
-            parts.append(piece)
-            if in_link:
-                links += len(piece)
-        if m is None:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
+        if b > a and not silent:
+            say(page[a:b])
+
+    at, tokens = 0, _tokens(page)
+    for start, end, tag, closes, attributes in tokens:
+        text_between(at, start)
+        at = end
         if not tag:
             continue
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+        if closes:
+            k = last(tag)
             if tag not in _INLINE and tag not in _SILENT:
                 flush()
-            if k is not None:
+            if k >= 0:
                 leave(k)
             continue
         if silent:
@@ -133,28 +192,24 @@ def blocks(page: str) -> list[Block]:
         if tag not in _INLINE and tag not in _SILENT and not silent:
             flush()
         if tag == "br" and not silent:
-            parts.append(" ")
+            say(" ")
         if tag in _CLOSES_P and not silent:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if k is not None:
-                leave(k)
-        elif tag == "li":
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("li", "ul", "ol")), None)
-            if k is not None and stack[k][0] == "li":
+            if (k := last("p")) >= 0:
                 leave(k)
-        if tag in _VOID or (m[3] or "").endswith("/"):
+        elif tag == "li" and (k := last("li")) > last("ul", "ol"):
+            leave(k)
+        if tag in _VOID or attributes.endswith("/"):
             continue
         names = [tag]
-        if "=" in (m[3] or ""):
-            for a in _ATTRIBUTE.finditer(m[3]):
+        if "=" in attributes:
+            for a in _ATTRIBUTE.finditer(attributes):
                 names += [f".{x}" for x in _NAME.findall((a[2] or a[3] or a[4] or "").lower())]
-        path = (*path, *names)
-        stack.append((tag, path))
-        silent += tag in _SILENT
-        in_link += tag == "a"
+        enter(tag, [_bucket(x, PATH_FEATURES) for x in names])
         if tag in _RAW:
-            end = re.compile(f"</{tag}", re.I).search(page, at)
-            at = end.start() if end else n
+            close = re.compile(f"</{tag}", re.I).search(page, at)
+            at = close.start() if close else len(page)
+            tokens.send(at)
+    text_between(at, len(page))
     flush()
     return out
 
@@ -164,10 +219,7 @@ def _bucket(name: str, size: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
 
 
-#: Words that mark what surrounds an article; each has a place of its own before the hashed ones.
-_CUES = ("cookie", "cookies", "advert", "advertisement", "sponsored", "subscribe", "newsletter", "comment", "comments", "reply", "share", "related", "login", "privacy", "copyright", "menu")
-_CUE_PLACES = {w: i for i, w in enumerate(_CUES)}
-SIZE = PATH_FEATURES + WORD_FEATURES + len(_CUES) + 8
+SIZE = PATH_FEATURES + WORD_FEATURES + 8
 
 
 def vectors(page: list[Block]) -> np.ndarray:
@@ -175,14 +227,11 @@ def vectors(page: list[Block]) -> np.ndarray:
     base = PATH_FEATURES + WORD_FEATURES
     for i, b in enumerate(page):
         row = out[i]
-        for name in b.path:
-            row[_bucket(name, PATH_FEATURES)] = 1
+        row[b.path] = 1
         words = b.text.lower().split()
         np.add.at(row, [PATH_FEATURES + _bucket(w, WORD_FEATURES) for w in words], 2 / len(words))
-        for w in _CUE_PLACES.keys() & set(words):
-            row[base + _CUE_PLACES[w]] = 1
         n = len(b.text)
-        row[base + len(_CUES) :] = (np.log1p(n) / 6, b.links / n, i / len(page), (len(page) - i) / len(page), b.tag == "p", b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag == "li", b.text[-1] in ".!?")
+        row[base:] = (np.log1p(n) / 6, b.links / n, i / len(page), (len(page) - i) / len(page), b.tag == "p", b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag == "li", b.text[-1] in ".!?")
     return out
 
 
@@ -304,7 +353,33 @@ class Labeller:
 # -- pages with known labels ---------------------------------------------------------------------------------
 
 
-def write_page(rng: random.Random) -> tuple[str, list[str]]:
+#: Names of classes and ids that the generator gives to what surrounds an article and to the article's own wrapper, and words that
+#: notices and comments use. The first set is for training; the other names, wrappers and words are held out, for tests.
+_TRAINED = {
+    "advert": ("ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo"),
+    "menu": ("menu", "nav", "navbar", "navigation", "topbar", "breadcrumb", "breadcrumbs"),
+    "header": ("header", "masthead", "site-header", "head"),
+    "notice": ("cookie", "cookies", "notice", "consent", "alert", "gdpr", "cookie-banner"),
+    "aside": ("sidebar", "related", "widget", "share", "social", "recommended", "rail"),
+    "comments": ("comments", "comment-list", "responses", "discussion", "disqus", "replies"),
+    "footer": ("footer", "site-footer", "bottom", "copyright", "legal"),
+    "body": ("content", "post", "article", "entry", "story", "main", "body-text"),
+    "words": ("cookies", "Comments"),
+}
+_HELD_OUT = {
+    "advert": ("partner-box", "teaser", "commercial"),
+    "menu": ("links", "toolbar", "crumbs"),
+    "header": ("top", "brandbar", "hero-strip"),
+    "notice": ("privacy-bar", "hint", "popup"),
+    "aside": ("column-right", "more-stories", "box"),
+    "comments": ("feedback", "reader-voices", "thread"),
+    "footer": ("imprint", "end-matter", "colophon"),
+    "body": ("text", "report", "reading-pane"),
+    "words": ("privacy", "Replies"),
+}
+
+
+def write_page(rng: random.Random, names: dict = _TRAINED) -> tuple[str, list[str]]:
     """A page and the texts of its article's blocks."""
     vowels, letters = "aeiouéüáö", "bcdfghklmnprstvwz"
     word = lambda: "".join(rng.choice(letters) + rng.choice(vowels) for _ in range(rng.randint(1, 3)))
@@ -332,8 +407,8 @@ def write_page(rng: random.Random) -> tuple[str, list[str]]:
             mark = say("b", "em", "i", "strong", f'a href="/{word()}"', "span")
             parts[k] = f"<{mark}>{parts[k]}</{mark.split(' ')[0]}>"
             inner = " ".join(parts)
-        if tag == "p" and rng.random() < 0.15:
-            return f"<p><b>{inner}<br>"
+        if tag == "p" and rng.random() < 0.15:  # end tags left out
+            return f"<p>{say('<b>', '<i>', '<font size=2>', '<span>', '')}{inner}{say('<br>', '<hr>', '')}"
         return f"<{tag}>{inner}" + ("" if tag in ("p", "li") and rng.random() < 0.2 else f"</{tag}>")
 
     def article() -> str:
@@ -355,30 +430,30 @@ def write_page(rng: random.Random) -> tuple[str, list[str]]:
         return "".join(out)
 
     def advert() -> str:
-        return side(say("div", "div", "aside", "section"), ("ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo"), say(prose(1, 2), f"<p>{prose(1, 2)}</p>", f'<a href="/x">{words(2, 5)}</a>'))
+        return side(say("div", "div", "aside", "section"), names["advert"], say(prose(1, 2), f"<p>{prose(1, 2)}</p>", f'<a href="/x">{words(2, 5)}</a>'))
 
     before, after = [], []
-    nav = say(f"<nav><ul>{links(rng.randint(2, 8))}</ul></nav>", f"<nav>{links(4)}</nav>", side("ul", ("menu", "nav", "navbar", "navigation"), links(rng.randint(3, 8))), side("div", ("menu", "nav", "topbar", "breadcrumb", "breadcrumbs"), "".join(f'<a href="/{word()}">{word()}</a> ' for _ in range(rng.randint(2, 6)))))
+    nav = say(f"<nav><ul>{links(rng.randint(2, 8))}</ul></nav>", f"<nav>{links(4)}</nav>", side("ul", names["menu"], links(rng.randint(3, 8))), side("div", names["menu"], "".join(f'<a href="/{word()}">{word()}</a> ' for _ in range(rng.randint(2, 6)))))
     if rng.random() < 0.85:
         before.append(nav)
     if rng.random() < 0.5:
-        before.append(f"<header>{say(words(1, 4), f'<h1>{words(1, 4)}</h1>', f'<p>{prose(1, 2)}</p>', f'<div class=logo>{word()}</div>')}</header>" if rng.random() < 0.6 else side("div", ("header", "masthead", "site-header", "head"), f"<p>{prose(1, 2)}</p>"))
+        before.append(f"<header>{say(words(1, 4), f'<h1>{words(1, 4)}</h1>', f'<p>{prose(1, 2)}</p>', f'<div class=logo>{word()}</div>')}</header>" if rng.random() < 0.6 else side("div", names["header"], f"<p>{prose(1, 2)}</p>"))
     if rng.random() < 0.6:
         before.append(advert())
-    notice = lambda: side(say("div", "section", "p"), ("cookie", "cookies", "notice", "consent", "alert", "gdpr", "cookie-banner"), say(prose(1, 2), f"{prose(1, 2)} cookies {words(1, 3)}", f"{prose(1, 1)}<button>ok</button>"))
+    notice = lambda: side(say("div", "section", "p"), names["notice"], say(prose(1, 2), f"{prose(1, 2)} {names['words'][0]} {words(1, 3)}", f"{prose(1, 1)}<button>ok</button>"))
     if rng.random() < 0.4:
         (before if rng.random() < 0.5 else after).append(notice())
-    aside = lambda: (f"<aside>{say(f'<h3>{words(1, 3)}</h3><ul>{links(4)}</ul>', f'<p>{prose(1, 3)}</p>', prose(1, 2))}</aside>" if rng.random() < 0.5 else side("div", ("sidebar", "related", "widget", "share", "social", "recommended", "rail"), say(f"<h3>{words(1, 3)}</h3><p>{prose(1, 3)}</p>", f"<ul>{links(5)}</ul>", f"<p>{prose(1, 2)}</p>")))
+    aside = lambda: (f"<aside>{say(f'<h3>{words(1, 3)}</h3><ul>{links(4)}</ul>', f'<p>{prose(1, 3)}</p>', prose(1, 2))}</aside>" if rng.random() < 0.5 else side("div", names["aside"], say(f"<h3>{words(1, 3)}</h3><p>{prose(1, 3)}</p>", f"<ul>{links(5)}</ul>", f"<p>{prose(1, 2)}</p>")))
     if rng.random() < 0.5:
         (before if rng.random() < 0.4 else after).append(aside())
     if rng.random() < 0.4:
         comment = lambda: say(f"<div class=\"comment\"><p>{prose(1, 3)}</p></div>", f"<li>{prose(1, 2)}</li>", f"<article class=\"comment\"><p>{prose(1, 3)}</p></article>", f"<p>{prose(1, 3)}</p>")
-        after.append(side(say("section", "div", "ol"), ("comments", "comment-list", "responses", "discussion", "disqus", "replies"), f"<h2>{say('Comments', words(1, 2))}</h2>" + "".join(comment() for _ in range(rng.randint(1, 5)))))
+        after.append(side(say("section", "div", "ol"), names["comments"], f"<h2>{say(names['words'][1], words(1, 2))}</h2>" + "".join(comment() for _ in range(rng.randint(1, 5)))))
     if rng.random() < 0.35:
         (before if rng.random() < 0.3 else after).append(f"<form action=\"/s\">{say(f'<label>{words(1, 3)}</label><input name=q>', f'<p>{prose(1, 1)}</p><input><button>{word()}</button>', f'<textarea>{prose()}</textarea>{words(1, 4)}')}</form>")
     if rng.random() < 0.85:
         end = say(f"&copy; {word()} &middot; {prose(1, 3)}", f"<p>{prose(1, 3)}</p>", f"<p>&copy; 2020 {words(1, 4)}</p><ul>{links(3)}</ul>")
-        after.append(f"<footer>{end}</footer>" if rng.random() < 0.7 else side("div", ("footer", "site-footer", "bottom", "copyright", "legal"), end))
+        after.append(f"<footer>{end}</footer>" if rng.random() < 0.7 else side("div", names["footer"], end))
     body = article()
     r = rng.random()
     if r < 0.5:
@@ -388,16 +463,16 @@ def write_page(rng: random.Random) -> tuple[str, list[str]]:
     elif r < 0.75:
         body = f"<main><article>{body}</article></main>"
     else:
-        body = side(say("div", "section"), ("content", "post", "article", "entry", "story", "main", "body-text"), body)
+        body = side(say("div", "section"), names["body"], body)
     rng.shuffle(before) if rng.random() < 0.3 else None
     page = f"<body>{''.join(before)}<!-- {word()} -->{body}{''.join(after)}</body>"
     if rng.random() < 0.2:
         page = f'<body><div class="{say("wrapper", "page", "container", "layout")}">{page[6:-7]}</div></body>'
-    return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{words(2, 6)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head>{page}</html>', main
+    return f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{words(2, 6)}</title>{say("", f"<style>.{word()}{{color:red}}</style>")}{say("", f"<script>{word()}({rng.randrange(99)} < 3);</script>")}</head>{page}</html>', main
 
 
-def labelled(seed: int) -> tuple[list[Block], np.ndarray]:
-    page, main = write_page(random.Random(seed))
+def labelled(seed: int, names: dict = _TRAINED) -> tuple[list[Block], np.ndarray]:
+    page, main = write_page(random.Random(seed), names)
     cut = blocks(page)
     wanted = [" ".join(t.split()) for t in main]
     labels, k = np.zeros(len(cut), np.float32), 0
@@ -431,6 +506,7 @@ def extract_main_text(pages: DataFrame, page: str = "html") -> DataFrame:
         net = Labeller()
         net.p = weights
         for batch in batches:
+            trim()
             for a in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(a, TOGETHER)
                 texts = main_texts([p or "" for p in part.column(2).to_pylist()], net)

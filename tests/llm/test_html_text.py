@@ -1,4 +1,7 @@
+import os
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -14,6 +17,53 @@ def test_held_out_accuracy():
     assert right.mean() > 0.99
 
 
+def test_held_out_names_and_words():
+    """Class names, ids, wrappers and cue words that no training page has: places and elements alone must do."""
+    assert not {n for k in H._TRAINED for n in H._TRAINED[k]} & {n for k in H._HELD_OUT for n in H._HELD_OUT[k]}
+    net = H.trained()
+    pages = [H.labelled(60_000 + i, H._HELD_OUT) for i in range(300)]
+    got = net.predict([H.vectors(b) for b, _ in pages])
+    right = np.concatenate([(p > 0.5) == y for p, (_, y) in zip(got, pages)])
+    print(f"blocks right on held-out layouts: {right.mean():.3f}")
+    assert right.mean() > 0.93
+
+
+class _Article(HTMLParser):
+    """The text of article elements, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.parts.append(" ")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.parts.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_pages_against_their_article_elements(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {(r.page_id, r.url): r.text for r in H.extract_main_text(rows).collect()}
+    for r in rows.collect():
+        p = _Article()
+        p.feed(r.html or "")
+        assert " ".join(got[r.page_id, r.url].split()) == " ".join("".join(p.parts).split())
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 300_000, "<a " * 300_000 + '"', "<a b='" * 300_000 + '"', "<ul>" + "<b>" * 100_000 + "<li></li>" * 100_000, "<div>" * 100_000 + "</p>" * 300_000, "<!-- " * 300_000, "<script>" * 200_000])
+def test_cutting_is_linear(page):
+    began = time.perf_counter()
+    H.blocks(page)
+    assert time.perf_counter() - began < 30
+
+
 def test_gradients():
     net = H.Labeller(3)
     pages = [H.labelled(s) for s in range(3)]
@@ -62,6 +112,8 @@ def test_query(spark):
         ("<head><noscript><link><body><p>a", ["a"]),
         ("<head><template><p>t</p></template><title>x</title></head><p>a", ["a"]),
         ("<div><svg><path d=z><p>a</p></div>b", ["a", "b"]),
+        ("<p>if <math><mi>x</mi><mo>&lt;</mo><mn>2</mn></math> then <object data=u>o</object><p><video>v</video>", ["if x<2 then o", "v"]),
+        ("<p title=it's>a</p><p title=\"b\" class='c'>d</p>'", ["a", "d", "'"]),
         ("<svg><foreignObject><p>in</p></foreignObject></svg><p>a", ["a"]),
         ("<form><button>go<button>on</button><p>a</p></form>", ["a"]),
         ("<select><option>x<option>y<input><p>a", ["a"]),
