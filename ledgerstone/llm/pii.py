@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, trim
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -94,10 +94,10 @@ _ODD = re.compile("[" + re.escape("".join(_CHARS)) + "]")
 #: The names of the digits.
 _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "null": "0", "eins": "1", "zwei": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9", "zéro": "0", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9", "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9"}
 _WORD = "(?:" + "|".join(sorted(_DIGITS, key=len, reverse=True)) + ")"
-#: At least four spelled digits within a run; signs, single digits and point words may stand between.
-_SPELLED = re.compile(rf"(?i)(?<!\w){_WORD}(?:[\s,-]+(?:{_WORD}|[0-9]+|dot|point|punkt))*[\s,-]+{_WORD}(?!\w)")
+#: Spelled digits in a row; signs, digits and point words may stand between. Nothing is tried twice, so a scan is linear.
+_SPELLED = re.compile(rf"(?i)(?<!\w){_WORD}(?!\w)(?:[\s,-]++(?:(?>{_WORD}|dot|point|punkt)|[0-9]++)(?!\w))*+")
 _PIECE = re.compile(rf"(?i)({_WORD})(?!\w)|(dot|point|punkt)(?!\w)|([0-9]+)|([\s,-]+)")
-_BRACKETS = re.compile(r"(?i)\s*[\[({<]\s*(?:(at|@|arroba)|(dot|\.|punkt|punto))\s*[\])}>]\s*")
+_BRACKETS = re.compile(r"(?i)[\[({<]\s*+(?:(at|@|arroba)|(dot|\.|punkt|punto))\s*+[\])}>]\s*+")
 _DOT = re.compile(r"(?i)\s+dot\s+")
 #: After an at sign, also one from brackets, any suffix of two or more letters ends the chain.
 _AT_CHAIN = re.compile(r"(?i)(?<=[A-Za-z0-9._%+-])@(?P<host>(?:[A-Za-z0-9-]++(?:\s+dot\s+|\.))+[A-Za-z]{2,}+(?![A-Za-z0-9-]))")
@@ -169,6 +169,8 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     for m in _SPELLED.finditer(text):
         pieces = [p for p in _PIECE.finditer(text, m.start(), m.end())]
+        while pieces[-1][1] is None:  # a run ends with its last spelled digit
+            pieces.pop()
         if sum(p[1] is not None for p in pieces) < 4:
             continue
         for k, p in enumerate(pieces):
@@ -181,6 +183,18 @@ def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _bracket_edits(text: str) -> list[tuple[int, int, str]]:
+    """Signs for words in brackets, with the white space on both sides."""
+    out, last = [], 0
+    for m in _BRACKETS.finditer(text):
+        start = m.start()
+        while start > last and text[start - 1].isspace():
+            start -= 1
+        last = m.end()
+        out.append((start, last, "@" if m[1] else "."))
+    return out
+
+
 def _chain_edits(m: _Mapped, pattern: re.Pattern) -> list[tuple[int, int, str]]:
     """Signs for the words of chains that have a spoken or bracketed dot."""
     bracketed = any(c and b - a > 1 for c, (a, b) in zip(m.changed, m.source))
@@ -207,7 +221,7 @@ def normalise(text: str) -> _Mapped | None:
     if re.search(rf"(?i)(?<!\w){_WORD}[\s,-]+{_WORD}(?!\w)", m.text):
         m = m.rewrite(_spelled_edits(m.text))
     if re.search(r"(?i)[\[({<]\s*(?:at|@|arroba|dot|\.|punkt|punto)\s*[\])}>]", m.text):
-        m = m.rewrite([(*x.span(), "@" if x[1] else ".") for x in _BRACKETS.finditer(m.text)])
+        m = m.rewrite(_bracket_edits(m.text))
     m = m.rewrite(_chain_edits(m, _AT_CHAIN))
     m = m.rewrite(_chain_edits(m, _BARE_CHAIN))
     return m if any(m.changed) or m.text != text else None
@@ -253,6 +267,7 @@ _REPORT = T.StructType([T.StructField(f"n_{k}", T.LongType()) for k in KINDS] +
 
 @F.pandas_udf(_REPORT)
 def _report(texts: pd.Series) -> pd.DataFrame:
+    trim()
     rows = []
     for t in texts:
         base, every = find_spans(t)
@@ -263,6 +278,7 @@ def _report(texts: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(T.StringType())
 def _redacted(texts: pd.Series) -> pd.Series:
+    trim()
     return texts.map(redact)
 
 

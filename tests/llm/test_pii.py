@@ -1,10 +1,12 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ledgerstone.llm import pii
 from ledgerstone.llm.pii import KINDS, base_spans, detect, find_spans, normalise, redact, redact_column
 
 
@@ -61,6 +63,22 @@ def test_base_spans_stay_and_clean_text_is_left_alone():
     assert redact("x a@b.co y") == "x [EMAIL] y"
 
 
+@pytest.mark.parametrize(
+    "text",
+    ["a [at] b [dot] de" + " " * 2_000_000 + "x", "one two " * 150_000 + "x", "one " + "1 " * 500_000 + "twox", "x at " + "c dot " * 200_000 + "1", "[at" + " " * 1_000_000 + "]", "a@" * 500_000, "0" * 1_000_000 + "1.1.1.1"],
+)
+def test_disguises_are_undone_in_linear_time(text):
+    began = time.perf_counter()
+    pii.find_spans(text)
+    assert time.perf_counter() - began < 30
+
+
+def test_chains_of_any_length_and_ending():
+    for t in ("bob at mail dot xyz", "sue at mail dot pl", "jane [at] mail dot com", "a at b dot c dot d dot e dot f dot g dot h dot i dot j dot k dot l dot de", "x" * 100 + " at " + "y" * 90 + " dot net"):
+        assert pii.find_spans(t)[1]["email"] == [(0, len(t))], t
+    assert pii.base_spans("0" * 4001 + "1.1.1.1 5.6.7.8")["ip"] == [(0, 4008), (4009, 4016)]
+
+
 def test_long_texts_are_linear():
     text = "a" * 300_000 + " " + "1" * 300_000 + ".x " + "a@" * 50_000
     assert sum(map(len, base_spans(text).values())) == 0
