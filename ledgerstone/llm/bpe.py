@@ -190,6 +190,22 @@ class PreTokenizer:
         return out
 
 
+def encode_pieces(text: str, pre: PreTokenizer, pairs: PairTable) -> np.ndarray:
+    """Ids of a text, special strings included, by splitting it first: linear however long a piece is."""
+    pieces = pre(text)
+    words = [b"" if w in pre.specials else w.encode() for w in pieces]
+    flat, n = merge_words([w for w in words if w], pairs)
+    parts, at, k = [], 0, 0
+    sizes = n.tolist()
+    for piece, w in zip(pieces, words):
+        if w:
+            parts.append(flat[at : at + sizes[k]])
+            at, k = at + sizes[k], k + 1
+        else:
+            parts.append(np.array([pre.specials[piece]], np.int64))
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The ranges numbered by which, one after the other."""
     return flat[ragged_index(starts[which], lengths[which])]

@@ -28,51 +28,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PreTokenizer, merge_words, ragged_take, table_from_ranks
-from .common import in_chunks, ragged_index, shared_dir, table
+from .common import in_chunks, ragged_index, shared_dir, table, trim
 
 #: Characters of text in a block.
 BLOCK_CHARS = 20_000_000
+#: Bits of a word's number in its block, and of a block's number in its partition. A string holds fewer than 2**31 bytes, so
+#: fewer than 2**30 distinct words.
+NUMBER_BITS, BLOCK_BITS = 30, 13
 #: Ids of this many words are combined by block before they leave a task.
 COMBINED_WORDS = 500_000
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """Numbers below 2**24 as three byte planes, compressed."""
+    """Numbers as byte planes, as many as the largest needs (the first byte says), compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=9).compress(np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes())
+    a = np.ascontiguousarray(a, "<i8")
+    n = max((int(a.max()).bit_length() + 7) // 8, 1) if len(a) else 1
+    return bytes([n]) + zstandard.ZstdCompressor(level=9).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes())
 
 
 def _unplaned(b: bytes) -> np.ndarray:
     import zstandard
 
-    p = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(3, -1).astype(np.int64)
-    return p[0] | p[1] << 8 | p[2] << 16
+    p = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(b[0], -1)
+    out = np.zeros((p.shape[1], 8), np.uint8)
+    out[:, : b[0]] = p.T
+    return out.reshape(-1).view("<i8").astype(np.int64)
 
 
 def word_blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Blocks (block_id, doc_ids, sizes, numbers, words) of a table (doc_id, text)."""
+    """Blocks (block_id, doc_ids, known, sizes, numbers, words) of a table (doc_id, text); known marks the ids that aren't null."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         pre = PreTokenizer(pattern)
-        base, n = TaskContext.get().partitionId() << 12, 0
+        base, n = TaskContext.get().partitionId() << BLOCK_BITS, 0
         ids, sizes, numbers, seen, chars = [], [], [], {}, 0
 
         def block():
             nonlocal n
+            if n >> BLOCK_BITS:
+                raise OverflowError(f"more than {1 << BLOCK_BITS} blocks in a partition: use smaller partitions or a larger block_chars")
             number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
             freq = np.bincount(number, minlength=len(seen))
             order = np.argsort(-freq, kind="stable")  # frequent words get small numbers
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             words = list(seen)
-            out = pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([_planes(place[number])], pa.binary()), pa.array([[words[i] for i in order]], pa.list_(pa.string()))], ["block_id", "doc_ids", "sizes", "numbers", "words"])
+            known = np.array([i is not None for i in ids], np.uint8)
+            whole = np.array([i or 0 for i in ids], "<i8")
+            binary = (whole.tobytes(), known.tobytes(), _planes(np.array(sizes, np.int64)), _planes(place[number]))
+            out = pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *(pa.array([x], pa.binary()) for x in binary), pa.array([[words[i] for i in order]], pa.list_(pa.string()))], ["block_id", "doc_ids", "known", "sizes", "numbers", "words"])
             n += 1
             return out
 
         for batch in batches:
+            trim()
             texts = [t or "" for t in batch.column(1).to_pylist()]
             keys = batch.column(0).to_pylist()
             for a, b in in_chunks(texts):
@@ -93,11 +106,11 @@ def word_blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -
         if ids:
             yield block()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, "block_id long, doc_ids array<long>, sizes array<long>, numbers binary, words array<string>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, "block_id long, doc_ids binary, known binary, sizes binary, numbers binary, words array<string>")
 
 
 def encode_distinct(rows: DataFrame, ranks_path: str) -> DataFrame:
-    """Rows (place, word) shuffled by word, place being block_id << 24 | number; each task encodes each of its distinct words once.
+    """Rows (place, word) shuffled by word, place being block_id << NUMBER_BITS | number; each task encodes each of its distinct words once.
 
     The result is (block_id, numbers, sizes, ids): the ids of some of a block's words."""
 
@@ -111,10 +124,10 @@ def encode_distinct(rows: DataFrame, ranks_path: str) -> DataFrame:
             order = np.argsort(place, kind="stable")
             at = np.cumsum(n) - n
             place, n, flat = place[order], n[order], flat[ragged_index(at[order], n[order])]
-            block, ends = place >> 24, np.cumsum(n)
+            block, ends = place >> NUMBER_BITS, np.cumsum(n)
             first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(block)]):
-                yield int(block[a]), _planes(place[a:b] & 0xFFFFFF), _planes(n[a:b]), flat[ends[a] - n[a] : ends[b - 1]].astype(wide).tobytes()
+                yield int(block[a]), _planes(place[a:b] & ((1 << NUMBER_BITS) - 1)), _planes(n[a:b]), flat[ends[a] - n[a] : ends[b - 1]].astype(wide).tobytes()
 
         def out(rows):
             rows = list(rows)
@@ -136,6 +149,7 @@ def encode_distinct(rows: DataFrame, ranks_path: str) -> DataFrame:
             if n_held >= COMBINED_WORDS:
                 yield out(combined())
                 held, n_held = [], 0
+                trim()
         if held:
             yield out(combined())
 
@@ -152,6 +166,7 @@ def reassemble(blocks: DataFrame, coded: DataFrame, ranks_path: str, digest: boo
     """Documents from blocks and the ids of their words: ids, or their count and digests."""
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        trim()
         pairs = table_from_ranks(ranks_path)
         of_token = np.fromiter(map(len, pairs.token_bytes), np.int64, len(pairs.token_bytes))
         token_at, token_flat = np.cumsum(of_token) - of_token, np.frombuffer(b"".join(pairs.token_bytes), np.uint8)
@@ -168,7 +183,8 @@ def reassemble(blocks: DataFrame, coded: DataFrame, ranks_path: str, digest: boo
         out = []
         for _, row in left.iterrows():
             number, stop = _unplaned(row["numbers"]), 0
-            for doc, n in zip([None if d != d else d for d in row["doc_ids"]], row["sizes"]):
+            ids_of = [d if k else None for d, k in zip(np.frombuffer(row["doc_ids"], "<i8").tolist(), row["known"])]
+            for doc, n in zip(ids_of, _unplaned(row["sizes"]).tolist()):
                 mine = number[stop : stop + n]
                 stop += n
                 ids = ragged_take(flat, at, size, mine)
@@ -179,7 +195,7 @@ def reassemble(blocks: DataFrame, coded: DataFrame, ranks_path: str, digest: boo
                 else:
                     out.append((doc, ids))
         frame = pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["doc_id", "ids"])
-        return frame.astype({"doc_id": "Int64"})
+        return frame.assign(doc_id=pd.array([r[0] for r in out], "Int64"))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<long>"
     return blocks.groupBy("block_id").cogroup(coded.groupBy("block_id")).applyInPandas(meet, schema)
@@ -192,9 +208,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digest: boo
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 10_000)
     word_blocks(docs, pattern, block_chars).write.bucketBy(buckets, "block_id").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
     blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalogue's entry alone: the files are outside it, and the plan has read it
     rows = blocks.select("block_id", F.posexplode("words").alias("number", "word"))
-    rows = rows.select(F.shiftleft("block_id", 24).bitwiseOR(F.col("number").cast("long")).alias("place"), "word")
-    return reassemble(blocks.select("block_id", "doc_ids", "sizes", "numbers"), encode_distinct(rows, ranks_path), ranks_path, digest)
+    rows = rows.select(F.shiftleft("block_id", NUMBER_BITS).bitwiseOR(F.col("number").cast("long")).alias("place"), "word")
+    return reassemble(blocks.select("block_id", "doc_ids", "known", "sizes", "numbers"), encode_distinct(rows, ranks_path), ranks_path, digest)
 
 
 def decode_documents(ids: DataFrame, ranks_path: str) -> DataFrame:

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import table_from_json
-from .common import in_chunks, table
+from .bpe import PreTokenizer, encode_pieces, table_from_json
+from .common import in_chunks, table, trim
 
 SEQUENCE_TOKENS, SEQUENCE_SEGMENTS = 2048, 512
 DOCUMENT_END = 1
@@ -146,7 +146,15 @@ def _encoder(path: str, pattern: str):
 
         ranks = {t: i for i, t in enumerate(pairs.token_bytes) if t and i not in specials.values()}
         engine = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
-        return lambda texts: [engine.encode_to_numpy(t, allowed_special="all") for t in texts]
+        pre = PreTokenizer(pattern, specials)
+
+        def ids(text: str) -> np.ndarray:
+            try:
+                return engine.encode_to_numpy(text, allowed_special="all")
+            except ValueError:  # its regular expressions run out of stack on very long white space
+                return encode_pieces(text, pre, pairs)
+
+        return lambda texts: [ids(t) for t in texts]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -187,6 +195,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, tokens: i
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
+            trim()
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in in_chunks(texts, 4_000_000):
                 items = []

@@ -114,3 +114,20 @@ def test_examples_keep_all_limits(spark):
         assert alone or (sum(p.n_tokens for p in parts) <= 1000 and len(parts) <= 5 and sum(p.n_loss for p in parts) <= 600)
     least = max(sum(r[1] or 0 for r in rows) / 1000, sum(r[2] or 0 for r in rows) / 600, len(rows) / 5)
     assert len(by) < 1.35 * least
+
+
+@pytest.mark.parametrize("text", [" " * 10_000_000 + "x", "a <|endoftext|> é" + "\xa0" * 1_500_000 + "b <|endoftext|>"])
+def test_very_long_white_space(text, library):
+    ids = packing._encoder(JSON, P.PATTERN)([text])[0]
+    pairs, specials = bpe.table_from_json(JSON)
+    special = {i: t.encode() for t, i in specials.items()}
+    assert b"".join(special.get(i) or pairs.token_bytes[i] for i in ids.tolist()).decode() == text
+    few = text.replace(" " * 9_990_000, "").replace("\xa0" * 1_499_000, "")
+    assert bpe.encode_pieces(few, bpe.PreTokenizer(P.PATTERN, specials), pairs).tolist() == library.encode(few, add_special_tokens=False).ids
+
+
+def test_codec_large_and_null_ids_in_one_block(spark):
+    rows = [(9007199254740993, "a b"), (None, "c"), (-9223372036854775807, None), (9223372036854775807, "d")]
+    got = bpe_codec.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), RANKS, P.PATTERN, digest=True).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {9007199254740993: 2, None: 1, -9223372036854775807: 0, 9223372036854775807: 1}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("word_blocks")]
