@@ -2,22 +2,37 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Rows of an Arrow batch, where the session sets none: batches of whole texts are held on both sides of the pipe.
-BATCH_ROWS = 2500
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _LIBC = None
+#: Folders of stages, for release().
+_BASES: list[str] = []
+#: Rows and bytes of an Arrow batch: batches of whole texts are held on both sides of the pipe.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Sets the session's rows of an Arrow batch to BATCH_ROWS, unless the user has set them."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, None) is None:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Bounds the session's Arrow batches by BATCH_ROWS and BATCH_BYTES, unless the user has set bounds."""
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
+
+
+def trim() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: idle workers stay alive for a while."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,12 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where the session names none and is local (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerstone-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -43,6 +60,7 @@ class Stage:
         bound_batches(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        _BASES.append(self.base)
 
     def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         self.n += 1
@@ -54,9 +72,18 @@ class Stage:
         return out
 
     def drop(self, df: DataFrame) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._stage_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df._stage_path)
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all stage folders of this process. Results that still read them can't be used after this."""
+    while _BASES:
+        _delete(spark, _BASES.pop())
 
 
 def in_chunks(texts: list, max_chars: int = 1_000_000):

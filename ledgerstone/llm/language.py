@@ -4,9 +4,10 @@ posterior(l) ~ p(text | l) * p(declared | l) * p(suffix | l) * p(l | host)
 
 * text: letter trigrams, with counts per language from a bounded sample of rows (SAMPLE rows with a declared language, taken in
   the order of a hash of their id; documented parameter), and of the first RARE rows of each declared language in that order, so
-  that every declared language with sampled text is in the model, however rare. The likelihood is tempered, since neighbouring trigrams depend on
-  each other, and one more class, "und", stands for text of no known language.
-* declared: the language that markup or metadata states. It is right with the probability TRUST.
+  that every declared language with text is in the model, however rare. The likelihood is tempered, since neighbouring trigrams depend on
+  each other, and one more class, "und", stands for text of no known language. The whole text is read, once.
+* declared: the language that markup or metadata states, without its region, three-letter codes as two-letter ones where
+  there is one. It is right with the probability TRUST.
 * suffix: the address suffix (top-level domain); where it names a known language, it is right with the probability SUFFIX_TRUST.
 * host: priors smoothed down a hierarchy: all rows -> suffix -> host. Each level's counts, made by a grouped aggregation of the
   text evidence over all rows, are mixed with STRENGTH rows of its parent's prior.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stage, table
+from .common import Stage, table, trim
 
 SAMPLE, RARE, BUCKETS = 4000, 200, 1 << 16
 TRUST, SUFFIX_TRUST, STRENGTH, LEAST = 0.97, 0.8, 20.0, 0.5
@@ -78,14 +79,16 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
     nth = F.row_number().over(W.partitionBy("declared").orderBy(F.xxhash64("id"), "id"))
     rare = known.select("id", "declared").withColumn("nth", nth).filter(F.col("nth") <= RARE).select("id")
     chosen = chosen.union(rare).distinct()
-    few = known.join(F.broadcast(chosen), "id")
+    # one row of each id, so that ids that repeat leave the sample bounded
+    first = F.min_by(F.struct("text", "declared"), F.xxhash64("text", "declared")).alias("x")
+    few = known.join(F.broadcast(chosen), "id", "left_semi").groupBy("id").agg(first).select("id", "x.*")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[str, np.ndarray] = {}
         for batch in batches:
             for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 got.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                got[lang] += np.minimum(np.bincount(trigrams(t), minlength=BUCKETS), 20)
+                got[lang] += np.bincount(trigrams(t), minlength=BUCKETS)
         for lang, c in got.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "bucket", "n"])
@@ -106,6 +109,7 @@ def text_likelihood(text: Column, model: TextModel) -> Column:
 
     @F.pandas_udf("array<double>")
     def score(texts: pd.Series) -> pd.Series:
+        trim()
         return pd.Series([model.score(t) for t in texts])
 
     return score(F.coalesce(text, F.lit("")))
@@ -157,16 +161,51 @@ def host_priors(scored: DataFrame, languages: list[str]) -> DataFrame:
     return near.select(F.col("h.host").alias("host"), F.col("h.suffix").alias("suffix"), mixed(lambda k: F.col("up")[k]).alias("prior"))
 
 
-def identify(df: DataFrame, text: str = "text", declared: str | None = None, host: str | None = None, suffix: str | None = None, key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """df with language, confidence and rejected. declared, host and suffix name columns of evidence; without one it says nothing."""
+#: Languages by their three-letter codes.
+_THREE_LETTERS = {
+    "afr": "af", "alb": "sq", "sqi": "sq", "ara": "ar", "arm": "hy", "hye": "hy", "baq": "eu", "eus": "eu", "bel": "be", "ben": "bn", "bos": "bs", "bul": "bg",
+    "cat": "ca", "chi": "zh", "zho": "zh", "hrv": "hr", "cze": "cs", "ces": "cs", "dan": "da", "dut": "nl", "nld": "nl", "eng": "en", "est": "et", "fin": "fi",
+    "fre": "fr", "fra": "fr", "glg": "gl", "geo": "ka", "kat": "ka", "ger": "de", "deu": "de", "gre": "el", "ell": "el", "heb": "he", "hin": "hi", "hun": "hu",
+    "ice": "is", "isl": "is", "ind": "id", "gle": "ga", "ita": "it", "jpn": "ja", "kor": "ko", "lat": "la", "lav": "lv", "lit": "lt", "mac": "mk", "mkd": "mk",
+    "may": "ms", "msa": "ms", "nor": "no", "nob": "nb", "nno": "nn", "per": "fa", "fas": "fa", "pol": "pl", "por": "pt", "rum": "ro", "ron": "ro", "rus": "ru",
+    "srp": "sr", "slo": "sk", "slk": "sk", "slv": "sl", "spa": "es", "swa": "sw", "swe": "sv", "tam": "ta", "tha": "th", "tur": "tr", "ukr": "uk", "urd": "ur",
+    "vie": "vi", "wel": "cy", "cym": "cy",
+}
+
+
+def language_code(declared: Column) -> Column:
+    """The language subtag of a tag such as en-GB or deu_AT, in two letters where it has such a code; null for anything else."""
+    code = F.regexp_extract(F.lower(F.trim(declared.cast("string"))), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
+    two = F.create_map(*(F.lit(x) for pair in _THREE_LETTERS.items() for x in pair))
+    return F.nullif(F.coalesce(two[code], code), F.lit(""))
+
+
+def identify(df: DataFrame, text: str = "text", declared: str | None = None, host: str | None = None, suffix: str | None = None, key: str = "doc_id", sample: int = SAMPLE, keep: list[str] | None = None, model: TextModel | None = None) -> DataFrame:
+    """df, or its columns `keep`, with language, confidence and rejected. declared, host and suffix name columns of evidence; without
+    one it says nothing. A model may be given, else it is trained on df."""
+    columns = [c for c in (keep or df.columns) if c not in ("language", "confidence", "rejected")]
+    found = _judged(df, F.struct(*columns) if columns else F.struct(F.lit(0)), text, declared, host, suffix, key, sample, model)
+    return found.select(*(F.col("row")[c].alias(c) for c in columns), "language", "confidence", "rejected")
+
+
+def known_language(df: DataFrame, text: str = "text", declared: str | None = None, host: str | None = None, suffix: Column | None = None, key: str = "doc_id") -> DataFrame:
+    """The rows of df that aren't rejected, with all their columns as they are."""
+    found = _judged(df, F.struct("*"), text, declared, host, suffix, key, SAMPLE, None)
+    return found.filter(~F.col("rejected")).select("row.*")
+
+
+def _judged(df: DataFrame, row: Column, text: str, declared: str | None, host: str | None, suffix: str | Column | None, key: str, sample: int, model: TextModel | None) -> DataFrame:
+    """(row, language, confidence, rejected). Texts are scored once: their scores are stored beside the rows."""
     spark = df.sparkSession
     none = F.lit(None).cast("string")
-    col = lambda c: F.lower(F.trim(F.col(c).cast("string"))) if c else none
-    model = train(df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), F.substring(col(declared), 1, 2).alias("declared")), sample)
+    col = lambda c: F.lower(F.trim((F.col(c) if isinstance(c, str) else c).cast("string"))) if c is not None else none
+    says = language_code(F.col(declared)) if declared else none
+    model = model or train(df.select(F.col(key).cast("string").alias("id"), F.col(text).alias("text"), says.alias("declared")), sample)
     languages = model.languages
-    tagged = df.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.substring(col(declared), 1, 2).alias("declared"), F.coalesce(col(host), F.lit("")).alias("host"), F.coalesce(col(suffix), F.lit("")).alias("suffix"))
-    scored = tagged.withColumn("ll", text_likelihood(F.col("text"), model)).withColumn("seen", evidence(tagged, languages)).drop("text", "ll", "declared")
-    priors = Stage(spark, "hosts").write(host_priors(scored.select("host", "suffix", "seen"), languages))
+    stage = Stage(spark, "language")
+    tagged = df.select(row.alias("row"), F.col(text).alias("text"), says.alias("declared"), F.coalesce(col(host), F.lit("")).alias("host"), F.coalesce(col(suffix), F.lit("")).alias("suffix"))
+    scored = stage.write(tagged.withColumn("ll", text_likelihood(F.col("text"), model)).withColumn("seen", evidence(tagged, languages)).drop("text", "ll", "declared"))
+    priors = stage.write(host_priors(scored.select("host", "suffix", "seen"), languages))
     if priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         joined = scored.join(F.broadcast(priors), ["host", "suffix"], "left")
     else:
@@ -175,9 +214,7 @@ def identify(df: DataFrame, text: str = "text", declared: str | None = None, hos
     names = F.array(*map(F.lit, languages))
     post = joined.select("row", _normalised(F.zip_with("seen", "prior", lambda a, b: a + F.ln(b))).alias("post"))
     best = post.select("row", F.array_max("post").alias("confidence"), F.element_at(names, F.array_position("post", F.array_max("post")).cast("int")).alias("language"))
-    out = best.select("row.*", best["language"].alias("__language"), best["confidence"].alias("__confidence"))
-    out = out.drop("language", "confidence", "rejected")
-    return out.withColumn("language", F.col("__language")).withColumn("confidence", F.col("__confidence")).withColumn("rejected", (F.col("__language") == UNKNOWN) | (F.col("__confidence") < LEAST)).drop("__language", "__confidence")
+    return best.withColumn("rejected", (F.col("language") == UNKNOWN) | (F.col("confidence") < LEAST))
 
 
 def host_suffix(host: Column) -> Column:
@@ -188,10 +225,18 @@ def host_suffix(host: Column) -> Column:
 def page_evidence(pages: DataFrame) -> DataFrame:
     """Pages with declared (the html element's lang), host and suffix (of the address)."""
     host = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-z]+://([^/:?#]+)", 1)
-    return pages.withColumn("declared", F.nullif(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2})", 1), F.lit(""))).withColumn("host", host).withColumn("suffix", F.regexp_extract(host, r"\.([a-z]+)$", 1))
+    return pages.withColumn("declared", language_code(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2,3}(?:-[a-z0-9-]+)?)", 1))).withColumn("host", host).withColumn("suffix", F.regexp_extract(host, r"\.([a-z]+)$", 1))
 
 
 def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = identify(docs.withColumn("suffix", host_suffix(F.col("source"))), declared="lang", host="source", suffix="suffix")
+    found = identify(docs.withColumn("suffix", host_suffix(F.col("source"))), declared="lang", host="source", suffix="suffix", keep=["doc_id"])
     return found.select("doc_id", "language", F.round("confidence", 6).alias("confidence"), "rejected")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on pages: declared in the markup, host and suffix from the address, text without tags, scripts and styles."""
+    pages = page_evidence(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*+>", " ")
+    found = identify(pages.withColumn("text", plain), declared="declared", host="host", suffix="suffix", key="page_id", keep=["page_id", "url"])
+    return found.select("page_id", "url", "language", F.round("confidence", 6).alias("confidence"), "rejected")

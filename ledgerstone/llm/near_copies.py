@@ -1,13 +1,14 @@
 """Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-1. Equal texts (words compared as in simhash) become one node. A task makes each node's minhashes over its distinct shingles and
+1. Equal texts become one node. A task makes each node's minhashes over its distinct shingles (words compared as in simhash) and
    folds them into BANDS keys of ROWS minhashes each. Nodes that share a key are candidates. A pair at 0.8 shares none
    with the probability (1 - 0.8 ** ROWS) ** BANDS = 0.00007, and less above.
-2. Candidates are checked on their texts' shingles. For a few rounds all nodes of a key meet one leader, another in each
-   round; then all pairs of a key that no link joins yet, directly or not, are checked. No group is capped.
+2. Candidates are checked on their texts' shingles. In each round all nodes of a key meet one leader, another each time; keys whose nodes
+   are all linked, directly or not, are done. Rounds go on while they settle a tenth of what is open, LEADERS at least;
+   then the pairs of a key that no link joins yet are checked. No group is capped.
 3. Fingerprints within the radius of simhash are linked as well. Components grow by smallest labels.
 
-Texts of fewer than five words have one shingle, the whole text: they are near copies of equal texts only, or by their fingerprint.
+A null text counts as empty. Columns of any name are kept as they are. Texts of fewer than five words have one shingle, the whole text: they are near copies of equal texts only, or by their fingerprint.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import Stage
+from .common import Stage, trim
 
 WORDS, LEAST, BANDS, ROWS, LEADERS = 5, 0.8, 24, 5, 2
 _RNG = np.random.default_rng(20)
@@ -40,18 +41,12 @@ def _words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _node(parts: list[bytes]) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(b" ".join(parts), 5)
-
-
 def shingles(parts: list[bytes]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles."""
     from xxhash import xxh64_intdigest
 
     if len(parts) < WORDS:
-        return np.array([_node(parts)] if parts else [], np.uint64)
+        return np.array([xxh64_intdigest(b" ".join(parts), 5)] if parts else [], np.uint64)
     w = np.array([xxh64_intdigest(p, 7) for p in parts], np.uint64)
     h = np.zeros(len(w) - WORDS + 1, np.uint64)
     for k in range(WORDS):
@@ -71,21 +66,16 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return _mix((_mix(low).reshape(BANDS, ROWS) * _FOLD).sum(1, dtype=np.uint64)).view(np.int64)
 
 
-@F.pandas_udf(T.StructType([*(T.StructField(x, T.LongType()) for x in ("node", "fp", "n")), T.StructField("bands", T.ArrayType(T.LongType()))]))
+@F.pandas_udf(T.StructType([*(T.StructField(x, T.LongType()) for x in ("fp", "n")), T.StructField("bands", T.ArrayType(T.LongType()))]))
 def _sketch(texts: pd.Series) -> pd.DataFrame:
+    trim()
     rows = []
     for t in texts:
         parts = _words(t)
         h = shingles(parts)
-        rows.append((_node(parts), simhash.fingerprint(t), len(h), band_keys(h) if len(parts) >= WORDS else np.zeros(0, np.int64)))
-    node, fp, n, bands = zip(*rows) if rows else ((), (), (), ())
-    signed = lambda x: np.array(x, np.uint64).view(np.int64)
-    return pd.DataFrame({"node": signed(node), "fp": signed(fp), "n": np.array(n, np.int64), "bands": pd.Series(bands, dtype=object)})
-
-
-@F.pandas_udf(T.LongType())
-def _nodes(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([_node(_words(t)) for t in texts], np.uint64).view(np.int64))
+        rows.append((simhash.fingerprint(t), len(h), band_keys(h) if len(parts) >= WORDS else np.zeros(0, np.int64)))
+    fp, n, bands = zip(*rows) if rows else ((), (), ())
+    return pd.DataFrame({"fp": np.array(fp, np.uint64).view(np.int64), "n": np.array(n, np.int64), "bands": pd.Series(bands, dtype=object)})
 
 
 def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -95,6 +85,7 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in batches:
+            trim()
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             hit = []
             for i in range(batch.num_rows):
@@ -113,9 +104,10 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     spark = docs.sparkSession
     stage = Stage(spark, "copies")
     words = F.coalesce(F.col(text), F.lit(""))
-    mine = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(text), F.lit(1 << 40))))
-    rows = mine.select("__key", _sketch(words).alias("s")).select("__key", "s.*")
-    nodes = stage.write(rows.groupBy("node").agg(F.min("__key").alias("low"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    number = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(text), F.lit(1 << 40)))
+    mine = docs.select(F.struct("*").alias("row"), number.alias("key"), F.xxhash64(words).alias("node"), words.alias("text"))
+    rows = mine.select("key", "node", _sketch("text").alias("s")).select("key", "node", "s.*")
+    nodes = stage.write(rows.groupBy("node").agg(F.min("key").alias("low"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
 
     # fingerprints within the radius, as links of the smallest node of each
     by_fp = stage.write(nodes.groupBy("fp").agg(F.min("node").alias("one")))
@@ -127,26 +119,29 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     bands = stage.write(nodes.select("node", "n", F.explode("bands").alias("band")).distinct())
     several = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("band")
     shared = stage.write(bands.join(several, "band"))
-    wanted = shared.select("node").distinct().join(nodes.select("node", "low"), "node").select(F.col("low").alias("__key")).distinct()
-    texts = stage.write(mine.join(wanted, "__key", "left_semi").select(_nodes(words).alias("node"), words.alias("text")).groupBy("node").agg(F.first("text").alias("text")))
+    wanted = shared.select("node").distinct().join(nodes.select("node", "low"), "node").select(F.col("low").alias("key")).distinct()
+    texts = stage.write(mine.select("key", "node", "text").join(wanted, "key", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
     roots = simhash.components(links, stage)
     fits = F.least("n", "m") >= LEAST * F.greatest("n", "m") - 1e-9  # others can't reach the similarity
-    done = None
-    for turn in range(LEADERS + 1):
+    done, turn, before, pairwise = None, 0, 0, False
+    while not pairwise:
         labelled = shared.join(roots.withColumnRenamed("fp", "node"), "node", "left").withColumn("label", F.coalesce("root", "node"))
         # only keys whose nodes are not in one component yet
         split = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("band")
         open_ = stage.write(labelled.join(split, "band").select("band", "node", "n", "label"))
-        if open_.isEmpty():
+        n_open = open_.count()
+        if not n_open:
             break
-        if turn < LEADERS:
+        pairwise = turn >= LEADERS and n_open > 0.9 * before
+        before = n_open
+        if not pairwise:
             first = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "label")).alias("f"))
             other = first.select("band", F.col("f.node").alias("a"), F.col("f.n").alias("m"), F.col("f.label").alias("of"))
         else:
             other = open_.select("band", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("of")).hint("merge")
         pairs = open_.join(other, "band").filter((F.col("label") != F.col("of")) & fits)
-        if turn == LEADERS:
+        if pairwise:
             pairs = pairs.filter("a < node")
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if done is not None:
@@ -155,8 +150,9 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         done = pairs if done is None else done.union(pairs)
         links = links.union(stage.write(_checked(pairs, texts)))
         roots = simhash.components(links, stage)
+        turn += 1
 
     whole = nodes.select("node", "low").join(roots.withColumnRenamed("fp", "node"), "node", "left")
-    kept = stage.write(whole.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("low", "node")).alias("k")).select(F.col("k.low").alias("__key"), F.col("k.node").alias("__node")))
-    held = mine.withColumn("__node", _nodes(words)).join(kept.hint("merge"), ["__key", "__node"], "left_semi")
-    return held.dropDuplicates(["__key", "__node"]).select(*docs.columns)
+    kept = stage.write(whole.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("low", "node")).alias("k")).select(F.col("k.low").alias("key"), F.col("k.node").alias("node")))
+    held = mine.select("row", "key", "node").join(kept.hint("merge"), ["key", "node"], "left_semi")
+    return held.dropDuplicates(["key", "node"]).select("row.*")

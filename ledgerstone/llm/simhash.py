@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stage, ragged_index, table
+from .common import Stage, ragged_index, table, trim
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
 #: A shard with more fingerprints is divided once more.
@@ -58,6 +58,7 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
 
 @F.pandas_udf(T.LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
+    trim()
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
 
 
@@ -224,10 +225,11 @@ def near_duplicate_components(keyed: DataFrame, radius: int = RADIUS) -> DataFra
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of docs, one of each component: that with the smallest key. A null key counts as a large number made from its text."""
-    mine = docs.withColumn("__key", F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(text), F.lit(1 << 40)))).withColumn("__fp", fingerprint_column(F.col(text)))
-    found = near_duplicate_components(mine.select(F.col("__key").alias("doc_id"), F.col("__fp").alias("fp")), radius)
-    first = found.filter("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("fp").alias("__fp")).select(F.col("doc_id").alias("__key"), "__fp")
-    return mine.join(first.hint("merge"), ["__key", "__fp"], "left_semi").dropDuplicates(["__key", "__fp"]).select(*docs.columns)
+    number = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(text), F.lit(1 << 40)))
+    mine = docs.select(F.struct("*").alias("row"), number.alias("key"), fingerprint_column(F.col(text)).alias("fp"))
+    found = near_duplicate_components(mine.select(F.col("key").alias("doc_id"), "fp"), radius)
+    first = found.filter("doc_id = component_id").groupBy("doc_id", "root").agg(F.min("fp").alias("fp")).select(F.col("doc_id").alias("key"), "fp")
+    return mine.join(first.hint("merge"), ["key", "fp"], "left_semi").dropDuplicates(["key", "fp"]).select("row.*")
 
 
 def op4_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:

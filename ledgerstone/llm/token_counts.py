@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PreTokenizer, merge_words, table_from_json
-from .common import in_chunks, table
+from .common import in_chunks, table, trim
 
 #: Words kept per task, and the length up to which a word is kept.
 KNOWN_WORDS, KNOWN_LENGTH = 400_000, 64
@@ -60,6 +60,7 @@ def count_tokens(text: Column, tokenizer_path: str, pattern: str) -> Column:
         pre = PreTokenizer(pattern, specials)
         known = dict.fromkeys(specials, 1)
         for s in batches:
+            trim()
             yield pd.Series(_counts(s.tolist(), pre, pairs, known))
 
     return n_tokens(F.coalesce(text, F.lit("")))

@@ -5,7 +5,7 @@ weight vector for both ordered thresholds; the result is the expected severity,
 
 Features are the logarithms of term counts; terms are words and word beginnings of PREFIXES letters. Terms are chosen, and the
 model fitted, on a bounded sample of labelled rows: at most SAMPLE labels, taken in the order of a hash of their id, with their
-whole texts (documented parameter). Equal texts count once there. Scoring reads the whole text of every document. A null text counts as empty; null or repeated ids keep their rows.
+whole texts (documented parameter). Equal texts count once there, and an id that repeats gives one of its texts. Scoring reads the whole text of every document. A null text counts as empty; null or repeated ids keep their rows.
 Without usable labels (none, or of one class only) the severity is 0 and nothing is toxic.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, table
+from .common import Stage, table, trim
 
 SAMPLE, TERMS, LEAST_TEXTS, HEAVY, PREFIXES = 6000, 512, 8, 3, (3, 4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -104,11 +104,15 @@ def train(labels: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits a model on at most `sample` labelled documents. Spark's tasks count terms and their texts; the driver gets the chosen terms
     (at most TERMS) and their counts in the sample."""
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # one text of each id, so that ids that repeat leave the sample bounded
+    first = F.min_by("text", F.xxhash64("text")).alias("text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(first).join(F.broadcast(chosen), "doc_id")
     once = rows.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            trim()
             counted = [term_counts(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32())), batch.column(1)], ["terms", "n", "toxic"])
 
@@ -141,16 +145,16 @@ def severity_column(text: Column, model: Model) -> Column:
     def severity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         neutral: set[str] = set()  # words without a term, so far
         for s in batches:
+            trim()
             rows, cols, n = [], [], []
             for i, t in enumerate(s.tolist()):
-                words = _WORD.findall(t.lower())
+                words = Counter(_WORD.findall(t.lower()))
                 bag: Counter = Counter()
-                for w in set(words) - neutral:
+                for w in words.keys() - neutral:
                     mine = [terms[f] for f in features(w) if f in terms]
                     if mine:
-                        k = words.count(w)
                         for c in mine:
-                            bag[c] += k
+                            bag[c] += words[w]
                     elif len(w) <= 64:
                         neutral.add(w)
                 if len(neutral) > 500_000:
@@ -171,6 +175,12 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return docs.withColumn("severity", severity_column(F.col("text"), model)).withColumn("toxic", F.col("severity") > F.lit(model.threshold))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that aren't toxic, with all their columns as they are."""
+    model = train(labels, docs, sample)
+    return docs.filter(severity_column(F.col("text"), model) <= F.lit(model.threshold))
+
+
 def op10_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return with_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", F.round("severity", 6).alias("severity"), "toxic")

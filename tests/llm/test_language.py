@@ -1,3 +1,6 @@
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import language
@@ -21,3 +24,36 @@ def test_suffix_comes_from_the_host(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.language for r in language.op5_language_fusion(spark, str(tmp_path)).filter("doc_id >= 100").collect()}
     assert got == {100: "sv", 101: "en"}
+
+
+def test_language_codes(spark):
+    tags = [("en-GB", "en"), (" DEU ", "de"), ("fil", "fil"), ("haw_US", "haw"), ("zh-Hans-CN", "zh"), ("english", None), ("", None), (None, None), ("e", None)]
+    df = spark.createDataFrame(tags, "tag string, want string")
+    assert all(r.got == r.want for r in df.select("want", language.language_code(F.col("tag")).alias("got")).collect())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_held_out_accuracy_by_evidence(spark):
+    """Rows outside the training sample, with each kind of evidence alone and all together."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").dropDuplicates(["text"])
+    held = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
+    sample = docs.join(held.select("doc_id"), "doc_id", "left_anti")
+    model = language.train(sample.select(F.col("doc_id").cast("string").alias("id"), "text", language.language_code(F.col("lang")).alias("declared")), 300)
+    noisy = held.withColumn("empty", F.lit("")).withColumn("declared", F.when(F.col("doc_id") % 10 == 1, "de").otherwise(F.col("lang"))).withColumn("suffix", F.when(F.col("doc_id") % 5 == 1, "fr").otherwise(F.col("lang")))
+    noisy = noisy.withColumn("host", F.concat("lang", (F.col("doc_id") % 3).cast("string"))).cache()
+
+    def accuracy(**evidence):
+        got = language.identify(noisy, model=model, **evidence)
+        return got.select(F.avg((F.col("language") == F.col("lang")).cast("int"))).first()[0]
+
+    text, all_ = accuracy(), accuracy(declared="declared", suffix="suffix", host="host")
+    declared, suffix = accuracy(text="empty", declared="declared"), accuracy(text="empty", suffix="suffix")
+    print(f"held out: text {text:.3f}, declaration {declared:.3f}, suffix {suffix:.3f}, all {all_:.3f}")
+    assert text > 0.97 and all_ > 0.97 and declared > 0.85 and suffix > 0.7
+
+
+def test_pages_by_markup_suffix_and_host(spark, tmp_path):
+    rows = [(i, f"https://a{i % 3}.example.{'sv' if i % 2 else 'com'}/x", f"<html lang='{'sv-SE' if i % 2 else 'en'}'><script>var x = 1;</script><p>{SV if i % 2 else EN}</p>") for i in range(40)] + [(100, "https://z.example.sv", "<html></html>"), (101, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.language for r in language.page_languages(spark, str(tmp_path)).collect()}
+    assert len(got) == 42 and got[1] == "sv" and got[2] == "en" and got[100] == "sv"

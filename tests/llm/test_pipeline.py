@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -61,6 +62,33 @@ def test_stages_take_effect(spark, corpus):
     assert kept["pii"][300].startswith("write to [EMAIL] ") and not any(re.search("@", t or "") for t in kept["pii"].values())
 
 
+def test_stages_leave_columns_of_the_same_name_alone(spark, corpus):
+    d, rows = corpus
+    names = ["language", "confidence", "rejected", "severity", "toxic", "row", "key", "node", "fp", "n", "bands", "root", "label", "declared", "host", "suffix", "ll", "seen", "post", "prior", "n_tokens"]
+    plain = spark.read.parquet(f"{d}/documents.parquet")
+    docs = plain.select("*", *(F.concat(F.lit(x), F.col("doc_id").cast("string")).alias(x) for x in names))
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs, plain = step(spark, docs, d).cache(), step(spark, plain, d).cache()
+        assert docs.columns == [*plain.columns, *names], name
+        assert all(r[x] == f"{x}{r.doc_id}" for r in docs.collect() for x in names), name
+        assert {(r.doc_id, r.text) for r in docs.collect()} == {(r.doc_id, r.text) for r in plain.collect()}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() == corpus_pipeline.STAGES[-1][1](spark, plain, d).count()
+
+
+def test_stages_with_nulls_repeats_and_empty_tables(spark, corpus):
+    d, rows = corpus
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    odd = spark.createDataFrame([(None, rows[1][1], "en", None, None), (None, None, None, None, None), (1, rows[1][1], "en", "src1", 5), (1, "another text of that id " + rows[2][1], "en-GB", "", 5), (None, rows[1][1], "EN", "src1", None)], docs.schema)
+    mixed = docs.union(odd)
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, mixed.limit(0), d).collect() == [], name
+        mixed = step(spark, mixed, d).cache()
+        if name == "near_duplicates":
+            texts = [r.text for r in mixed.collect()]
+            assert len(texts) == len(set(texts)) and rows[1][1] in texts
+    assert mixed.count() > 0
+
+
 def test_run_packs_what_is_left(spark, corpus):
     d, _ = corpus
     docs = spark.read.parquet(f"{d}/documents.parquet")
