@@ -15,13 +15,12 @@ from ledgerstone.llm.common import Stage, table
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language."""
-    known = docs.withColumn("__suffix", language.host_suffix(F.col("source")))
-    return language.identify(known, declared="lang", host="source", suffix="__suffix").filter(~F.col("rejected")).select(*docs.columns)
+    return language.known_language(docs, declared="lang", host="source", suffix=language.host_suffix(F.col("source")))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the severity that the labels call toxic."""
-    return toxicity.with_toxicity(docs, table(spark, sf_dir, "labels")).filter(~F.col("toxic")).select(*docs.columns)
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +30,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their personal data replaced by the names of its kinds."""
-    return docs.withColumn("text", pii.redact_column(F.col("text"))).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    redacted = docs.withColumn("text", pii.redact_column(F.col("text")))
+    return redacted.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
