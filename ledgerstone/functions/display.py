@@ -2,13 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scalars import js_round, parse_numeric
 
 DASH = "—"
 
+#: The blocks of a record's detail view, with the label and the place of each line.
+DETAIL_BLOCKS = {
+    "identity": [
+        ("id", "id"), ("display_name", "naming.display_name"), ("material_name", "naming.material_name"), ("product_brand_name", "naming.product_brand_name"),
+        ("group", "classification.group_prefix"), ("material_type", "classification.material_type"), ("product_type", "classification.product_type"),
+        ("product_subtype", "classification.product_subtype"), ("typical_elements", "classification.typical_elements"), ("rendering.grain", "rendering.has_grain"),
+    ],
+    "provenance": [
+        ("manufacturer", "manufacturer.name"), ("country_code", "manufacturer.country_code"), ("website", "manufacturer.website"),
+        ("countries_of_manufacture", "provenance.countries_of_manufacture"), ("markets_of_applicability", "provenance.markets_of_applicability"),
+        ("visibility", "status.visibility"), ("source_notes", "source_notes"), ("notes", "notes"),
+    ],
+    "physical": [
+        ("density", "physical.density.value_kg_m3"), ("thermal.conductivity (W/mK)", "physical.thermal.conductivity_w_mk"), ("moisture_content_pct", "physical.moisture_content_pct"),
+        ("mass_per_unit_kg", "physical.mass_per_unit_kg"), ("dimensions.length_m", "physical.dimensions.length_m"), ("dimensions.width_m", "physical.dimensions.width_m"),
+        ("dimensions.depth_m", "physical.dimensions.depth_m"), ("dimensions.units_per_m2", "physical.dimensions.units_per_m2"),
+    ],
+}
+
+
+def detail_lines(df: DataFrame, key: str = "id", blocks: dict | None = None) -> DataFrame:
+    """(key, block, line_no, label, shown): what a record's detail view says, one row for each line. Lists are joined by commas, flags are yes or no,
+    numbers are shown by their size; nulls, empty lists and places that the records don't have are a dash."""
+    from pyspark.sql import types as T
+
+    def kind_of(place: str):
+        kind = df.schema
+        for part in place.split("."):
+            kind = next((f.dataType for f in kind.fields if f.name == part), None) if isinstance(kind, T.StructType) else None
+        return kind
+
+    def text(place: str) -> Column:
+        kind, c = kind_of(place), F.col(place)
+        if kind is None:
+            return F.lit(DASH)
+        if isinstance(kind, T.ArrayType):
+            c = F.array_join(c.cast("array<string>"), ", ")
+        elif isinstance(kind, T.BooleanType):
+            c = F.when(c, "yes").when(~c, "no")
+        elif isinstance(kind, (T.DoubleType, T.FloatType)):
+            c = measure(c)
+        return F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit(DASH))
+
+    lines = [F.struct(F.lit(b).alias("block"), F.lit(i).alias("line_no"), F.lit(label).alias("label"), text(place).alias("shown")) for b, rows in (blocks or DETAIL_BLOCKS).items() for i, (label, place) in enumerate(rows)]
+    return df.select(F.col(key), F.explode(F.array(*lines)).alias("x")).select(key, "x.*")
+
 
 def _usable(x: Column) -> Column:
     """Neither null, zero nor without bound."""

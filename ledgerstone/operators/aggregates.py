@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .storage import numbered
+
 
 def gated_sum(value: Column, gate: Column) -> Column:
     """The sum over rows that pass the gate; 0 where none does."""
@@ -23,30 +25,34 @@ def impute_peer_average(df: DataFrame, by: list[str], value: str, flag: str) ->
     return joined.withColumns({value: F.when(hole, F.col("__mean")).otherwise(F.col(value)), "n_peers": F.when(hole, F.col("n_peers")).otherwise(F.lit(0)).cast("long")}).drop("__mean")
 
 
-def ranked(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
-    """Each row's place (__i from 0) in its group's order, and the group's size (__n)."""
-    place = F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1
-    return df.withColumn("__i", place).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*by)))
+def rows_at(df: DataFrame, by: list[str], places: dict[str, Column], *order: Column) -> DataFrame:
+    """The rows at given places (from 0, in terms of the group's size __n) of each group's order, with the place's name as __place.
+
+    Rows are numbered over the whole table, dealt by ranges; a group is a stretch of numbers, so none is gathered in one task."""
+    rows = numbered(df, *(F.col(b).asc() for b in by), *order, name="__rn")
+    groups = rows.groupBy(*by).agg(F.min("__rn").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    wanted = groups.select(F.explode(F.array(*(F.struct(F.lit(n).alias("__place"), (F.col("__first") + p).cast("long").alias("__rn")) for n, p in places.items()))).alias("w")).select("w.*")
+    return rows.join(wanted, "__rn").drop("__rn")
 
 
 def trimmed_extent(df: DataFrame, by: list[str], value: str, share: float = 0.05) -> DataFrame:
     """Per group the sorted values at floor(share * n) and ceil((1 - share) * n) - 1; the extremes of groups below four."""
-    r = ranked(df.filter(F.col(value).isNotNull()), by, F.asc(value))
-    lo = F.when(F.col("__n") < 4, 0).otherwise(F.floor(F.col("__n") * share))
-    hi = F.when(F.col("__n") < 4, F.col("__n") - 1).otherwise(F.ceil(F.col("__n") * (1 - share)) - 1)
-    return r.groupBy(*by).agg(F.max(F.when(F.col("__i") == lo, F.col(value))).alias("low"), F.max(F.when(F.col("__i") == hi, F.col(value))).alias("high"))
+    n = F.col("__n")
+    places = {"low": F.when(n < 4, 0).otherwise(F.floor(n * share)), "high": F.when(n < 4, n - 1).otherwise(F.ceil(n * (1 - share)) - 1)}
+    r = rows_at(df.filter(F.col(value).isNotNull()).select(*by, value), by, places, F.asc(value))
+    return r.groupBy(*by).agg(*(F.max(F.when(F.col("__place") == p, F.col(value))).alias(p) for p in places))
 
 
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Per group the sorted value at floor(n / 2)."""
-    r = ranked(df.filter(F.col(value).isNotNull()), by, F.asc(value))
-    return r.groupBy(*by).agg(F.max(F.when(F.col("__i") == F.floor(F.col("__n") / 2), F.col(value))).alias("median"))
+    r = rows_at(df.filter(F.col(value).isNotNull()).select(*by, value), by, {"median": F.floor(F.col("__n") / 2)}, F.asc(value))
+    return r.select(*by, F.col(value).alias("median"))
 
 
 def lower_median_row(df: DataFrame, by: list[str], value: str, *tie: Column) -> DataFrame:
     """Per group the row at floor((n - 1) / 2) of the order by value (none or NaN as 0)."""
     clean = F.coalesce(F.nanvl(F.col(value), F.lit(0.0)), F.lit(0.0))
-    return ranked(df, by, clean.asc(), *tie).filter(F.col("__i") == F.floor((F.col("__n") - 1) / 2)).drop("__i", "__n")
+    return rows_at(df, by, {"row": F.floor((F.col("__n") - 1) / 2)}, clean.asc(), *tie).drop("__place")
 
 
 def anchored_clusters(values: Column, gap: float) -> Column:
@@ -65,6 +71,15 @@ def anchored_clusters(values: Column, gap: float) -> Column:
     return F.transform(F.aggregate(ordered, start, step)["done"], lambda c: c["total"] / c["n"])
 
 
+def cluster_means(rows: DataFrame, by: str, value: str, gap: float) -> DataFrame:
+    """(by, run, means): the means of anchored clusters, by runs. A step above the gap begins a cluster in any case, so only the values
+    between two such steps are gathered."""
+    order = W.partitionBy(by).orderBy(value)
+    begins = F.coalesce((F.col(value) - F.lag(value).over(order) > gap).cast("int"), F.lit(1))
+    runs = rows.withColumn("__begins", begins).withColumn("run", F.sum("__begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy(by, "run").agg(anchored_clusters(F.collect_list(value), gap).alias("means"))
+
+
 def rolled_up(df: DataFrame, levels: list[str], sums: dict[str, Column]) -> DataFrame:
     """Sums for every level of a hierarchy and for the whole; levels rolled up are null."""
     return df.rollup(*levels).agg(*(c.alias(n) for n, c in sums.items()))

@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import kept
 
+#: Steps of a job, and tables that are put together.
+STEPS, COMPACT = 4, 6
+
 
 def reached(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Nodes reachable from the seeds (node) over edges (src, dst), with the depth at which they are first met; cycles end by themselves.
 
-    Each step joins only the newest nodes; each step's nodes are kept as a table of their own."""
+    A job takes STEPS steps at once from the newest nodes; what it finds is kept as one table, and these tables are put together as
+    soon as there are COMPACT of them, so that neither jobs nor files grow with each step."""
     edges = kept(edges.select("src", "dst").distinct())
-    front, depth = kept(seeds.select("node").distinct().withColumn("depth", F.lit(0))), 0
-    known = front
+    parts, depth = [kept(seeds.select("node").distinct().withColumn("depth", F.lit(0)))], 0
+    front = parts[0]
     while max_depth is None or depth < max_depth:
-        depth += 1
-        step = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        front = kept(step.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        known = reduce(DataFrame.unionByName, parts)
+        steps = STEPS if max_depth is None else min(STEPS, max_depth - depth)
+        new, at = [], front.select("node")
+        for k in range(steps):
+            at = edges.join(at.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct().join(known.select("node"), "node", "left_anti")
+            new.append(at.withColumn("depth", F.lit(depth + k + 1)))
+        found = kept(reduce(DataFrame.unionByName, new).groupBy("node").agg(F.min("depth").alias("depth")))
+        depth += steps
+        front = found.filter(F.col("depth") == depth)
+        parts.append(found)
         if front.isEmpty():
             break
-        known = known.unionByName(front)
-    return known
+        if len(parts) >= COMPACT:
+            parts = [kept(reduce(DataFrame.unionByName, parts))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def nodes_and_links(edges: DataFrame) -> DataFrame:

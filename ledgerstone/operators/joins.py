@@ -97,6 +97,20 @@ def nearest_within(points: DataFrame, targets: DataFrame, radius: float, point_k
     return first_of(near.select(point_key, "t_id", "distance"), [point_key], F.asc("distance"), F.asc("t_id"))
 
 
+def next_candidates(rows: DataFrame, page: str, pos: str, beyond: float) -> DataFrame:
+    """(page, pos, nxt): each distinct position of a page with the next one that lies more than `beyond` further.
+
+    Positions are put in bins as wide as that: the next one is in the bin behind, or it is the first of a later bin, wherever that is."""
+    own = rows.select(page, pos).distinct().withColumn("__bin", F.floor(F.col(pos) / beyond).cast("long"))
+    first = own.groupBy(page, "__bin").agg(F.min(pos).alias("__low"))
+    order = W.partitionBy(page).orderBy("__bin")
+    later = first.withColumn("__next", F.lead("__bin").over(order)).withColumn("__next_low", F.lead("__low").over(order)).withColumn("__far_low", F.lead("__low", 2).over(order))
+    far = later.select(page, "__bin", "__next", F.when(F.col("__next") > F.col("__bin") + 1, F.col("__next_low")).otherwise(F.col("__far_low")).alias("__far"))
+    near = own.select(page, (F.col("__bin") - 1).alias("__bin"), F.col(pos).alias("__q"))
+    behind = own.join(near, [page, "__bin"]).filter(F.col("__q") > F.col(pos) + beyond).groupBy(page, pos).agg(F.min("__q").alias("__near"))
+    return own.join(far, [page, "__bin"]).join(behind, [page, pos], "left").select(page, pos, F.coalesce("__near", "__far").alias("nxt"))
+
+
 def asof_header(rows: DataFrame, headers: DataFrame, scope: str, at: str = "line", n: str = "n_values") -> DataFrame:
     """For each row the nearest header at or before it with as many columns as the row has values, else the nearest at all.
 

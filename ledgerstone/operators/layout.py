@@ -9,6 +9,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,9 +43,17 @@ def row_clusters(items: DataFrame, by: str, tolerance: float = 3.0, anchored: bo
             elif not anchored:
                 anchor = y
             rows.append(n)
-        return pd.DataFrame({by: page[by], item: page[item], "row_no": rows})
+        return pd.DataFrame({by: page[by], "__run": page["__run"], item: page[item], "__no": rows})
 
-    return _per_page(items, by, fold, f"{by} {kinds[by]}, {item} {kinds[item]}, row_no long")
+    # a gap above any tolerance begins a row in any case, so each run between such gaps is folded by itself
+    order = W.partitionBy(by).orderBy("y", "x", item)
+    widest = F.greatest(F.lit(float(tolerance)), 0.3 * F.col(font)) if font else F.lit(float(tolerance))
+    begins = F.coalesce((F.col("y") - F.lag("y").over(order) > widest).cast("int"), F.lit(1))
+    runs = items.withColumn("__begins", begins).withColumn("__run", F.sum("__begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    folded = runs.groupBy(by, "__run").applyInPandas(fold, f"{by} {kinds[by]}, __run long, {item} {kinds[item]}, __no long")
+    sizes = folded.groupBy(by, "__run").agg(F.max("__no").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(by).orderBy("__run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return folded.join(sizes.select(by, "__run", before.alias("__before")), [by, "__run"]).select(by, item, (F.col("__before") + F.col("__no")).cast("long").alias("row_no"))
 
 
 def glyph_runs(items: DataFrame, by: str = "page") -> DataFrame:
@@ -220,6 +229,10 @@ def evaluated(formula: Column, cells: Column) -> Column:
 
     @F.pandas_udf(T.DoubleType())
     def run(f: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else _value(x, dict(m or {})) for x, m in zip(f, c)], dtype="float64")
+        known: dict = {}  # each formula over the same cells is worked out once in a batch
+        for x, m in zip(f, c):
+            if x is not None and (x, key := tuple(sorted((m or {}).items()))) not in known:
+                known[x, key] = _value(x, dict(key))
+        return pd.Series([None if x is None else known[x, tuple(sorted((m or {}).items()))] for x, m in zip(f, c)], dtype="float64")
 
     return run(formula, cells)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import minted_id
 from .joins import first_of
 from .merging import STATES
+from .storage import kept
 
 #: What a polygon is if nothing says so.
 POLYGON_DEFAULTS = {"kind": "area", "mode": "net", "scope": "building"}
@@ -72,10 +73,10 @@ def with_ids(rows: DataFrame, key: str, taken: DataFrame, attempts: int = 4) ->
     used = taken.select(F.col("id").alias("rid"))
     for n in range(attempts):
         tried = left.withColumn("rid", minted_id(F.col(key), n)).join(used, "rid", "left_anti")
-        won = first_of(tried, ["rid"], F.asc(key)).select(key, "rid")
+        won = kept(first_of(tried, ["rid"], F.asc(key)).select(key, "rid"))
         parts.append(won)
         used = used.unionByName(won.select("rid"))
-        left = left.join(won.select(key), key, "left_anti")
+        left = kept(left.join(won.select(key), key, "left_anti"))
     parts.append(left.withColumn("rid", F.sha2(F.col(key).cast("string"), 256)))
     ids = parts[0]
     for p in parts[1:]:

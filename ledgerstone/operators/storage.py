@@ -30,6 +30,20 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows, read from a table with one folder for each value of the columns: filters on these read only their folders."""
+    path = f"{shared_folder(df.sparkSession)}/by-{uuid.uuid4().hex}"
+    df.write.partitionBy(*columns).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def text_file(rows: DataFrame, suffix: str = "txt") -> str:
+    """The path of a folder with the rows' one string column as lines of text files."""
+    path = f"{shared_folder(rows.sparkSession)}/text-{uuid.uuid4().hex}.{suffix}"
+    rows.write.text(path)
+    return path
+
+
 def numbered(df: DataFrame, *order: Column, name: str = "rn") -> DataFrame:
     """Row numbers from 1 over a total order, without one task for all rows.
 

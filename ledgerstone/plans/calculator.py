@@ -156,5 +156,7 @@ def _(spark, d):
   c AS (SELECT user_id, i, x, x AS anchor, CAST(1 AS BIGINT) AS k FROM v WHERE i = 1 UNION ALL SELECT v.user_id, v.i, v.x, CASE WHEN v.x - c.anchor > 5 THEN v.x ELSE c.anchor END, CASE WHEN v.x - c.anchor > 5 THEN c.k + 1 ELSE c.k END FROM c JOIN v ON v.user_id = c.user_id AND v.i = c.i + 1)
   SELECT user_id, string_agg(printf('%.6f', m), ',' ORDER BY k) AS means FROM (SELECT user_id, k, avg(x) AS m FROM c GROUP BY 1, 2) GROUP BY 1""")
 def _(spark, d):
-    rows = read(spark, d, "events").filter("event_type = 'purchase' AND value IS NOT NULL").groupBy("user_id").agg(F.collect_list("value").alias("xs"))
-    return rows.select("user_id", F.array_join(F.transform(A.anchored_clusters(F.col("xs"), 5.0), lambda m: F.format_string("%.6f", m)), ",").alias("means"))
+    rows = read(spark, d, "events").filter("event_type = 'purchase' AND value IS NOT NULL").select("user_id", F.col("value").alias("x"))
+    means = A.cluster_means(rows, "user_id", "x", 5.0)
+    parts = F.array_sort(F.collect_list(F.struct("run", "means")))
+    return means.groupBy("user_id").agg(F.array_join(F.transform(F.flatten(F.transform(parts, lambda p: p["means"])), lambda m: F.format_string("%.6f", m)), ",").alias("means"))

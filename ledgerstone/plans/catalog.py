@@ -9,7 +9,7 @@ from ..functions import scalars as S
 from ..operators import aggregates as A
 from ..operators import extraction as E
 from ..operators import joins as J
-from ..operators.storage import numbered
+from ..operators.storage import numbered, stored_by
 from .registry import query
 from .tables import read
 
@@ -74,7 +74,9 @@ def _(spark, d):
 
 @query("partition_point_lookup", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_orderkey BETWEEN 100 AND 400")
 def _(spark, d):
-    return read(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_linestatus = 'F' AND l_orderkey BETWEEN 100 AND 400").select("l_orderkey", "l_linenumber", "l_partkey")
+    # the table is stored by group once; a lookup then reads the one group's files
+    by_group = stored_by(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", "l_returnflag"), "l_returnflag")
+    return by_group.filter("l_returnflag = 'R' AND l_linestatus = 'F' AND l_orderkey BETWEEN 100 AND 400").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("sort_nulls_last", f"""SELECT p_partkey, gwp, CAST(row_number() OVER (ORDER BY gwp DESC NULLS LAST, p_partkey) AS BIGINT) AS rn_desc, CAST(row_number() OVER (ORDER BY gwp ASC NULLS LAST, p_partkey) AS BIGINT) AS rn_asc FROM {_CATALOG}""")

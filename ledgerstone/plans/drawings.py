@@ -83,7 +83,17 @@ def _(spark, d):
     return D.by_stage(declared(spark, d), "s_suppkey", "t")
 
 
-@query("id_mint", None)
+def _minted() -> str:
+    """SQL of the ids: four attempts, each for those that lost the one before, then a longer id."""
+    steps = ["u0 AS (SELECT '000000' AS rid)", "l0 AS (SELECT c_custkey AS k FROM customer)"]
+    for n in range(4):
+        steps.append(f"w{n} AS (SELECT rid, min(k) AS k FROM (SELECT k, substr(sha256(CAST(k AS VARCHAR) || ':{n}'), 1, 6) AS rid FROM l{n}) WHERE rid NOT IN (SELECT rid FROM u{n}) GROUP BY rid)")
+        steps.append(f"u{n + 1} AS (SELECT rid FROM u{n} UNION SELECT rid FROM w{n}), l{n + 1} AS (SELECT k FROM l{n} WHERE k NOT IN (SELECT k FROM w{n}))")
+    won = " UNION ALL ".join(f"SELECT k, rid FROM w{n}" for n in range(4))
+    return f"WITH {', '.join(steps)} SELECT k AS c_custkey, rid AS id FROM ({won} UNION ALL SELECT k, sha256(CAST(k AS VARCHAR)) FROM l4)"
+
+
+@query("id_mint", _minted())
 def _(spark, d):
     return P.with_ids(read(spark, d, "customer").select("c_custkey"), "c_custkey", spark.createDataFrame([("000000",)], "id string"))
 

@@ -48,33 +48,33 @@ def _(spark, d):
     return G.net_areas(polygons, children).select("poly_id", F.round("net_area", 4).alias("net_area"))
 
 
-_BOXES = "(SELECT p_partkey AS box_id, (p_partkey * 37 % 1000)::DOUBLE AS x1, (p_partkey * 53 % 800)::DOUBLE AS y1, (p_partkey * 37 % 1000 + 5 + p_size)::DOUBLE AS x2, (p_partkey * 53 % 800 + 8 + p_size)::DOUBLE AS y2, CAST((5 + p_size) * (8 + p_size) AS DOUBLE) AS area FROM part)"
-_POINTS = "(SELECT c_custkey AS p_id, (c_custkey * 17 % 1000)::DOUBLE + 0.5 AS x, (c_custkey * 29 % 800)::DOUBLE + 0.5 AS y FROM customer)"
+_BOXES = "(SELECT p_partkey AS box_id, p_partkey // 500 AS page, (p_partkey * 37 % 1000)::DOUBLE AS x1, (p_partkey * 53 % 800)::DOUBLE AS y1, (p_partkey * 37 % 1000 + 5 + p_size)::DOUBLE AS x2, (p_partkey * 53 % 800 + 8 + p_size)::DOUBLE AS y2, CAST((5 + p_size) * (8 + p_size) AS DOUBLE) AS area FROM part)"
+_POINTS = "(SELECT c_custkey AS p_id, c_custkey // 500 AS page, (c_custkey * 17 % 1000)::DOUBLE + 0.5 AS x, (c_custkey * 29 % 800)::DOUBLE + 0.5 AS y FROM customer)"
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     k, s = F.col("p_partkey"), F.col("p_size")
-    rows = read(spark, d, "part").select(k.alias("box_id"), (k * 37 % 1000).cast("double").alias("x1"), (k * 53 % 800).cast("double").alias("y1"), (k * 37 % 1000 + 5 + s).cast("double").alias("x2"), (k * 53 % 800 + 8 + s).cast("double").alias("y2"), ((5 + s) * (8 + s)).cast("double").alias("area"))
+    rows = read(spark, d, "part").select(k.alias("box_id"), F.floor(k / 500).cast("long").alias("page"), (k * 37 % 1000).cast("double").alias("x1"), (k * 53 % 800).cast("double").alias("y1"), (k * 37 % 1000 + 5 + s).cast("double").alias("x2"), (k * 53 % 800 + 8 + s).cast("double").alias("y2"), ((5 + s) * (8 + s)).cast("double").alias("area"))
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     return rows.withColumn("vertices", F.array(corner("x1", "y1"), corner("x2", "y1"), corner("x2", "y2"), corner("x1", "y2"))).withColumn("seq", F.col("box_id"))
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
-    return read(spark, d, "customer").select(k.alias("p_id"), ((k * 17 % 1000).cast("double") + 0.5).alias("x"), ((k * 29 % 800).cast("double") + 0.5).alias("y"))
+    return read(spark, d, "customer").select(k.alias("p_id"), F.floor(k / 500).cast("long").alias("page"), ((k * 17 % 1000).cast("double") + 0.5).alias("x"), ((k * 29 % 800).cast("double") + 0.5).alias("y"))
 
 
-@query("smallest_container", f"SELECT p.p_id, b.box_id FROM {_POINTS} p LEFT JOIN (SELECT p_id, box_id, row_number() OVER (PARTITION BY p_id ORDER BY area, box_id) AS r FROM {_POINTS} JOIN {_BOXES} ON x > x1 AND x < x2 AND y > y1 AND y < y2) b ON p.p_id = b.p_id AND r = 1")
+@query("smallest_container", f"SELECT p.p_id, b.box_id FROM {_POINTS} p LEFT JOIN (SELECT p_id, box_id, row_number() OVER (PARTITION BY p_id ORDER BY area, box_id) AS r FROM {_POINTS} p JOIN {_BOXES} b ON p.page = b.page AND x > x1 AND x < x2 AND y > y1 AND y < y2) b ON p.p_id = b.p_id AND r = 1")
 def _(spark, d):
-    return J.smallest_container(points(spark, d), boxes(spark, d), G.contains(F.col("vertices"), F.col("x"), F.col("y")), "p_id", 40.0).select("p_id", "box_id")
+    return J.smallest_container(points(spark, d), boxes(spark, d), G.contains(F.col("vertices"), F.col("x"), F.col("y")), "p_id", 40.0, scope=["page"]).select("p_id", "box_id")
 
 
-_SEGMENTS = "(SELECT p_partkey AS seg_id, p_partkey % 20 AS page, (p_partkey * 131 % 2000)::DOUBLE / 2 AS pos, (p_partkey * 71 % 300)::DOUBLE AS lo, (p_partkey * 71 % 300 + 30 + p_size * 3)::DOUBLE AS hi FROM part)"
+_SEGMENTS = "(SELECT p_partkey AS seg_id, p_partkey // 500 AS page, (p_partkey * 131 % 2000)::DOUBLE / 2 AS pos, (p_partkey * 71 % 300)::DOUBLE AS lo, (p_partkey * 71 % 300 + 30 + p_size * 3)::DOUBLE AS hi FROM part)"
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    return read(spark, d, "part").select(k.alias("seg_id"), (k % 20).alias("page"), ((k * 131 % 2000).cast("double") / 2).alias("pos"), (k * 71 % 300).cast("double").alias("lo"), (k * 71 % 300 + 30 + F.col("p_size") * 3).cast("double").alias("hi"))
+    return read(spark, d, "part").select(k.alias("seg_id"), F.floor(k / 500).cast("long").alias("page"), ((k * 131 % 2000).cast("double") / 2).alias("pos"), (k * 71 % 300).cast("double").alias("lo"), (k * 71 % 300 + 30 + F.col("p_size") * 3).cast("double").alias("hi"))
 
 
 @query("parallel_semi", f"SELECT seg_id FROM {_SEGMENTS} a WHERE EXISTS (SELECT 1 FROM {_SEGMENTS} b WHERE a.page = b.page AND a.seg_id <> b.seg_id AND abs(a.pos - b.pos) BETWEEN 3 AND 25 AND least(a.hi, b.hi) - greatest(a.lo, b.lo) >= 40)")
@@ -108,24 +108,22 @@ def _(spark, d):
 
 @query("best_score_match", f"""SELECT c_id, s_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY c_id ORDER BY round(score, 9) DESC, s_id) AS r FROM (
   SELECT c_id, seg_id AS s_id, 0.6::DOUBLE * (1 - e / 0.08::DOUBLE) + 0.4::DOUBLE * (1 - dist / 500::DOUBLE) AS score FROM (SELECT c.p_id AS c_id, s.seg_id, abs(s.hi - s.lo - c.want) / c.want AS e, sqrt(power(greatest(s.lo - c.x, 0, c.x - s.hi), 2) + power(greatest(s.pos - c.y, 0, c.y - s.pos), 2)) AS dist
-  FROM (SELECT *, 40 + p_id % 90 AS want, p_id % 20 AS page FROM {_POINTS}) c JOIN {_SEGMENTS} s ON c.page = s.page) WHERE e <= 0.08::DOUBLE AND dist <= 500)) WHERE r = 1""")
+  FROM (SELECT *, 40 + p_id % 90 AS want FROM {_POINTS}) c JOIN {_SEGMENTS} s ON c.page = s.page) WHERE e <= 0.08::DOUBLE AND dist <= 500)) WHERE r = 1""")
 def _(spark, d):
-    c = points(spark, d).select(F.col("p_id").alias("c_id"), F.col("x").alias("cx"), F.col("y").alias("cy"), (40 + F.col("p_id") % 90).cast("double").alias("want"), (F.col("p_id") % 20).alias("page"))
+    c = points(spark, d).select(F.col("p_id").alias("c_id"), F.col("x").alias("cx"), F.col("y").alias("cy"), (40 + F.col("p_id") % 90).cast("double").alias("want"), F.floor(F.col("p_id") / 500).cast("long").alias("page"))
     s = segments(spark, d).select(F.col("seg_id").alias("s_id"), "page", F.col("lo").alias("x1"), F.col("pos").alias("y1"), F.col("hi").alias("x2"), F.col("pos").alias("y2"), (F.col("hi") - F.col("lo")).alias("length"))
     return J.best_score_match(c, s, scope=["page"]).select("c_id", "s_id", F.round("score", 6).alias("score"))
 
 
-@query("nearest_within", f"""SELECT p_id, t_id, round(dist, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY dist, t_id) AS r FROM (SELECT p.p_id, b.box_id AS t_id, sqrt(power(p.x - b.x1, 2) + power(p.y - b.y1, 2)) AS dist FROM {_POINTS} p JOIN {_BOXES} b ON abs(p.x - b.x1) < 12 AND abs(p.y - b.y1) < 12) WHERE dist < 12) WHERE r = 1""")
+@query("nearest_within", f"""SELECT p_id, t_id, round(dist, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY p_id ORDER BY dist, t_id) AS r FROM (SELECT p.p_id, b.box_id AS t_id, sqrt(power(p.x - b.x1, 2) + power(p.y - b.y1, 2)) AS dist FROM {_POINTS} p JOIN {_BOXES} b ON p.page = b.page AND abs(p.x - b.x1) < 12 AND abs(p.y - b.y1) < 12) WHERE dist < 12) WHERE r = 1""")
 def _(spark, d):
-    t = boxes(spark, d).select(F.col("box_id").alias("t_id"), F.col("x1").alias("tx"), F.col("y1").alias("ty"))
-    return J.nearest_within(points(spark, d), t, 12.0).select("p_id", "t_id", F.round("distance", 6).alias("distance"))
+    t = boxes(spark, d).select(F.col("box_id").alias("t_id"), "page", F.col("x1").alias("tx"), F.col("y1").alias("ty"))
+    return J.nearest_within(points(spark, d), t, 12.0, scope=["page"]).select("p_id", "t_id", F.round("distance", 6).alias("distance"))
 
 
-@query("next_candidate", f"SELECT p.page, p.pos, (SELECT min(q.pos) FROM {_SEGMENTS} q WHERE q.page = p.page AND q.pos > p.pos + 0.5) AS nxt FROM (SELECT DISTINCT page, pos FROM {_SEGMENTS} WHERE seg_id % 7 = 0) p")
+@query("next_candidate", f"SELECT p.page, p.pos, (SELECT min(q.pos) FROM {_SEGMENTS} q WHERE q.page = p.page AND q.pos > p.pos + 0.5) AS nxt FROM (SELECT DISTINCT page, pos FROM {_SEGMENTS}) p")
 def _(spark, d):
-    s = segments(spark, d)
-    held = s.groupBy("page").agg(F.collect_set("pos").alias("all"))  # a page's positions
-    return s.filter("seg_id % 7 = 0").select("page", "pos").distinct().join(held, "page").select("page", "pos", G.next_candidate(F.col("pos"), F.col("all")).alias("nxt"))
+    return J.next_candidates(segments(spark, d), "page", "pos", 0.5)
 
 
 @query("endpoint_dedupe", f"SELECT rx, ry, min(seg_id) AS first_id FROM (SELECT seg_id, CAST(floor(lo + 0.5) AS BIGINT) AS rx, CAST(floor(pos + 0.5) AS BIGINT) AS ry FROM {_SEGMENTS}) GROUP BY 1, 2")

@@ -54,9 +54,30 @@ def picker_rows(cells: DataFrame, tab: str = "tab") -> DataFrame:
 
 
 def catalogue_files(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
-    """Records of group files, one row each; files that can't be parsed give none. group_prefix comes along for pruning."""
-    raw = spark.read.schema(f"group_prefix string, records array<struct<{schema}>>").option("multiLine", True).option("mode", "DROPMALFORMED").json(paths)
-    return raw.select("group_prefix", F.explode("records").alias("r")).select("group_prefix", "r.*")
+    """Records of group files, one row each; files that can't be parsed give none (unreadable_files names them). group_prefix comes along for pruning."""
+    return _group_files(spark, paths, schema).filter("_bad IS NULL").select("group_prefix", F.explode("records").alias("r")).select("group_prefix", "r.*")
+
+
+def unreadable_files(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    """(path) of the group files that can't be parsed."""
+    return _group_files(spark, paths, schema).filter("_bad IS NOT NULL").select(F.col("_metadata.file_path").alias("path"))
+
+
+def _group_files(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
+    return spark.read.schema(f"group_prefix string, records array<struct<{schema}>>, _bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(paths)
+
+
+def dictionary(spark: SparkSession, path: str, under: str | None = None, value: str = "string") -> DataFrame:
+    """(key, value) of a JSON dictionary file; `under` names the field that holds the dictionary, where it isn't the file itself."""
+    whole = spark.read.text(path, wholetext=True)
+    kind = f"map<string,{value}>"
+    held = F.from_json("value", f"{under} {kind}")[under] if under else F.from_json("value", kind)
+    return whole.select(F.explode(held).alias("key", "value"))
+
+
+def lookups(spark: SparkSession, files: dict[str, tuple[str, str | None]]) -> dict[str, DataFrame]:
+    """The lookup tables of an importer by name: files are (path, field) of JSON dictionaries; joins broadcast them by their size."""
+    return {name: dictionary(spark, path, under) for name, (path, under) in files.items()}
 
 
 def projects(spark: SparkSession, path: str) -> DataFrame:
