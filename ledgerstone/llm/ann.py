@@ -11,7 +11,7 @@ it hasn't seen, and keeps the best BEAM; it ends when all nodes in the beam are
 precision on the original vectors; rows that were not scored so never enter a result.
 
 All joins are by node with small rows, so a task holds a batch or one node's meeting of at most DEGREE + BACK + 1 vectors. A
-node that very many lists or queries name is dealt over several tasks (`_join`).
+node that very many lists or queries name is dealt over several tasks (`join_dealt`).
 
 Vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take no part. Ties go to the
 smaller vec_id. Null ids take no part either. Copies of one vector are ranked by their ids; a result needs no more than the
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stage, table, trim
+from .common import HOT, Stage, join_dealt, table, trim
 
 RANKS, DEGREE, BACK = 20, 48, 24
 #: First lists: partitions, nodes that are dealt out together, nodes compared with each other.
@@ -37,8 +37,6 @@ TREES, DEALT, LEAF = 2, 1024, 256
 SETTLED = 0.005
 #: Nodes that a query keeps, and those it opens in a hop.
 BEAM, OPENED = 64, 16
-#: A key with more rows is dealt over several tasks.
-HOT = 10_000
 SEED = 20
 
 
@@ -149,18 +147,6 @@ def _merge_lists(rows: DataFrame, k: int) -> DataFrame:
     return rows.repartition("id").sortWithinPartitions("id").mapInArrow(merge, _Lists.SCHEMA)
 
 
-def _join(rows: DataFrame, other: DataFrame, key: str, stage: Stage, counts: DataFrame, total: int) -> DataFrame:
-    """rows joined with other, which has few rows for a key. counts (key, n) says how often rows name a key; a key with more than
-    HOT, and more than one in 50,000 of total, is dealt over parts, so that at most 50,000 keys are broadcast."""
-    hot = max(HOT, total // 50_000)
-    hubs = stage.write(counts.filter(F.col("n") > hot).select(key, F.ceil(F.col("n") / hot).cast("int").alias("parts")))
-    if hubs.isEmpty():
-        return rows.join(other, key)
-    dealt = rows.join(F.broadcast(hubs), key, "left").withColumn("part", F.coalesce(F.floor(F.rand(SEED) * F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-    copies = other.join(F.broadcast(hubs), key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(copies, [key, "part"]).drop("part")
-
-
 # -- the graph -----------------------------------------------------------------------------------------------
 
 
@@ -284,7 +270,7 @@ def descend(graph: DataFrame, nodes: DataFrame, n: int, stage: Stage, degree: in
     both = graph.withColumn("back", F.lit(False)).union(graph.mapInArrow(turned, _Lists.SCHEMA).withColumn("back", F.lit(True)))
     meetings = both.repartition("id").sortWithinPartitions("id").mapInArrow(members, "id long, at long, fresh byte")
     ready = nodes.join(graph.select("id", "scores").mapInArrow(limits, "id long, low float"), "id", "left").select("id", "code", F.coalesce("low", F.lit(float("-inf")).cast("float")).alias("low"))
-    met = _join(meetings, ready, "id", stage, _named(graph), n * (degree + BACK)).select("at", "id", "fresh", "code", "low")
+    met = join_dealt(meetings, ready, "id", stage, _named(graph), n * (degree + BACK), n).select("at", "id", "fresh", "code", "low")
     better = met.repartition("at").sortWithinPartitions("at").mapInArrow(meet, _Lists.SCHEMA)
     return stage.write(_merge_lists(graph.mapInArrow(aged, _Lists.SCHEMA).union(better), degree))
 
@@ -320,7 +306,7 @@ class Index:
 
     def _by_node(self, asked: DataFrame, other: DataFrame, n_queries: int, each: int) -> DataFrame:
         """(query, id) with the columns of other by node; asked is stored."""
-        return _join(asked, other, "id", self.stage, asked.groupBy("id").agg(F.count(F.lit(1)).alias("n")), n_queries * each)
+        return join_dealt(asked, other, "id", self.stage, asked.groupBy("id").agg(F.count(F.lit(1)).alias("n")), n_queries * each, n_queries)
 
     def search(self, queries: DataFrame, ranks: int = RANKS, beam: int = BEAM) -> DataFrame:
         """For nodes (id) as queries, the best other nodes found: (query, id, score)."""
@@ -438,13 +424,13 @@ def nearest(df: DataFrame, every: int = 20, ranks: int = RANKS, vector: str = "e
     nodes = index.nodes.select(key, F.col("v").alias("own"), "id", squared.alias("self"))
     n = wanted.count()
     counts = lambda rows, k: rows.groupBy(k).agg(F.count(F.lit(1)).alias("n"))
-    queries = stage.write(_join(wanted, nodes, "key", stage, counts(wanted, "key"), n).filter(F.col("v") == F.col("own")).select("query_id", F.col("id").alias("query"), "self"))
+    queries = stage.write(join_dealt(wanted, nodes, "key", stage, counts(wanted, "key"), n, n).filter(F.col("v") == F.col("own")).select("query_id", F.col("id").alias("query"), "self"))
     points = stage.write(queries.groupBy("query").agg(F.first("self").alias("self")))
     found = stage.write(index.search(points.select(F.col("query").alias("id")), ranks).union(points.select("query", F.col("query").alias("id"), F.col("self").alias("score"))))
-    copies = _join(found, index.copies, "id", stage, counts(found, "id"), n * ranks).select("query", "vec_id", "score")
+    copies = join_dealt(found, index.copies, "id", stage, counts(found, "id"), n * ranks, n).select("query", "vec_id", "score")
     top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("below"), "vec_id"))), 1, ranks + 1)
     lists = stage.write(copies.groupBy("query").agg(top.alias("near")))
-    rows = _join(queries.select("query", "query_id"), lists, "query", stage, counts(queries, "query"), n)
+    rows = join_dealt(queries.select("query", "query_id"), lists, "query", stage, counts(queries, "query"), n, n)
     mine = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, ranks)
     every_one = rows.select("query_id", F.posexplode(mine).alias("at", "x"))
     return every_one.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (F.lit(0.0) - F.col("x.below")).alias("score"))

@@ -9,6 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 try:
@@ -86,6 +87,24 @@ def release(spark: SparkSession) -> None:
         _delete(spark, _BASES.pop())
 
 
+#: A key with more rows is dealt over several tasks.
+HOT = 10_000
+
+
+def join_dealt(rows: DataFrame, other: DataFrame, key: str, stage: Stage, counts: DataFrame, total: int, most: int, how: str = "inner") -> DataFrame:
+    """rows joined with other, which has few rows for a key. counts (key, n) says how often rows name a key, `most` how often they can; a key with more than
+    HOT, and more than one in 50,000 of total, is dealt over parts, so that at most 50,000 keys are broadcast. The part depends on the row alone, so a task that runs again deals its rows as before."""
+    hot = max(HOT, total // 50_000)
+    if most <= hot:
+        return rows.join(other, key, how)
+    hubs = stage.write(counts.filter(F.col("n") > hot).select(key, F.ceil(F.col("n") / hot).cast("int").alias("parts")))
+    if hubs.isEmpty():
+        return rows.join(other, key, how)
+    dealt = rows.join(F.broadcast(hubs), key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    copies = other.join(F.broadcast(hubs), key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [key, "part"], how).drop("part")
+
+
 def in_chunks(texts: list, max_chars: int = 1_000_000):
     """Slices of a list of strings that hold about max_chars; one long text makes a slice of its own."""
     start = size = 0

@@ -3,10 +3,12 @@
 1. Equal texts become one node. A task makes each node's minhashes over its distinct shingles (words compared as in simhash) and
    folds them into BANDS keys of ROWS minhashes each. Nodes that share a key are candidates. A pair at 0.8 shares none
    with the probability (1 - 0.8 ** ROWS) ** BANDS = 0.00007, and less above.
-2. Candidates are checked on their texts' shingles. In each round all nodes of a key meet one leader, another each time; keys whose nodes
-   are all linked, directly or not, are done. Rounds go on while they settle a tenth of what is open, LEADERS at least;
-   then the pairs of a key that no link joins yet are checked. No group is capped.
-3. Fingerprints within the radius of simhash are linked as well. Components grow by smallest labels.
+2. Candidates are checked on their texts' shingles. In each round all nodes of a key meet one leader: first the node that meets most others over
+   all its keys, as the middle of a large group does, then others. Keys whose nodes are all linked, directly or not, are done. Rounds go on
+   while they settle a tenth of what is open.
+3. Then the pairs of a key that no link joins yet are checked, but for those that can't reach the similarity: shingles that no other open node
+   has can't be shared, and that bounds a pair's overlap exactly. No group is capped.
+4. Fingerprints within the radius of simhash are linked as well. Components grow by smallest labels.
 
 A null text counts as empty. Columns of any name are kept as they are. Texts of fewer than five words have one shingle, the whole text: they are near copies of equal texts only, or by their fingerprint.
 """
@@ -25,7 +27,9 @@ from pyspark.sql import types as T
 from . import simhash
 from .common import Stage, trim
 
-WORDS, LEAST, BANDS, ROWS, LEADERS = 5, 0.8, 24, 5, 2
+WORDS, LEAST, BANDS, ROWS = 5, 0.8, 24, 5
+#: Rounds over nodes that may have a partner, each of which finds more shingles that nobody shares.
+NARROWED = 2
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -99,6 +103,28 @@ def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met.mapInArrow(check, "fp long, to long")
 
 
+def _lonely(open_: DataFrame, texts: DataFrame, stage: Stage) -> DataFrame:
+    """(node, lone) of open nodes (band, node, n, label) that may have a partner: how many of a node's shingles no other such node has.
+
+    A node with more than 1 - LEAST of its shingles to itself has no partner. Leaving it out makes more shingles of the others lone."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trim()
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = shingles(_words(text))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node), pa.int64()), pa.array(h.view(np.int64))], ["node", "h"])
+
+    nodes = stage.write(open_.groupBy("node").agg(F.first("n").alias("n")))
+    held = stage.write(texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(cut, "node long, h long"))
+    for _ in range(NARROWED):
+        alone = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).filter("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+        counted = nodes.select("node", "n").join(alone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+        nodes = stage.write(counted.filter(F.col("lone") <= (1 - LEAST) * F.col("n") + 1e-9))
+        held = held.join(nodes.select("node"), "node", "left_semi")
+    return nodes.select("node", "lone")
+
+
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, one of each component: that with the smallest key. A null key counts as a large number made from its text."""
     spark = docs.sparkSession
@@ -123,23 +149,31 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     texts = stage.write(mine.select("key", "node", "text").join(wanted, "key", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
 
     roots = simhash.components(links, stage)
-    fits = F.least("n", "m") >= LEAST * F.greatest("n", "m") - 1e-9  # others can't reach the similarity
-    done, turn, before, pairwise = None, 0, 0, False
+    # others can't reach the similarity: by their sizes, and by the shingles that only one of them can have
+    fits = (F.least("n", "m") >= LEAST * F.greatest("n", "m") - 1e-9) & (F.least(F.col("n") - F.col("lone"), F.col("m") - F.col("other_lone")) >= LEAST / (1 + LEAST) * (F.col("n") + F.col("m")) - 1e-9)
+    done, turn, before, pairwise, lonely = None, 0, 0, False, None
     while not pairwise:
         labelled = shared.join(roots.withColumnRenamed("fp", "node"), "node", "left").withColumn("label", F.coalesce("root", "node"))
         # only keys whose nodes are not in one component yet
         split = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("band")
         open_ = stage.write(labelled.join(split, "band").select("band", "node", "n", "label"))
+        if turn == 0:
+            sizes = open_.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
+            weights = open_.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("weight"))
+            open_ = stage.write(open_.join(weights, "node").withColumn("lone", F.lit(0).cast("long")))
+        else:
+            lonely = lonely or _lonely(open_, texts, stage)
+            open_ = stage.write(open_.join(lonely, "node").withColumn("weight", F.xxhash64("node", F.lit(turn))))
         n_open = open_.count()
         if not n_open:
             break
-        pairwise = turn >= LEADERS and n_open > 0.9 * before
+        pairwise = turn > 1 and n_open > 0.9 * before
         before = n_open
         if not pairwise:
-            first = open_.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "label")).alias("f"))
-            other = first.select("band", F.col("f.node").alias("a"), F.col("f.n").alias("m"), F.col("f.label").alias("of"))
+            first = open_.groupBy("band").agg(F.max(F.struct("weight", "node", "n", "label", "lone")).alias("f"))
+            other = first.select("band", F.col("f.node").alias("a"), F.col("f.n").alias("m"), F.col("f.label").alias("of"), F.col("f.lone").alias("other_lone"))
         else:
-            other = open_.select("band", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("of")).hint("merge")
+            other = open_.select("band", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("of"), F.col("lone").alias("other_lone")).hint("merge")
         pairs = open_.join(other, "band").filter((F.col("label") != F.col("of")) & fits)
         if pairwise:
             pairs = pairs.filter("a < node")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stage, ragged_index, table, trim
+from .common import Stage, join_dealt, ragged_index, table, trim
 
 SHINGLE_WORDS, SEED, RADIUS = 3, 42, 2
 #: A shard with more fingerprints is divided once more.
@@ -143,8 +143,10 @@ def link_fingerprints(nodes: DataFrame, stage: Stage, radius: int = RADIUS, crow
     if not 0 <= radius <= 2:
         raise ValueError("two of four blocks agree for a radius of 2 at most")
     coarse = nodes.select("fp", F.explode(_block_keys(F.col("fp"), [0, 16, 32, 48], 16, 0)).alias("shard"))
-    dense = coarse.groupBy("shard").count().filter(F.col("count") > crowded).select("shard", F.lit(True).alias("dense"))
-    marked = coarse.join(dense, "shard", "left")
+    sizes = stage.write(coarse.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded))
+    # a crowded shard may hold a large share of all fingerprints until it is divided
+    n = nodes.count()
+    marked = join_dealt(coarse, sizes.select("shard", F.lit(True).alias("dense")), "shard", stage, sizes, 6 * n, n, "left")
     pairs = list(combinations([0, 16, 32, 48], 2))
 
     def finer(k: int) -> Column:
@@ -191,12 +193,17 @@ def components(links: DataFrame, stage: Stage) -> DataFrame:
     both = links.select("fp", "to").union(links.select(F.col("to").alias("fp"), F.col("fp").alias("to")))
     edges = stage.write(both.distinct())
     label = stage.write(edges.groupBy("fp").agg(F.min("to").alias("m")).select("fp", F.least("fp", "m").alias("root")))
+
+    def step(label: DataFrame) -> DataFrame:
+        """The smallest label among the neighbours, then one jump along the labels; `was` stays."""
+        near = edges.join(label.select(F.col("fp").alias("to"), "root"), "to").groupBy("fp").agg(F.min("root").alias("near"))
+        via = label.join(near, "fp").select("fp", F.least("root", "near").alias("via"), "was")
+        jump = via.join(label.select(F.col("fp").alias("via"), F.col("root").alias("far")), "via")
+        return jump.select("fp", F.least("via", "far").alias("root"), "was")
+
     while True:
-        # smallest label among the neighbours, then one jump along the labels
-        near = edges.join(label.withColumnRenamed("fp", "to"), "to").groupBy("fp").agg(F.min("root").alias("near"))
-        step = label.join(near, "fp").select("fp", F.least("root", "near").alias("via"), F.col("root").alias("was"))
-        jump = step.join(label.select(F.col("fp").alias("via"), F.col("root").alias("far")), "via")
-        new = stage.write(jump.select("fp", F.least("via", "far").alias("root"), (F.least("via", "far") < F.col("was")).alias("moved")))
+        two = step(step(label.select("fp", "root", F.col("root").alias("was"))))  # two steps for each table that is written
+        new = stage.write(two.select("fp", "root", (F.col("root") < F.col("was")).alias("moved")))
         done = new.filter("moved").isEmpty()
         stage.drop(label)
         label = new
