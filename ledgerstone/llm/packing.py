@@ -246,6 +246,25 @@ def pack_examples(items: DataFrame, tokens: int = SEQUENCE_TOKENS, segments: int
     return src.mapInArrow(pack, "item_id long, n_tokens long, n_loss long, sequence_id long, offset long")
 
 
+def pack_conversations(turns: DataFrame, tokenizer_path: str, pattern: str, tokens: int = SEQUENCE_TOKENS, segments: int = 16, loss: int = 1536, learned: str = "assistant") -> DataFrame:
+    """Conversations (conv_id, turn, role, text), whole, into sequences: each turn has its text's tokens and a closing one, and only turns of the
+    learned role bear loss. All three limits hold in every sequence; a conversation above one stands alone. Null texts are empty turns."""
+    from .token_counts import count_tokens
+
+    n = count_tokens(F.col("text"), tokenizer_path, pattern) + 1
+    counted = turns.select(F.col("conv_id").alias("item_id"), "role", n.alias("n"))
+    items = counted.groupBy("item_id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("role") == learned, F.col("n")).otherwise(0)).alias("n_loss"))
+    return pack_examples(items, tokens, segments, loss)
+
+
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on instruction data, where the three limits differ."""
+    import public_tokenizers
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return pack_conversations(turns, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
 def op1_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -11,6 +11,7 @@ _WHERE = {
     "op3_webp_columns": "media",
     "op4_simhash_bktree": "simhash",
     "op5_language_fusion": "language",
+    "packed_conversations": "packing",
     "page_languages": "language",
     "op6_bpe_codec": "bpe_codec",
     "op7_html_lstm": "html_text",

@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerstone.llm import language, toxicity
@@ -104,3 +107,26 @@ def test_fit_follows_the_likelihood():
     grade = (u[:, None] < up).sum(1)
     w, cuts = toxicity.fit_cumulative_link(x, grade, l2=0.01, steps=800)
     assert np.allclose(w, [1.5, -1.0, 0.0], atol=0.15) and np.allclose(cuts, [0.5, 2.0], atol=0.15)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_held_out_labels(spark):
+    """Labelled documents outside the sample, whose texts aren't in it either."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(1500)
+    model = toxicity.train(sample, docs, 1500)
+    known = docs.join(sample, "doc_id", "left_semi").select("text")
+    held = docs.join(labels.join(sample.select("doc_id"), "doc_id", "left_anti"), "doc_id").join(known, "text", "left_anti")
+    got = held.select("toxic", (toxicity.severity_column(F.col("text"), model) > model.threshold).alias("said")).groupBy("toxic").agg(F.avg(F.col("said").cast("int")).alias("share"), F.count(F.lit(1)).alias("n")).collect()
+    share = {r.toxic: r.share for r in got}
+    print({r.toxic: (r.n, r.share) for r in got})
+    assert share[0] < 0.01 and share[1] > 0.95
+
+
+def test_repeated_ids_leave_the_sample_bounded(spark):
+    rows = [(i % 7, f"word {i} {'vile' if i % 7 < 3 else 'kind'}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 3)) for i in range(7)] * 3, "doc_id long, toxic int")
+    assert toxicity.with_toxicity(docs, labels).count() == 700
+    assert language.identify(docs.withColumn("lang", F.lit("en")), declared="lang").count() == 700

@@ -131,3 +131,21 @@ def test_codec_large_and_null_ids_in_one_block(spark):
     got = bpe_codec.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), RANKS, P.PATTERN, digest=True).collect()
     assert {r.doc_id: r.n_tokens for r in got} == {9007199254740993: 2, None: 1, -9223372036854775807: 0, 9223372036854775807: 1}
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("word_blocks")]
+
+
+def test_conversations_keep_all_limits(spark, library):
+    rng = random.Random(8)
+    rows = [(c, t, ["user", "assistant", None][t % 3 if c % 9 == 0 else t % 2], None if rng.random() < 0.05 else "word " * rng.randint(0, 120)) for c in range(200) for t in range(rng.randint(1, 6))] + [(None, 0, "assistant", "alone"), (500, 0, "assistant", "a b " * 3000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = packing.pack_conversations(turns, JSON, P.PATTERN, tokens=700, segments=4, loss=400).collect()
+    want = {}
+    for c, _, role, text in rows:
+        n = len(library.encode(text or "", add_special_tokens=False).ids) + 1
+        a, b = want.get(c, (0, 0))
+        want[c] = (a + n, b + n * (role == "assistant"))
+    assert {r.item_id: (r.n_tokens, r.n_loss) for r in got} == want and len(got) == len(want)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r)
+    assert all(len(p) == 1 or (sum(r.n_tokens for r in p) <= 700 and sum(r.n_loss for r in p) <= 400 and len(p) <= 4) for p in by.values())
+    assert packing.pack_conversations(turns.limit(0), JSON, P.PATTERN).collect() == []
