@@ -60,7 +60,8 @@ def catalogue_files(spark: SparkSession, paths: str | list[str], schema: str) ->
 
 def unreadable_files(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
     """(path) of the group files that can't be parsed."""
-    return _group_files(spark, paths, schema).filter("_bad IS NOT NULL").select(F.col("_metadata.file_path").alias("path"))
+    # the reader wants one more column than that of bad files
+    return _group_files(spark, paths, schema).filter("_bad IS NOT NULL AND (records IS NULL OR size(records) >= 0)").select(F.col("_metadata.file_path").alias("path"))
 
 
 def _group_files(spark: SparkSession, paths: str | list[str], schema: str) -> DataFrame:
