@@ -6,8 +6,8 @@ carries the graph: in each round every node gathers its list and the best BACK o
 pairs with a new edge that improve a list are sent to it. Rounds go on until less than SETTLED of all list entries change, at
 every size of table. Vectors travel as 8-bit numbers of their own scale there, however large other vectors are.
 
-Search. A query starts at its own node's list. Each hop opens its best OPENED unopened nodes, fetches their lists, scores what
-it hasn't seen, and keeps the best BEAM; it ends when all nodes in the beam are open. The best of the beam are scored in double
+Search. A query starts at its own node's list. Each hop opens its best unopened nodes (OPENED in the first, twice as many in each further one), fetches
+their lists, scores what it hasn't seen, and keeps the best BEAM; it ends when all nodes in the beam are open. The best of the beam are scored in double
 precision on the original vectors; rows that were not scored so never enter a result.
 
 All joins are by node with small rows, so a task holds a batch or one node's meeting of at most DEGREE + BACK + 1 vectors. A
@@ -35,7 +35,7 @@ RANKS, DEGREE, BACK = 20, 48, 24
 TREES, DEALT, LEAF = 2, 1024, 256
 #: Rounds end when fewer of the list entries change.
 SETTLED = 0.005
-#: Nodes that a query keeps, and those it opens in a hop.
+#: Nodes that a query keeps, and those it opens in its first hop.
 BEAM, OPENED = 64, 16
 SEED = 20
 
@@ -333,9 +333,9 @@ class Index:
                     out.append((q, code, np.sort(np.r_[ids, q]), ids, s, np.zeros(len(ids), bool)))
                 yield state_batch(out)
 
-        def to_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def to_open(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                got = [(q, ids[~opened][:OPENED]) for q, _, _, ids, _, opened in state_rows(batch)]
+                got = [(q, ids[~opened][:width]) for q, _, _, ids, _, opened in state_rows(batch)]
                 sizes = [len(x) for _, x in got]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat([q for q, _ in got], sizes).astype(np.int64), pa.int64()), pa.array(np.concatenate([x for _, x in got]) if got else [], pa.int64())], ["query", "id"])
 
@@ -350,7 +350,7 @@ class Index:
                     queries.append(np.full(len(new), key[a])), want.append(new)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(queries)), pa.array(np.concatenate(want).astype(np.int64))], ["query", "id"])
 
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def merge(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
             """Rows of a query: its state (its id in `id` is null), and candidates with their codes."""
             for part in _groups(batches):
                 found, code = part.column(7).to_pylist(), part.column(1).to_pylist()
@@ -359,7 +359,7 @@ class Index:
                     base = next(i for i in range(a, b) if found[i] is None)
                     q, own, seen, ids, scores, opened = next(state_rows(part.slice(base, 1)))
                     opened = opened.copy()
-                    opened[np.flatnonzero(~opened)[:OPENED]] = True
+                    opened[np.flatnonzero(~opened)[:width]] = True
                     rest = [i for i in range(a, b) if i != base]
                     if rest:
                         new = np.array([found[i] for i in rest], np.int64)
@@ -376,21 +376,22 @@ class Index:
 
         own = self.codes.join(queries.select("id"), "id").join(self.graph.select("id", "nbrs", "scores"), "id", "left")
         state = stage.write(own.select("id", "code", "nbrs", "scores").mapInArrow(start, schema))
-        n_queries, finished = state.count(), []
+        n_queries, finished, width = state.count(), [], OPENED
+        held = stage.write if n_queries > HOT else lambda df: df  # stored only where its keys are counted before the join
         none = lambda t: F.lit(None).cast(t)
         while True:
             finished.append(state.filter("todo = 0"))
             active = state.filter("todo > 0")
             if active.isEmpty():
                 break
-            opening = stage.write(active.mapInArrow(to_open, "query long, id long"))
-            lists = self._by_node(opening, self.graph.select("id", "nbrs"), n_queries, OPENED)
+            opening = held(active.mapInArrow(lambda it, w=width: to_open(it, w), "query long, id long"))
+            lists = self._by_node(opening, self.graph.select("id", "nbrs"), n_queries, width)
             asked = active.select("query", "seen", none("binary").alias("nbrs")).union(lists.select("query", none("binary"), "nbrs"))
-            wanted = stage.write(asked.repartition("query").sortWithinPartitions("query").mapInArrow(unseen, "query long, id long"))
-            coded = self._by_node(wanted, self.codes, n_queries, OPENED * self.degree)
+            wanted = held(asked.repartition("query").sortWithinPartitions("query").mapInArrow(unseen, "query long, id long"))
+            coded = self._by_node(wanted, self.codes, n_queries, width * self.degree)
             rows = active.withColumn("id", none("long")).unionByName(coded.select("query", "code", "id"), allowMissingColumns=True)
-            state = stage.write(rows.repartition("query").sortWithinPartitions("query").mapInArrow(merge, schema))
-            stage.drop(opening), stage.drop(wanted)
+            state = stage.write(rows.repartition("query").sortWithinPartitions("query").mapInArrow(lambda it, w=width: merge(it, w), schema))
+            width = min(2 * width, beam)
         whole = finished[0]
         for part in finished[1:]:
             whole = whole.union(part)
