@@ -203,15 +203,31 @@ def first_graph(nodes: DataFrame, n: int, stage: Stage, degree: int = DEGREE, tr
     return _merge_lists(key.repartition("key").sortWithinPartitions("key").mapInArrow(compare, _Lists.SCHEMA), degree)
 
 
-def _named(lists: DataFrame) -> DataFrame:
-    """How often lists name each node: (id, n)."""
+def _named(lists: DataFrame, hot: int) -> DataFrame:
+    """How often lists name the nodes that they name most: (id, n), at least as large as the truth for all nodes named more than `hot` times.
+
+    A task passes on only what it counts often enough: together the tasks keep back less than half of hot for any node, so twice
+    what they pass on is enough."""
+    least = max(hot // (2 * max(lists.rdd.getNumPartitions(), 1)), 1)
+
+    def added(ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        one, at = np.unique(ids, return_inverse=True)
+        return one, np.bincount(at, n, len(one)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, n, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
         for batch in batches:
-            ids, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8"), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], ["id", "n"])
+            held.append(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8"))
+            size += len(held[-1])
+            if size > 1 << 20:
+                new = np.concatenate(held)
+                (ids, n), held, size = added(np.r_[ids, new], np.r_[n, np.ones(len(new), np.int64)]), [], 0
+        new = np.concatenate(held) if held else ids[:0]
+        ids, n = added(np.r_[ids, new], np.r_[n, np.ones(len(new), np.int64)])
+        often = n >= least
+        yield pa.RecordBatch.from_arrays([pa.array(ids[often], pa.int64()), pa.array(n[often], pa.int64())], ["id", "n"])
 
-    return lists.select("nbrs").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return lists.select("nbrs").mapInArrow(count, "id long, n long").groupBy("id").agg((F.sum("n") * 2).alias("n"))
 
 
 def descend(graph: DataFrame, nodes: DataFrame, n: int, stage: Stage, degree: int = DEGREE) -> DataFrame:
@@ -270,7 +286,7 @@ def descend(graph: DataFrame, nodes: DataFrame, n: int, stage: Stage, degree: in
     both = graph.withColumn("back", F.lit(False)).union(graph.mapInArrow(turned, _Lists.SCHEMA).withColumn("back", F.lit(True)))
     meetings = both.repartition("id").sortWithinPartitions("id").mapInArrow(members, "id long, at long, fresh byte")
     ready = nodes.join(graph.select("id", "scores").mapInArrow(limits, "id long, low float"), "id", "left").select("id", "code", F.coalesce("low", F.lit(float("-inf")).cast("float")).alias("low"))
-    met = join_dealt(meetings, ready, "id", stage, _named(graph), n * (degree + BACK), n).select("at", "id", "fresh", "code", "low")
+    met = join_dealt(meetings, ready, "id", stage, _named(graph, max(HOT, n * (degree + BACK) // 50_000) - BACK - 1), n * (degree + BACK), n).select("at", "id", "fresh", "code", "low")
     better = met.repartition("at").sortWithinPartitions("at").mapInArrow(meet, _Lists.SCHEMA)
     return stage.write(_merge_lists(graph.mapInArrow(aged, _Lists.SCHEMA).union(better), degree))
 
@@ -305,7 +321,7 @@ class Index:
         self.graph = graph
 
     def _by_node(self, asked: DataFrame, other: DataFrame, n_queries: int, each: int) -> DataFrame:
-        """(query, id) with the columns of other by node; asked is stored."""
+        """(query, id) with the columns of other by node."""
         return join_dealt(asked, other, "id", self.stage, asked.groupBy("id").agg(F.count(F.lit(1)).alias("n")), n_queries * each, n_queries)
 
     def search(self, queries: DataFrame, ranks: int = RANKS, beam: int = BEAM) -> DataFrame:

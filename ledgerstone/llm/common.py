@@ -93,7 +93,7 @@ HOT = 10_000
 
 def join_dealt(rows: DataFrame, other: DataFrame, key: str, stage: Stage, counts: DataFrame, total: int, most: int, how: str = "inner") -> DataFrame:
     """rows joined with other, which has few rows for a key. counts (key, n) says how often rows name a key, `most` how often they can; a key with more than
-    HOT, and more than one in 50,000 of total, is dealt over parts, so that at most 50,000 keys are broadcast. The part depends on the row alone, so a task that runs again deals its rows as before."""
+    HOT, and more than one in 50,000 of total, is dealt over parts, so that at most 50,000 keys are broadcast (100,000 where counts are up to twice the truth). The part depends on the row alone, so a task that runs again deals its rows as before."""
     hot = max(HOT, total // 50_000)
     if most <= hot:
         return rows.join(other, key, how)

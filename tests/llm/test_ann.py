@@ -77,3 +77,11 @@ def test_copies_nulls_and_small_tables(spark):
     tiny = spark.createDataFrame([(0, [1.0, 2.0], 1), (3, [2.0, 1.0], 1)], schema)
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(tiny).collect()] == [(0, 1, 3, 4.0)]
     assert ann.nearest(tiny.limit(0)).collect() == []
+
+
+def test_nodes_named_often(spark):
+    rng = np.random.default_rng(2)
+    lists = [(i, np.r_[7, rng.choice(5000, 20)].astype("<i8").tobytes()) for i in range(900)]
+    df = spark.createDataFrame(lists, "id long, nbrs binary").repartition(4)
+    got = {r.id: r.n for r in ann._named(df, 500).collect()}
+    assert got[7] >= 900 and all(k == 7 or n <= 500 for k, n in got.items())
