@@ -173,10 +173,11 @@ def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             first = open_.groupBy("band").agg(F.max(F.struct("weight", "node", "n", "label", "lone")).alias("f"))
             other = first.select("band", F.col("f.node").alias("a"), F.col("f.n").alias("m"), F.col("f.label").alias("of"), F.col("f.lone").alias("other_lone"))
         else:
-            other = open_.select("band", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("of"), F.col("lone").alias("other_lone")).hint("merge")
+            open_ = open_.join(nodes.select("node", "bands"), "node")
+            other = open_.select("band", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("of"), F.col("lone").alias("other_lone"), F.col("bands").alias("other_bands")).hint("merge")
         pairs = open_.join(other, "band").filter((F.col("label") != F.col("of")) & fits)
-        if pairwise:
-            pairs = pairs.filter("a < node")
+        if pairwise:  # a pair meets in the smallest of its keys alone
+            pairs = pairs.filter((F.col("a") < F.col("node")) & (F.array_min(F.array_intersect("bands", "other_bands")) == F.col("band")))
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
