@@ -18,6 +18,7 @@ _WHERE = {
     "op8_nn_descent": "ann",
     "op9_token_counts": "token_counts",
     "op10_ordinal_toxicity": "toxicity",
+    "op11_vector_codes": "vector_codes",
 }
 
 
@@ -26,4 +27,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict[str, str] = {}
+    for module in dict.fromkeys(_WHERE.values()):
+        out |= getattr(importlib.import_module(f"{__package__}.{module}"), "ORACLE_SQL", {})
+    return out
