@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PreTokenizer, merge_words, ragged_take, table_from_ranks
-from .common import in_chunks, ragged_index, shared_dir, table, trim
+from .common import Stage, in_chunks, ragged_index, table, trim
 
 #: Characters of text in a block.
 BLOCK_CHARS = 20_000_000
@@ -57,13 +57,15 @@ def _unplaned(b: bytes) -> np.ndarray:
     return out.reshape(-1).view("<i8").astype(np.int64)
 
 
-def word_blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Blocks (block_id, doc_ids, known, sizes, numbers, words) of a table (doc_id, text); known marks the ids that aren't null."""
+def word_blocks(docs: DataFrame, cutter: Callable[[], Callable[[str], list]], block_chars: int = BLOCK_CHARS, kind: str = "string") -> DataFrame:
+    """Blocks (block_id, doc_ids, known, sizes, numbers, words) of a table (doc_id, text); known marks the ids that aren't null.
+
+    cutter() makes, in a task, the function that cuts a text into words of a kind (string or binary)."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pre = PreTokenizer(pattern)
+        pre, arrow = cutter(), pa.binary() if kind == "binary" else pa.string()
         base, n = TaskContext.get().partitionId() << BLOCK_BITS, 0
         ids, sizes, numbers, seen, chars = [], [], [], {}, 0
 
@@ -80,7 +82,7 @@ def word_blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -
             known = np.array([i is not None for i in ids], np.uint8)
             whole = np.array([i or 0 for i in ids], "<i8")
             binary = (whole.tobytes(), known.tobytes(), _planes(np.array(sizes, np.int64)), _planes(place[number]))
-            out = pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *(pa.array([x], pa.binary()) for x in binary), pa.array([[words[i] for i in order]], pa.list_(pa.string()))], ["block_id", "doc_ids", "known", "sizes", "numbers", "words"])
+            out = pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *(pa.array([x], pa.binary()) for x in binary), pa.array([[words[i] for i in order]], pa.list_(arrow))], ["block_id", "doc_ids", "known", "sizes", "numbers", "words"])
             n += 1
             return out
 
@@ -106,7 +108,23 @@ def word_blocks(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -
         if ids:
             yield block()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, "block_id long, doc_ids binary, known binary, sizes binary, numbers binary, words array<string>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, f"block_id long, doc_ids binary, known binary, sizes binary, numbers binary, words array<{kind}>")
+
+
+def kept_blocks(blocks: DataFrame, stage: Stage) -> DataFrame:
+    """The blocks as files of the stage, bucketed by their number: a later join by block moves the other side alone."""
+    spark, name = blocks.sparkSession, f"word_blocks_{uuid.uuid4().hex}"
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 10_000)
+    blocks.write.bucketBy(buckets, "block_id").option("path", f"{stage.base}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
+    kept = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalogue's entry alone: the files are outside it, and the plan has read it
+    return kept
+
+
+def block_words(blocks: DataFrame) -> DataFrame:
+    """Rows (place, word) of all blocks, place being block_id << NUMBER_BITS | number."""
+    rows = blocks.select("block_id", F.posexplode("words").alias("number", "word"))
+    return rows.select(F.shiftleft("block_id", NUMBER_BITS).bitwiseOR(F.col("number").cast("long")).alias("place"), "word")
 
 
 def encode_distinct(rows: DataFrame, ranks_path: str) -> DataFrame:
@@ -203,15 +221,8 @@ def reassemble(blocks: DataFrame, coded: DataFrame, ranks_path: str, digest: boo
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, digest: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, ids) of a table (doc_id, text), or with digest the counts and hashes of ids and of decoded bytes."""
-    spark = docs.sparkSession
-    name = f"word_blocks_{uuid.uuid4().hex}"
-    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 10_000)
-    word_blocks(docs, pattern, block_chars).write.bucketBy(buckets, "block_id").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").format("parquet").saveAsTable(name)
-    blocks = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the catalogue's entry alone: the files are outside it, and the plan has read it
-    rows = blocks.select("block_id", F.posexplode("words").alias("number", "word"))
-    rows = rows.select(F.shiftleft("block_id", NUMBER_BITS).bitwiseOR(F.col("number").cast("long")).alias("place"), "word")
-    return reassemble(blocks.select("block_id", "doc_ids", "known", "sizes", "numbers"), encode_distinct(rows, ranks_path), ranks_path, digest)
+    blocks = kept_blocks(word_blocks(docs, lambda: PreTokenizer(pattern), block_chars), Stage(docs.sparkSession, "bpe"))
+    return reassemble(blocks.select("block_id", "doc_ids", "known", "sizes", "numbers"), encode_distinct(block_words(blocks), ranks_path), ranks_path, digest)
 
 
 def decode_documents(ids: DataFrame, ranks_path: str) -> DataFrame:

@@ -19,6 +19,8 @@ _WHERE = {
     "op9_token_counts": "token_counts",
     "op10_ordinal_toxicity": "toxicity",
     "op11_vector_codes": "vector_codes",
+    "op12_importance": "importance",
+    "op13_minhash_join": "minhash_join",
 }
 
 
