@@ -3,7 +3,8 @@
 Grades: 0 not toxic, 1 toxic, 2 toxic with at least HEAVY uses of toxic terms. P(grade > k) = sigmoid(w.x - c[k]) with one
 weight vector for both ordered thresholds; the result is the expected severity, from 0 to 2.
 
-Features are the logarithms of term counts; terms are words and word beginnings of PREFIXES letters. Terms are chosen, and the
+Features are the logarithms of how often a term comes in PER words of a text, so that a long text isn't toxic by its length and a short one
+counts as much; terms are words and word beginnings of PREFIXES letters. Terms are chosen, and the
 model fitted, on a bounded sample of labelled rows: at most SAMPLE labels, taken in the order of a hash of their id, with their
 whole texts (documented parameter). Equal texts count once there, and an id that repeats gives one of its texts. Scoring reads the whole text of every document. A null text counts as empty; null or repeated ids keep their rows.
 Without usable labels (none, or of one class only) the severity is 0 and nothing is toxic.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Stage, table, trim
 
-SAMPLE, TERMS, LEAST_TEXTS, HEAVY, PREFIXES = 6000, 512, 8, 3, (3, 4, 5, 6)
+SAMPLE, TERMS, LEAST_TEXTS, HEAVY, PREFIXES, PER = 6000, 512, 8, 3, (3, 4, 5, 6), 1000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -35,12 +36,16 @@ class Model:
     cuts: np.ndarray
     threshold: float
 
-    def severity(self, counts: np.ndarray) -> np.ndarray:
-        """Expected severity for rows of term counts."""
-        z = np.log1p(counts) @ self.weights
+    def severity(self, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Expected severity for rows of term counts and the texts' numbers of words."""
+        z = rates(counts, words) @ self.weights
         return (1 / (1 + np.exp(np.clip(self.cuts[None, :] - z[:, None], -500, 500)))).sum(1)
 
 
+def rates(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return np.log1p(counts * (PER / np.maximum(words, 1))[:, None])
+
+
 def features(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
 
@@ -82,14 +87,14 @@ def fit_cumulative_link(x: np.ndarray, grade: np.ndarray, l2: float = 0.3, steps
 NOTHING = Model({}, np.zeros(0), np.array([500.0, 500.0]), np.inf)
 
 
-def fit(terms: dict[str, int], strong: np.ndarray, counts: np.ndarray, y: np.ndarray) -> Model:
-    """A model of labelled term counts; strong marks the terms whose use makes a grade."""
+def fit(terms: dict[str, int], strong: np.ndarray, counts: np.ndarray, words: np.ndarray, y: np.ndarray) -> Model:
+    """A model of labelled term counts in texts of so many words; strong marks the terms whose use makes a grade."""
     grade = y * (1 + (counts[:, strong].sum(1) >= HEAVY))
     if len(np.unique(grade)) < 2:
         return NOTHING
-    weights, cuts = fit_cumulative_link(np.log1p(counts), grade.astype(int))
+    weights, cuts = fit_cumulative_link(rates(counts, words), grade.astype(int))
     model = Model(terms, weights, cuts, np.inf)
-    s = model.severity(counts)
+    s = model.severity(counts, words)
     edges = np.unique(s)
     if len(edges) > 1:  # the cut between two severities that tells the labels apart best
         between = (edges[1:] + edges[:-1]) / 2
@@ -113,28 +118,34 @@ def train(labels: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Model:
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trim()
-            counted = [term_counts(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32())), batch.column(1)], ["terms", "n", "toxic"])
+            texts = batch.column(0).to_pylist()
+            counted = [term_counts(t) for t in texts]
+            words = pa.array([len(_WORD.findall(t)) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([list(c) for c in counted], pa.list_(pa.string())), pa.array([list(c.values()) for c in counted], pa.list_(pa.int32())), words, batch.column(1)], ["terms", "n", "words", "toxic"])
 
-    held = Stage(docs.sparkSession, "toxic").write(once.mapInArrow(bags, "terms array<string>, n array<int>, toxic int"))
+    held = Stage(docs.sparkSession, "toxic").write(once.mapInArrow(bags, "terms array<string>, n array<int>, words long, toxic int"))
     total = held.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("pos")).first()
     n, pos = total["n"], total["pos"] or 0
     if not 0 < pos < n:
         return NOTHING
-    rate = pos / n
-    seen = held.select(F.explode("terms").alias("term"), "toxic").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("hits")).filter(F.col("df") >= LEAST_TEXTS)
-    z = (F.col("hits") - F.col("df") * rate) / F.sqrt(F.col("df") * (rate * (1 - rate)))
+    x = F.log1p(F.col("t.n") * PER / F.greatest(F.col("words"), F.lit(1)))
+    each = held.select(F.explode(F.arrays_zip("terms", "n")).alias("t"), "toxic", "words").select(F.col("t.terms").alias("term"), "toxic", x.alias("x"))
+    sums = {"df": F.count(F.lit(1)), "hits": F.sum("toxic"), "s": F.sum("x"), "ss": F.sum(F.col("x") * F.col("x")), "sp": F.sum(F.col("x") * F.col("toxic"))}
+    seen = each.groupBy("term").agg(*(c.alias(k) for k, c in sums.items())).filter(F.col("df") >= LEAST_TEXTS)
+    # how far the mean rate of toxic texts lies above that of others, in standard errors (all texts' variance)
+    variance = F.greatest(F.col("ss") / n - F.pow(F.col("s") / n, 2), F.lit(1e-9))
+    z = (F.col("sp") / pos - (F.col("s") - F.col("sp")) / (n - pos)) / F.sqrt(variance * (1 / pos + 1 / (n - pos)))
     best = seen.withColumn("z", z).filter("z > 5").orderBy(F.desc("z"), "term").limit(TERMS).collect()
     if not best:
         return NOTHING
     terms = {r["term"]: i for i, r in enumerate(best)}
     few = F.transform(F.arrays_zip("terms", "n"), lambda x: F.when(x["terms"].isin(list(terms)), x))
-    got = held.select("toxic", F.filter(few, lambda x: x.isNotNull()).alias("bag")).collect()
+    got = held.select("toxic", "words", F.filter(few, lambda x: x.isNotNull()).alias("bag")).collect()
     counts = np.zeros((len(got), len(terms)))
     for i, r in enumerate(got):
         for t, k in r["bag"]:
             counts[i, terms[t]] = k
-    return fit(terms, np.array([r["hits"] > 0.7 * r["df"] for r in best]), counts, np.array([r["toxic"] for r in got]))
+    return fit(terms, np.array([r["hits"] > 0.7 * r["df"] for r in best]), counts, np.array([r["words"] for r in got]), np.array([r["toxic"] for r in got]))
 
 
 def severity_column(text: Column, model: Model) -> Column:
@@ -147,8 +158,10 @@ def severity_column(text: Column, model: Model) -> Column:
         for s in batches:
             trim()
             rows, cols, n = [], [], []
+            size = np.zeros(len(s), np.int64)
             for i, t in enumerate(s.tolist()):
                 words = Counter(_WORD.findall(t.lower()))
+                size[i] = words.total()
                 bag: Counter = Counter()
                 for w in words.keys() - neutral:
                     mine = [terms[f] for f in features(w) if f in terms]
@@ -164,7 +177,7 @@ def severity_column(text: Column, model: Model) -> Column:
                 n += bag.values()
             counts = np.zeros((len(s), len(terms)))
             counts[rows, cols] = n
-            yield pd.Series(model.severity(counts))
+            yield pd.Series(model.severity(counts, size))
 
     return severity(F.coalesce(text, F.lit("")))
 
