@@ -97,6 +97,14 @@ def _tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
             yield at, at, "", False, ""
 
 
+def _slash_closes(attributes: str) -> bool:
+    """Whether the slash at the end of a start tag is its own, not the end of a value without quotes."""
+    last = attributes.rsplit(None, 1)[-1]
+    before = attributes[: len(attributes) - len(last)].rstrip()
+    value = last if before.endswith("=") else last.partition("=")[2]
+    return not value or value[0] in "\"'"
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks of a page in order, with the hashed names on their path."""
     out: list[Block] = []
@@ -160,6 +168,10 @@ def blocks(page: str) -> list[Block]:
         if tag in _BREAKS_OUT and silent and (k := last("svg")) > last("template", *_GOES_ON):
             leave(k)
 
+    def foreign(tag: str) -> bool:
+        """Whether a start tag belongs to svg or math, where alone a slash closes it."""
+        return tag in ("svg", "math") or last("svg", "math") > last("template", *_GOES_ON)
+
     def say(piece: str) -> None:
         nonlocal path, links
         if not parts:
@@ -198,7 +210,7 @@ def blocks(page: str) -> list[Block]:
                 leave(k)
         elif tag == "li" and (k := last("li")) > last("ul", "ol"):
             leave(k)
-        if tag in _VOID or attributes.endswith("/"):
+        if tag in _VOID or attributes.endswith("/") and foreign(tag) and _slash_closes(attributes):
             continue
         names = [tag]
         if "=" in attributes:

@@ -121,3 +121,27 @@ def test_query(spark):
 )
 def test_end_tags_left_out(page, texts):
     assert [b.text for b in H.blocks(page)] == texts
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p>one</p><script src=/js/>var leak=1;</script><style media=/all/>p{color:red}</style><p>two <a href=/x/>link</a></p><p>three</p></article>", ["one", "two link", "three"]),
+        ("<p>a</p><script/>var leak=1;</script><p>b</p>", ["a", "b"]),
+        ("<p>a<svg width='1'/>b</p><p>c<svg><path d='m 1'/><g/></svg>d</p>", ["ab", "cd"]),
+        ("<p>a<svg width=1/>b</p><p>c</p>", ["a", "c"]),
+        ("<p>a<svg><path d=m/></svg>b</p>", ["ab"]),
+        ("<div/>a<p/>b</div>c", ["a", "b", "c"]),
+        ("<p>x<math><mi/><mo>=</mo></math>y</p>", ["x=y"]),
+        ("<br/>a<hr/>b<img src=/x/>c", ["a", "bc"]),
+        ("<style media = /x/>p{}</style><p>k</p>", ["k"]),
+    ],
+)
+def test_slashes_close_foreign_elements_only(page, want):
+    assert [b.text for b in H.blocks(page)] == want
+
+
+def test_slashes_and_values():
+    closes = ["/", " a /", ' a="x"/', " a='x y'/", ' a="x" /', " b a/"]
+    values = [" a=/", " a=x/", " a = x/", " a= /", ' a="x" b=/y/']
+    assert all(map(H._slash_closes, closes)) and not any(map(H._slash_closes, values))
