@@ -10,8 +10,10 @@
 4. Candidates are confirmed on the full sets, 100 * intersection >= percent * union in integers. In a round all nodes of a list
    meet one leader (first the node that meets most others, as the middle of a large group does), and each tries the leader it
    collides with most. Lists whose nodes are in one component are done. Rounds go on while they settle a tenth of what is open.
-5. Then the pairs of a list that are still in different components are confirmed, but for those that can't reach the
-   similarity: a shingle that no other open node has can't be shared, and that bounds a pair's intersection exactly. Nothing is capped.
+5. Then the nodes of a list that are still in different components are compared in blocks of bounded size. A block writes each set as its
+   difference from what most of its sets have; two sets differ where their differences do, so few postings are merged to get all
+   intersections of a set at once, exactly. Links alone leave a block, no pairs. Nodes whose shingles are too often their own to have a partner are
+   left out before, which is exact as well. Nothing is capped.
 6. Components grow by smallest labels. Frequent keys (values, copies of a text, leaders) are dealt over several tasks.
 
 A null text counts as empty. Rows without words have an empty set and are linked with nothing: each is a component of its own. Fewer
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, join_dealt, table, trim
+from .common import HOT, Stage, join_dealt, ragged_index, table, trim
 from .simhash import components
 
 WORDS, PERCENT, COORDINATES, MATCHES = 3, 85, 40, 20
 #: Nodes whose ids may be sent to all tasks; more are found by a shuffled join.
 FEW = 500_000
+#: Shingles of the nodes on one side of a block.
+BLOCK = 1 << 20
 _RNG = np.random.default_rng(13)
 _MULTIPLY = _RNG.integers(0, 1 << 63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, COORDINATES, np.uint64)
@@ -171,18 +175,88 @@ def _alone(open_: DataFrame, sets: DataFrame, stage: Stage, percent: int) -> Dat
     return nodes.select("node", "lone")
 
 
-def links_of(lists: DataFrame, nodes: DataFrame, sets: DataFrame, stage: Stage, percent: int = PERCENT, matches: int = MATCHES) -> DataFrame | None:
-    """(fp, root) of all nodes with a link, from lists (key, node, n, prefix); None without any list."""
-    counts = stage.write(lists.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    size = counts.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+def _links_in(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked sets of different labels and sides (a single side: any two), one for each set and label it links to."""
+    g, n = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    token, of, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(g), n)
+    common = count * 2 > g
+    rank = np.cumsum(common) - 1  # of common tokens
+    has = np.zeros((int(common.sum()), g), bool)  # at most twice as many as there are shingles
+    inside = common[of]
+    has[rank[of[inside]], member[inside]] = True
+    lacks, lacking = np.nonzero(~has)
+    extra = ~inside & (count[of] > 1)
+    differs = np.bincount(member[~inside], minlength=g) + len(has) - has.sum(0)
+    # postings of the differences: of each token the sets, and of each set the tokens
+    t, m = np.r_[lacks, len(has) + of[extra]], np.r_[lacking, member[extra]]
+    by_token, by_set = np.argsort(t, kind="stable"), np.argsort(m, kind="stable")
+    sets_of, starts = m[by_token], np.searchsorted(t[by_token], np.arange(len(has) + len(token) + 1))
+    tokens_of, begins = t[by_set], np.searchsorted(m[by_set], np.arange(g + 1))
+    name, frequency = np.unique(label, return_counts=True)
+    both = len(np.unique(side)) > 1
+    found_a, found_b = [], []
+    for x in np.flatnonzero(label != name[frequency.argmax()]).tolist():
+        mine = tokens_of[begins[x] : begins[x + 1]]
+        shared = np.bincount(sets_of[ragged_index(starts[mine], starts[mine + 1] - starts[mine])], minlength=g)
+        delta, total = differs[x] + differs - 2 * shared, n[x] + n
+        hit = np.flatnonzero(((100 + percent) * (total - delta) >= 2 * percent * total) & (label != label[x]) & ((side != side[x]) | (not both)))
+        if len(hit):
+            hit = hit[np.unique(label[hit], return_index=True)[1]]
+            found_a.append(np.full(len(hit), x)), found_b.append(hit)
+    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def links_in_blocks(open_: DataFrame, sets: DataFrame, by_key, stage: Stage, percent: int = PERCENT) -> DataFrame:
+    """Links (fp, to) between nodes of one list in open_ (key, node, n, label) with different labels: all that a component needs."""
+    sizes = open_.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("sides"))
+    put = by_key(open_.select("key", "node", "label"), sizes).withColumn("side", F.pmod(F.xxhash64("node"), F.col("sides")).cast("int"))
+    blocks = put.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node", "label")
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def out():
+            node, label, side = (np.array([h[k] for h in held], np.int64) for k in range(3))
+            a, b = _links_in([np.frombuffer(h[3], np.uint64) for h in held], label, side, percent)
+            return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["fp", "to"])
+
+        for batch in batches:
+            trim()
+            columns = [c.to_pylist() for c in batch.columns[:6]]
+            for r, (key, i, j, side, node, label) in enumerate(zip(*columns)):
+                if (key, i, j) != at:
+                    if len(held) > 1:
+                        yield out()
+                    at, held = (key, i, j), []
+                held.append((node, label, side, batch.column(6)[r].as_py()))
+        if len(held) > 1:
+            yield out()
+
+    met = blocks.join(sets, "node").select("key", "i", "j", "side", "node", "label", "h")
+    return stage.write(met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(solve, "fp long, to long"))
+
+
+def shared_lists(lists: DataFrame, stage: Stage) -> DataFrame:
+    """(key, node, n, size) of lists (key, node, n) with several nodes; size says how many."""
+    counts = stage.write(lists.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    size = counts.agg(F.sum("size").alias("rows"), F.max("size").alias("most")).first()
+    return stage.write(join_dealt(lists, counts, "key", stage, counts.select("key", F.col("size").alias("n")), size["rows"] or 0, size["most"] or 0))
+
+
+def links_of(lists: DataFrame, nodes: DataFrame, sets: DataFrame, stage: Stage, percent: int = PERCENT, matches: int = MATCHES, links: DataFrame | None = None) -> DataFrame | None:
+    """(fp, root) of all nodes with a link, from shared lists (key, node, n, size), their nodes (node, sig) and sets (node, h), and links
+    (fp, to) known before; None without any list or link."""
+    size = lists.agg(F.count(F.lit(1)).alias("rows"), F.max("size").alias("most")).first()
+    counts = lists.filter(F.col("size") > HOT).select("key", F.col("size").alias("n")).distinct()
+    by_key = lambda rows, other: join_dealt(rows, other, "key", stage, counts, size["rows"], size["most"] or 0)
+    roots = components(links, stage) if links is not None else None
     if not size["rows"]:
-        return None
-    by_key = lambda rows, other: join_dealt(rows, other, "key", stage, counts, size["rows"], size["most"])
-    lists = stage.write(by_key(lists, counts.select("key", F.col("n").alias("size"))))
+        return roots
     weights = lists.groupBy("node").agg(F.sum("size").alias("weight"))
     # with nothing lone this is the bound by sizes
     fits = (100 + percent) * F.least(F.col("n") - F.col("lone"), F.col("m") - F.col("other_lone")) >= percent * (F.col("n") + F.col("m"))
-    roots = links = done = lonely = None
+    done = lonely = None
     turn, before = 0, 0
     while True:
         labelled = lists.withColumn("label", F.col("node")) if roots is None else lists.join(roots.withColumnRenamed("fp", "node"), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
@@ -198,30 +272,24 @@ def links_of(lists: DataFrame, nodes: DataFrame, sets: DataFrame, stage: Stage,
         n_open = open_.count()
         if not n_open:
             return roots
-        last = turn > 1 and n_open > 0.9 * before
+        last = turn > 0 and n_open > 0.9 * before
         before = n_open
-        if not last:
-            first = open_.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "label", "lone")).alias("f"))
-            met = by_key(open_, first.select("key", F.col("f.node").alias("a"), F.col("f.n").alias("m"), F.col("f.label").alias("of"), F.col("f.lone").alias("other_lone")))
-            pairs = met.filter((F.col("label") != F.col("of")) & fits).select("a", F.col("node").alias("b")).distinct()
-        else:
-            other = open_.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("of"), F.col("lone").alias("other_lone"), F.col("prefix").alias("other_prefix"))
-            # a pair meets in the smallest value that both have in front
-            met = by_key(open_, other.hint("merge")).filter((F.col("a") < F.col("node")) & (F.col("label") != F.col("of")) & fits)
-            pairs = met.filter(F.array_min(F.array_intersect("prefix", "other_prefix")) == F.col("key")).select("a", F.col("node").alias("b"))
+        if last:
+            near = open_.select("key", "node", "n", "label")
+            new = links_in_blocks(near, sets, by_key, stage, percent)
+            return components(new if links is None else links.union(new), stage)
+        first = open_.groupBy("key").agg(F.max(F.struct("weight", "node", "n", "label", "lone")).alias("f"))
+        met = by_key(open_, first.select("key", F.col("f.node").alias("a"), F.col("f.n").alias("m"), F.col("f.label").alias("of"), F.col("f.lone").alias("other_lone")))
+        pairs = met.filter((F.col("label") != F.col("of")) & fits).select("a", F.col("node").alias("b")).distinct()
         if done is not None:
             tried = done.union(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         found = colliding(stage.write(pairs), nodes, stage, matches)
-        if not last:
-            found = found.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("f")).select(F.col("f.a").alias("a"), "b")
-        found = stage.write(found.select("a", "b"))
+        found = stage.write(found.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("f")).select(F.col("f.a").alias("a"), "b"))
         done = found if done is None else done.union(found)
         new = stage.write(confirmed(found, sets, stage, percent))
         links = new if links is None else links.union(new)
         roots = components(links, stage)
-        if last:
-            return roots
         turn += 1
 
 
@@ -237,7 +305,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     held = stage.write(shared_posts(posts, stage))
     held = stage.write(shared_posts(held.select("node", "n", F.explode("posts.key").alias("key")), stage))
     prefix = held.select("node", "n", F.transform(F.slice("posts", F.lit(1), F.size("posts") - (MATCHES - 1)), lambda p: p["key"]).alias("prefix"))
-    lists = stage.write(prefix.select("node", "n", "prefix", F.explode("prefix").alias("key")))
+    lists = shared_lists(prefix.select("node", "n", F.explode("prefix").alias("key")), stage)
     wanted = stage.write(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "key", "sig"))
     sets = full_sets(docs, wanted.select("key", "node"), stage, words)
     roots = links_of(lists, wanted, sets, stage, percent)

@@ -1,14 +1,12 @@
 """Near copies for the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-1. Equal texts become one node. A task makes each node's minhashes over its distinct shingles (words compared as in simhash) and
+1. Texts with equal sets become one node. A task makes each node's minhashes over its distinct shingles (words compared as in simhash) and
    folds them into BANDS keys of ROWS minhashes each. Nodes that share a key are candidates. A pair at 0.8 shares none
    with the probability (1 - 0.8 ** ROWS) ** BANDS = 0.00007, and less above.
-2. Candidates are checked on their texts' shingles. In each round all nodes of a key meet one leader: first the node that meets most others over
-   all its keys, as the middle of a large group does, then others. Keys whose nodes are all linked, directly or not, are done. Rounds go on
-   while they settle a tenth of what is open.
-3. Then the pairs of a key that no link joins yet are checked, but for those that can't reach the similarity: shingles that no other open node
-   has can't be shared, and that bounds a pair's overlap exactly. No group is capped.
-4. Fingerprints within the radius of simhash are linked as well. Components grow by smallest labels.
+2. Candidates are confirmed on their full sets as in minhash_join: rounds in which the nodes of a key meet one leader, then what
+   is still in different components in blocks that merge the postings of differences. Sets travel once to each leader and once to each block;
+   frequent keys and leaders are dealt over tasks. No group is capped, and no pairs of a group are put out.
+3. Fingerprints within the radius of simhash are linked as well. Components grow by smallest labels.
 
 A null text counts as empty. Columns of any name are kept as they are. Texts of fewer than five words have one shingle, the whole text: they are near copies of equal texts only, or by their fingerprint.
 """
@@ -18,18 +16,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from . import simhash
+from . import minhash_join, simhash
 from .common import Stage, trim
 
-WORDS, LEAST, BANDS, ROWS = 5, 0.8, 24, 5
-#: Rounds over nodes that may have a partner, each of which finds more shingles that nobody shares.
-NARROWED = 2
+WORDS, PERCENT, BANDS, ROWS = 5, 80, 24, 5
 _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -41,28 +35,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingles(parts: list[bytes]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-    from xxhash import xxh64_intdigest
-
-    if len(parts) < WORDS:
-        return np.array([xxh64_intdigest(b" ".join(parts), 5)] if parts else [], np.uint64)
-    w = np.array([xxh64_intdigest(p, 7) for p in parts], np.uint64)
-    h = np.zeros(len(w) - WORDS + 1, np.uint64)
-    for k in range(WORDS):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + w[k : k + len(h)]
-    return np.unique(_mix(h))
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(len(a) + len(b) - both, 1)
-
-
 def band_keys(h: np.ndarray) -> np.ndarray:
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(h), 4096):
@@ -70,124 +42,49 @@ def band_keys(h: np.ndarray) -> np.ndarray:
     return _mix((_mix(low).reshape(BANDS, ROWS) * _FOLD).sum(1, dtype=np.uint64)).view(np.int64)
 
 
-@F.pandas_udf(T.StructType([*(T.StructField(x, T.LongType()) for x in ("fp", "n")), T.StructField("bands", T.ArrayType(T.LongType()))]))
-def _sketch(texts: pd.Series) -> pd.DataFrame:
-    trim()
-    rows = []
-    for t in texts:
-        parts = _words(t)
-        h = shingles(parts)
-        rows.append((simhash.fingerprint(t), len(h), band_keys(h) if len(parts) >= WORDS else np.zeros(0, np.int64)))
-    fp, n, bands = zip(*rows) if rows else ((), (), ())
-    return pd.DataFrame({"fp": np.array(fp, np.uint64).view(np.int64), "n": np.array(n, np.int64), "bands": pd.Series(bands, dtype=object)})
-
-
-def _checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes that are near copies, as links (fp, to)."""
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            trim()
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            hit = []
-            for i in range(batch.num_rows):
-                if a[i] != last:
-                    last, held = a[i], shingles(_words(batch.column(2)[i].as_py()))
-                if similarity(held, shingles(_words(batch.column(3)[i].as_py()))) >= LEAST:
-                    hit.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in hit], pa.int64()), pa.array([b[i] for i in hit], pa.int64())], ["fp", "to"])
-
-    met = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-    return met.mapInArrow(check, "fp long, to long")
-
-
-def _lonely(open_: DataFrame, texts: DataFrame, stage: Stage) -> DataFrame:
-    """(node, lone) of open nodes (band, node, n, label) that may have a partner: how many of a node's shingles no other such node has.
-
-    A node with more than 1 - LEAST of its shingles to itself has no partner. Leaving it out makes more shingles of the others lone."""
+def sketches(docs: DataFrame) -> DataFrame:
+    """(key, copy, node, n, fp, sig) of a table (key, copy, text): the number of its set, its size, fingerprint and band keys. Sets too small to be like another one have no keys."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             trim()
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = shingles(_words(text))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node), pa.int64()), pa.array(h.view(np.int64))], ["node", "h"])
+            node, n, fp, sig = [], [], [], []
+            for t in batch.column(2):
+                text = t.as_py()
+                h = minhash_join.shingle_set(text, WORDS)
+                node.append(minhash_join.set_number(h))
+                n.append(len(h))
+                fp.append(simhash.fingerprint(text))
+                sig.append(band_keys(h) if (100 - PERCENT) * len(h) >= PERCENT else np.zeros(0, np.int64))
+            arrays = [pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sig, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["key", "copy", "node", "n", "fp", "sig"])
 
-    nodes = stage.write(open_.groupBy("node").agg(F.first("n").alias("n")))
-    held = stage.write(texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(cut, "node long, h long"))
-    for _ in range(NARROWED):
-        alone = held.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).filter("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
-        counted = nodes.select("node", "n").join(alone, "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
-        nodes = stage.write(counted.filter(F.col("lone") <= (1 - LEAST) * F.col("n") + 1e-9))
-        held = held.join(nodes.select("node"), "node", "left_semi")
-    return nodes.select("node", "lone")
+    return docs.select("key", "copy", "text").mapInArrow(work, "key long, copy long, node long, n long, fp long, sig array<long>")
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, one of each component: that with the smallest key. A null key counts as a large number made from its text."""
-    spark = docs.sparkSession
-    stage = Stage(spark, "copies")
+    stage = Stage(docs.sparkSession, "copies")
     words = F.coalesce(F.col(text), F.lit(""))
     number = F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(text), F.lit(1 << 40)))
-    mine = docs.select(F.struct("*").alias("row"), number.alias("key"), F.xxhash64(words).alias("node"), words.alias("text"))
-    rows = mine.select("key", "node", _sketch("text").alias("s")).select("key", "node", "s.*")
-    nodes = stage.write(rows.groupBy("node").agg(F.min("key").alias("low"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    mine = docs.select(F.struct("*").alias("row"), number.alias("key"), F.xxhash64(words).alias("copy"), words.alias("text"))
+    rows = stage.write(sketches(mine))
+    nodes = stage.write(rows.groupBy("node").agg(F.min(F.struct("key", "copy")).alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig")))
 
     # fingerprints within the radius, as links of the smallest node of each
-    by_fp = stage.write(nodes.groupBy("fp").agg(F.min("node").alias("one")))
+    prints = rows.select("fp", "node").distinct()
+    by_fp = stage.write(prints.groupBy("fp").agg(F.min("node").alias("one")))
     near = simhash.link_fingerprints(by_fp.select("fp"), stage)
     ends = near.join(by_fp, "fp").select("to", F.col("one").alias("a")).join(by_fp.select(F.col("fp").alias("to"), F.col("one").alias("b")), "to").select(F.col("a").alias("fp"), F.col("b").alias("to"))
-    same = nodes.join(by_fp, "fp").filter("node <> one").select(F.col("node").alias("fp"), F.col("one").alias("to"))
+    same = prints.join(by_fp, "fp").filter("node <> one").select(F.col("node").alias("fp"), F.col("one").alias("to"))
     links = stage.write(ends.union(same))
 
-    bands = stage.write(nodes.select("node", "n", F.explode("bands").alias("band")).distinct())
-    several = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("band")
-    shared = stage.write(bands.join(several, "band"))
-    wanted = shared.select("node").distinct().join(nodes.select("node", "low"), "node").select(F.col("low").alias("key")).distinct()
-    texts = stage.write(mine.select("key", "node", "text").join(wanted, "key", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
-
-    roots = simhash.components(links, stage)
-    # others can't reach the similarity: by their sizes, and by the shingles that only one of them can have
-    fits = (F.least("n", "m") >= LEAST * F.greatest("n", "m") - 1e-9) & (F.least(F.col("n") - F.col("lone"), F.col("m") - F.col("other_lone")) >= LEAST / (1 + LEAST) * (F.col("n") + F.col("m")) - 1e-9)
-    done, turn, before, pairwise, lonely = None, 0, 0, False, None
-    while not pairwise:
-        labelled = shared.join(roots.withColumnRenamed("fp", "node"), "node", "left").withColumn("label", F.coalesce("root", "node"))
-        # only keys whose nodes are not in one component yet
-        split = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("band")
-        open_ = stage.write(labelled.join(split, "band").select("band", "node", "n", "label"))
-        if turn == 0:
-            sizes = open_.groupBy("band").agg(F.count(F.lit(1)).alias("size"))
-            weights = open_.join(sizes, "band").groupBy("node").agg(F.sum("size").alias("weight"))
-            open_ = stage.write(open_.join(weights, "node").withColumn("lone", F.lit(0).cast("long")))
-        else:
-            lonely = lonely or _lonely(open_, texts, stage)
-            open_ = stage.write(open_.join(lonely, "node").withColumn("weight", F.xxhash64("node", F.lit(turn))))
-        n_open = open_.count()
-        if not n_open:
-            break
-        pairwise = turn > 1 and n_open > 0.9 * before
-        before = n_open
-        if not pairwise:
-            first = open_.groupBy("band").agg(F.max(F.struct("weight", "node", "n", "label", "lone")).alias("f"))
-            other = first.select("band", F.col("f.node").alias("a"), F.col("f.n").alias("m"), F.col("f.label").alias("of"), F.col("f.lone").alias("other_lone"))
-        else:
-            open_ = open_.join(nodes.select("node", "bands"), "node")
-            other = open_.select("band", F.col("node").alias("a"), F.col("n").alias("m"), F.col("label").alias("of"), F.col("lone").alias("other_lone"), F.col("bands").alias("other_bands")).hint("merge")
-        pairs = open_.join(other, "band").filter((F.col("label") != F.col("of")) & fits)
-        if pairwise:  # a pair meets in the smallest of its keys alone
-            pairs = pairs.filter((F.col("a") < F.col("node")) & (F.array_min(F.array_intersect("bands", "other_bands")) == F.col("band")))
-        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = stage.write(pairs)
-        done = pairs if done is None else done.union(pairs)
-        links = links.union(stage.write(_checked(pairs, texts)))
-        roots = simhash.components(links, stage)
-        turn += 1
+    lists = minhash_join.shared_lists(nodes.select("node", "n", F.explode(F.array_distinct("sig")).alias("key")), stage)
+    wanted = stage.write(nodes.join(lists.select("node").distinct(), "node", "left_semi").select("node", F.col("low.key").alias("key"), "sig"))
+    sets = minhash_join.full_sets(mine, wanted.select("key", "node"), stage, WORDS)
+    roots = minhash_join.links_of(lists, wanted, sets, stage, PERCENT, 1, links)
 
     whole = nodes.select("node", "low").join(roots.withColumnRenamed("fp", "node"), "node", "left")
-    kept = stage.write(whole.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("low", "node")).alias("k")).select(F.col("k.low").alias("key"), F.col("k.node").alias("node")))
-    held = mine.select("row", "key", "node").join(kept.hint("merge"), ["key", "node"], "left_semi")
-    return held.dropDuplicates(["key", "node"]).select("row.*")
+    kept = stage.write(whole.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("low").alias("k")).select("k.key", "k.copy"))
+    held = mine.select("row", "key", "copy").join(kept.hint("merge"), ["key", "copy"], "left_semi")
+    return held.dropDuplicates(["key", "copy"]).select("row.*")

@@ -106,3 +106,44 @@ def test_signatures_collide_as_sets_do():
 def test_similarity_in_whole_numbers(n, m, both, say):
     a, b = np.arange(n, dtype=np.uint64), np.r_[np.arange(both), 1000 + np.arange(m - both)].astype(np.uint64)
     assert M.alike(a, b) is say
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_links_in_a_block(sides):
+    rng = np.random.default_rng(sides)
+    base = rng.integers(0, 1 << 62, 120)
+    sets = []
+    for i in range(90):
+        keep = base[rng.random(120) > rng.choice([0.01, 0.05, 0.1])] if i < 80 else rng.integers(0, 1 << 62, 30)
+        sets.append(np.unique(np.r_[keep, base[:3] + rng.integers(1, 5, 3)]).astype(np.uint64))
+    label, side = rng.integers(0, 6, 90), rng.integers(0, sides, 90)
+    a, b = M._links_in(sets, label, side, 85)
+    got = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+    want = {(x, y) for x in range(90) for y in range(x + 1, 90) if label[x] != label[y] and (sides == 1 or side[x] != side[y]) and M.alike(sets[x], sets[y])}
+    assert got <= want and want
+    merged = lambda pairs: _merged(pairs, label)
+    assert merged(got) == merged(want)
+
+
+def _merged(pairs, label):
+    root = dict(zip(label.tolist(), label.tolist()))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        root[find(label[x])] = find(label[y])
+    groups = {}
+    for x in root:
+        groups.setdefault(find(x), set()).add(x)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_blocks_of_a_large_list(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 900)
+    rng = random.Random(8)
+    base = made(rng, 100)
+    rows = [(i, " ".join(changed(rng, base, rng.randint(1, 7)))) for i in range(120)]
+    assert run(spark, rows) == brute(rows)

@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from ledgerstone.llm import near_copies, simhash
+from ledgerstone.llm import minhash_join, near_copies, simhash
 
 
 def plain(text):
@@ -44,8 +44,50 @@ def test_candidates_and_empty_tables(spark):
         other = list(words)
         for i in rng.choice(400, 8, replace=False):
             other[i] = b"x%d" % rng.integers(1 << 40)
-        a, b = near_copies.shingles(words), near_copies.shingles(other)
-        assert near_copies.similarity(a, b) >= 0.8
+        a, b = (minhash_join.shingle_set(b" ".join(x).decode(), near_copies.WORDS) for x in (words, other))
+        assert minhash_join.alike(a, b, near_copies.PERCENT)
         missed += not (near_copies.band_keys(a) == near_copies.band_keys(b)).any()
     assert missed == 0
     assert near_copies.keep_one_of_each(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_group_of_thousands(spark):
+    """Copies with many and few changes about one text, most of them not alike one another, and copies of these."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(3000):
+        w = list(base)
+        for i in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+            w[i] = f"x{rng.integers(6)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = sorted(r.doc_id for r in near_copies.keep_one_of_each(df).collect())
+    sets, fp = [frozenset(plain(t)) for t in texts], [simhash.fingerprint(t) for t in texts]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(s, i)
+    ids = {}
+    rows = np.zeros((len(first), 1 + max(ids.setdefault(g, len(ids)) for s in first for g in s)), np.float32)
+    for r, s in enumerate(first):
+        rows[r, [ids[g] for g in s]] = 1
+    both, n = rows @ rows.T, rows.sum(1)
+    near = both >= 0.8 * (n[:, None] + n[None] - both) - 1e-6
+    place = {s: r for r, s in enumerate(first)}
+    prints = {}
+    for s, f in zip(sets, fp):
+        prints.setdefault(f, set()).add(place[s])
+    names = np.array(sorted(prints), np.uint64)
+    close = np.bitwise_count(names[:, None] ^ names[None]) <= 2
+    for a, b in zip(*np.nonzero(close)):
+        for x in prints[int(names[a])]:
+            for y in prints[int(names[b])]:
+                near[x, y] = near[y, x] = True
+    label = np.arange(len(first))
+    while True:
+        new = np.array([label[m].min() for m in near])
+        if (new == label).all():
+            break
+        label = new
+    order = list(first.values())
+    assert got == sorted({min(order[r] for r in np.flatnonzero(label == x)) for x in set(label.tolist())})
