@@ -14,15 +14,17 @@ posterior(l) ~ p(text | l) * p(declared | l) * p(suffix | l) * p(l | host)
 
 A document is rejected when "und" wins or no language reaches LEAST. Texts without letters rest on the other evidence. Null
 texts count as empty, null hosts as one host, an unknown or null declaration says nothing. Repeated rows give repeated rows.
-Host counts are aggregated before they are shuffled; the priors are joined by broadcast only if there are at most BROADCAST_HOSTS
-of them (their number is counted first), else by a merge join in which each host's rows are dealt over SALTS keys.
+Any number of languages may be declared. The model holds counts that aren't zero, by bucket; priors are rows with the language as
+a key; evidence is fused and normalised for a batch at once, in time linear in languages. Host counts are aggregated before they are
+shuffled; the priors are joined by broadcast only if they hold at most BROADCAST_NUMBERS numbers (counted first), else by a merge join
+in which each host's rows are dealt over SALTS keys. Columns named language, confidence and rejected are replaced by identify.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,13 +33,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Stage, table, trim
+from .common import Stage, ragged_index, table, trim
 
 SAMPLE, RARE, BUCKETS = 4000, 200, 1 << 16
 TRUST, SUFFIX_TRUST, STRENGTH, LEAST = 0.97, 0.8, 20.0, 0.5
 #: A text counts as this many independent trigrams at most.
 EVIDENCE = 60.0
-BROADCAST_HOSTS, SALTS = 50_000, 64
+BROADCAST_NUMBERS, SALTS = 500_000, 64
+#: Shares of a host below this count as none. Numbers of hosts that a task adds up before it sends them.
+LEAST_SHARE, HELD = 1e-9, 2_000_000
 UNKNOWN = "und"
 _SPACE = re.compile(r"[\W\d_]+")
 
@@ -52,24 +56,30 @@ def trigrams(text: str) -> np.ndarray:
 
 
 class TextModel:
-    """Log likelihoods of trigrams by language; the last column is "und", in which all buckets are alike."""
+    """Log likelihoods of trigrams by language, and "und", in which all buckets are alike. Counts are kept by bucket, and only those that aren't zero."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
+    def __init__(self, languages: list[str], lang: np.ndarray, bucket: np.ndarray, n: np.ndarray):
+        """lang, bucket and n are the counts, one entry for each language and bucket that has any."""
         self.languages = [*languages, UNKNOWN]
-        smooth = counts + 0.05
-        p = smooth / smooth.sum(1, keepdims=True) if len(languages) else np.zeros((0, BUCKETS))
-        spread = np.full((1, BUCKETS), 1 / BUCKETS)
-        self.table = np.ascontiguousarray(np.log(np.r_[p, spread]).T, np.float32)
-
-    def score(self, text: str) -> list[float]:
+        total = np.bincount(lang, weights=n, minlength=len(languages)) + 0.05 * BUCKETS
+        order = np.lexsort((lang, bucket))
+        self.lang, self.more = lang[order].astype(np.int32), np.log((n[order] + 0.05) / 0.05)
+        self.starts = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        self.base = np.r_[np.log(0.05 / total), -np.log(BUCKETS)]  # of a trigram that a language doesn't have
+
+    def score(self, text: str) -> np.ndarray:
+        """Log likelihoods, the best at 0."""
         t = trigrams(text)
         if not len(t):
-            return [0.0] * len(self.languages)
-        total = np.zeros(len(self.languages))
-        for a in range(0, len(t), 200_000):
-            total += self.table[t[a : a + 200_000]].sum(0, dtype=np.float64)
+            return np.zeros(len(self.languages))
+        bucket, n = np.unique(t, return_counts=True)
+        total = self.base * len(t)
+        for a in range(0, len(bucket), 4096):  # a bucket has an entry for each language at most
+            start, stop = self.starts[bucket[a : a + 4096]], self.starts[bucket[a : a + 4096] + 1]
+            at = ragged_index(start, stop - start)
+            total += np.bincount(self.lang[at], weights=self.more[at] * np.repeat(n[a : a + 4096], stop - start), minlength=len(total))
         total *= min(1.0, EVIDENCE / len(t))
-        return (total - total.max()).tolist()
+        return total - total.max()
 
 
 def train(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
@@ -94,71 +104,121 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> TextModel:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "bucket", "n"])
 
     counts = few.select("text", "declared").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = counts.toPandas()  # at most BUCKETS numbers for each language of the sample
-    weight = got.groupby("lang")["n"].sum()
-    languages = sorted(weight.index)
-    table_ = np.zeros((len(languages), BUCKETS))
-    for k, lang in enumerate(languages):
-        mine = got[got["lang"] == lang]
-        table_[k, mine["bucket"]] = mine["n"]
-    return TextModel(languages, table_)
+    packed = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c"))  # at most BUCKETS numbers for each language of the sample
+    got = packed.select("lang", F.transform("c", lambda x: x["bucket"]).alias("bucket"), F.transform("c", lambda x: x["n"]).alias("n")).orderBy("lang").toArrow()
+    names, sizes = got.column(0).to_pylist(), np.array([len(x) for x in got.column(1)], np.int64)
+    whole = lambda c: np.concatenate([x.values.to_numpy() for x in got.column(c)]) if names else np.zeros(0, np.int64)
+    return TextModel(names, np.repeat(np.arange(len(names)), sizes), whole(1).astype(np.int64), whole(2).astype(np.float64))
 
 
-def text_likelihood(text: Column, model: TextModel) -> Column:
-    """Log likelihoods, one for each language and "und", the best at 0."""
+def softmax(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
 
-    @F.pandas_udf("array<double>")
-    def score(texts: pd.Series) -> pd.Series:
-        trim()
-        return pd.Series([model.score(t) for t in texts])
 
-    return score(F.coalesce(text, F.lit("")))
+def declared_evidence(named: list, languages: list[str], trust: float) -> np.ndarray:
+    """Log likelihoods of declarations, a row for each; one that names no known language says nothing."""
+    n = max(len(languages) - 1, 1)
+    place = {x: k for k, x in enumerate(languages[:-1])}
+    out = np.zeros((len(named), len(languages)))
+    at = [(i, place[x]) for i, x in enumerate(named) if x in place]
+    if at:
+        rows, columns = np.array(at).T
+        out[rows] = np.log((1 - trust) / n)
+        out[rows, columns] = np.log(trust)
+        out[rows, -1] = np.log(1 / (n + 1))
+    return out
 
 
-def _per_language(languages: list[str], value) -> Column:
-    return F.array(*(value(k, x) for k, x in enumerate(languages)))
+def evidence(text: Column, declared: Column, suffix: Column, model: TextModel) -> Column:
+    """Log likelihoods of text, declaration and suffix together, one for each language and "und"."""
 
+    @F.pandas_udf("array<double>")
+    def seen(texts: pd.Series, said: pd.Series, ends: pd.Series) -> pd.Series:
+        trim()
+        ll = np.array([model.score(t) for t in texts]).reshape(len(texts), len(model.languages))
+        return pd.Series(list(ll + declared_evidence(said.tolist(), model.languages, TRUST) + declared_evidence(ends.tolist(), model.languages, SUFFIX_TRUST)), dtype=object)
 
-def _normalised(logs: Column) -> Column:
-    """Probabilities from an array of logarithms."""
-    top = F.array_max(logs)
-    e = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    return seen(F.coalesce(text, F.lit("")), declared, suffix)
 
 
-def evidence(df: DataFrame, languages: list[str]) -> Column:
-    """Log likelihoods of text, declaration and suffix together (columns ll, declared, suffix)."""
-    n = max(len(languages) - 1, 1)
+@dataclass
+class Priors:
+    """Counts by language number, smoothed from all rows over the suffix to the host: hosts (host, suffix, n, of, s), with of and s the
+    languages that have any rows; suffixes alike; the whole table's shares on the driver, one for each language."""
+
+    hosts: DataFrame
+    suffixes: DataFrame
+    root: np.ndarray
+
+    @staticmethod
+    def mixed(n: np.ndarray, of: list, s: list, parent: np.ndarray) -> np.ndarray:
+        """Priors of rows with n counts, by languages of with counts s, from their parents'."""
+        out = STRENGTH * parent
+        size = np.fromiter((0 if x is None else len(x) for x in of), np.int64, len(of))
+        if size.any():
+            rows = np.repeat(np.arange(len(of)), size)
+            out[rows, np.concatenate([x for x in of if x is not None and len(x)])] += np.concatenate([x for x in s if x is not None and len(x)])
+        return out / (n + STRENGTH)[:, None]
 
-    def side(column: str, trust: float) -> Column:
-        named = F.col(column).isin(languages[:-1])
-        hit = lambda x: F.when(~named | F.col(column).isNull(), 0.0).when(F.col(column) == x, float(np.log(trust))).otherwise(float(np.log((1 - trust) / n)))
-        return _per_language(languages, lambda k, x: F.lit(float(np.log(1 / (n + 1)))) if x == UNKNOWN else hit(x))
 
-    named = lambda c: F.coalesce(F.col(c).isin(languages[:-1]), F.lit(False))
-    parts = [F.col("ll")]
-    for column, trust in (("declared", TRUST), ("suffix", SUFFIX_TRUST)):
-        parts.append(F.when(named(column), side(column, trust)).otherwise(F.array(*[F.lit(0.0)] * len(languages))))
-    return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
+def host_priors(scored: DataFrame, languages: int, stage: Stage) -> Priors:
+    """Priors from rows (host, suffix, seen). Tasks add up the rows' shares by host, for languages that have any (LEAST_SHARE or more), and
+    languages are keys of rows from there on: their number adds rows, not columns."""
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
 
-def host_priors(scored: DataFrame, languages: list[str]) -> DataFrame:
-    """Priors (host, suffix, prior array) smoothed from all rows over the suffix to the host."""
-    soft = scored.select("host", "suffix", _normalised(F.col("seen")).alias("p"))
-    sums = [F.sum(F.col("p")[k]).alias(f"s{k}") for k in range(len(languages))]
-    by_host = soft.groupBy("host", "suffix").agg(*sums, F.count(F.lit(1)).alias("n"))
-    again = [F.sum(f"s{k}").alias(f"s{k}") for k in range(len(languages))]
-    by_suffix = by_host.groupBy("suffix").agg(*again, F.sum("n").alias("n"))
-    whole = by_suffix.agg(*again, F.sum("n").alias("n")).first()
-    total = whole["n"] or 0
-    root = [((whole[f"s{k}"] or 0) + 1) / (total + len(languages)) for k in range(len(languages))]
+        def out():
+            sums, n = np.array([x[0] for x in held.values()]), [x[1] for x in held.values()]
+            row, lang = np.nonzero(sums >= LEAST_SHARE)
+            keys = list(held)
+            # the rows' number goes with language -1
+            at, lang_, s = [*row.tolist(), *range(len(keys))], np.r_[lang, np.full(len(keys), -1)], np.r_[sums[row, lang], n]
+            return pa.RecordBatch.from_arrays([pa.array([keys[i][k] for i in at], pa.string()) for k in (0, 1)] + [pa.array(lang_, pa.int32()), pa.array(s, pa.float64())], ["host", "suffix", "lang", "s"])
 
-    def mixed(parent) -> Column:
-        return F.array(*((F.col(f"s{k}") + STRENGTH * parent(k)) / (F.col("n") + STRENGTH) for k in range(len(languages))))
+        for batch in batches:
+            trim()
+            p = softmax(np.array(batch.column(2).to_pylist(), np.float64).reshape(batch.num_rows, languages))
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                mine = held.setdefault(key, [np.zeros(languages), 0])
+                mine[0] += p[i]
+                mine[1] += 1
+            if len(held) * languages > HELD:
+                yield out()
+                held = {}
+        if held:
+            yield out()
+
+    each = scored.select("host", "suffix", "seen").mapInArrow(add, "host string, suffix string, lang int, s double")
+    rows = stage.write(each.groupBy("host", "suffix", "lang").agg(F.sum("s").alias("s")))
+    by_suffix = stage.write(rows.groupBy("suffix", "lang").agg(F.sum("s").alias("s")))
+    whole = {r["lang"]: r["s"] for r in by_suffix.groupBy("lang").agg(F.sum("s").alias("s")).collect()}  # a row for each language
+    root = (np.array([whole.get(k, 0.0) for k in range(languages)]) + 1) / (whole.get(-1, 0.0) + languages)
+
+    def packed(df: DataFrame, *by: str) -> DataFrame:
+        any_ = F.col("lang") >= 0
+        pairs = F.collect_list(F.when(any_, F.struct("lang", "s")))
+        out = df.groupBy(*by).agg(F.sum(F.when(~any_, F.col("s"))).alias("n"), pairs.alias("c"))
+        return stage.write(out.select(*by, "n", F.transform("c", lambda x: x["lang"]).alias("of"), F.transform("c", lambda x: x["s"]).alias("s")))
+
+    return Priors(packed(rows, "host", "suffix"), packed(by_suffix, "suffix"), root)
+
+
+def fused(joined: DataFrame, row: str, languages: list[str], root: np.ndarray) -> DataFrame:
+    """(row, language, confidence) of rows with seen and the counts of their host (n, of, s) and suffix (up_n, up_of, up_s)."""
+
+    @F.pandas_udf("language string, confidence double")
+    def best(seen: pd.Series, n: pd.Series, of: pd.Series, s: pd.Series, up_n: pd.Series, up_of: pd.Series, up_s: pd.Series) -> pd.DataFrame:
+        trim()
+        parent = np.repeat(root[None], len(seen), 0)
+        up = Priors.mixed(up_n.fillna(0).to_numpy(np.float64), up_of.tolist(), up_s.tolist(), parent)
+        prior = Priors.mixed(n.fillna(0).to_numpy(np.float64), of.tolist(), s.tolist(), up)
+        post = softmax(np.array(seen.tolist(), np.float64).reshape(len(seen), len(languages)) + np.log(prior))
+        at = post.argmax(1)
+        return pd.DataFrame({"language": [languages[k] for k in at.tolist()], "confidence": post[np.arange(len(at)), at]})
 
-    up = by_suffix.select("suffix", mixed(lambda k: F.lit(root[k])).alias("up"))
-    near = by_host.alias("h").join(up, by_host["suffix"].eqNullSafe(up["suffix"]))
-    return near.select(F.col("h.host").alias("host"), F.col("h.suffix").alias("suffix"), mixed(lambda k: F.col("up")[k]).alias("prior"))
+    return joined.select(row, best("seen", "n", "of", "s", "up_n", "up_of", "up_s").alias("b")).select(row, "b.language", "b.confidence")
 
 
 #: Languages by their three-letter codes.
@@ -204,17 +264,18 @@ def _judged(df: DataFrame, row: Column, text: str, declared: str | None, host: s
     languages = model.languages
     stage = Stage(spark, "language")
     tagged = df.select(row.alias("row"), F.col(text).alias("text"), says.alias("declared"), F.coalesce(col(host), F.lit("")).alias("host"), F.coalesce(col(suffix), F.lit("")).alias("suffix"))
-    scored = stage.write(tagged.withColumn("ll", text_likelihood(F.col("text"), model)).withColumn("seen", evidence(tagged, languages)).drop("text", "ll", "declared"))
-    priors = stage.write(host_priors(scored.select("host", "suffix", "seen"), languages))
-    if priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        joined = scored.join(F.broadcast(priors), ["host", "suffix"], "left")
+    scored = stage.write(tagged.withColumn("seen", evidence(F.col("text"), F.col("declared"), F.col("suffix"), model)).drop("text", "declared"))
+    priors = host_priors(scored, len(languages), stage)
+    up = priors.suffixes.select("suffix", F.col("n").alias("up_n"), F.col("of").alias("up_of"), F.col("s").alias("up_s"))
+    size = priors.hosts.agg(F.sum(1 + F.size("of")).alias("n")).first()["n"] or 0  # suffixes have no more
+    if size <= BROADCAST_NUMBERS:
+        joined = scored.join(F.broadcast(priors.hosts), ["host", "suffix"], "left").join(F.broadcast(up), "suffix", "left")
     else:
-        spread = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = scored.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(spread.hint("merge"), ["host", "suffix", "salt"], "left")
-    names = F.array(*map(F.lit, languages))
-    post = joined.select("row", _normalised(F.zip_with("seen", "prior", lambda a, b: a + F.ln(b))).alias("post"))
-    best = post.select("row", F.array_max("post").alias("confidence"), F.element_at(names, F.array_position("post", F.array_max("post")).cast("int")).alias("language"))
-    return best.withColumn("rejected", (F.col("language") == UNKNOWN) | (F.col("confidence") < LEAST))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        salted = scored.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(priors.hosts.withColumn("salt", salts).hint("merge"), ["host", "suffix", "salt"], "left").join(up.withColumn("salt", salts).hint("merge"), ["suffix", "salt"], "left")
+    found = fused(joined, "row", languages, priors.root)
+    return found.withColumn("rejected", (F.col("language") == UNKNOWN) | (F.col("confidence") < LEAST))
 
 
 def host_suffix(host: Column) -> Column:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerstone.llm.common import Stage
 from ledgerstone.llm import language, toxicity
 
 EN = "the river and the stone were under that old bridge when winter came with its silver cloud"
@@ -45,7 +46,9 @@ def test_evidence_is_fused(spark):
 
 def test_priors_are_smoothed_down_the_hierarchy(spark):
     seen = spark.createDataFrame([("a", "x", [0.0, -50.0])] * 200 + [("b", "x", [-50.0, 0.0])] + [("c", "y", [-50.0, 0.0])] * 100, "host string, suffix string, seen array<double>")
-    p = {r.host: r.prior for r in language.host_priors(seen, ["l", "m"]).collect()}
+    priors = language.host_priors(seen, 2, Stage(spark, "test"))
+    up = {r.suffix: language.Priors.mixed(np.array([r.n]), [r["of"]], [r.s], priors.root[None])[0] for r in priors.suffixes.collect()}
+    p = {r.host: language.Priors.mixed(np.array([r.n]), [r["of"]], [r.s], up[r.suffix][None])[0] for r in priors.hosts.collect()}
     root = np.array([201, 102]) / 303
     x = (np.array([200, 1]) + 20 * root) / 221
     assert np.allclose(p["a"], (np.array([200, 0]) + 20 * x) / 220) and np.allclose(p["b"], (np.array([0, 1]) + 20 * x) / 21)
@@ -55,7 +58,7 @@ def test_priors_are_smoothed_down_the_hierarchy(spark):
 def test_many_hosts_take_the_salted_join(spark, monkeypatch):
     df = spark.createDataFrame(corpus(), SCHEMA)
     a = {r.doc_id: (r.language, round(r.confidence, 9)) for r in language.identify(df, declared="lang", host="host").collect()}
-    monkeypatch.setattr(language, "BROADCAST_HOSTS", 1)
+    monkeypatch.setattr(language, "BROADCAST_NUMBERS", 1)
     assert {r.doc_id: (r.language, round(r.confidence, 9)) for r in language.identify(df, declared="lang", host="host").collect()} == a
 
 

@@ -1,5 +1,7 @@
 import os
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +59,33 @@ def test_pages_by_markup_suffix_and_host(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.language for r in language.page_languages(spark, str(tmp_path)).collect()}
     assert len(got) == 42 and got[1] == "sv" and got[2] == "en" and got[100] == "sv"
+
+
+def test_sparse_scores_equal_dense_ones():
+    rng = np.random.default_rng(1)
+    counts = rng.integers(0, 4, (5, language.BUCKETS)) * (rng.random((5, language.BUCKETS)) < 0.1)
+    lang, bucket = np.nonzero(counts)
+    model = language.TextModel(list("abcde"), lang, bucket, counts[lang, bucket].astype(float))
+    smooth = counts + 0.05
+    dense = np.log(np.r_[smooth / smooth.sum(1, keepdims=True), np.full((1, language.BUCKETS), 1 / language.BUCKETS)])
+    for text in (EN, SV * 30, "a", ""):
+        t = language.trigrams(text)
+        want = dense[:, t].sum(1) * min(1.0, language.EVIDENCE / max(len(t), 1))
+        assert np.allclose(model.score(text), want - want.max())
+
+
+def test_a_thousand_codes_of_noise(spark):
+    """Wrong codes on texts of two languages: the rows of the two are still told apart, in time that follows the codes."""
+    code = lambda i: "q" + chr(97 + i // 26 % 26) + chr(97 + i % 26) if i < 676 else "x" + chr(97 + i // 26 % 26) + chr(97 + i % 26)
+    rows = [(i, EN if i % 2 else SV, "en" if i % 2 else "sv", f"h{i % 7}") for i in range(1500)] + [(5000 + i, EN if i % 2 else SV, code(i % 1000), f"h{i % 7}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    start = time.time()
+    out = language.identify(df, declared="lang", host="source").select("doc_id", "language", "lang").collect()
+    assert time.time() - start < 240 and len(out) == 3000
+    assert all(r.language == r.lang for r in out if r.doc_id < 1500)
+
+
+def test_names_that_clash_are_replaced(spark):
+    df = spark.createDataFrame([(1, EN, "en", "q", 1, 2, 3)], "doc_id long, text string, lang string, language string, seen int, n int, of int")
+    r = language.identify(df, declared="lang").collect()[0]
+    assert r.asDict().keys() == {"doc_id", "text", "lang", "seen", "n", "of", "language", "confidence", "rejected"} and r.language == "en" and (r.seen, r.n) == (1, 2)
