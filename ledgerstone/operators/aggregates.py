@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import anchored_starts, scanned
 from .storage import numbered
 
 
@@ -72,12 +73,11 @@ def anchored_clusters(values: Column, gap: float) -> Column:
 
 
 def cluster_means(rows: DataFrame, by: str, value: str, gap: float) -> DataFrame:
-    """(by, run, means): the means of anchored clusters, by runs. A step above the gap begins a cluster in any case, so only the values
-    between two such steps are gathered."""
-    order = W.partitionBy(by).orderBy(value)
-    begins = F.coalesce((F.col(value) - F.lag(value).over(order) > gap).cast("int"), F.lit(1))
-    runs = rows.withColumn("__begins", begins).withColumn("run", F.sum("__begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return runs.groupBy(by, "run").agg(anchored_clusters(F.collect_list(value), gap).alias("means"))
+    """(by, anchor, mean, n): anchored clusters, a row for each, with the value that began it. Equal values count once while beginnings are sought, and no group is gathered."""
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("__n"))
+    begun = anchored_starts(counted, [by], value, F.lit(float(gap)), [F.col(value)])
+    own = scanned(begun, [by], [F.col(value)], {"anchor": ("last", F.when(F.col("begins"), F.col(value)))})
+    return own.groupBy(by, "anchor").agg((F.sum(F.col(value) * F.col("__n")) / F.sum("__n")).alias("mean"), F.sum("__n").alias("n"))
 
 
 def rolled_up(df: DataFrame, levels: list[str], sums: dict[str, Column]) -> DataFrame:

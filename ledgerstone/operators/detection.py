@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import scale_ratio
@@ -12,6 +11,7 @@ from .geometry import is_border
 from .joins import first_of, parallel_partners
 from .layout import tolerant_pick
 from .projects import orthogonal
+from .scans import scanned
 
 #: How far a detected scale may be from the declared one.
 TOLERANCE = 0.03
@@ -59,17 +59,19 @@ def drawn_polygons(events: DataFrame, page: str = "page") -> DataFrame:
 
     start opens a polygon, which takes the vertices up to the first close that it has enough of them for (two for a polyline, else three);
     a close before that is ignored, and so are vertices after it. Without a label a polygon is named by its kind and number."""
-    order = W.partitionBy(page).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    rows = events.withColumn("poly_no", F.sum((F.col("op") == "start").cast("int")).over(order)).filter("poly_no > 0")
-    own = W.partitionBy(page, "poly_no").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    first = lambda c, usual: F.coalesce(F.first(F.when(F.col("op") == "start", F.col(c)), True).over(own), F.lit(usual))
-    rows = rows.withColumns({"kind": first("kind", "area"), "mode": first("mode", "net"), "scope": F.when(first("scope", "building") == "garage", "garage").otherwise("building"), "label": F.first(F.when(F.col("op") == "start", F.col("label")), True).over(own)})
-    placed = F.sum((F.col("op") == "vertex").cast("int")).over(own)
-    enough = placed >= F.when(F.col("kind") == "polyline", 2).otherwise(3)
-    ended = rows.withColumn("done", F.max(((F.col("op") == "close") & enough).cast("int")).over(own))
-    taken = F.collect_list(F.when((F.col("op") == "vertex") & (F.col("done") == 0), F.struct("seq", "x", "y")))
-    polygons = ended.groupBy(page, "poly_no", "kind", "mode", "scope", "label").agg(F.array_sort(taken).alias("v"), (F.max("done") == 1).alias("closed"))
-    number = F.row_number().over(W.partitionBy(page, "kind").orderBy("poly_no")).cast("string")
+    start, seq = F.col("op") == "start", [F.col("seq")]
+    rows = scanned(events, [page], seq, {"poly_no": ("sum", start.cast("long"))}).filter("poly_no > 0")
+    at_start = lambda c: ("first", F.when(start, F.col(c)))
+    vertex = (F.col("op") == "vertex").cast("long")
+    own = scanned(rows, [page, "poly_no"], seq, {"kind": at_start("kind"), "mode": at_start("mode"), "scope": at_start("scope"), "label": at_start("label"), "__placed": ("sum", vertex)})
+    own = own.withColumns({"kind": F.coalesce("kind", F.lit("area")), "mode": F.coalesce("mode", F.lit("net")), "scope": F.when(F.col("scope") == "garage", "garage").otherwise("building")})
+    enough = (F.col("op") == "close") & (F.col("__placed") >= F.when(F.col("kind") == "polyline", 2).otherwise(3))
+    ended = own.groupBy(page, "poly_no").agg(F.min(F.when(enough, F.col("seq"))).alias("__end"))
+    taken = F.collect_list(F.when((F.col("op") == "vertex") & (F.col("__end").isNull() | (F.col("seq") < F.col("__end"))), F.struct("seq", "x", "y")))
+    met = own.join(ended, [page, "poly_no"])
+    polygons = met.groupBy(page, "poly_no", "kind", "mode", "scope", "label").agg(F.array_sort(taken).alias("v"), F.max("__end").isNotNull().alias("closed"))
+    polygons = scanned(polygons, [page, "kind"], [F.col("poly_no")], {"__number": ("sum", F.lit(1).cast("long"))})
+    number = F.col("__number").cast("string")
     name = F.when(F.col("kind") == "window", "Window ").when(F.col("kind") == "polyline", "Line ").otherwise("Area ")
     vertices = F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
     return polygons.select(page, F.col("poly_no").cast("long").alias("poly_no"), "kind", "mode", "scope", F.coalesce("label", F.concat(name, number)).alias("label"), vertices.alias("vertices"), "closed")

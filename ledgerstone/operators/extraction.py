@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_line, matched
+from .scans import scanned
 
 STAGE = r"(?<![A-Za-z0-9])(A1\s*[–—-]?\s*A3|A[1-5]|B[1-7]|C[1-4]|D)(?![A-Za-z0-9])"
 
@@ -106,8 +107,7 @@ def against_truth(truth: DataFrame, found: DataFrame, keys: list[str], relative:
 
 def until_sentinel(df: DataFrame, by: list[str], flag: Column, *order: Column) -> DataFrame:
     """Rows before the first flagged one of their group."""
-    seen = F.max(flag.cast("int")).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("__seen", seen).filter("__seen = 0").drop("__seen")
+    return scanned(df, by, list(order), {"__seen": ("max", F.coalesce(flag, F.lit(False)).cast("int"))}).filter("__seen = 0").drop("__seen")
 
 
 def joined_words(df: DataFrame, by: list[str], gap: Column, threshold: float, word: str, *order: Column) -> DataFrame:
@@ -120,7 +120,4 @@ def joined_words(df: DataFrame, by: list[str], gap: Column, threshold: float, wo
 
 def filled_down(df: DataFrame, by: list[str], values: dict[str, Column], *order: Column) -> DataFrame:
     """Each value carried on from the last row that has it."""
-    w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    for name, value in values.items():
-        df = df.withColumn(name, F.last(value, True).over(w))
-    return df
+    return scanned(df, by, list(order), {name: ("last", value) for name, value in values.items()})

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scans import scanned
+
 
 def first_of(df: DataFrame, by: list, *order: Column) -> DataFrame:
     """One row for each key, the first in a total order; tasks keep one row a key before the shuffle."""
@@ -43,15 +45,32 @@ def bins(low: Column, high: Column, width: float) -> Column:
     return F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long"))
 
 
-def smallest_container(points: DataFrame, boxes: DataFrame, inside: Column, point_key: str, bin_width: float, scope: list[str] | None = None) -> DataFrame:
+def level_of(extent: Column, least: float = 1.0) -> Column:
+    """The level of a grid whose cells, 2 ** level wide, hold the extent."""
+    return F.ceil(F.log2(F.greatest(extent, F.lit(least)))).cast("int")
+
+
+def cells(low: Column, high: Column, level: Column) -> Column:
+    """The cells of a level that a range no wider than one of them touches: one or two."""
+    width = F.pow(F.lit(2.0), level)
+    return F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long"))
+
+
+def smallest_container(points: DataFrame, boxes: DataFrame, inside: Column, point_key: str, scope: list[str] | None = None) -> DataFrame:
     """For each point the smallest of the shapes that hold it (area, then seq); points without one keep a null.
 
-    points have x, y; boxes have box_id, x1, y1, x2, y2, area, seq and whatever `inside` needs. Both meet by scope and by bins of x
-    and y, so that only near pairs are tested."""
+    points have x, y; boxes have box_id, x1, y1, x2, y2, area, seq and whatever `inside` needs. A box lies in the grid of its own size,
+    in four cells at most, and a point looks into its cell of every grid that has boxes; so boxes of any sizes share a table."""
     scope = scope or []
-    px = points.withColumn("bx", F.floor(F.col("x") / bin_width).cast("long")).withColumn("by", F.floor(F.col("y") / bin_width).cast("long"))
-    b = boxes.withColumn("bx", F.explode(bins(F.col("x1"), F.col("x2"), bin_width))).withColumn("by", F.explode(bins(F.col("y1"), F.col("y2"), bin_width)))
-    hits = px.join(b, ["bx", "by", *scope]).filter(inside)
+    b = boxes.withColumn("level", level_of(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))))
+    levels = [r[0] for r in b.select("level").distinct().collect() if r[0] is not None]  # as many as a double has exponents, at most
+    if not levels:
+        return points.withColumn("box_id", F.lit(None).cast(boxes.schema["box_id"].dataType))
+    b = b.withColumn("bx", F.explode(cells(F.col("x1"), F.col("x2"), F.col("level")))).withColumn("by", F.explode(cells(F.col("y1"), F.col("y2"), F.col("level"))))
+    width = F.pow(F.lit(2.0), F.col("level"))
+    p = points.withColumn("level", F.explode(F.array(*(F.lit(x).cast("int") for x in sorted(levels)))))
+    p = p.withColumn("bx", F.floor(F.col("x") / width).cast("long")).withColumn("by", F.floor(F.col("y") / width).cast("long"))
+    hits = p.join(b, ["level", "bx", "by", *scope]).filter(inside)
     best = first_of(hits.select(point_key, "box_id", "area", "seq"), [point_key], F.asc("area"), F.asc("seq"))
     return points.join(best.select(point_key, "box_id"), point_key, "left")
 
@@ -71,15 +90,20 @@ def parallel_partners(segments: DataFrame, near: float = 3, far: float = 25, ove
 def best_score_match(callouts: DataFrame, segments: DataFrame, max_error: float = 0.08, max_distance: float = 500.0, scope: list[str] | None = None) -> DataFrame:
     """For each callout (c_id, cx, cy, want) the segment (s_id, x1, y1, x2, y2, length) of the best score, 0.6 for length and 0.4 for nearness.
 
-    Lengths within max_error meet through bins of their logarithm; diagonal and short segments don't take part. First wins on ties."""
+    Both meet by bins of the logarithm of length and, in each, by cells of the plane that hold such a length and max_distance: a segment
+    touches two cells, a callout looks into those within its reach. Diagonal and short segments don't take part. First wins on ties."""
     scope = scope or []
     width = 0.1
+    size = F.greatest(F.lit(float(max_distance)), F.exp((F.col("bin") + 1) * width))
+    cell = lambda low, high: F.explode(F.sequence(F.floor(low / size).cast("long"), F.floor(high / size).cast("long")))
     c = callouts.withColumn("bin", F.explode(bins(F.log(F.col("want") * (1 - max_error)), F.log(F.col("want") * (1 + max_error)), width)))
+    c = c.withColumn("bx", cell(F.col("cx") - max_distance, F.col("cx") + max_distance)).withColumn("by", cell(F.col("cy") - max_distance, F.col("cy") + max_distance))
     s = segments.filter("length >= 10 AND (abs(x1 - x2) < 0.5 OR abs(y1 - y2) < 0.5)").withColumn("bin", F.floor(F.log("length") / width).cast("long"))
+    s = s.withColumn("bx", cell(F.least("x1", "x2"), F.greatest("x1", "x2"))).withColumn("by", cell(F.least("y1", "y2"), F.greatest("y1", "y2")))
     dx = F.greatest(F.least("x1", "x2") - F.col("cx"), F.lit(0.0), F.col("cx") - F.greatest("x1", "x2"))
     dy = F.greatest(F.least("y1", "y2") - F.col("cy"), F.lit(0.0), F.col("cy") - F.greatest("y1", "y2"))
     error = F.abs(F.col("length") - F.col("want")) / F.col("want")
-    pairs = c.join(s, ["bin", *scope]).withColumn("error", error).withColumn("dist", F.sqrt(dx * dx + dy * dy))
+    pairs = c.join(s, ["bin", "bx", "by", *scope]).withColumn("error", error).withColumn("dist", F.sqrt(dx * dx + dy * dy))
     near = pairs.filter((F.col("error") <= max_error) & (F.col("dist") <= max_distance))
     scored = near.withColumn("score", 0.6 * (1 - F.col("error") / max_error) + 0.4 * (1 - F.col("dist") / max_distance))
     return first_of(scored.select("c_id", "s_id", "score"), ["c_id"], F.desc(F.round("score", 9)), F.asc("s_id"))
@@ -114,15 +138,15 @@ def next_candidates(rows: DataFrame, page: str, pos: str, beyond: float) -> Data
 def asof_header(rows: DataFrame, headers: DataFrame, scope: str, at: str = "line", n: str = "n_values") -> DataFrame:
     """For each row the nearest header at or before it with as many columns as the row has values, else the nearest at all.
 
-    One pass over the order in each scope carries, for each number of columns, the last header; no row meets a header by a join.
+    Two scans over the order carry the last header, of each number of columns and of any; no row meets a header by a join, and no scope is in one task.
     headers have (scope, at, h_id, n_cols); the rows' numbers (row_id) are unique in their scope."""
     both = rows.select(scope, at, n, F.col("row_id"), F.lit(None).cast("long").alias("h_id"), F.lit(1).alias("kind")).unionByName(
         headers.select(scope, at, F.col("n_cols").cast(rows.schema[n].dataType).alias(n), F.lit(None).cast("long").alias("row_id"), F.col("h_id").cast("long"), F.lit(0).alias("kind"))
     )
     order = [F.col(at), F.col("kind"), F.coalesce("h_id", "row_id")]
-    same = F.last("h_id", True).over(W.partitionBy(scope, n).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    any_ = F.last("h_id", True).over(W.partitionBy(scope).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return both.withColumn("same", same).withColumn("near", any_).filter("kind = 1").select(scope, "row_id", F.coalesce("same", "near").alias("h_id"))
+    same = scanned(both, [scope, n], order, {"same": ("last", F.col("h_id"))})
+    near = scanned(same, [scope], order, {"near": ("last", F.col("h_id"))})
+    return near.filter("kind = 1").select(scope, "row_id", F.coalesce("same", "near").alias("h_id"))
 
 
 def two_tier_match(rows: DataFrame, known: DataFrame, key: str = "r_id") -> DataFrame:
@@ -132,8 +156,9 @@ def two_tier_match(rows: DataFrame, known: DataFrame, key: str = "r_id") -> Data
     low = lambda c: F.nullif(F.lower(F.trim(F.col(c))), F.lit(""))
     r = rows.select(key, *(low(c).alias(c) for c in ("maker", "declaration", "name", "grp")))
     k = known.select("k_id", *(low(c).alias(c) for c in ("maker", "declaration", "name", "grp")))
-    one = r.join(k.select("k_id", "maker", "declaration"), ["maker", "declaration"]).select(key, "k_id", F.lit(1).alias("tier"))
-    two = r.join(k.select("k_id", "name", "grp", F.col("maker").alias("k_maker")), ["name", "grp"]).filter("maker IS NULL OR k_maker IS NULL OR maker = k_maker").select(key, "k_id", F.lit(2).alias("tier"))
+    least = lambda *by: k.groupBy(*by).agg(F.min("k_id").alias("k_id"))  # noqa: E731  only the smallest of a key counts
+    one = r.join(least("maker", "declaration"), ["maker", "declaration"]).select(key, "k_id", F.lit(1).alias("tier"))
+    two = r.join(least("name", "grp", "maker").withColumnRenamed("maker", "k_maker"), ["name", "grp"]).filter("maker IS NULL OR k_maker IS NULL OR maker = k_maker").select(key, "k_id", F.lit(2).alias("tier"))
     return first_of(one.union(two), [key], F.asc("tier"), F.asc("k_id"))
 
 

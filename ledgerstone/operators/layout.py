@@ -1,6 +1,6 @@
 """Folds over page layouts that need a running state: rows of text, glyph runs, tables, fractions, tolerant picks, draw operations, cell formulas.
 
-Each works on one page (or sheet) at a time; a page is bounded, and pages are dealt over tasks."""
+Most work on one page (or sheet) at a time; a page is bounded, and pages are dealt over tasks. Rows of text are found by scans, for scopes of any size."""
 
 from __future__ import annotations
 
@@ -9,10 +9,11 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scans import anchored_starts, chained_starts, scanned
+
 
 def _per_page(df: DataFrame, by: str, fold, schema: str) -> DataFrame:
     return df.groupBy(by).applyInPandas(fold, schema)
@@ -31,29 +32,11 @@ def _rows(page: pd.DataFrame, within) -> list[list]:
 
 def row_clusters(items: DataFrame, by: str, tolerance: float = 3.0, anchored: bool = True, item: str = "item_id", font: str | None = None) -> DataFrame:
     """Row numbers of text items (y, x): an item joins the row if it lies within the tolerance of the row's first item (anchored) or its last (chained)."""
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x", item], kind="stable")
-        rows, anchor, n = [], None, 0
-        for i, y in enumerate(page["y"].tolist()):
-            within = max(tolerance, 0.3 * page[font].iloc[i]) if font else tolerance
-            if anchor is None or y - anchor > within:
-                n, anchor = n + 1, y
-            elif not anchored:
-                anchor = y
-            rows.append(n)
-        return pd.DataFrame({by: page[by], "__run": page["__run"], item: page[item], "__no": rows})
-
-    # a gap above any tolerance begins a row in any case, so each run between such gaps is folded by itself
-    order = W.partitionBy(by).orderBy("y", "x", item)
-    widest = F.greatest(F.lit(float(tolerance)), 0.3 * F.col(font)) if font else F.lit(float(tolerance))
-    begins = F.coalesce((F.col("y") - F.lag("y").over(order) > widest).cast("int"), F.lit(1))
-    runs = items.withColumn("__begins", begins).withColumn("__run", F.sum("__begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    folded = runs.groupBy(by, "__run").applyInPandas(fold, f"{by} {kinds[by]}, __run long, {item} {kinds[item]}, __no long")
-    sizes = folded.groupBy(by, "__run").agg(F.max("__no").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.partitionBy(by).orderBy("__run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return folded.join(sizes.select(by, "__run", before.alias("__before")), [by, "__run"]).select(by, item, (F.col("__before") + F.col("__no")).cast("long").alias("row_no"))
+    within = F.greatest(F.lit(float(tolerance)), 0.3 * F.col(font)) if font else F.lit(float(tolerance))
+    order = [F.col("y"), F.col("x"), F.col(item)]
+    begun = (anchored_starts if anchored else chained_starts)(items, [by], "y", within, order)
+    rows = scanned(begun, [by], [F.col("number")], {"row_no": ("sum", F.col("begins").cast("long"))})
+    return rows.select(by, item, "row_no")
 
 
 def glyph_runs(items: DataFrame, by: str = "page") -> DataFrame:

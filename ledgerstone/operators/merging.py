@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import first_of
+from .scans import scanned
 
 #: States of a field, from weakest to strongest claim.
 STATES = ("default", "calculated", "derived", "imported", "user-modified")
@@ -49,11 +50,11 @@ def latest_state(events: DataFrame, key: str, *order: Column) -> DataFrame:
 
 def change_only(events: DataFrame, key: str, values: list[str], *order: Column) -> DataFrame:
     """Events that change a value; an event that repeats its key's last values is dropped."""
-    w = W.partitionBy(key).orderBy(*order)
-    same = F.lit(True)
+    was = scanned(events, [key], list(order), {"__was": ("last", F.struct(*values))}, before=True)
+    repeats = F.col("__was").isNotNull()
     for v in values:
-        same = same & F.col(v).eqNullSafe(F.lag(v).over(w))
-    return events.withColumn("__same", same & (F.row_number().over(w) > 1)).filter("NOT __same").drop("__same")
+        repeats = repeats & F.col(v).eqNullSafe(F.col(f"__was.{v}"))
+    return was.filter(~repeats).drop("__was")
 
 
 def sticky_merge(current: DataFrame, incoming: DataFrame, key: str, value: str = "value", state: str = "state", new_state: str = "derived") -> DataFrame:
@@ -67,12 +68,10 @@ def sticky_merge(current: DataFrame, incoming: DataFrame, key: str, value: str =
 def state_machine(events: DataFrame, key: str, ranks: dict[str, int], weak: str, state: str, *order: Column) -> DataFrame:
     """The state after all events of a key: each sets the state, but the weak one never takes back a stronger."""
     rank = F.coalesce(*(F.when(F.col(state) == s, F.lit(r)) for s, r in ranks.items()), F.lit(0))
-    w = W.partitionBy(key).orderBy(*order)
-    seq = F.row_number().over(w)
+    folds = {"__strong": ("max", F.when(rank > ranks[weak], F.lit(1))), "__before": ("sum", F.lit(1).cast("long"))}
     # a weak event counts only before the first strong one
-    strong_before = F.coalesce(F.max(F.when(rank > ranks[weak], 1)).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    kept = events.withColumn("__seq", seq).withColumn("__ok", ~((F.col(state) == weak) & (strong_before == 1)))
-    return kept.filter("__ok").groupBy(key).agg(F.max_by(state, "__seq").alias("final_state"))
+    counted = scanned(events, [key], list(order), folds, before=True).filter(~(F.col("__strong").isNotNull() & F.col(state).eqNullSafe(weak)))
+    return counted.groupBy(key).agg(F.max_by(state, F.coalesce("__before", F.lit(0))).alias("final_state"))
 
 
 def debounced(events: DataFrame, key: str, ts: str, gap_seconds: float, *tie: Column) -> DataFrame:

@@ -158,5 +158,5 @@ def _(spark, d):
 def _(spark, d):
     rows = read(spark, d, "events").filter("event_type = 'purchase' AND value IS NOT NULL").select("user_id", F.col("value").alias("x"))
     means = A.cluster_means(rows, "user_id", "x", 5.0)
-    parts = F.array_sort(F.collect_list(F.struct("run", "means")))
-    return means.groupBy("user_id").agg(F.array_join(F.transform(F.flatten(F.transform(parts, lambda p: p["means"])), lambda m: F.format_string("%.6f", m)), ",").alias("means"))
+    own = F.array_sort(F.collect_list(F.struct("anchor", "mean")))  # a user's clusters make one string
+    return means.groupBy("user_id").agg(F.array_join(F.transform(own, lambda c: F.format_string("%.6f", c["mean"])), ",").alias("means"))

@@ -66,7 +66,7 @@ def points(spark: SparkSession, d: str) -> DataFrame:
 
 @query("smallest_container", f"SELECT p.p_id, b.box_id FROM {_POINTS} p LEFT JOIN (SELECT p_id, box_id, row_number() OVER (PARTITION BY p_id ORDER BY area, box_id) AS r FROM {_POINTS} p JOIN {_BOXES} b ON p.page = b.page AND x > x1 AND x < x2 AND y > y1 AND y < y2) b ON p.p_id = b.p_id AND r = 1")
 def _(spark, d):
-    return J.smallest_container(points(spark, d), boxes(spark, d), G.contains(F.col("vertices"), F.col("x"), F.col("y")), "p_id", 40.0, scope=["page"]).select("p_id", "box_id")
+    return J.smallest_container(points(spark, d), boxes(spark, d), G.contains(F.col("vertices"), F.col("x"), F.col("y")), "p_id", scope=["page"]).select("p_id", "box_id")
 
 
 _SEGMENTS = "(SELECT p_partkey AS seg_id, p_partkey // 500 AS page, (p_partkey * 131 % 2000)::DOUBLE / 2 AS pos, (p_partkey * 71 % 300)::DOUBLE AS lo, (p_partkey * 71 % 300 + 30 + p_size * 3)::DOUBLE AS hi FROM part)"

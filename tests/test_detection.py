@@ -53,8 +53,8 @@ def test_clusters_over_runs(spark):
     xs = [1.0, 2.0, 5.5, 9.0, 9.1, 30.0, 31.0, 37.0]
     df = spark.createDataFrame([("u", x) for x in xs] + [("w", 1.0)], "u string, x double").repartition(4)
     got = {}
-    for r in A.cluster_means(df, "u", "x", 5.0).orderBy("u", "run").collect():
-        got.setdefault(r.u, []).extend(round(m, 6) for m in r.means)
+    for r in A.cluster_means(df, "u", "x", 5.0).orderBy("u", "anchor").collect():
+        got.setdefault(r.u, []).append(round(r["mean"], 6))
     assert got == {"u": [round(8.5 / 3, 6), 9.05, 30.5, 37.0], "w": [1.0]}
 
 
