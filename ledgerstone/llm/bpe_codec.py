@@ -39,13 +39,13 @@ NUMBER_BITS, BLOCK_BITS = 30, 13
 COMBINED_WORDS = 500_000
 
 
-def _planes(a: np.ndarray) -> bytes:
+def _planes(a: np.ndarray, level: int = 9) -> bytes:
     """Numbers as byte planes, as many as the largest needs (the first byte says), compressed."""
     import zstandard
 
     a = np.ascontiguousarray(a, "<i8")
     n = max((int(a.max()).bit_length() + 7) // 8, 1) if len(a) else 1
-    return bytes([n]) + zstandard.ZstdCompressor(level=9).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes())
+    return bytes([n]) + zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes())
 
 
 def _unplaned(b: bytes) -> np.ndarray:

@@ -91,12 +91,14 @@ def word_ids(blocks: DataFrame) -> DataFrame:
 
 
 class Tuples:
-    """A block's n-grams. keys are its distinct tuples, first word * (words + 1) + second word + 1 (0: none), words numbered in their order; of says which key each n-gram has, doc which text; part deals the keys out by their words alone."""
+    """A block's n-grams. keys are its distinct tuples, first word * (words + 1) + second word + 1 (0: none), words numbered in their order;
+    all has each n-gram's key and doc its text; part deals the keys out by their words alone."""
 
     def __init__(self, words: list[bytes], sizes: np.ndarray, numbers: np.ndarray, parts: int):
+        from pyarrow import compute
         from xxhash import xxh64_intdigest
 
-        order = pa.array(words, pa.binary()).to_pandas().argsort(kind="stable").to_numpy() if len(words) else np.zeros(0, np.int64)
+        order = compute.sort_indices(pa.array(words, pa.binary())).to_numpy().astype(np.int64)
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         self.order, self.words = order, [words[i] for i in order.tolist()]
@@ -104,15 +106,23 @@ class Tuples:
         seq, doc = place[numbers], np.repeat(np.arange(len(sizes)), sizes)
         pair = doc[1:] == doc[:-1]
         self.doc = np.r_[doc, doc[1:][pair]]
-        self.keys, self.of, self.counts = np.unique(np.r_[seq * width, seq[:-1][pair] * width + seq[1:][pair] + 1], return_inverse=True, return_counts=True)
+        self.all = np.r_[seq * width, seq[:-1][pair] * width + seq[1:][pair] + 1]
+        ordered = np.sort(self.all)
+        begins = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+        self.keys, self.counts = ordered[begins], np.diff(np.r_[begins, len(ordered)])
         self.first, self.second = np.divmod(self.keys, width)
         h = np.zeros(width, np.uint64)
         h[1:] = np.fromiter((xxh64_intdigest(w, 12) for w in self.words), np.uint64, len(words))
         mixed = (h[self.first + 1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[self.second] * np.uint64(0xD6E8FEB86659FD93))
         self.part = ((mixed ^ (mixed >> np.uint64(31))) % np.uint64(parts)).astype(np.int64)
-        self.by_part = np.argsort(self.part, kind="stable")
+        self.by_part = np.argsort(self.part.astype(np.uint16) if parts <= 1 << 16 else self.part, kind="stable")
         self.ends = np.r_[0, np.cumsum(np.bincount(self.part, minlength=parts))]
 
+    def each(self, values: np.ndarray) -> np.ndarray:
+        """Values of the keys, for every n-gram."""
+        code, seen = pd.factorize(self.all)
+        return values[np.searchsorted(self.keys, seen)][code]
+
     @classmethod
     def of_row(cls, row, parts: int) -> Tuples:
         return cls(list(row["words"]), _unplaned(row["sizes"]), _unplaned(row["numbers"]), parts)
@@ -140,8 +150,8 @@ def pack_tuples(blocks: DataFrame, ids: DataFrame, parts: int) -> DataFrame:
                 first, second = t.first[mine], t.second[mine]
                 used = np.unique(np.r_[first, second[second > 0] - 1])
                 a, b = np.searchsorted(used, first), np.where(second > 0, np.searchsorted(used, second - 1) + 1, 0)
-                text = zstandard.ZstdCompressor(level=6).compress(b" ".join([t.words[i] for i in used.tolist()]))
-                rows.append((p, int(row["block_id"]), _planes(np.diff(of_word[used], prepend=0)), text, _planes(np.diff(a, prepend=0)), _planes(b), _planes(t.counts[mine])))
+                text = zstandard.ZstdCompressor(level=3).compress(b" ".join([t.words[i] for i in used.tolist()]))
+                rows.append((p, int(row["block_id"]), _planes(np.diff(of_word[used], prepend=0), 3), text, _planes(np.diff(a, prepend=0), 3), _planes(b, 3), _planes(t.counts[mine], 3)))
         return pd.DataFrame(rows, columns=["part", "block_id", "ids", "words", "first", "second", "counts"])
 
     met = blocks.groupBy("block_id").cogroup(ids.groupBy("block_id"))
@@ -193,7 +203,7 @@ def hash_tuples(packs: DataFrame, parts: int, buckets: int) -> DataFrame:
                 at += len(n)
                 np.add.at(sums[int(p["block_id"] < 0)], mine, n)
                 if p["block_id"] >= 0:
-                    yield out(p["block_id"], p["part"], _planes(mine))
+                    yield out(p["block_id"], p["part"], _planes(mine, 3))
             seen = np.flatnonzero(sums.any(0))
             yield out(None, held[0]["part"], None, (seen, sums[0][seen], sums[1][seen]))
 
@@ -210,10 +220,24 @@ def hash_tuples(packs: DataFrame, parts: int, buckets: int) -> DataFrame:
     return dealt.mapInArrow(merge, "block_id long, part int, places binary, bucket array<long>, raw array<long>, target array<long>")
 
 
-def bucket_gains(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """floor(1000 * ln of the smoothed ratio of target to raw) for each bucket, from rows (bucket, raw, target)."""
+def bucket_gains(counts: DataFrame, parts: int, buckets: int = BUCKETS) -> np.ndarray:
+    """floor(1000 * ln of the smoothed ratio of target to raw) for each bucket, from rows (part, bucket, raw, target) of arrays, one for each part.
+
+    About sqrt(parts) tasks add up as many rows each before buckets become rows."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, buckets), np.int64)
+        for batch in batches:
+            at = batch.column(0).flatten().to_numpy()
+            for k in (0, 1):
+                np.add.at(sums[k], at, batch.column(1 + k).flatten().to_numpy())
+        seen = np.flatnonzero(sums.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (seen, sums[0][seen], sums[1][seen])], ["bucket", "raw", "target"])
+
+    groups = math.isqrt(parts) + 1
+    added = counts.repartitionById(groups, F.col("part") % groups).select("bucket", "raw", "target").mapInArrow(add, "bucket long, raw long, target long")
     both = np.zeros((2, buckets), np.int64)
-    for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most a row for each bucket
+    for r in added.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():  # at most a row for each bucket
         both[:, r["bucket"]] = r["raw"], r["target"]
     (s, t), (total_s, total_t) = both.tolist(), both.sum(1).tolist()
     return np.array([math.floor(1000 * math.log((float(b) + 1) * (total_s + buckets) / ((float(a) + 1) * (total_t + buckets)))) for a, b in zip(s, t)], np.int64)
@@ -235,7 +259,7 @@ def text_weights(blocks: DataFrame, places: DataFrame, gains: np.ndarray, parts:
             docs = np.frombuffer(row["doc_ids"], "<i8")
             n = np.bincount(t.doc, minlength=len(docs))
             total = np.zeros(len(docs), np.int64)
-            np.add.at(total, t.doc, gains[bucket[t.of]])
+            np.add.at(total, t.doc, t.each(gains[bucket]))
             ids = pd.array([d if k else None for d, k in zip(docs.tolist(), row["known"])], "Int64")
             frames.append(pd.DataFrame({"doc_id": ids, "n_features": n, "weight": total // np.maximum(n, 1)}))
         return pd.concat(frames) if frames else pd.DataFrame({"doc_id": pd.array([], "Int64"), "n_features": np.zeros(0, np.int64), "weight": np.zeros(0, np.int64)})
@@ -254,9 +278,8 @@ def feature_weights(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS,
     held = blocks.select("block_id", "doc_ids", "known", "sizes", "numbers", "words")
     packs = pack_tuples(held, word_ids(blocks), parts)
     hashed = stage.write(hash_tuples(packs, parts, buckets))
-    counts = hashed.filter("block_id IS NULL").select(F.explode(F.arrays_zip("bucket", "raw", "target")).alias("c")).select("c.*")
-    gains = bucket_gains(counts, buckets)
-    return text_weights(held.filter("block_id >= 0"), hashed.filter("block_id IS NOT NULL").select("block_id", "part", "places"), gains, parts)
+    gains = bucket_gains(hashed.filter("block_id IS NULL").select("part", "bucket", "raw", "target"), parts, buckets)
+    return stage.write(text_weights(held.filter("block_id >= 0"), hashed.filter("block_id IS NOT NULL").select("block_id", "part", "places"), gains, parts))
 
 
 # -- drawing -------------------------------------------------------------------------------------------------
