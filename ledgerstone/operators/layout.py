@@ -5,8 +5,11 @@ Most work on one page (or sheet) at a time; a page is bounded, and pages are dea
 from __future__ import annotations
 
 import ast
+import math
 import re
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -167,55 +170,105 @@ def drawn_segments(ops: DataFrame, by: str = "page") -> DataFrame:
 
 # -- cell formulas -------------------------------------------------------------------------------------------
 
-_ALLOWED = (ast.Expression, ast.BinOp, ast.UnaryOp, ast.Constant, ast.Add, ast.Sub, ast.Mult, ast.Div, ast.USub, ast.UAdd)
+_ALLOWED = (ast.BinOp, ast.UnaryOp, ast.Constant, ast.Name, ast.Add, ast.Sub, ast.Mult, ast.Div, ast.USub, ast.UAdd, ast.Load)
+_CELL = re.compile(r"\$?([A-Z]{1,2})\$?\d+")
+#: A formula whose references go deeper counts as 0 where it is named, and has no value of its own.
+DEPTH = 8
 
 
-def _value(formula: str, cells: dict[str, str], depth: int = 0) -> float | None:
-    """The value of '=' arithmetic over cells of the same row; references deeper than eight, blanks and text count as 0."""
-    if depth > 8:
-        return None
-
-    def cell(m: re.Match) -> str:
-        raw = (cells.get(m[1]) or "").strip()
-        v = _value(raw, cells, depth + 1) if raw.startswith("=") else None
-        if v is None and not raw.startswith("="):
-            try:
-                v = float(raw.replace(",", ""))
-            except ValueError:
-                v = 0.0
-        return f"({v or 0.0!r})"
-
-    text = re.sub(r"\$?([A-Z]{1,2})\$?\d+", cell, formula.lstrip("=").strip())
-    if not re.fullmatch(r"[-+*/().\deE\s]+", text):
+@lru_cache(50_000)
+def compiled(formula: str) -> tuple[ast.AST, tuple[str, ...]] | None:
+    """The tree of '=' arithmetic and the columns it names, row numbers left out; None for anything else. Formulas copied down a sheet are one."""
+    text = formula.lstrip("=").strip()
+    if not re.fullmatch(r"[-+*/().\d\seE]*", _CELL.sub("", text)):
         return None
     try:
-        tree = ast.parse(text.strip(), mode="eval")
-        if not all(isinstance(n, _ALLOWED) for n in ast.walk(tree)):
-            return None
-        return _calculated(tree.body)
-    except (SyntaxError, ZeroDivisionError, OverflowError, RecursionError, ValueError):
+        tree = ast.parse(_CELL.sub(r" \1 ", text).strip(), mode="eval").body
+    except (SyntaxError, RecursionError, ValueError):
         return None
+    nodes = list(ast.walk(tree))
+    if not all(isinstance(n, _ALLOWED) for n in nodes) or any(isinstance(n, ast.Constant) and not isinstance(n.value, (int, float)) for n in nodes):
+        return None
+    return tree, tuple(dict.fromkeys(n.id for n in nodes if isinstance(n, ast.Name)))
 
 
-def _calculated(node: ast.AST) -> float:
+def _calculated(node: ast.AST, of: dict[str, np.ndarray]) -> np.ndarray:
     if isinstance(node, ast.Constant):
-        return float(node.value)
+        return np.float64(node.value)
+    if isinstance(node, ast.Name):
+        return of[node.id]
     if isinstance(node, ast.UnaryOp):
-        v = _calculated(node.operand)
+        v = _calculated(node.operand, of)
         return -v if isinstance(node.op, ast.USub) else v
-    a, b = _calculated(node.left), _calculated(node.right)
+    a, b = _calculated(node.left, of), _calculated(node.right, of)
     return a + b if isinstance(node.op, ast.Add) else a - b if isinstance(node.op, ast.Sub) else a * b if isinstance(node.op, ast.Mult) else a / b
 
 
-def evaluated(formula: Column, cells: Column) -> Column:
-    """The value of a formula over a map of column letters to cell texts; null where it has none."""
+def _plain(raw: str | None) -> float:
+    try:
+        v = float((raw or "").strip().replace(",", ""))
+    except ValueError:
+        return 0.0
+    return v if math.isfinite(v) else 0.0
+
+
+def sheet_values(cells: list[dict[str, str]]) -> list[dict[str, tuple[float | None, str]]]:
+    """For each row of cells (texts by column letters) the value and status of its formulas: ok, error, deep or cycle.
+
+    Rows with the same formulas are worked out together, in the order in which formulas name each other, each formula once. Blanks, texts
+    and formulas without a value count as 0 where they are named, and so does what lies more than DEPTH references below a formula:
+    status says that one goes so deep, or that it names itself in the end; its value is then what DEPTH references give."""
+    groups: dict[tuple, list[int]] = {}
+    for i, row in enumerate(cells):
+        own = sorted((k, re.sub(r"(?<=[A-Z])\$?\d+", "1", v.strip())) for k, v in row.items() if v and v.strip().startswith("="))
+        groups.setdefault(tuple(own), []).append(i)
+    out: list[dict[str, tuple[float | None, str]]] = [{} for _ in cells]
+    for shape, rows in groups.items():
+        trees = {k: compiled(f) for k, f in shape}
+        names = {k: [c for c in (t[1] if t else ()) if c in trees] for k, t in trees.items()}
+        height: dict[str, int] = {}
+        waiting = {k: set(v) for k, v in names.items()}
+        while ready := [k for k, v in waiting.items() if not v]:  # those that name no formula still waiting
+            for k in ready:
+                height[k] = 1 + max((height[c] for c in names[k]), default=-1)
+                del waiting[k]
+            for v in waiting.values():
+                v.difference_update(ready)
+        known: dict[tuple, np.ndarray] = {}
+
+        def value(c: str, left: int) -> np.ndarray:
+            """Not finite where there is none; formulas of no great height have one value wherever they are named."""
+            key = (c, left if height.get(c, left + 1) > left else None)
+            if key not in known:
+                if c not in trees:
+                    known[key] = np.array([_plain(cells[i].get(c)) for i in rows])
+                elif trees[c] is None or left < 0:
+                    known[key] = np.full(len(rows), np.nan)
+                else:
+                    of = {x: np.nan_to_num(value(x, left - 1), nan=0.0, posinf=0.0, neginf=0.0) for x in trees[c][1]}
+                    with np.errstate(all="ignore"):
+                        known[key] = np.broadcast_to(_calculated(trees[c][0], of), len(rows))
+            return known[key]
 
-    @F.pandas_udf(T.DoubleType())
-    def run(f: pd.Series, c: pd.Series) -> pd.Series:
-        known: dict = {}  # each formula over the same cells is worked out once in a batch
-        for x, m in zip(f, c):
-            if x is not None and (x, key := tuple(sorted((m or {}).items()))) not in known:
-                known[x, key] = _value(x, dict(key))
-        return pd.Series([None if x is None else known[x, tuple(sorted((m or {}).items()))] for x, m in zip(f, c)], dtype="float64")
+        for k in sorted(trees, key=lambda k: height.get(k, len(trees))):
+            status = "cycle" if k in waiting else "deep" if height[k] > DEPTH else "ok"
+            for i, v in zip(rows, value(k, DEPTH).tolist()):
+                good = math.isfinite(v)
+                out[i][k] = (v if good else None, status if good or status == "cycle" else "error")
+    return out
 
-    return run(formula, cells)
+
+def formulas(cells: Column) -> Column:
+    """map of column letters to {value, status} for the formulas of a row, given as a map of column letters to cell texts."""
+
+    @F.pandas_udf("map<string,struct<value:double,status:string>>")
+    def run(c: pd.Series) -> pd.Series:
+        found = sheet_values([dict(m or {}) for m in c])
+        return pd.Series([{k: {"value": v, "status": s} for k, (v, s) in row.items()} for row in found], dtype=object)
+
+    return run(cells)
+
+
+def evaluated(formula: Column, cells: Column) -> Column:
+    """The value of a formula over a map of column letters to cell texts; null where it has none."""
+    return formulas(F.map_concat(F.map_filter(F.coalesce(cells, F.create_map().cast("map<string,string>")), lambda k, v: k != "="), F.create_map(F.lit("="), formula)))["="]["value"]

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import calculator, catalog, displays, documents, drawings, extraction, fields, geometry, merging, text  # noqa: F401
+    from . import calculator, catalog, checks, displays, documents, drawings, extraction, fields, geometry, merging, text  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -34,6 +34,29 @@ def test_outlines_of_empty_pages(spark):
     assert {r.page: (r.source, r.path_id) for r in X.outlines(none, pages, paths).collect()} == {1: (None, None), 2: ("path", 8)}
 
 
+def test_wrapped_pages(spark):
+    """A status for each page, corners clipped to what is drawn, places of both axes."""
+    seg = []
+    wall = lambda page, axis, pos, lo, hi: seg.append((page, len(seg), *((lo, pos, hi, pos) if axis == "h" else (pos, lo, pos, hi))))
+    for pos in (100.0, 104.0, 108.0, 400.0, 410.0):
+        wall(1, "v", pos, 100.0, 300.0)
+    for pos in (100.0, 110.0, 300.0, 304.0):
+        wall(1, "h", pos, 90.0, 500.0)
+    wall(2, "v", 100.0, 100.0, 300.0), wall(2, "v", 110.0, 100.0, 300.0), wall(2, "h", 200.0, 100.0, 300.0)
+    wall(3, "h", 100.0, 100.0, 300.0), wall(3, "h", 120.0, 100.0, 300.0)
+    wall(4, "h", 100.0, 100.0, 300.0), wall(4, "h", 140.0, 100.0, 300.0)
+    wall(5, "h", 5.0, 100.0, 300.0)
+    df = spark.createDataFrame(seg, "page long, seg_id long, x1 double, y1 double, x2 double, y2 double")
+    pages = spark.createDataFrame([(i, 600.0, 700.0) for i in range(1, 7)], "page long, width double, height double")
+    got = {r.page: r for r in X.wrapped(df, pages).collect()}
+    assert {i: r.status for i, r in got.items()} == {1: "outlined", 2: "no_horizontal_walls", 3: "no_vertical_walls", 4: "no_walls", 5: "no_drawing", 6: "no_drawing"}
+    r = got[1]
+    assert (r.x1, r.y1, r.x2, r.y2) == (100.0, 100.0, 410.0, 304.0) and (r.n_horizontal, r.n_vertical) == (4, 5)
+    assert [(p.x, p.y) for p in r.polygon] == [(100.0, 100.0), (410.0, 100.0), (410.0, 304.0), (100.0, 304.0)]
+    assert r.xs == [102.0, 108.0, 400.0, 410.0] and r.ys == [100.0, 110.0, 302.0]
+    assert got[2].polygon is None and got[2].xs is None and (got[2].n_horizontal, got[2].n_vertical) == (0, 2)
+
+
 def test_places_in_groups(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(101)] + [("b", 5.0), (None, 1.0), (None, 2.0), ("c", None)], "g string, v double").repartition(5)
     got = {r.g: (r.low, r.high) for r in A.trimmed_extent(df, ["g"], "v").collect()}

@@ -1,5 +1,7 @@
 import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -148,6 +150,47 @@ def test_formulas(spark):
     assert got == [8.0, None, None, -6.0, 1.0, None]
 
 
+def by_recursion(formula, cells, depth=0):
+    """One formula at a time, from the outside in."""
+    if depth > 8:
+        return None
+
+    def cell(m):
+        raw = (cells.get(m[1]) or "").strip()
+        v = by_recursion(raw, cells, depth + 1) if raw.startswith("=") else layout._plain(raw)
+        return f"({v or 0.0!r})"
+
+    try:
+        v = eval(re.sub(r"([A-Z]+)\d+", cell, formula[1:]))  # noqa: S307  made below
+    except (ZeroDivisionError, OverflowError, SyntaxError, NameError):
+        return None
+    return v if math.isfinite(v) else None
+
+
+def test_formulas_that_name_formulas(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(120):
+        cells = {c: rng.choice(["", "3", "-2.5", "1,200", "text"]) for c in "ABCDEF"}
+        for c in "GHIJKLMNOPQR":
+            cells[c] = "=" + rng.choice(["{}1+{}2", "({}1-{}3)*2", "{}9/4+{}1", "-{}1+{}1", "1+{}1*{}1/8"]).format(*(rng.choice("ABCDEFGHIJKLMNOPQR") for _ in "ab"))
+        rows.append(cells)
+    chain = {"A": "1", **{chr(66 + i): f"={chr(65 + i)}1+1" for i in range(12)}}
+    rows += [chain, {"A": "=B1", "B": "=A1+1", "C": "=B1*2", "D": "=D1"}, {"A": "=1/0", "B": "=A1+2", "C": "=SUM(A1)"}, {}]
+    got = layout.sheet_values(rows)
+    for cells, found in zip(rows, got):
+        want = {k: by_recursion(f, cells) for k, f in cells.items() if f.startswith("=")}
+        assert found.keys() == want.keys()
+        for k, v in want.items():
+            assert found[k][0] == v or math.isclose(found[k][0], v, rel_tol=1e-9), (cells, k)
+    status = lambda i: {k: s for k, (_, s) in got[i].items()}
+    assert [status(120)[c] for c in "BJK"] == ["ok", "ok", "deep"]
+    assert status(121) == dict.fromkeys("ABCD", "cycle") and status(122) == {"A": "error", "B": "ok", "C": "error"} and got[122]["B"][0] == 2.0
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)] + [(999, None)], "i int, cells map<string,string>")
+    same = {r.i: {k: (v.value, v.status) for k, v in r.f.items()} for r in df.select("i", layout.formulas(F.col("cells")).alias("f")).collect()}
+    assert same == {**dict(enumerate(got)), 999: {}}
+
+
 def test_import(spark):
     rows = spark.createDataFrame([("LAM011", "Glulam beam", "wood", "Acme", "Canada", "69.96", "11.249", "m3", "406.13", "0.1", "1", "0.5", "0.9", "2026", "ISO 1; ISO 2", "FALSE"), ("", *[""] * 15)], ", ".join(f"c{i} string" for i in range(16)))
     at = dict(zip("id name category manufacturer country stated divisor unit density thickness bio carbon retention expiry standards hidden".split(), "ABCDEFGHIJKLMNOP"))
