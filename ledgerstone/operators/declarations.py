@@ -1,9 +1,9 @@
 """Declaration texts to records: family, title, type, fields by family, indicator totals and values by life-cycle stage.
 
 A declaration is read by a small grammar over plain tables. A label is a phrase; white space may stand between any of its letters, as it
-does where a page was set letter by letter. A field is a label and the value behind it, of one of a few shapes. A table row is a
-label, a unit and numbers, taken apart line by line. Tables say which labels, units and shapes belong together; no pattern is written by hand
-for a single field. Everything is a column over the text, so a corpus is one scan; only values by stage are rows of their own."""
+does where a page was set letter by letter. A field is a label and the value behind it, by one of a few rules. A table row is a
+label, a unit and numbers, taken apart line by line. Tables say which labels, units and rules belong together; no pattern is written by hand
+for a single field, and no value has a length of its own: it ends with its line or at the next known label. Everything is a column over the text, so a corpus is one scan; only values by stage are rows of their own."""
 
 from __future__ import annotations
 
@@ -84,42 +84,34 @@ STANDARDS = [
     (["CAN/CSA-ISO 14025", "CAN/CSA ISO 14025", "CAN/CSA-ISO 13025"], ""),
 ]
 
-#: Shapes of values behind a label.
-NAME = r"[A-Z][A-Za-z0-9 &.,'\-]{2,80}"
-CAPITALISED = r"[A-Z][A-Za-z]+(?:'\w+)?(?:\s+[A-Z][A-Za-z]+){0,2}"
-LINE = r"[^\n\r]{4,200}"
-RULES_LINE = r"[^\n\r\[]{6,300}"
-NUMBERED = r"[^\n\r]{3,60}"
-KG_PER_M3 = r"(\d{2,5}(?:[.,]\d+)?)\s*kg/m"
-
-#: Fields of each family: labels in order of priority, with the shape of the value.
+#: Fields of each family: labels in order of priority, with the rule of the value behind them (see after_label).
 FIELDS: dict[str, dict[str, list[tuple[str, str]]]] = {
     "na": {
-        "manufacturer": [("declaration holder", NAME), ("manufacturer name and address", NAME), ("manufacturer name", NAME), ("EPD commissioner and owner", NAME), ("EPD commissioner owner", NAME), ("produced by", CAPITALISED), ("produced at", CAPITALISED)],
-        "epd_id": [("declaration number", NUMBERED), ("EPD registration number", NUMBERED), ("EPD number", NUMBERED)],
-        "unit_line": [("declared product & unit", LINE), ("functional product & unit", LINE), ("declared unit", LINE), ("functional unit", LINE)],
-        "pcr": [("part B", RULES_LINE), ("reference PCR and version number", RULES_LINE), ("reference PCR", RULES_LINE), ("product category rules (PCR)", RULES_LINE), ("product category rules PCR", RULES_LINE), ("product category rules", RULES_LINE), ("product category rule", RULES_LINE)],
-        "markets": [("markets of applicability", r"[^\n\r]{2,80}"), ("region covered", r"[^\n\r]{2,80}")],
-        "kind": [("EPD type", r"[^\n\r]{4,40}")],
+        "manufacturer": [("declaration holder", "name"), ("manufacturer name and address", "name"), ("manufacturer name", "name"), ("EPD commissioner and owner", "name"), ("EPD commissioner owner", "name"), ("produced by", "capitals"), ("produced at", "capitals")],
+        "epd_id": [("declaration number", "line"), ("EPD registration number", "line"), ("EPD number", "line")],
+        "unit_line": [("declared product & unit", "line"), ("functional product & unit", "line"), ("declared unit", "line"), ("functional unit", "line")],
+        "pcr": [(x, "line") for x in ("part B", "reference PCR and version number", "reference PCR", "product category rules (PCR)", "product category rules PCR", "product category rules", "product category rule")],
+        "markets": [("markets of applicability", "line"), ("region covered", "line")],
+        "kind": [("EPD type", "line")],
     },
     "eu_ibu": {
-        "manufacturer": [("owner of the declaration", NAME)],
-        "epd_id": [("declaration number", r"EPD-[A-Za-z0-9.\-]{4,40}")],
-        "unit_line": [("this declaration refers to", LINE)],
-        "pcr": [("category rules", RULES_LINE)],
-        "published": [("issue date", r"[0-9./\-]{8,12}")],
-        "expires": [("valid to", r"[0-9./\-]{8,12}")],
+        "manufacturer": [("owner of the declaration", "name")],
+        "epd_id": [("declaration number", "line")],
+        "unit_line": [("this declaration refers to", "line")],
+        "pcr": [("category rules", "line")],
+        "published": [("issue date", "line")],
+        "expires": [("valid to", "line")],
     },
     "epd_intl": {
-        "manufacturer": [("from", NAME), ("owner of the declaration", NAME)],
-        "unit_line": [("functional unit / declared unit", LINE)],
-        "pcr": [("", r"Product\s+Category\s+Rules?\s*\(PCR\)\s*:\s*[^\n\r]{8,300}"), ("", r"PCR\s+\d{4}:\d+\s+v\d[\d.]*")],
+        "manufacturer": [("from", "name"), ("owner of the declaration", "name")],
+        "unit_line": [("functional unit / declared unit", "line")],
+        "pcr": [("product category rules (PCR)", "cited"), ("product category rule (PCR)", "cited"), ("PCR", "code")],
     },
     "nsf": {
-        "manufacturer": [("EPD commissioner and owner", NAME), ("EPD commissioner owner", NAME)],
-        "unit_line": [("declared unit", LINE)],
-        "pcr": [("product category rules (PCR)", RULES_LINE), ("product category rules", RULES_LINE), ("product category rule", RULES_LINE)],
-        "published": [("date of issue & validity period", r"[^\n\r]{4,80}"), ("date of issue", r"[^\n\r]{4,80}")],
+        "manufacturer": [("EPD commissioner and owner", "name"), ("EPD commissioner owner", "name")],
+        "unit_line": [("declared unit", "line")],
+        "pcr": [(x, "line") for x in ("product category rules (PCR)", "product category rules", "product category rule")],
+        "published": [("date of issue & validity period", "line"), ("date of issue", "line")],
     },
 }
 DENSITY = {"na": ["density of", "density"], "eu_ibu": ["density of"]}
@@ -202,12 +194,42 @@ def unit_pattern(unit: str) -> str:
 
 
 NUMBER = r"-?\s*\d[\d,]*(?:\.\d+)?(?:\s*E\s*[-+]?\s*\d+)?"
+#: A number of plain text: digits with points and commas among them, ending in a digit.
+PLAIN_NUMBER = r"\d(?:[\d.,]*\d)?"
+#: Labels of several words, at which a value ends that stands before one on a line.
+_ENDS = sorted({label for by in FIELDS.values() for specs in by.values() for label, _ in specs if " " in label} | {x for x in ISSUED + EXPIRES})
+
+
+def to_next_label(value: Column) -> Column:
+    """A line's text up to the next known label on it."""
+    return F.get(F.split(value, rf"(?i)\s+(?={any_of(_ENDS)}(?![A-Za-z]))", 2), F.lit(0))
+
+
+def while_words(line: Column, keep) -> Column:
+    """The words of a line up to the first that doesn't keep."""
+    words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
+    stop = F.get(F.filter(F.transform(words, lambda w, i: F.when(~keep(w), i)), lambda i: i.isNotNull()), F.lit(0))
+    return F.nullif(F.array_join(F.slice(words, 1, F.coalesce(stop, F.size(words))), " "), F.lit(""))
+
 
+def after_label(text: Column, label: str, rule: str) -> Column:
+    """The value behind a label: the rest of its line, or of the next line that has any, up to the next known label.
 
-def after_label(text: Column, label: str, shape: str) -> Column:
-    """The value of a shape behind a label; without a label, the first of that shape."""
-    lead = rf"(?<![A-Za-z])(?i:{phrase(label)})[\s:#]+" if label else "(?i)"
-    return matched(text, f"{lead}({shape})")
+    Rules: line takes it as it is; name wants one that begins with a capital letter or a digit, and ends it at a bracket; capitals takes its words that
+    begin so; cited takes the label, too; code takes the label and the words behind it that have digits."""
+    lead = rf"(?<![A-Za-z])(?i:{phrase(label)})"
+    begins = r"(?=[\p{Lu}\d])" if rule in ("name", "capitals") else r"(?=\S*\d)" if rule == "code" else ""
+    gap = r"\s+" if rule == "code" else r"[\s:#]+"
+    value = to_next_label(matched(text, rf"{lead}{gap}({begins}[^\r\n]+)"))
+    if rule == "name":
+        return F.get(F.split(value, r"[(\[;]", 2), F.lit(0))
+    if rule == "capitals":
+        return while_words(value, lambda w: w.rlike(r"^\p{Lu}"))
+    if rule == "code":
+        return F.concat(F.lit(label + " "), while_words(value, lambda w: w.rlike(r"\d")))
+    if rule == "cited":
+        return F.concat(matched(text, rf"({lead}[\s:#]+){begins}[^\r\n]"), value)
+    return value
 
 
 def row_value(line: Column, labels: list[str], units: list[str], kind: str, unlike: list[str]) -> Column:
@@ -326,18 +348,19 @@ def records(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: li
 
     unit_line = field("unit_line")
     registry = F.concat(F.lit("S-P-"), matched(t, REGISTRY_ID))
-    own_id = F.when(fam == "na", identifier(field("epd_id"))).otherwise(field("epd_id"))
+    own_id = identifier(field("epd_id"))
     kind = F.lower(field("kind"))
     first_date = lambda labels: F.coalesce(*(date_after(t, f"(?i){phrase(x)}") for x in labels))
     loose = lambda label: loose_date_after(t, f"(?i){phrase(label)}\\s*:?")
     issued = F.when(fam == "na", first_date(ISSUED)).when(fam == "epd_intl", loose("publication date")).otherwise(parse_date(field("published")))
     expires = F.when(fam == "na", first_date(EXPIRES)).when(fam == "epd_intl", loose("valid until")).otherwise(parse_date(field("expires")))
     own_operator = F.coalesce(*(F.when(fam == f, F.lit(o)) for f, o in FIXED_OPERATOR.items()), F.lit(None).cast("string"))
-    dense = lambda label: matched(t, rf"(?i){phrase(label)}\s*{KG_PER_M3}")
-    moist = matched(t, rf"(?i){phrase('mass (including moisture) kg')}\s+(\d{{2,5}}(?:[.,]\d+)?)")
+    by_volume = rf"({PLAIN_NUMBER})\s*kg\s*/\s*m"
+    dense = lambda label: matched(t, rf"(?i){phrase(label)}\s*{by_volume}")
+    moist = matched(t, rf"(?i){phrase('mass (including moisture) kg')}\s+({PLAIN_NUMBER})")
     said = F.coalesce(*(F.when(fam == f, F.coalesce(*map(dense, labels))) for f, labels in DENSITY.items()), F.when(fam == "na", moist))
-    density = euro_number(F.coalesce(F.when(fam == "na", matched(unit_line, rf"(?i){KG_PER_M3}")), said))
-    pcr = F.when(fam == "eu_ibu", F.regexp_replace(field("pcr"), r"(?i)\s*\(PCR.*$", "")).otherwise(field("pcr"))
+    density = euro_number(F.coalesce(F.when(fam == "na", matched(unit_line, rf"(?i){by_volume}")), said))
+    pcr = F.when(fam == "eu_ibu", F.regexp_replace(field("pcr"), r"\s*\(.*$", "")).otherwise(field("pcr"))
 
     named = docs.select(key, F.col(text), family(t).alias("family"), title(t).alias("title"))
     typed = named.withColumn("material_type", material_type(F.col("title"), t))
