@@ -80,5 +80,5 @@ def test_streams(spark, tmp_path):
     for i, rows in enumerate([[("f1", "draft", "p1", 1), ("f2", "draft", "p2", 2)], [("f1", "capture", "p3", 3), ("f2", "discard", None, 4), ("f3", "draft", "p5", 5)]]):
         (drafts / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("source_file", "kind", "payload", "seq"), r))) for r in rows))
         jobs.commit_queue(spark.readStream.schema("source_file string, kind string, payload string, seq long").json(str(drafts)), str(tmp_path / "queue"), str(tmp_path / "ck")).awaitTermination()
-    last = spark.read.parquet(str(tmp_path / "queue/v1"))
+    last = jobs.queue_table(spark, str(tmp_path / "queue"), jobs.DRAFTS)
     assert {(r.source_file, r.kind) for r in last.collect()} == {("f1", "capture"), ("f3", "draft")}
