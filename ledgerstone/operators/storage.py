@@ -1,7 +1,8 @@
-"""Tables kept in the shared folder, and row numbers over a whole table."""
+"""Tables kept in the shared folder until they are released, and row numbers over a whole table."""
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -23,23 +24,49 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: Folders that this process has made, for release().
+_MADE: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder of its own in the shared one."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all folders that this process has made. Results that still read them can't be used after this."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The same rows, read from a table written now: later steps don't compute them again."""
-    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "kept")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def stored_by(df: DataFrame, *columns: str) -> DataFrame:
-    """The same rows, read from a table with one folder for each value of the columns: filters on these read only their folders."""
-    path = f"{shared_folder(df.sparkSession)}/by-{uuid.uuid4().hex}"
-    df.write.partitionBy(*columns).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The same rows, read from a table with one folder for each value of the columns: filters on these read only their folders.
+
+    The table is written once for the same files, plan and columns in a shared folder; later calls read what is there."""
+    spark = df.sparkSession
+    of = "\n".join([*sorted(df.inputFiles()), str(df.schema.simpleString()), *columns, df._jdf.queryExecution().optimizedPlan().canonicalized().toString()])
+    path = f"{shared_folder(spark)}/by-{hashlib.sha256(of.encode()).hexdigest()}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        _MADE.append(path)
+        df.write.mode("overwrite").partitionBy(*columns).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_file(rows: DataFrame, suffix: str = "txt") -> str:
     """The path of a folder with the rows' one string column as lines of text files."""
-    path = f"{shared_folder(rows.sparkSession)}/text-{uuid.uuid4().hex}.{suffix}"
+    path = f"{new_folder(rows.sparkSession, 'text')}.{suffix}"
+    _MADE[-1] = path
     rows.write.text(path)
     return path
 

@@ -10,7 +10,7 @@ from ..operators import geometry as G
 from ..operators import layout as B
 from ..operators import projects as P
 from ..operators import sheets as H
-from ..operators.storage import kept, shared_folder, text_file
+from ..operators.storage import kept, new_folder, text_file
 from ..sources import readers as R
 from ..sources import writers as K
 from .drawings import sheets
@@ -203,7 +203,7 @@ def _(spark, d):
     head = F.when(k % 10 == 0, "Room").when(k == 8, "Grand total").otherwise(F.concat(F.lit("Room "), "p_brand"))
     first = F.when(k % 10 == 0, "No.").otherwise((k % 10).cast("string"))
     area = F.when(k % 10 == 0, "Area (m2)").otherwise(F.concat((F.col("p_size") + 0.5).cast("string"), F.lit(" m2")))
-    items = _items(spark, d, _l(first, 0, 0, 20, 8), _l(head, 60, 0, 60, 8), _l(area, 180, 0, 40, 8)).filter("page < 2")
+    items = _items(spark, d, _l(first, 0, 0, 20, 8), _l(head, 60, 0, 60, 8), _l(area, 180, 0, 40, 8))
     return H.room_schedule(items).select("page", "num", "name", "area")
 
 
@@ -273,9 +273,7 @@ def _(spark, d):
 
 
 def _folder(spark, name):
-    import uuid
-
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return new_folder(spark, name)
 
 
 @query("csv_sheet", """SELECT CAST(p_partkey AS VARCHAR) AS c0, p_name AS c1, CASE WHEN p_size % 3 = 0 THEN 'say "' || p_type || '", twice' WHEN p_size % 3 = 1 THEN '' ELSE p_type END AS c2 FROM part""")
