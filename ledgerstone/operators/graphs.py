@@ -39,6 +39,23 @@ def reached(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) ->
     return reduce(DataFrame.unionByName, parts)
 
 
+def newly_reached(edges: DataFrame, seeds: DataFrame, closed: DataFrame) -> DataFrame:
+    """Nodes (node) that the seeds add to a closed set of nodes, one that holds whatever its nodes reach: new dirty nodes beside those that are dirty already.
+
+    Only new nodes are followed, and each is followed once: the way ends where the set begins, so the work follows what is new, not the set or its edges."""
+    edges = kept(edges.select("src", "dst").distinct())
+    front = kept(seeds.select("node").distinct().join(closed.select("node"), "node", "left_anti"))
+    parts = [front]
+    while not front.isEmpty():
+        known = reduce(DataFrame.unionByName, parts)
+        step = edges.join(front.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = kept(step.join(closed.select("node"), "node", "left_anti").join(known, "node", "left_anti"))
+        parts.append(front)
+        if len(parts) >= COMPACT:
+            parts = [kept(reduce(DataFrame.unionByName, parts))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def nodes_and_links(edges: DataFrame) -> DataFrame:
     """One row for each node with its group (the prefix before '_'), and how many links leave and enter it."""
     out = edges.distinct().groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n_out"), F.lit(0).cast("long").alias("n_in"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import graphs as G
 from ..operators import joins as J
 from ..operators import merging as M
+from ..operators.storage import kept
 from .registry import query
 from .tables import read
 
@@ -165,6 +166,15 @@ def _(spark, d):
     return G.reached(_edges(spark, d), seeds).select("node")
 
 
+@query("dirty_increment", f"""WITH RECURSIVE e AS {_EDGES}, a(node) AS (SELECT 'nation_4' UNION SELECT e.dst FROM a JOIN e ON e.src = a.node), b(node) AS (SELECT 'supplier_' || CAST(s_suppkey AS VARCHAR) FROM supplier UNION SELECT e.dst FROM b JOIN e ON e.src = b.node)
+  SELECT node FROM b WHERE node NOT IN (SELECT node FROM a)""")
+def _(spark, d):
+    edges = _edges(spark, d)
+    dirty = kept(G.reached(edges, spark.createDataFrame([("nation_4",)], "node string")).select("node"))
+    changed = read(spark, d, "supplier").select(F.concat(F.lit("supplier_"), F.col("s_suppkey").cast("string")).alias("node"))
+    return G.newly_reached(edges, changed, dirty)
+
+
 @query("bounded_bfs", f"WITH RECURSIVE e AS {_EDGES}, c(node, depth) AS (SELECT 'nation_2', 0 UNION SELECT e.dst, c.depth + 1 FROM c JOIN e ON e.src = c.node WHERE c.depth < 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM c GROUP BY 1")
 def _(spark, d):
     return G.reached(_edges(spark, d), spark.createDataFrame([("nation_2",)], "node string"), 3)

@@ -150,6 +150,27 @@ def test_formulas(spark):
     assert got == [8.0, None, None, -6.0, 1.0, None]
 
 
+def test_new_dirty_nodes(spark):
+    rng = random.Random(5)
+    pairs = {(rng.randrange(60), rng.randrange(60)) for _ in range(80)}
+    edges = spark.createDataFrame(sorted(pairs), "src int, dst int")
+
+    def closure(seeds):
+        seen, todo = set(), list(seeds)
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += [b for a, b in pairs if a == n]
+        return seen
+
+    before = closure([1, 2])
+    nodes = lambda xs: spark.createDataFrame([(x,) for x in xs], "node int")
+    got = [r.node for r in graphs.newly_reached(edges, nodes([1, 7, 8, 99]), nodes(sorted(before))).collect()]
+    assert len(got) == len(set(got)) and set(got) == closure([1, 7, 8, 99]) - before
+    assert graphs.newly_reached(edges, nodes(sorted(before)), nodes(sorted(before))).collect() == []
+
+
 def by_recursion(formula, cells, depth=0):
     """One formula at a time, from the outside in."""
     if depth > 8:
