@@ -35,7 +35,7 @@ from .bpe_codec import NUMBER_BITS, _planes, _unplaned, block_words, kept_blocks
 from .common import Stage, ragged_index, table, trim
 
 BUCKETS, LEAST_WORDS, DRAWN_PERCENT, SEED = 10_000, 20, 25, 7
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 14_000_000
 #: Ids of this many words are combined by block before they leave a task.
 COMBINED_WORDS = 500_000
 #: ASCII but digits and letters separates words; A-Z become lower case, other bytes stay.
