@@ -91,8 +91,8 @@ def test_long_chain(spark):
 def test_grammar(spark):
     at = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
     for text in ("Declaration Holder : Acme & Co", "D ECLARATION H OLDER\nAcme & Co", "declaration  holder#Acme & Co"):
-        assert at(D.after_label(F.lit(text), "declaration holder", D.NAME)) == "Acme & Co"
-    assert at(D.after_label(F.lit("predeclaration holder: Acme"), "declaration holder", D.NAME)) is None
+        assert at(D.after_label(F.lit(text), "declaration holder", "name")) == "Acme & Co"
+    assert at(D.after_label(F.lit("predeclaration holder: Acme"), "declaration holder", "name")) is None
     row = lambda s, kind="code": at(D.row_value(F.lit(s), ["GWP"], ["kg CO2 e"], kind, ["bio"]))
     assert row("GWP kg CO2 eq TRACI 2.1 V1.02") is None and row("GWP kg CO2 eq 12.5") == 12.5 and row("GWP-bio kg CO2 eq 1") is None
     assert row("GWP [kg CO 2 - eq.] 1,234.5 2") == 1234.5 and row("XGWP kg CO2 eq 1") is None
@@ -100,6 +100,13 @@ def test_grammar(spark):
     assert at(D.row_numbers(F.lit("GWP kg CO2 V1.02 1,200.5 -3.25 7 123 1e-3"))) == [1200.5, -3.25, 123.0, 0.001]
 
 
+def test_value_rules(spark):
+    text = "made of wood produced by Northern Mills in the west\nDeclared unit: 1 m of beam Valid until 2024-11-05\nsee PCR 2012:01 v2.33 for it\nProduct Category Rules (PCR): Cements of 5\nOwner of the declaration Wool (of 2) GmbH\nEPD type: " + "long " * 90
+    cases = [("produced by", "capitals"), ("declared unit", "line"), ("PCR", "code"), ("product category rules (PCR)", "cited"), ("owner of the declaration", "name"), ("EPD type", "line"), ("no label", "line")]
+    row = spark.createDataFrame([(text,)], "t string").select(*(F.trim(D.after_label(F.col("t"), *c)).alias(f"c{i}") for i, c in enumerate(cases))).first()
+    assert list(row) == ["Northern Mills", "1 m of beam", "PCR 2012:01 v2.33", "Product Category Rules (PCR): Cements of 5", "Wool", ("long " * 90).strip(), None]
+
+
 def test_lookups_and_broken_files(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"Glulam": "06", "Steel": "05"}')
     (tmp_path / "b.json").write_text('{"aliases": {"CLT": "Wood"}, "more": 1}')
