@@ -33,7 +33,7 @@ def rows_at(df: DataFrame, by: list[str], places: dict[str, Column], *order: Col
     rows = numbered(df, *(F.col(b).asc() for b in by), *order, name="__rn")
     groups = rows.groupBy(*by).agg(F.min("__rn").alias("__first"), F.count(F.lit(1)).alias("__n"))
     wanted = groups.select(F.explode(F.array(*(F.struct(F.lit(n).alias("__place"), (F.col("__first") + p).cast("long").alias("__rn")) for n, p in places.items()))).alias("w")).select("w.*")
-    return rows.join(wanted, "__rn").drop("__rn")
+    return rows.join(wanted.hint("merge"), "__rn").drop("__rn")
 
 
 def trimmed_extent(df: DataFrame, by: list[str], value: str, share: float = 0.05) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import scale_ratio
 from .aggregates import cluster_means, trimmed_extent
 from .geometry import is_border
-from .joins import first_of, parallel_partners
+from .joins import first_of, parallel_partners, spread
 from .layout import tolerant_pick
 from .projects import orthogonal
 from .scans import scanned
@@ -68,12 +68,12 @@ def calibration_readings(dims: DataFrame, segments: DataFrame) -> DataFrame:
     dims (page, c_id, s_id, score, implied, declared), segments (page, s_id, x1, y1, x2, y2, length). The best callout is on a
     horizontal segment, then of the better score by more than 0.05, then on the longer segment. A declared scale within TOLERANCE of it is
     confirmed and kept; one further off disagrees and is left to the user; without one the detected scale is taken."""
-    paired = dims.filter("implied > 0").join(segments.select("page", "s_id", "x1", "y1", "x2", "y2", "length"), ["page", "s_id"])
+    paired = dims.filter("implied > 0").join(spread(segments.select("page", "s_id", "x1", "y1", "x2", "y2", "length")), ["page", "s_id"])
     flat = F.abs(F.col("y2") - F.col("y1")) < F.abs(F.col("x2") - F.col("x1"))
     keyed = paired.withColumn("flat", flat.cast("double"))
     best = tolerant_pick(keyed.select("page", "c_id", "flat", "score", "length"), "page", [("flat", True, 0.0), ("score", True, 0.05), ("length", True, 0.0)], "c_id")
     n = paired.groupBy("page").agg(F.count(F.lit(1)).alias("n_callouts"))
-    rows = best.join(keyed, ["page", "c_id"]).join(n, "page")
+    rows = best.join(spread(keyed), ["page", "c_id"]).join(spread(n), "page")
     gap = F.abs(F.col("implied") - F.col("declared")) / F.col("declared")
     outcome = F.when(F.col("declared").isNull(), "detected").when(gap <= TOLERANCE, "confirmed").otherwise("disagrees")
     unit = F.when(F.col("outcome") == "confirmed", F.col("declared")).when(F.col("outcome") == "detected", F.col("implied"))

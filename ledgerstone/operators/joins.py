@@ -17,6 +17,12 @@ def first_of(df: DataFrame, by: list, *order: Column) -> DataFrame:
     return df.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df for a join of sorted partitions. Sizes guessed from small compressed files, or from a few columns of them, would have a table of a
+    million rows gathered on the driver and sent to every executor."""
+    return df.hint("merge")
+
+
 def two_key_lookup(rows: DataFrame, first: DataFrame, second: DataFrame, key1: str, key2: str, values: list[str]) -> DataFrame:
     """Two left joins in order of priority, never an OR in one. first has (key1, values), second (key2, values), keys unique."""
     a = first.select(key1, *(F.col(v).alias(f"__1{v}") for v in values), F.lit(True).alias("__1"))
@@ -70,9 +76,9 @@ def smallest_container(points: DataFrame, boxes: DataFrame, inside: Column, poin
     width = F.pow(F.lit(2.0), F.col("level"))
     p = points.withColumn("level", F.explode(F.array(*(F.lit(x).cast("int") for x in sorted(levels)))))
     p = p.withColumn("bx", F.floor(F.col("x") / width).cast("long")).withColumn("by", F.floor(F.col("y") / width).cast("long"))
-    hits = p.join(b, ["level", "bx", "by", *scope]).filter(inside)
+    hits = p.join(spread(b), ["level", "bx", "by", *scope]).filter(inside)
     best = first_of(hits.select(point_key, "box_id", "area", "seq"), [point_key], F.asc("area"), F.asc("seq"))
-    return points.join(best.select(point_key, "box_id"), point_key, "left")
+    return points.join(spread(best.select(point_key, "box_id")), point_key, "left")
 
 
 def parallel_partners(segments: DataFrame, near: float = 3, far: float = 25, overlap: float = 40, scope: list[str] | None = None) -> DataFrame:
@@ -84,7 +90,7 @@ def parallel_partners(segments: DataFrame, near: float = 3, far: float = 25, ove
     shared = F.least("hi", "o_hi") - F.greatest("lo", "o_lo")
     keys = ["bin", *scope]
     on = reduce(lambda x, y: x & y, (a[k] == b[k] for k in keys))
-    return a.join(b, on & (F.col("seg_id") != F.col("o_id")) & gap.between(near, far) & (shared >= overlap), "left_semi").drop("bin").dropDuplicates(["seg_id"])
+    return a.join(spread(b), on & (F.col("seg_id") != F.col("o_id")) & gap.between(near, far) & (shared >= overlap), "left_semi").drop("bin").dropDuplicates(["seg_id"])
 
 
 def best_score_match(callouts: DataFrame, segments: DataFrame, max_error: float = 0.08, max_distance: float = 500.0, scope: list[str] | None = None) -> DataFrame:
@@ -103,7 +109,7 @@ def best_score_match(callouts: DataFrame, segments: DataFrame, max_error: float
     dx = F.greatest(F.least("x1", "x2") - F.col("cx"), F.lit(0.0), F.col("cx") - F.greatest("x1", "x2"))
     dy = F.greatest(F.least("y1", "y2") - F.col("cy"), F.lit(0.0), F.col("cy") - F.greatest("y1", "y2"))
     error = F.abs(F.col("length") - F.col("want")) / F.col("want")
-    pairs = c.join(s, ["bin", "bx", "by", *scope]).withColumn("error", error).withColumn("dist", F.sqrt(dx * dx + dy * dy))
+    pairs = c.join(spread(s), ["bin", "bx", "by", *scope]).withColumn("error", error).withColumn("dist", F.sqrt(dx * dx + dy * dy))
     near = pairs.filter((F.col("error") <= max_error) & (F.col("dist") <= max_distance))
     scored = near.withColumn("score", 0.6 * (1 - F.col("error") / max_error) + 0.4 * (1 - F.col("dist") / max_distance))
     return first_of(scored.select("c_id", "s_id", "score"), ["c_id"], F.desc(F.round("score", 9)), F.asc("s_id"))
@@ -117,7 +123,7 @@ def nearest_within(points: DataFrame, targets: DataFrame, radius: float, point_k
     p = points.withColumn("bx", F.explode(around(F.col("x")))).withColumn("by", F.explode(around(F.col("y"))))
     t = targets.withColumn("bx", cell(F.col("tx"))).withColumn("by", cell(F.col("ty")))
     d = F.sqrt(F.pow(F.col("x") - F.col("tx"), 2) + F.pow(F.col("y") - F.col("ty"), 2))
-    near = p.join(t, ["bx", "by", *scope]).withColumn("distance", d).filter(F.col("distance") < radius)
+    near = p.join(spread(t), ["bx", "by", *scope]).withColumn("distance", d).filter(F.col("distance") < radius)
     return first_of(near.select(point_key, "t_id", "distance"), [point_key], F.asc("distance"), F.asc("t_id"))
 
 

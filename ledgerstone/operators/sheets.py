@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import agreement, matched, parse_imperial, parse_metric, units_per_metre
 from .aggregates import upper_median
-from .joins import best_score_match, first_of
+from .joins import best_score_match, first_of, spread
 from .layout import glyph_runs, paired_fractions, table_cells, tolerant_pick
 
 # -- fixed values ----------------------------------------------------------------------------------------------
@@ -161,15 +161,15 @@ def dimensions(found: DataFrame, segments: DataFrame, scales: DataFrame, page: s
     Returns (page, c_id, text, metres, s_id, score, implied, declared, implied_median, agreement); the median is over scores above a
     half, the upper one of an even count. Callouts without a partner keep nulls; pages without a declared scale pair none."""
     declared = scales.filter("ratio IS NOT NULL").select(page, units_per_metre(F.col("ratio")).alias("declared"))
-    wanted = found.join(declared, page, "left")
+    wanted = found.join(spread(declared), page, "left")
     key = F.concat_ws("/", page, F.col("c_id").cast("string"))
     c = wanted.filter("declared IS NOT NULL").select(page, key.alias("c_id"), "cx", "cy", (F.col("metres") * F.col("declared")).alias("want"))
     pairs = best_score_match(c, segments, scope=[page]).select(F.col("c_id").alias("__key"), "s_id", "score")
-    joined = wanted.withColumn("__key", key).join(pairs, "__key", "left").join(segments.select(page, "s_id", "length"), [page, "s_id"], "left")
+    joined = wanted.withColumn("__key", key).join(spread(pairs), "__key", "left").join(spread(segments.select(page, "s_id", "length")), [page, "s_id"], "left")
     rows = joined.withColumn("implied", F.col("length") / F.col("metres"))
     sure = rows.filter("score > 0.5 AND implied IS NOT NULL")
     middle = upper_median(sure, [page], "implied").select(page, F.col("median").alias("implied_median"))
-    return rows.join(middle, page, "left").select(page, "c_id", "text", "metres", "s_id", "score", "implied", "declared", "implied_median", agreement(F.col("implied_median"), F.col("declared")).alias("agreement"))
+    return rows.join(spread(middle), page, "left").select(page, "c_id", "text", "metres", "s_id", "score", "implied", "declared", "implied_median", agreement(F.col("implied_median"), F.col("declared")).alias("agreement"))
 
 
 def room_schedule(items: DataFrame, page: str = "page") -> DataFrame:
