@@ -68,7 +68,8 @@ def calibration_readings(dims: DataFrame, segments: DataFrame) -> DataFrame:
     dims (page, c_id, s_id, score, implied, declared), segments (page, s_id, x1, y1, x2, y2, length). The best callout is on a
     horizontal segment, then of the better score by more than 0.05, then on the longer segment. A declared scale within TOLERANCE of it is
     confirmed and kept; one further off disagrees and is left to the user; without one the detected scale is taken."""
-    paired = dims.filter("implied > 0").join(spread(segments.select("page", "s_id", "x1", "y1", "x2", "y2", "length")), ["page", "s_id"])
+    read = dims.filter("implied > 0").select("page", "c_id", "s_id", "score", "implied", "declared")
+    paired = kept(read.join(spread(segments.select("page", "s_id", "x1", "y1", "x2", "y2", "length")), ["page", "s_id"]))  # read three times
     flat = F.abs(F.col("y2") - F.col("y1")) < F.abs(F.col("x2") - F.col("x1"))
     keyed = paired.withColumn("flat", flat.cast("double"))
     best = tolerant_pick(keyed.select("page", "c_id", "flat", "score", "length"), "page", [("flat", True, 0.0), ("score", True, 0.05), ("length", True, 0.0)], "c_id")
