@@ -83,7 +83,7 @@ def _(spark, d):
 
 @query("report_with_subtotals", """SELECT CASE WHEN grouping(o_orderpriority) = 1 THEN 'GROSS TOTAL' WHEN grouping(o_orderstatus) = 1 THEN o_orderpriority || ' TOTAL' ELSE o_orderpriority || '/' || o_orderstatus END AS label, printf('%.2f', sum(o_totalprice)) AS amount, CAST(grouping(o_orderpriority) * 2 + grouping(o_orderstatus) AS BIGINT) AS sort_key FROM orders GROUP BY ROLLUP (o_orderpriority, o_orderstatus)""")
 def _(spark, d):
-    g = read(spark, d, "orders").rollup("o_orderpriority", "o_orderstatus").agg(F.sum("o_totalprice").alias("s"), F.grouping("o_orderpriority").alias("g1"), F.grouping("o_orderstatus").alias("g2"))
+    g = read(spark, d, "orders").rollup("o_orderpriority", "o_orderstatus").agg(A.exact_sum(F.col("o_totalprice")).alias("s"), F.grouping("o_orderpriority").alias("g1"), F.grouping("o_orderstatus").alias("g2"))
     label = F.when(F.col("g1") == 1, "GROSS TOTAL").when(F.col("g2") == 1, F.concat("o_orderpriority", F.lit(" TOTAL"))).otherwise(F.concat("o_orderpriority", F.lit("/"), "o_orderstatus"))
     return g.select(label.alias("label"), F.format_string("%.2f", "s").alias("amount"), (F.col("g1") * 2 + F.col("g2")).cast("long").alias("sort_key"))
 

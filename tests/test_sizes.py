@@ -4,8 +4,10 @@ import re
 
 from pyspark.sql import functions as F
 
+from ledgerstone.operators import aggregates as A
 from ledgerstone.operators import detection as X
 from ledgerstone.operators import joins as J
+from ledgerstone.operators import layout, schemas
 from ledgerstone.operators import sheets as H
 
 
@@ -19,8 +21,17 @@ def test_tables_with_small_files_are_not_broadcast(spark, tmp_path):
     dims = H.dimensions(found, segs, t.select(page).distinct().withColumn("ratio", F.lit(50.0)))
     boxes = t.select(page, F.col("k").alias("box_id"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(9.0).alias("x2"), F.lit(9.0).alias("y2"), F.lit(81.0).alias("area"), F.col("k").alias("seq"))
     held = J.smallest_container(t.select(page, F.col("k").alias("p_id"), F.lit(3.0).alias("x"), F.lit(3.0).alias("y")), boxes, F.lit(True), "p_id", scope=["page"])
-    for df in (dims, X.calibration_readings(dims, segs), held):
+    rooms = H.room_schedule(t.select(page, F.lit("Room").alias("str"), F.lit(0.0).alias("x"), F.col("k").cast("double").alias("y"), F.lit(9.0).alias("width"))).drop("area")
+    for df in (dims, X.calibration_readings(dims, segs), held, rooms):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan
-        assert set(re.findall(r"BroadcastHashJoin \[(\w+)#", plan)) <= {"__part"}  # a scan's row for each partition
+        assert set(re.findall(r"BroadcastHashJoin \[(\w+)#", plan)) <= {"page" if df is rooms else "__part"}  # one row, or a scan's row for each partition
     assert dims.filter("s_id = c_id").count() == 2000
+
+
+def test_amounts_add_up_exactly(spark):
+    """Doubles added one by one leave the second place after some million rows, and in another order leave it otherwise."""
+    df = spark.range(0, 2_000_000, 1, 4).select(F.when(F.col("id") % 2 == 0, 140_000.1).otherwise(140_000.12).alias("v"))
+    assert df.agg(A.exact_sum(F.col("v")).alias("s")).first().s == 280_000_220_000.0
+    odd = spark.createDataFrame([(1, 1.5), (1, None), (2, float("inf")), (2, 1.0), (3, 1e-9), (3, 1.0), (4, None)], "k int, v double")
+    assert {r.k: r.s for r in odd.groupBy("k").agg(A.exact_sum(F.col("v")).alias("s")).collect()} == {1: 1.5, 2: float("inf"), 3: 1 + 1e-9, 4: None}
