@@ -179,8 +179,8 @@ def room_schedule(items: DataFrame, page: str = "page") -> DataFrame:
     role = F.when(low.isin("room", "room name"), "name").when((low == "area") | low.rlike(r"area\s*\(m"), "area").when(low.isin("#", "no.", "num"), "num")
     heads = cells.withColumn("role", role).filter("role IS NOT NULL")
     header = heads.filter("role = 'name'").groupBy(page).agg(F.min("row_no").alias("head"))
-    columns = heads.join(header, page).filter("row_no <= head").groupBy(page, "head", "role").agg(F.max_by("cell_no", F.struct("row_no", "cell_no")).alias("cell_no"))
-    values = cells.join(columns, [page, "cell_no"]).filter("row_no > head").groupBy(page, "row_no").pivot("role", ["num", "name", "area"]).agg(F.first("text"))
+    columns = heads.join(spread(header), page).filter("row_no <= head").groupBy(page, "head", "role").agg(F.max_by("cell_no", F.struct("row_no", "cell_no")).alias("cell_no"))
+    values = cells.join(spread(columns), [page, "cell_no"]).filter("row_no > head").groupBy(page, "row_no").pivot("role", ["num", "name", "area"]).agg(F.first("text"))
     ends = F.max(F.col("name").rlike("(?i)total|gross|net").cast("int")).over(W.partitionBy(page).orderBy("row_no").rowsBetween(W.unboundedPreceding, 0))
     named = values.filter("trim(name) <> ''").withColumn("over", ends).filter("over = 0")
     rows = named.select(page, "row_no", matched(F.col("num"), r"^\s*(\d+)").try_cast("int").alias("num"), F.trim("name").alias("name"), matched(F.col("area"), r"^\s*(\d+(?:\.\d+)?)").try_cast("double").alias("area"))
