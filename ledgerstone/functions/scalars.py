@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # -- numbers -------------------------------------------------------------------------------------------------
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A column that names a value as often as it likes, with the value worked out once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matched(text: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, null where nothing matches."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))

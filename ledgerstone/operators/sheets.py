@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import agreement, matched, parse_imperial, parse_metric, units_per_metre
+from ..functions.scalars import agreement, bound, matched, parse_imperial, parse_metric, units_per_metre
 from .aggregates import upper_median
 from .joins import best_score_match, first_of, spread
 from .layout import glyph_runs, paired_fractions, table_cells, tolerant_pick
@@ -51,19 +51,25 @@ TRACED = ("plan", "elevation")
 
 def title_phrase(line: Column) -> Column:
     """The drawing title inside a line of text: what is drawn, with up to three words of place before it and a mark such as A-A behind; lines of digits have none."""
+
+    def phrase(words: Column, low: Column, first: Column) -> Column:
+        drawn = lambda i: F.coalesce(F.get(low, i).isin(*DRAWN), F.lit(False))
+        place = lambda i: F.coalesce((i >= 0) & F.get(low, i).isin(*PLACES), F.lit(False))
+
+        def around(at: Column) -> Column:
+            places = F.when(~place(at - 1), 0).when(~place(at - 2), 1).when(~place(at - 3), 2).otherwise(3)
+            mark = F.coalesce(F.get(words, at + 1).rlike(r"(?i)^(?:[A-Z]-[A-Z]|[A-Z]{2}|\d-\d|[A-Z]\d|\d[A-Z])$"), F.lit(False)).cast("int")
+            return bound(places, lambda before: F.array_join(F.slice(words, at - before + 1, before + 1 + mark), " "))
+
+        return bound(F.when(drawn(first + 1) & place(first), first + 1).otherwise(first), around)  # a site plan is a plan
+
+    def title(words: Column, low: Column) -> Column:
+        hits = F.filter(F.transform(low, lambda w, i: F.when(w.isin(*DRAWN), i)), lambda i: i.isNotNull())
+        found = bound(F.get(hits, F.lit(0)), lambda first: F.when(first.isNotNull(), phrase(words, low, first)))
+        return bound(found, lambda p: F.when(F.char_length(p) >= 4, p))
+
     words = F.regexp_extract_all(line, F.lit(r"([A-Za-z0-9]+(?:-[A-Za-z0-9]+)*)"), F.lit(1))
-    low = F.transform(words, F.lower)
-    drawn = lambda i: F.coalesce(F.get(low, i).isin(*DRAWN), F.lit(False))
-    place = lambda i: F.coalesce((i >= 0) & F.get(low, i).isin(*PLACES), F.lit(False))
-    hits = F.filter(F.transform(low, lambda w, i: F.when(w.isin(*DRAWN), i)), lambda i: i.isNotNull())
-    first = F.get(hits, F.lit(0))
-    at = F.when(drawn(first + 1) & place(first), first + 1).otherwise(first)  # a site plan is a plan
-    one = place(at - 1)
-    two = one & place(at - 2)
-    before = one.cast("int") + two.cast("int") + (two & place(at - 3)).cast("int")
-    mark = F.coalesce(F.get(words, at + 1).rlike(r"(?i)^(?:[A-Z]-[A-Z]|[A-Z]{2}|\d-\d|[A-Z]\d|\d[A-Z])$"), F.lit(False)).cast("int")
-    phrase = F.array_join(F.slice(words, at - before + 1, before + 1 + mark), " ")
-    return F.when(F.size(hits) > 0, F.when(F.char_length(phrase) >= 4, phrase))
+    return bound(words, lambda w: bound(F.transform(w, F.lower), lambda low: title(w, low)))
 
 
 def _has(text: Column, words: list[str]) -> Column:
