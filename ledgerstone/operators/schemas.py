@@ -11,6 +11,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bound
+
 #: A broken rule: where, which keyword, and what it asks for.
 ERROR = "struct<path:string,rule:string,wanted:string>"
 _ANNOTATIONS = {"$schema", "$id", "$defs", "$comment", "definitions", "title", "description", "default", "examples", "format"}
@@ -63,8 +65,12 @@ def _when(broken: Column, path: Column, rule: str, wanted) -> Column:
 
 
 def _checks(value: Column, path: Column, schema: dict, root: dict, seen: tuple[str, ...]) -> Column:
+    """A document's parts are bound as they are taken out, so each is read once, however many rules ask for it and however deep it lies."""
     schema, seen = _resolved(schema, root, seen)
-    kind = _kind(value)
+    return bound(value, lambda v: bound(_kind(v), lambda kind: _of_kind(v, kind, path, schema, root, seen)))
+
+
+def _of_kind(value: Column, kind: Column, path: Column, schema: dict, root: dict, seen: tuple[str, ...]) -> Column:
     number, text = _as(value, "double"), _as(value, "string")
     parts: list[Column] = []
     if "enum" in schema:
@@ -88,27 +94,36 @@ def _checks(value: Column, path: Column, schema: dict, root: dict, seen: tuple[s
         parts.append(_when(is_number & (number < schema["minimum"]), path, "minimum", schema["minimum"]))
     if "maximum" in schema:
         parts.append(_when(is_number & (number > schema["maximum"]), path, "maximum", schema["maximum"]))
-    items = _as(value, "array<variant>")
-    if "minItems" in schema:
-        parts.append(_when(F.size(items) < schema["minItems"], path, "minItems", schema["minItems"]))
-    if "maxItems" in schema:
-        parts.append(_when(F.size(items) > schema["maxItems"], path, "maxItems", schema["maxItems"]))
-    if "items" in schema:
-        each = F.transform(items, lambda x, i: _checks(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), schema["items"], root, seen))
-        parts.append(F.coalesce(F.flatten(each), _none()))
-    fields = _as(value, "map<string,variant>")
-    keys = F.map_keys(fields)
-    for name in schema.get("required", ()):
-        parts.append(_when(~F.array_contains(keys, name), path, "required", name))
+
+    def of_items(items: Column) -> Column:
+        found = []
+        if "minItems" in schema:
+            found.append(_when(F.size(items) < schema["minItems"], path, "minItems", schema["minItems"]))
+        if "maxItems" in schema:
+            found.append(_when(F.size(items) > schema["maxItems"], path, "maxItems", schema["maxItems"]))
+        if "items" in schema:
+            each = F.transform(items, lambda x, i: _checks(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), schema["items"], root, seen))
+            found.append(F.coalesce(F.flatten(each), _none()))
+        return F.concat(*found)
+
+    if schema.keys() & {"minItems", "maxItems", "items"}:
+        parts.append(bound(_as(value, "array<variant>"), of_items))
     properties = schema.get("properties", {})
-    if schema.get("additionalProperties") is False and properties:
-        # names that begin with _ are notes, which any object may hold
-        others = F.array_sort(F.filter(keys, lambda k: ~k.isin(list(properties)) & ~k.startswith("_")))
-        parts.append(F.coalesce(F.transform(others, lambda k: _error(path, "additionalProperties", k)), _none()))
-    for name, sub in properties.items():
-        there = F.array_contains(keys, name)
-        inner = _checks(fields[name], F.concat(path, F.lit(f".{name}")), sub, root, seen)
-        parts.append(F.when(F.coalesce(there, F.lit(False)), inner).otherwise(_none()))
+
+    def of_fields(fields: Column, keys: Column) -> Column:
+        found = [_when(~F.array_contains(keys, name), path, "required", name) for name in schema.get("required", ())]
+        if schema.get("additionalProperties") is False and properties:
+            # names that begin with _ are notes, which any object may hold
+            others = F.array_sort(F.filter(keys, lambda k: ~k.isin(list(properties)) & ~k.startswith("_")))
+            found.append(F.coalesce(F.transform(others, lambda k: _error(path, "additionalProperties", k)), _none()))
+        for name, sub in properties.items():
+            there = F.array_contains(keys, name)
+            inner = _checks(fields[name], F.concat(path, F.lit(f".{name}")), sub, root, seen)
+            found.append(F.when(F.coalesce(there, F.lit(False)), inner).otherwise(_none()))
+        return F.concat(*found)
+
+    if properties or schema.get("required"):
+        parts.append(bound(_as(value, "map<string,variant>"), lambda fields: bound(F.map_keys(fields), lambda keys: of_fields(fields, keys))))
     rest = F.concat(*parts) if parts else _none()
     if "type" not in schema:
         return rest

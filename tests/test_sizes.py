@@ -48,6 +48,19 @@ def test_pages_are_streams(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
 
 
+def test_shared_parts_are_worked_out_once(spark):
+    """A title's words are looked for once, and a document's fields are taken out once."""
+    plan = lambda c: spark.range(1).select(F.col("id").cast("string").alias("t")).select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(H.title_phrase(F.col("t"))).count("regexp_extract_all(") == 1
+    deep = {"type": "object", "properties": {"n": {"type": "number", "maximum": 3}}, "required": ["n"]}
+    for _ in range(3):
+        deep = {"type": "object", "properties": {"a": deep}, "required": ["a"]}
+    assert len(plan(schemas.schema_errors(schemas.parsed(F.col("t")), deep))) < 40_000
+    df = spark.createDataFrame([('{"a": {"a": {"a": {"n": 4}}}}',), ('{"a": {"a": {}}}',), ('{"a": 1}',), ("{",)], "t string")
+    got = [[tuple(e) for e in r.e] for r in df.select(schemas.schema_errors(schemas.parsed(F.col("t")), deep).alias("e")).collect()]
+    assert got == [[("$.a.a.a.n", "maximum", "3")], [("$.a.a", "required", "a")], [("$.a", "type", '"object"')], [("$", "json", "a document")]]
+
+
 def test_amounts_add_up_exactly(spark):
     """Doubles added one by one leave the second place after some million rows, and in another order leave it otherwise."""
     df = spark.range(0, 2_000_000, 1, 4).select(F.when(F.col("id") % 2 == 0, 140_000.1).otherwise(140_000.12).alias("v"))
