@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -94,10 +95,11 @@ def parallel_partners(segments: DataFrame, near: float = 3, far: float = 25, ove
 
 
 def best_score_match(callouts: DataFrame, segments: DataFrame, max_error: float = 0.08, max_distance: float = 500.0, scope: list[str] | None = None) -> DataFrame:
-    """For each callout (c_id, cx, cy, want) the segment (s_id, x1, y1, x2, y2, length) of the best score, 0.6 for length and 0.4 for nearness.
+    """For each callout (c_id, cx, cy, want) the segment (s_id, a whole number; x1, y1, x2, y2, length) of the best score, 0.6 for length and 0.4 for nearness.
 
     Both meet by bins of the logarithm of length and, in each, by cells of the plane that hold such a length and max_distance: a segment
-    touches two cells, a callout looks into those within its reach. Diagonal and short segments don't take part. First wins on ties."""
+    touches two cells, a callout looks into those within its reach. Diagonal and short segments don't take part. First wins on ties.
+    One number ranks a callout's pairs, so a task holds the best pair of each callout, not all pairs in order."""
     scope = scope or []
     width = 0.1
     size = F.greatest(F.lit(float(max_distance)), F.exp((F.col("bin") + 1) * width))
@@ -112,7 +114,9 @@ def best_score_match(callouts: DataFrame, segments: DataFrame, max_error: float
     pairs = c.join(spread(s), ["bin", "bx", "by", *scope]).withColumn("error", error).withColumn("dist", F.sqrt(dx * dx + dy * dy))
     near = pairs.filter((F.col("error") <= max_error) & (F.col("dist") <= max_distance))
     scored = near.withColumn("score", 0.6 * (1 - F.col("error") / max_error) + 0.4 * (1 - F.col("dist") / max_distance))
-    return first_of(scored.select("c_id", "s_id", "score"), ["c_id"], F.desc(F.round("score", 9)), F.asc("s_id"))
+    missing = F.round((1 - F.round("score", 9)) * 1e9).cast("decimal(10,0)")
+    rank = missing * F.lit(Decimal(2 * 10**19)) + F.col("s_id").cast("decimal(20,0)")
+    return scored.groupBy("c_id").agg(F.min_by("s_id", rank).alias("s_id"), F.min_by("score", rank).alias("score"))
 
 
 def nearest_within(points: DataFrame, targets: DataFrame, radius: float, point_key: str = "p_id", scope: list[str] | None = None) -> DataFrame:

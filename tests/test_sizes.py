@@ -29,6 +29,17 @@ def test_tables_with_small_files_are_not_broadcast(spark, tmp_path):
     assert dims.filter("s_id = c_id").count() == 2000
 
 
+def test_best_pairs_are_kept_by_hash(spark):
+    """A task holds one pair a callout: no sort of all pairs. Equal scores go to the smaller s_id, negative ones too."""
+    c = spark.createDataFrame([(1, 0.0, 0.0, 100.0), (2, 0.0, 900.0, 100.0)], "c_id int, cx double, cy double, want double")
+    ids = [2**62, 7, -(2**62), 9]
+    s = spark.createDataFrame([(i, 0.0, 5.0, 100.0, 5.0, 100.0) for i in ids] + [(-(2**63), 0.0, 6.0, 100.0, 6.0, 100.0)], "s_id long, x1 double, y1 double, x2 double, y2 double, length double")
+    got = J.best_score_match(c, s)
+    assert [(r.c_id, r.s_id, round(r.score, 6)) for r in got.collect()] == [(1, -(2**62), 0.996)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "Window" not in plan
+
+
 def test_pages_are_streams(spark):
     """No call for each page, and a page may lie in many record batches."""
     ops = spark.range(300).select((F.col("id") % 2).alias("page"), F.col("id").alias("seq"), F.when(F.col("id") < 2, "move").otherwise("line").alias("op"), F.array(F.col("id"), F.lit(1)).alias("args"))
