@@ -35,7 +35,7 @@ def payload(text: str) -> bytes:
 
 
 def store(payloads: list[bytes]) -> list[bytes]:
-    """The stored form of payloads of whole rows."""
+    """The stored form of payloads of whole rows: each strip's file has the transforms that suit it."""
     strips, of = [], []
     for k, p in enumerate(payloads):
         pixels = np.frombuffer(p, np.uint8).reshape(-1, ROW_PIXELS, 4)
@@ -46,7 +46,7 @@ def store(payloads: list[bytes]) -> list[bytes]:
     order = sorted(range(len(strips)), key=lambda i: len(strips[i]))
     for a in range(0, len(order), LANES):
         part = order[a : a + LANES]
-        for i, f in zip(part, webp.encode([strips[i] for i in part])):
+        for i, f in zip(part, webp.encode_best([strips[i] for i in part])):
             files[i] = f
     out = [[] for _ in payloads]
     for k, f in zip(of, files):
