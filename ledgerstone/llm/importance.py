@@ -120,8 +120,9 @@ class Tuples:
 
     def each(self, values: np.ndarray) -> np.ndarray:
         """Values of the keys, for every n-gram."""
-        code, seen = pd.factorize(self.all)
-        return values[np.searchsorted(self.keys, seen)][code]
+        out = np.empty(len(self.all), values.dtype)
+        out[np.argsort(self.all)] = np.repeat(values, self.counts)  # keys and counts are in this order
+        return out
 
     @classmethod
     def of_row(cls, row, parts: int) -> Tuples:

@@ -78,3 +78,11 @@ def test_ids_follow_words(spark):
         for number, x in zip(_unplaned(r["numbers"]), _unplaned(r["ids"])):
             assert ids.setdefault(bytes(words[r["block_id"]][number]), x) == x
     assert len(set(ids.values())) == len(ids) == 68 and sorted(ids) == sorted(ids, key=ids.get)
+
+
+def test_each_ngram_gets_its_keys_value():
+    words, numbers = [b"b", b"a", b"c"], np.array([0, 1, 0, 1, 2, 2, 0, 1])
+    t = I.Tuples(words, np.array([5, 3]), numbers, 3)
+    values = np.arange(len(t.keys)) * 7
+    assert t.each(values).tolist() == [values[t.keys.tolist().index(k)] for k in t.all.tolist()]
+    assert I.Tuples([], np.array([0]), np.zeros(0, np.int64), 3).each(np.zeros(0, np.int64)).tolist() == []
