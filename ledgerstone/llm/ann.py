@@ -114,8 +114,8 @@ def _best(src, nbr, score, fresh, k: int):
     return src[start], np.minimum(size, k), nbr[top], score[top], fresh[top]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int = 0):
-    """Record batches cut so that equal values of a sorted column stay together."""
+def _groups(batches: Iterator[pa.RecordBatch], column: int = 0, least: int = 0):
+    """Record batches cut so that equal values of a sorted column stay together, and so that they have `least` rows where there are as many."""
     held: list[pa.RecordBatch] = []
     joined = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
     for batch in batches:
@@ -123,7 +123,7 @@ def _groups(batches: Iterator[pa.RecordBatch], column: int = 0):
             continue
         key = batch.column(column).to_numpy()
         first = int(np.searchsorted(key, key[-1]))
-        if first == 0 and held and held[-1].column(column)[-1].as_py() == key[-1]:
+        if first == 0 and held and held[-1].column(column)[-1].as_py() == key[-1] or first + sum(x.num_rows for x in held) < least:
             held.append(batch)
             continue
         if first:
@@ -230,25 +230,33 @@ def _named(lists: DataFrame, hot: int) -> DataFrame:
     return lists.select("nbrs").mapInArrow(count, "id long, n long").groupBy("id").agg((F.sum("n") * 2).alias("n"))
 
 
-def descend(graph: DataFrame, nodes: DataFrame, n: int, stage: Stage, degree: int = DEGREE) -> DataFrame:
-    """One round of NN-descent: the neighbours of a node meet, in both directions, and better edges go to their lists."""
+def _listed_by(lists: DataFrame, k: int) -> DataFrame:
+    """Who lists a node, the k best of each batch: (id, src, score, new), one row an edge. A list for each node that a batch names would
+    be few rows only while the batches name the same nodes, and more and more a node in larger tables."""
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Lists of those that list a node, the best BACK of each batch."""
         for batch in batches:
             src, nbr, score, fresh = _Lists.flat(batch)
-            yield _Lists.batch(*_best(nbr, src, score, fresh, BACK))
+            listed, size, src, score, new = _best(nbr, src, score, fresh, k)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(listed, size), pa.int64()), pa.array(src, pa.int64()), pa.array(score, pa.float32()), pa.array(new.astype(np.int8), pa.int8())], ["id", "src", "score", "new"])
+
+    return lists.mapInArrow(turned, "id long, src long, score float, new byte")
+
+
+def descend(graph: DataFrame, nodes: DataFrame, n: int, stage: Stage, degree: int = DEGREE) -> DataFrame:
+    """One round of NN-descent: the neighbours of a node meet, in both directions, and better edges go to their lists."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Who meets at a node: itself, its list and the best of those that list it, if any edge among these is new."""
-        for part in _groups(batches):
-            back = np.repeat(part.column(5).to_numpy(zero_copy_only=False), np.fromiter(map(len, part.column(1).to_pylist()), np.int64, part.num_rows) // 8)
-            at, member, score, fresh = _Lists.flat(part)
-            lead, size, rev, _, new = _best(at[back], member[back], score[back], fresh[back], BACK)
-            own = np.unique(at)
-            a = np.r_[at[~back], np.repeat(lead, size), own]
-            m = np.r_[member[~back], rev, own]
-            f = np.r_[fresh[~back], new, np.zeros(len(own), np.uint8)]
+        """Who meets at a node: itself, its list and the best of those that list it, if any edge among these is new. Rows: a node's list, then who lists it."""
+        for part in _groups(batches, least=20_000):
+            ids, listed = part.column(0).to_numpy(), part.column(1).is_valid().to_numpy(zero_copy_only=False)
+            nbrs, fresh, src, score, new = (part.column(i).drop_null() for i in range(1, 6))
+            nbrs = nbrs.to_pylist()
+            lead, size, rev, _, new = _best(ids[~listed], src.to_numpy(), score.to_numpy(), new.to_numpy().astype(np.uint8), BACK)
+            own = np.unique(ids)
+            a = np.r_[np.repeat(ids[listed], np.fromiter(map(len, nbrs), np.int64, len(nbrs)) // 8), np.repeat(lead, size), own]
+            m = np.r_[np.frombuffer(b"".join(nbrs), "<i8"), rev, own]
+            f = np.r_[np.frombuffer(b"".join(fresh.to_pylist()), np.uint8), new, np.zeros(len(own), np.uint8)]
             order = np.lexsort((1 - f.astype(np.int8), m, a))
             a, m, f = a[order], m[order], f[order]
             once = np.r_[True, (a[1:] != a[:-1]) | (m[1:] != m[:-1])] if len(a) else np.zeros(0, bool)
@@ -283,7 +291,7 @@ def descend(graph: DataFrame, nodes: DataFrame, n: int, stage: Stage, degree: in
             old = pa.array([bytes(len(x)) for x in batch.column(3).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), old, pa.array(np.zeros(batch.num_rows), pa.int32())], _Lists.NAMES)
 
-    both = graph.withColumn("back", F.lit(False)).union(graph.mapInArrow(turned, _Lists.SCHEMA).withColumn("back", F.lit(True)))
+    both = graph.select("id", "nbrs", "fresh").unionByName(_listed_by(graph, BACK), allowMissingColumns=True)
     meetings = both.repartition("id").sortWithinPartitions("id").mapInArrow(members, "id long, at long, fresh byte")
     ready = nodes.join(graph.select("id", "scores").mapInArrow(limits, "id long, low float"), "id", "left").select("id", "code", F.coalesce("low", F.lit(float("-inf")).cast("float")).alias("low"))
     met = join_dealt(meetings, ready, "id", stage, _named(graph, max(HOT, n * (degree + BACK) // 50_000) - BACK - 1), n * (degree + BACK), n).select("at", "id", "fresh", "code", "low")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from ledgerstone.llm import ann
 
@@ -85,3 +86,35 @@ def test_nodes_named_often(spark):
     df = spark.createDataFrame(lists, "id long, nbrs binary").repartition(4)
     got = {r.id: r.n for r in ann._named(df, 500).collect()}
     assert got[7] >= 900 and all(k == 7 or n <= 500 for k, n in got.items())
+
+
+def test_rows_of_a_round_grow_with_the_nodes(spark):
+    """As many rows a node at every size: a list a node and batch gave 1 at 500 nodes and 4.6 at 5000. A node that all list is cut to the best of each batch."""
+    rng = np.random.default_rng(4)
+
+    def lists(n):
+        rows = []
+        for i in range(n):
+            nbrs, scores = np.r_[0, rng.choice(n - 1, 9, replace=False) + 1], rng.standard_normal(10)
+            rows.append((i, nbrs.astype("<i8").tobytes(), scores.astype("<f4").tobytes(), bytes(10), 0))
+        return spark.createDataFrame(rows, ann._Lists.SCHEMA).coalesce(1)
+
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+    try:
+        for n in (500, 5000):
+            by = {r.id: r["count"] for r in ann._listed_by(lists(n), 24).groupBy("id").count().collect()}
+            assert by.pop(0) == 24 * n // 500
+            assert 8.9 <= sum(by.values()) / n <= 9
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+
+
+def test_groups_of_a_least_size():
+    ids = np.repeat(np.arange(40), np.random.default_rng(1).integers(1, 9, 40))
+    whole = pa.RecordBatch.from_arrays([pa.array(ids)], ["id"])
+    for step in (1, 3, 7, 50):
+        for least in (0, 5, 20, 1000):
+            got = [p.column(0).to_numpy() for p in ann._groups((whole.slice(i, step) for i in range(0, len(ids), step)), least=least)]
+            assert np.array_equal(np.concatenate(got), ids) and all(len(x) >= least for x in got[:-1])
+            assert all(a[-1] != b[0] for a, b in zip(got, got[1:]))
